@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import mixing, sharding
+from docloom.llm import caps, mixing, ngram_join, sharding
 
 
 def queries() -> dict:
-    return {"op6_sharding": sharding.op6_sharding, "op7_mixing": mixing.op7_mixing}
+    return {"op1_vector_dedup": caps.op1_vector_dedup, "op2_ngram_join": ngram_join.op2_ngram_join, "op6_sharding": sharding.op6_sharding, "op7_mixing": mixing.op7_mixing}
 
 
 def oracle_sql() -> dict:
-    return {"op6_sharding": sharding.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op2_ngram_join": ngram_join.OP2_SQL, "op6_sharding": sharding.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
