@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shared_dir, table
+from docloom.llm.common import shared_dir, stash, table
 
 #: Ids per arriving batch, and bytes of text of a finished file.
 ARRIVAL_IDS, TARGET_BYTES = 2000, 64 << 20
@@ -70,7 +70,8 @@ def compact(spark: SparkSession, root: str, nbytes: Column, key: Column, target_
     """
     rows = spark.read.parquet(f"{root}/shards").withColumn("__bytes", nbytes.cast("long"))
     shards = rows.groupBy("arrival").agg(F.sum("__bytes").alias("shard_bytes"))
-    planned = plan(shards, target_bytes).select("arrival", "tier", "run", "pieces")
+    # written out, the plan's size is known before the join: it is broadcast if small, and the texts then move only once
+    planned = stash(plan(shards, target_bytes).select("arrival", "tier", "run", "pieces"), "shard-plan")
     digest = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     placed = rows.join(planned, "arrival").withColumn("piece", digest % F.col("pieces"))
     data = f"{root}/files/{uuid.uuid4().hex}"
@@ -102,7 +103,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     fs, path = _folder(spark, f"{root}/shards")
     fs.delete(path, True)  # merged and committed: the small shards are done with
     out = read(spark, root, version)
-    return out.select("doc_id", F.col("__bytes").alias("n_bytes"), "arrival", "tier", "run", "piece", F.col("file_rows").cast("long"), F.col("file_bytes").cast("long"), F.col("version").cast("long"))
+    return out.select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("arrival").cast("long"), "tier", "run", "piece", F.col("file_rows").cast("long"), F.col("file_bytes").cast("long"), F.col("version").cast("long"))
 
 
 
