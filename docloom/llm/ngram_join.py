@@ -98,7 +98,9 @@ def _sketches(batches):
         texts, rows = utf8(df["text"]), []
         for members in shingle_sets(texts):
             rows.append((len(members), digest(members), members[: first_members(len(members))].view(np.int64), bitmap(members)) if len(members) else (0, None, None, None))
-        n, key, first, bits = zip(*rows, strict=True) if rows else ((), (), (), ())
+        if not rows:
+            continue
+        n, key, first, bits = zip(*rows, strict=True)
         yield pd.DataFrame({"doc_id": df["doc_id"], "n": n, "key": pd.array(key, dtype="Int64"), "first": first, "bits": bits})
 
 
@@ -149,8 +151,9 @@ def _more_members(common, affected):
                     often = in_filter(common.value, members.view(np.int64))
                     if often[: (k := first_members(len(members)))].any():
                         rows.append((len(members), digest(members), np.concatenate([members[~often], members[often]])[:k].view(np.int64)))
-            n, key, first = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"n": n, "key": key, "first": first})
+            if rows:
+                n, key, first = zip(*rows, strict=True)
+                yield pd.DataFrame({"n": n, "key": key, "first": first})
 
     return run
 
@@ -164,7 +167,9 @@ def _only(field):
                 hit = in_filter(field.value, flat)
                 kept = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
                 some = kept > 0
-                yield df[some].assign(first=np.split(flat[hit], np.cumsum(kept[some])[:-1]) if some.any() else [])
+                if some.any():
+                    first = pd.Series(np.split(flat[hit], np.cumsum(kept[some])[:-1]), index=df.index[some], dtype=object)
+                    yield df[some].assign(first=first)
 
     return run
 
@@ -249,7 +254,8 @@ def _wanted_sets(wanted):
                 if len(members) and in_filter(wanted.value, np.array([key := digest(members)]))[0]:
                     keys.append(key)
                     sets.append(members.view(np.int64))
-            yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "members": sets})
+            if keys:
+                yield pd.DataFrame({"key": keys, "members": sets})
 
     return run
 
