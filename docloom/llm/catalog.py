@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.llm import caps, mixing, ngram_join, sharding
+from docloom.llm import caps, mixing, ngram_join, pieces, sharding, token_counts
 
 
 def queries() -> dict:
-    return {"op1_vector_dedup": caps.op1_vector_dedup, "op2_ngram_join": ngram_join.op2_ngram_join, "op6_sharding": sharding.op6_sharding, "op7_mixing": mixing.op7_mixing}
+    return {"op1_vector_dedup": caps.op1_vector_dedup, "op2_ngram_join": ngram_join.op2_ngram_join, "op3_token_counts": token_counts.op3_token_counts, "op6_sharding": sharding.op6_sharding, "op7_mixing": mixing.op7_mixing, "op8_pieces": pieces.op8_pieces}
 
 
 def oracle_sql() -> dict:
