@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.llm import caps, jpeg, mixing, ngram_join, pieces, sharding, token_counts
+from docloom.llm import caps, jpeg, language, mixing, ngram_join, pieces, quality, sharding, token_counts
 
 
 def queries() -> dict:
-    return {"op1_vector_dedup": caps.op1_vector_dedup, "op2_ngram_join": ngram_join.op2_ngram_join, "op3_token_counts": token_counts.op3_token_counts, "op6_sharding": sharding.op6_sharding, "op7_mixing": mixing.op7_mixing, "op8_pieces": pieces.op8_pieces, "op9_jpeg": jpeg.op9_jpeg}
+    return {"op1_vector_dedup": caps.op1_vector_dedup, "op2_ngram_join": ngram_join.op2_ngram_join, "op3_token_counts": token_counts.op3_token_counts, "op4_language": language.op4_language, "op6_sharding": sharding.op6_sharding, "op7_mixing": mixing.op7_mixing, "op8_pieces": pieces.op8_pieces, "op9_jpeg": jpeg.op9_jpeg, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict:
