@@ -40,63 +40,83 @@ class Prefixes:
             raise ValueError("only byte-level BPE without a normalizer or an added space")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
-        plain = {ord(chr(b)): chr(b) for b in printable} | {256 + k: chr(b) for k, b in enumerate(rest)}
-        self.vocabulary = {t.translate(plain) for t in model["vocab"]}
+        plain = {b: chr(b) for b in printable} | {256 + k: chr(b) for k, b in enumerate(rest)}
+        tokens = [t.translate(plain) for t in model["vocab"]]
+        number = {t: i for i, t in enumerate(tokens)}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank = {(a.translate(plain), b.translate(plain)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
+        #: By pair of tokens the place of their merge; by token the place of the first merge that makes it (-1: none does) and its halves.
+        self.rank: dict[int, int] = {}
+        self.made, self.left, self.right = [-1] * len(tokens), list(range(len(tokens))), list(range(len(tokens)))
+        for place, (x, y) in enumerate(pairs):
+            x, y = x.translate(plain), y.translate(plain)
+            whole = number[x + y]
+            self.rank.setdefault(number[x] << 20 | number[y], place)
+            if self.made[whole] < 0:
+                self.made[whole], self.left[whole], self.right[whole] = place, number[x], number[y]
+        #: Tokens that the merges make of their own bytes, in a tree read from their last byte; None holds the token that ends there.
+        self.tree: dict = {}
+        for i, t in enumerate(tokens):
+            if len(t) == 1 or self.made[i] >= 0 and self.stands(self.left[i], self.right[i], self.made[i]):
+                node = self.tree
+                for c in reversed(t):
+                    node = node.setdefault(c, {})
+                node[None] = i
         self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.split = regex.compile(SPLIT).findall
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The merges applied to a short string, lowest rank first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == 1 << 60:
-                break
-            pair = (parts[at], parts[at + 1])
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def follows(self, before: str, token: str) -> bool:
-        known = self.pairs.get((before, token))
-        if known is None:
-            known = self.pairs[before, token] = self.merged(before + token) == ([before, token] if before else [token])
-        return known
+    def stands(self, a: int, b: int, before: int = 1 << 60) -> bool:
+        """Whether the merges made before a place leave the border between two tokens that stand side by side.
+
+        Seen backwards, the later made of the two tokens at the border is undone, until both are single
+        bytes; at each step no merge across the border may come before the one undone. Of equal places the
+        left one is made first.
+        """
+        rank, made = self.rank, self.made
+        while True:
+            across = rank.get(a << 20 | b)
+            if across is not None and across < before:
+                return False
+            if made[a] < 0 and made[b] < 0:
+                return True
+            if made[a] > made[b]:
+                before, a = made[a], self.right[a]
+            else:
+                before, b = made[b] + 1, self.left[b]
 
     def table(self, piece: str) -> list[int]:
         """count[i] of every prefix of i bytes of a piece."""
-        count, last = [0] * (len(piece) + 1), [""] * (len(piece) + 1)
-        vocabulary, pairs, follows, longest = self.vocabulary, self.pairs, self.follows, self.longest
+        count, last, pairs, tree = [0], [-1], self.pairs, self.tree
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - longest), i):
-                token = piece[j:i]
-                if token in vocabulary:
-                    known = pairs.get((last[j], token))
-                    if known or known is None and follows(last[j], token):
-                        count[i], last[i] = count[j] + 1, token
+            node, j = tree, i
+            while j:
+                node = node.get(piece[j - 1])
+                if node is None:
+                    raise ValueError(f"no token of the vocabulary ends at byte {i}")
+                j -= 1
+                token = node.get(None)
+                if token is not None:
+                    if not j:
                         break
-            else:
-                raise ValueError(f"no token of the vocabulary ends at byte {i}")
+                    pair = last[j] << 20 | token
+                    known = pairs.get(pair)
+                    if known is None:
+                        known = pairs[pair] = self.stands(last[j], token)
+                    if known:
+                        break
+            count.append(count[j] + 1)
+            last.append(token)
         return count
 
     def total(self, piece: str) -> int:
+        if piece in self.special:
+            return 1
         raw = piece.encode("utf-8", "replace").decode("latin-1")
         if len(self.totals) >= KEPT:
             self.totals.clear()
-        n = self.totals[piece] = 1 if raw in self.vocabulary and self.follows("", raw) else self.table(raw)[-1]
+        n = self.totals[piece] = self.table(raw)[-1]
         return n
 
     def pieces(self, text: str) -> list[str]:
@@ -110,17 +130,15 @@ class Prefixes:
 
     def counts(self, text: str) -> tuple[list[str], list[int]]:
         """The pieces of a text and the token count at the end of each."""
-        pieces = self.pieces(text)
-        get, total = self.totals.get, self.total
-        specials = set(self.special)
-        return pieces, list(accumulate((get(p) or (1 if p in specials else total(p))) for p in pieces))
-
-    def number(self, text: str) -> int:
         pieces = self.pieces(text)
         try:
-            return sum(map(self.totals.__getitem__, pieces))
+            return pieces, list(accumulate(map(self.totals.__getitem__, pieces)))
         except KeyError:
-            return (self.counts(text)[1] or [0])[-1]
+            pass
+        for p in set(pieces).difference(self.totals):
+            self.total(p)
+        get = self.totals.get
+        return pieces, list(accumulate(get(p) or self.total(p) for p in pieces))
 
     def at(self, pieces: list[str], counts: list[int], k: int, part: str) -> int:
         """The count of the prefix that ends with `part`, the beginning of piece k."""
@@ -132,21 +150,28 @@ class Prefixes:
             return (counts[k - 1] if k else 0) + sum(self.table(p.encode("utf-8", "replace").decode("latin-1"))[-1] for p in own)
         return (counts[k - 1] if k else 0) + (1 if part in self.special else sum(self.totals.get(p) or self.total(p) for p in self.split(part)))
 
-    def cut(self, text: str, budget: int) -> str:
-        """The longest prefix (of whole characters) with at most `budget` tokens."""
-        pieces, counts = self.counts(text)
-        if not pieces or counts[-1] <= budget:
-            return text
+    def cut(self, pieces: list[str], counts: list[int], budget: int) -> int:
+        """Bytes of the longest prefix (of whole characters) with at most `budget` tokens, for a text that has more."""
         k = int(np.searchsorted(counts, budget, side="right"))  # the first piece that ends over the budget
-        best = "".join(pieces[:k])
-        held, longest = best, len(best)
-        for piece_at in range(k, min(k + 2, len(pieces))):
-            piece = pieces[piece_at]
+        size = sum(len(p.encode("utf-8", "replace")) for p in pieces[:k])
+        best, piece = size, pieces[k]
+        if piece not in self.special:
+            whole = None if piece.isspace() or piece[0] == "'" else self.table(piece.encode("utf-8", "replace").decode("latin-1"))
+            at = size
             for n in range(1, len(piece) + 1):
-                if piece not in self.special and self.at(pieces, counts, piece_at, piece[:n]) <= budget:
-                    longest = len(held) + n
-            held += piece
-        return text[:longest]
+                at += len(piece[n - 1].encode("utf-8", "replace"))
+                # a piece cut within keeps its tokens' table, unless it is white space or split otherwise
+                count = self.at(pieces, counts, k, piece[:n]) if whole is None or n == 1 else (counts[k - 1] if k else 0) + whole[at - size]
+                if count <= budget:
+                    best = at
+            if k + 1 < len(pieces) and pieces[k + 1][0].isspace():  # white space at the end can be one token with that before it
+                for n in range(1, len(pieces[k + 1]) + 1):
+                    at += len(pieces[k + 1][n - 1].encode("utf-8", "replace"))
+                    if not pieces[k + 1][n - 1].isspace():
+                        break
+                    if self.at(pieces, counts, k + 1, pieces[k + 1][:n]) <= budget:
+                        best = at
+        return best
 
 
 @lru_cache(2)
@@ -168,13 +193,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (LI
         prefixes = _prefixes(spec.value)
         for df in batches:
             texts = df["text"].fillna("").tolist()
-            out = {"doc_id": df["doc_id"], "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": [prefixes.number(t) for t in texts]}
-            for b in budgets:
-                out[f"cut_{b}"] = [size if n <= b else len(prefixes.cut(t, b).encode("utf-8", "replace")) for t, n, size in zip(texts, out["n_tokens"], out["n_bytes"], strict=True)]
-            if with_tables:
-                both = [prefixes.counts(t) for t in texts]
-                out["ends"] = [list(accumulate(len(p.encode("utf-8", "replace")) for p in pieces)) for pieces, _ in both]
-                out["counts"] = [counts for _, counts in both]
+            out = {"doc_id": df["doc_id"], "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": []}
+            out |= {f"cut_{b}": [] for b in budgets} | ({"ends": [], "counts": []} if with_tables else {})
+            for text, size in zip(texts, out["n_bytes"], strict=True):
+                pieces, counts = prefixes.counts(text)
+                n = counts[-1] if counts else 0
+                out["n_tokens"].append(n)
+                for b in budgets:
+                    out[f"cut_{b}"].append(size if n <= b else prefixes.cut(pieces, counts, b))
+                if with_tables:
+                    out["ends"].append(list(accumulate(len(p.encode("utf-8", "replace")) for p in pieces)))
+                    out["counts"].append(counts)
             yield pd.DataFrame(out)
 
     cuts = "".join(f", cut_{b} long" for b in budgets)
