@@ -34,7 +34,9 @@ class Engine:
         self._store("chunks", job_id, lambda: self._chunks(blocks, made, job_id, pipeline))
         chunks = self._of("chunks", job_id)
         keyed = chunks.select("doc_id", "chunk_id", "text")
-        self._store("facts", job_id, lambda: facts.validate(self.provider.facts(keyed, "chunk_id"), keyed, "chunk_id").where("accepted").drop("doc_id"))
+        # blocks keep the lines of a fact, which chunks join
+        lines = blocks.select(F.format_string("%d_b%04d", "doc_id", "pos").alias("block_id"), "text")
+        self._store("facts", job_id, lambda: facts.validate(self.provider.facts(lines, "block_id"), lines, "block_id").where("accepted"))
         self._store("entities", job_id, lambda: self.provider.entities(keyed, "chunk_id"))
 
     def _store(self, key: str, job_id: str, make) -> None:

@@ -102,9 +102,9 @@ def office(files: DataFrame) -> DataFrame:
                 except (KeyError, ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     found = [{"kind": "error", "error": f"{type(e).__name__}: {e}"[:200]}]
                 if found:
-                    out = pd.DataFrame(found, dtype=object).reindex(columns=names)
+                    out = pd.DataFrame({c: pd.Series([x.get(c) for x in found], dtype=object) for c in names})
                     out["path"] = path
-                    yield out.where(out.notna(), None).astype({"pos": "Int64", "level": "Int32", "table_pos": "Int64"})
+                    yield out.astype({"pos": "Int64", "level": "Int32", "table_pos": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
@@ -115,8 +115,10 @@ def write_artifact(df: DataFrame, root: str, key: str, job: str = "job_id") -> N
 
 
 def has_artifact(spark: SparkSession, root: str, key: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    """Whether a partition is there; Spark puts one in place as a whole when its job commits."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(path) and any("=" in s.getPath().getName() for s in fs.listStatus(path))
 
 
 def read_artifact(spark: SparkSession, root: str, key: str) -> DataFrame | None:
