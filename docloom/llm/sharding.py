@@ -24,9 +24,19 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+#: Columns that shards have of their own.
+OWN = ("arrival", "tier", "run", "piece", "file_rows", "file_bytes", "version")
+
+
 def append(docs: DataFrame, root: str, arrival: Column) -> None:
-    """Add rows as small shards, one folder for each arrival; files are only ever added. A null arrival is shard -1."""
-    (docs.withColumn("arrival", F.coalesce(arrival.cast("long"), F.lit(-1)))
+    """Add rows as small shards, one folder for each arrival; files are only ever added.
+
+    A null arrival is shard -1. All columns are kept; one with a name that shards use themselves
+    becomes doc_<name>.
+    """
+    docs = docs.withColumn("__arrival", arrival)
+    docs = docs.withColumnsRenamed({c: f"doc_{c}" for c in OWN if c in docs.columns})
+    (docs.withColumnRenamed("__arrival", "arrival").withColumn("arrival", F.coalesce(F.col("arrival").cast("long"), F.lit(-1)))
      .write.mode("append").option("compression", "zstd").partitionBy("arrival").parquet(f"{root}/shards"))
 
 
