@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.bm25", "operators.chunking", "operators.graph", "operators.retrieval", "operators.tables", "operators.facts", "operators.observe", "operators.relational", "operators.quality", "streaming.events", "plans.planner"]
+MODULES = ["operators.bm25", "operators.chunking", "operators.graph", "operators.retrieval", "operators.tables", "operators.facts", "operators.observe", "operators.relational", "operators.quality", "operators.records", "streaming.events", "plans.planner"]
 
 
 def _all() -> dict:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from docloom.functions.checks import pass_rate, stage_checks
 from docloom.functions.garbage import gibberish_signals, is_cid_garbage, is_gibberish, without_cid
 from docloom.functions.text import tokens
-from docloom.operators.chunking import EST, OVERLAP, W, WIDTH, stats, windows
+from docloom.functions.vector import mock_embedding
+from docloom.operators.chunking import EST, OVERLAP, W, WIDTH, heading_chunks, stats, windows
 from docloom.operators.chunking import _WINDOWS_SQL as WINDOWS_SQL
 from docloom.functions.text import estimate
+from docloom.operators.tables import table_questions
 from docloom.sources import html, plain
 from docloom.sources.plain import needs_ocr
 
@@ -64,7 +66,37 @@ u AS (SELECT page_id, 0 AS part, i, CAST(level AS INT) AS level, {_inner("t")} A
 k AS (SELECT page_id, part, i, level, CASE WHEN part = 1 THEN substring(text, 1, 1000) ELSE text END AS text FROM u WHERE (part = 0 AND text <> '') OR (part = 1 AND length(text) > 15)),
 bl AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, i) - 1 AS pos, level, text FROM k)
 """
+def _heading_chunks(spark, sf_dir):
+    """Web pages, chunked under their headings. The fold carries state from block to block, which SQL has no form for; tests hold it against hand-made cases."""
+    chunks = heading_chunks(html.blocks(_t(spark, sf_dir, "pages")), "page_id")
+    return chunks.select("page_id", "chunk_pos", "token_count", F.coalesce("heading_path", F.lit("")).alias("heading_path"), F.md5("text").alias("text_md5"))
+
+
+def _mock_vectors(spark, sf_dir):
+    """Stand-in vectors of the benchmark passages: 64-bit wrap-around arithmetic, tested against integers of any size."""
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.transform(mock_embedding(F.col("text")), lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+
+
+def _questions(spark, sf_dir):
+    """Templates of questions for the star tables as typed tables."""
+    kinds = None
+    for name in ("customer", "supplier", "part", "orders", "lineitem"):
+        columns = spark.createDataFrame([(name, c, "REAL" if t in ("double", "int", "bigint") else "TEXT") for c, t in _t(spark, sf_dir, name).dtypes], "table_name string, column string, type string")
+        kinds = columns if kinds is None else kinds.union(columns)
+    filled = _row_counts(spark, sf_dir)
+    return table_questions(kinds).join(filled, "table_name").select("table_name", "route", "q", "sql", "rows")
+
+
+def _row_counts(spark, sf_dir):
+    from docloom.operators.observe import storage_survey
+
+    return storage_survey({n: _t(spark, sf_dir, n) for n in ("customer", "supplier", "part", "orders", "lineitem")}).withColumnRenamed("store", "table_name")
+
+
 QUERIES = {
+    "heading_chunks": (_heading_chunks, None),
+    "mock_embedding": (_mock_vectors, None),
+    "table_questions": (_questions, None),
     "quality_cid": (
         _cid,
         r"WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '(cid:3)') ELSE text END AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '\(cid:\d+\)', '', 'g')) AS kept FROM b) SELECT doc_id, n >= 30 AND (n - kept) / greatest(n, 1)::DOUBLE > 0.20 AS garbage, kept AS kept_chars FROM c",

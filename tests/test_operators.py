@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.config import Config
-from docloom.operators import bm25, chunking, facts, graph, observe, relational, retrieval, tables
+from docloom.operators import bm25, chunking, facts, graph, observe, records, relational, retrieval, tables
 from docloom.plans import planner, provider
 from docloom.plans.engine import Engine
 from docloom.sources import files, html, plain, sheets
@@ -249,6 +249,19 @@ def test_relational(spark):
     assert [r.id for r in relational.page(spark.range(10), ["id"], 0, -5).collect()] == [0]
 
 
+def test_records(spark):
+    rows = [(1, 5, "render", 10, 10), (1, 5, "embedded", 900, 900), (1, 6, "embedded", 10, 10), (1, 7, "embedded", 100, 60)] + [(2, i, "render", 1, 1) for i in range(60)] + [(2, 100 + i, "embedded", 100, 100) for i in range(20)]
+    got = records.select_images(spark.createDataFrame(rows, "doc_id long, page int, kind string, width int, height int")).collect()
+    assert [(r.page, r.kind) for r in sorted(got, key=lambda r: r.page) if r.doc_id == 1] == [(5, "render"), (7, "embedded")]
+    assert sum(r.doc_id == 2 and r.kind == "render" for r in got) == 40 and sum(r.doc_id == 2 and r.kind == "embedded" for r in got) == 10
+    one = spark.createDataFrame([({"a": " x " * 200, "b": " ", "zz": "y"}, ["a", "b"])], "d map<string,string>, c array<string>").select(records.valid_descriptions(F.col("d"), F.col("c")).alias("v")).first().v
+    assert list(one) == ["a"] and len(one["a"]) == 300
+    asked = records.shared_questions(spark.range(30).withColumnRenamed("id", "question_id"), ["a", "b"]).collect()
+    assert len(asked) == 20 and {r.question_id for r in asked} == set(range(10))
+    bars = records.relative_bar(spark.createDataFrame([("p", 0.0), ("p", 50.0), ("p", None), ("p", 100.0)], "g string, v double"), ["g"], "v").collect()
+    assert {r.v: r.bar for r in bars} == {0.0: 2.0, 50.0: 50.0, None: None, 100.0: 100.0}
+
+
 def test_plans(spark):
     rows = [("application/pdf", 10, 0.1, False, 1, 0, 600, "report"), ("application/pdf", 40, 0.7, False, 0, 2, 10, "contract"), ("application/pdf", 5, 0.3, False, 0, 1, 10, "report"), ("text/html", 1, None, None, 0, 0, 10, "x"), ("text/plain", 1, None, True, 0, 3, 900, "x")]
     got = planner.plan(spark.createDataFrame(rows, "mime string, pages int, ocr_fraction double, cid_coded boolean, n_tables int, n_images int, words int, doc_type string")).collect()
