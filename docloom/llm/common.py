@@ -82,7 +82,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def text_chunks(texts: list[bytes], most: int = 1 << 21):
+def text_chunks(texts: list[bytes], most: int = 1 << 19):
     """Slices of the list whose texts hold about `most` bytes together; a longer text is alone in its slice."""
     start, held = 0, 0
     for i, t in enumerate(texts):

@@ -49,7 +49,7 @@ def grams(texts: list[str | None]):
     for t in texts:
         points = letters[np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32)]
         blank = points == 32
-        if blank.all():
+        if blank.all() or not any(map(str.isalpha, t)):  # marks alone are no letters
             yield None
             continue
         keep = ~blank

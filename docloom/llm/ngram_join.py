@@ -28,14 +28,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import connected_components, discard, mix, stash, table, text_chunks, utf8, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: A first member that more classes hold is common, and goes last in the order.
-COMMON = 64
+COMMON = 16
 #: Classes of one tile that are compared in one task; more are dealt out as pairs of parts.
 PART = 1024
 #: Bits of the filters that are sent to the tasks: 8 for each entry within these bounds, so at most 16 MB whatever the input.
@@ -68,40 +68,58 @@ def first_members(n: int) -> int:
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """Parity bitmap: for each bit whether an odd number of members fall on it; about half as many bits as members, a power of two from 64 to 8192."""
-    bits = min(8192, max(64, 1 << (len(members) // 2).bit_length()))
+    """Parity bitmap: for each bit whether an odd number of members fall on it; a power of two of bits, two to four for each member.
+
+    With fewer, bits in which two sets differ cancel out and the bound no longer tells 0.7 from 0.8.
+    """
+    bits = min(1 << 16, max(64, 1 << (2 * len(members)).bit_length()))
     counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def differing(x: bytes | np.ndarray, many: list[bytes]) -> np.ndarray:
-    """Bits in which a bitmap differs from each of many; the longer of two is folded to the shorter one's length, which keeps parities."""
-    out = np.zeros(len(many), np.int64)
-    x = np.frombuffer(x, np.uint8)
-    sizes = np.array([len(b) for b in many])
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        theirs = np.frombuffer(b"".join([many[i] for i in at]), np.uint8).reshape(len(at), size)
-        least = min(size, len(x))
-        mine = np.bitwise_xor.reduce(x.reshape(-1, least), axis=0)
-        theirs = np.bitwise_xor.reduce(theirs.reshape(len(at), -1, least), axis=1)
-        out[at] = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
-    return out
+class Bitmaps:
+    """The bitmaps of some rows, kept as one matrix for each length."""
+
+    def __init__(self, many: list[bytes]):
+        self.sizes = np.array([len(b) for b in many], np.int64)
+        self.at = np.zeros(len(many), np.int64)
+        self.rows = {}
+        for size in np.unique(self.sizes).tolist():
+            own = np.flatnonzero(self.sizes == size)
+            self.at[own] = np.arange(len(own))
+            self.rows[size] = np.frombuffer(b"".join([many[i] for i in own]), np.uint64).reshape(len(own), size // 8)
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of rows the bits in which they differ; the longer of two bitmaps is folded to the shorter one's length, which keeps parities."""
+        out = np.zeros(len(a), np.int64)
+        kind = self.sizes[a] << 32 | self.sizes[b]
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == k)
+            least = min(k >> 32, k & 0xFFFFFFFF) // 8
+            for c in range(0, len(own), max(1, 1 << 17 >> least.bit_length())):
+                some = own[c : c + max(1, 1 << 17 >> least.bit_length())]
+                x, y = (np.bitwise_xor.reduce(self.rows[size][self.at[rows[some]]].reshape(len(some), -1, least), axis=1) for size, rows in ((k >> 32, a), (k & 0xFFFFFFFF, b)))
+                out[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def digest(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _by_text(df: pd.DataFrame):
+    """(slice of df, its sets) for about half a megabyte of texts at a time."""
+    texts = utf8(df["text"])
+    for a, b in text_chunks(texts):
+        yield df.iloc[a:b], list(shingle_sets(texts[a:b]))
+
+
 def _sketches(batches):
     for df in batches:
-        texts, rows = utf8(df["text"]), []
-        for members in shingle_sets(texts):
-            rows.append((len(members), digest(members), members[: first_members(len(members))].view(np.int64), bitmap(members)) if len(members) else (0, None, None, None))
-        if not rows:
-            continue
-        n, key, first, bits = zip(*rows, strict=True)
-        yield pd.DataFrame({"doc_id": df["doc_id"], "n": n, "key": pd.array(key, dtype="Int64"), "first": first, "bits": bits})
+        for some, sets in _by_text(df):
+            rows = [(len(m), digest(m), m[: first_members(len(m))].view(np.int64).copy(), bitmap(m)) if len(m) else (0, None, None, None) for m in sets]
+            n, key, first, bits = zip(*rows, strict=True)
+            yield pd.DataFrame({"doc_id": some["doc_id"], "n": n, "key": pd.array(key, dtype="Int64"), "first": first, "bits": bits})
 
 
 # Filters: a set of 64-bit values as two bits for each in a fixed field of bits. A hit can be false, a miss cannot.
@@ -139,37 +157,47 @@ def in_filter(field: np.ndarray, values: np.ndarray) -> np.ndarray:
     return hit
 
 
+def _ids(df: pd.DataFrame) -> np.ndarray:
+    return pd.to_numeric(df["doc_id"]).fillna(0).to_numpy(np.int64)
+
+
 def _more_members(common, affected):
-    """First members of the documents that hold common ones, in the order with these last."""
+    """First members of the documents that hold common ones, in the order with these last: those that they had before, and further ones."""
 
     def run(batches):
         for df in batches:
-            df = df[in_filter(affected.value, pd.to_numeric(df["doc_id"]).fillna(0).to_numpy(np.int64))]
             rows = []
-            for members in shingle_sets(utf8(df["text"])):
-                if len(members):
-                    often = in_filter(common.value, members.view(np.int64))
-                    if often[: (k := first_members(len(members)))].any():
-                        rows.append((len(members), digest(members), np.concatenate([members[~often], members[often]])[:k].view(np.int64)))
+            for _, sets in _by_text(df[in_filter(affected.value, _ids(df))]):
+                for members in sets:
+                    k = first_members(len(members))
+                    if len(members) and (often := in_filter(common.value, members.view(np.int64)))[:k].any():
+                        first = np.concatenate([members[~often], members[often]])[:k].view(np.int64)
+                        kept = k - int(often[:k].sum())
+                        rows.append((len(members), digest(members), first[:kept].copy(), first[kept:].copy()))
             if rows:
-                n, key, first = zip(*rows, strict=True)
-                yield pd.DataFrame({"n": n, "key": key, "first": first})
+                yield pd.DataFrame(dict(zip(("n", "key", "first", "extra"), zip(*rows, strict=True), strict=True)))
 
     return run
 
 
-def _only(field):
+def _only(field, common=None):
+    """Rows with the first members that are in a filter, if any; with `common` without the rows that hold a common one, which have others instead."""
+
     def run(batches):
         for df in batches:
-            if len(df):
-                sizes = df["first"].map(len).to_numpy()
-                flat = np.concatenate(df["first"].tolist())
-                hit = in_filter(field.value, flat)
-                kept = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-                some = kept > 0
-                if some.any():
-                    first = pd.Series(np.split(flat[hit], np.cumsum(kept[some])[:-1]), index=df.index[some], dtype=object)
-                    yield df[some].assign(first=first)
+            if not len(df):
+                continue
+            sizes = np.concatenate(([0], np.cumsum(df["first"].map(len).to_numpy())))
+            flat = np.concatenate(df["first"].tolist())
+            hit = in_filter(field.value, flat)
+            if common is not None:
+                often = np.diff(np.concatenate(([0], np.cumsum(in_filter(common.value, flat))))[sizes]) > 0
+                hit &= ~np.repeat(often, np.diff(sizes))
+            kept = np.diff(np.concatenate(([0], np.cumsum(hit)))[sizes])
+            some = kept > 0
+            if some.any():
+                first = pd.Series(np.split(flat[hit], np.cumsum(kept[some])[:-1]), index=df.index[some], dtype=object)
+                yield df[some].assign(first=first)
 
     return run
 
@@ -180,59 +208,68 @@ def _proposals(every: bool):
     With `every` all of them; else for each class the one partner whose bound is the highest.
     """
 
-    def run(df: pd.DataFrame):
-        df = df.sort_values(["n", "key"], kind="stable")
-        n, key, comp, part, bits = df["n"].to_numpy(), df["key"].to_numpy(), df["comp"].to_numpy(), df["part"].to_numpy(), df["bits"].tolist()
-        band = np.floor(np.log(n) / np.log(100 / PERCENT)).astype(np.int64)
-        whole = df["tile"].iat[0] % 2 == 0  # else it holds two parts, and only pairs across count
-        a_out, b_out = [], []
-        best, at = np.full(len(n), -1.0), np.full(len(n), -1)
-        last = np.searchsorted(band, band + 1, side="right")  # the tile of a band and the next one
-        for i in range(len(n) - 1):
-            j = np.arange(i + 1, last[i])
-            j = j[(100 * n[i] >= PERCENT * n[j]) & (comp[j] != comp[i])]
-            if not whole:
-                j = j[part[j] != part[i]]
-            if not len(j):
-                continue
-            overlap = (n[i] + n[j] - differing(bits[i], [bits[k] for k in j])) // 2
-            good = 100 * overlap >= PERCENT * (n[i] + n[j] - overlap)
-            j, overlap = j[good], overlap[good]
-            if not len(j):
-                continue
-            if every:
-                a_out.append(np.full(len(j), key[i]))
-                b_out.append(key[j])
-            else:
-                score = overlap / (n[i] + n[j] - overlap)
-                if score.max() > best[i]:
-                    best[i], at[i] = score.max(), j[score.argmax()]
-                up = score > best[j]
-                best[j[up]], at[j[up]] = score[up], i
+    def candidates(df: pd.DataFrame):
+        n, comp, part, tile, run = (df[c].to_numpy() for c in ("n", "comp", "part", "tile", "run"))
+        band = np.floor(np.log(n) / np.log(100 / PERCENT + 0.01)).astype(np.int64)  # a little wider, so that rounding parts no two that can link
+        across = tile % 2 == 1  # such a tile holds two parts, and only pairs across them count
+
+        def good(i, j):
+            keep = (band[j] - band[i] <= 1) & (100 * n[i] >= PERCENT * n[j]) & (comp[i] != comp[j]) & ~(across[i] & (part[i] == part[j]))
+            return i[keep], j[keep]
+
+        first = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
+        sizes = np.diff(np.append(first, len(run)))
+        small = np.repeat(sizes <= 32, sizes)
+        for step in range(1, min(32, int(sizes.max()))):
+            i = np.flatnonzero((run[step:] == run[:-step]) & small[:-step])
+            yield good(i, i + step)
+        for at, size in zip(first[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+            last = np.searchsorted(band[at : at + size], band[at : at + size] + 1, side="right")  # rows of a run are sorted by size
+            held, count = [], 0
+            for i in range(size - 1):
+                if last[i] > i + 1:
+                    held.append(good(np.full(last[i] - i - 1, at + i), np.arange(at + i + 1, at + last[i])))
+                    count += len(held[-1][0])
+                if held and (count > 1 << 18 or i == size - 2):
+                    yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                    held, count = [], 0
+
+    def propose(df: pd.DataFrame):
+        n, key, bits = df["n"].to_numpy(), df["key"].to_numpy(), Bitmaps(df["bits"].tolist())
+        found = []
+        for i, j in candidates(df):
+            if len(i):
+                overlap = (n[i] + n[j] - bits.differing(i, j)) // 2
+                union = n[i] + n[j] - overlap
+                keep = 100 * overlap >= PERCENT * union
+                if keep.any():
+                    found.append(np.array([i[keep], j[keep], overlap[keep] * 1_000_000 // union[keep]]))
+        if not found:
+            return None
+        i, j, score = np.concatenate(found, axis=1)
         if not every:
-            i = np.flatnonzero(at >= 0)
-            a_out, b_out = [key[i]], [key[at[i]]]
-        if a_out and len(a := np.concatenate(a_out)):
-            b = np.concatenate(b_out)
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        return None
+            row, partner, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
+            order = np.lexsort((key[partner], -score, row))
+            row, at = np.unique(row[order], return_index=True)
+            i, j = row, partner[order][at]
+        return pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
 
     def runs(batches):
         held = None
         for df in batches:
-            if held is not None:
-                df = pd.concat([held, df], ignore_index=True)
             if not len(df):
                 continue
+            if held is not None:
+                df = pd.concat([held, df], ignore_index=True)
             member, tile = df["member"].to_numpy(), df["tile"].to_numpy()
-            cut = np.flatnonzero((member[1:] != member[:-1]) | (tile[1:] != tile[:-1])) + 1
-            starts, ends = np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(df)])).tolist()
-            held = df.iloc[starts[-1] :]
-            out = [x for a, b in zip(starts[:-1], ends[:-1], strict=True) if b - a > 1 and (x := run(df.iloc[a:b])) is not None]
-            if out:
-                yield pd.concat(out).drop_duplicates()
-        if held is not None and len(held) > 1 and (x := run(held)) is not None:
-            yield x
+            new = (member[1:] != member[:-1]) | (tile[1:] != tile[:-1])
+            df["run"] = np.concatenate(([0], np.cumsum(new)))
+            last = int(df["run"].searchsorted(df["run"].iat[-1]))
+            held = df.iloc[last:].drop(columns="run")
+            if last and (out := propose(df.iloc[:last])) is not None:
+                yield out
+        if held is not None and (out := propose(held.assign(run=0))) is not None:
+            yield out
 
     return runs
 
@@ -246,20 +283,41 @@ def _verified(batches):
         yield df.loc[np.array(links, bool), ["a", "b"]]
 
 
-def _wanted_sets(wanted):
+def _wanted_sets(wanted, ids):
+    """The sets of the classes asked for, from the documents that can hold them."""
+
     def run(batches):
         for df in batches:
-            keys, sets = [], []
-            for members in shingle_sets(utf8(df["text"])):
-                if len(members) and in_filter(wanted.value, np.array([key := digest(members)]))[0]:
-                    keys.append(key)
-                    sets.append(members.view(np.int64))
-            if keys:
-                yield pd.DataFrame({"key": keys, "members": sets})
+            for _, sets in _by_text(df[in_filter(ids.value, _ids(df))]):
+                keys = np.array([digest(m) if len(m) else 0 for m in sets], np.int64)
+                kept = [i for i, hit in enumerate(in_filter(wanted.value, keys)) if hit and len(sets[i])]
+                if kept:
+                    yield pd.DataFrame({"key": keys[kept], "members": [sets[i].view(np.int64) for i in kept]})
 
     return run
 
 
+def _small_tiles(members: DataFrame) -> DataFrame:
+    """Members with at most PART rows: one tile each, of the rows that have a neighbour in size near enough to link with, if the member is in two components."""
+    by = Window.partitionBy("member")
+    order = by.orderBy("n", "key")
+    near = (F.lag("n").over(order) * 100 >= F.col("n") * PERCENT) | (F.col("n") * 100 >= F.lead("n").over(order) * PERCENT)
+    kept = members.withColumns({"near": F.coalesce(near, F.lit(False)), "mixed": F.min("comp").over(by) != F.max("comp").over(by)}).where("near AND mixed")
+    return kept.select("member", F.lit(0).alias("tile"), F.lit(0).alias("part"), "key", "n", "comp")
+
+
+def _large_tiles(members: DataFrame) -> DataFrame:
+    """Members with more rows: those in two components are dealt out as parts, and each two parts, and each part, are a tile.
+
+    Counts and components are combined before the shuffle, so a member that one component holds costs no more than a row for each task.
+    """
+    mixed = members.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    parts = F.ceil(F.col("rows") / PART).cast("int")
+    dealt = members.join(mixed.select("member", parts.alias("parts")), "member").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    one = lambda j: (F.least(F.col("part"), j) * F.col("parts") + F.greatest(F.col("part"), j)) * 2 + (F.col("part") != j).cast("int")
+    return dealt.select("member", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), one)).alias("tile"), "part", "key", "n", "comp")
+
+
 def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     """(doc_id long, text) -> doc_id, n_shingles, component_id, one row for each row.
 
@@ -279,35 +337,41 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     counts = stash(counts.select("member", (F.col("rows") > COMMON).alias("common")), "members")
     many = counts.groupBy("common").count().collect()
     many = {r["common"]: r["count"] for r in many}
-    rows, shared, more = full.select("key", "n", "first"), counts.select("member"), None
+    rows, shared, n_shared = full.select("key", "n", "first"), counts.select("member"), sum(many.values())
+    common = affected = more = None
     if many.get(True):
         common = spark.sparkContext.broadcast(bit_filter(counts.where("common").select("member"), many[True]))
-        hold = stash(full.select("doc_id", "key", "n", "first").mapInPandas(_only(common), "doc_id long, key long, n long, first array<long>").select("doc_id", "key"), "holders")
-        affected = spark.sparkContext.broadcast(bit_filter(hold.select(F.coalesce("doc_id", F.lit(0))), hold.count()))
-        more = stash(docs.mapInPandas(_more_members(common, affected), "n long, key long, first array<long>"), "more-members")
-        more = more.dropDuplicates(["key"])
-        rows = rows.join(hold.select("key").distinct(), "key", "left_anti").union(more.select("key", "n", "first"))
-        shared = shared.union(more.select(F.explode("first")).distinct())
-    field = spark.sparkContext.broadcast(bit_filter(shared, sum(many.values()) + (0 if more is None else shared.count())))
-    rows = rows.mapInPandas(_only(field), "key long, n long, first array<long>")
-    rows = stash(rows.select("key", "n", F.explode("first").alias("member")).distinct(), "tile-rows")
+        hold = full.select("doc_id", "first").mapInPandas(_only(common), "doc_id long, first array<long>").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
+        hold = stash(hold, "holders")
+        affected = spark.sparkContext.broadcast(bit_filter(hold, hold.count()))
+        more = stash(docs.mapInPandas(_more_members(common, affected), "n long, key long, first array<long>, extra array<long>"), "more-members")
+        extra = more.select("key", "n", F.explode("extra").alias("member"))
+        shared = shared.union(extra.select("member"))
+        n_shared += extra.count()
+    field = spark.sparkContext.broadcast(bit_filter(shared, n_shared))
+    kind = "key long, n long, first array<long>"
+    rows = rows.mapInPandas(_only(field, common), kind)
+    if more is not None:
+        rows = rows.union(more.select("key", "n", "first").where(F.size("first") > 0).mapInPandas(_only(field), kind))
+    rows = rows.select("key", "n", F.explode("first").alias("member"))
+    rows = (rows if more is None else rows.union(extra)).distinct()
+    two = rows.groupBy("member").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    rows = stash(rows.join(two.select("member", (F.col("rows") > PART).alias("large")), "member"), "tile-rows")
+    bits = stash(classes.select("key", "bits").join(rows.select("key").distinct(), "key", "left_semi"), "bitmaps")
+    for held in (common, affected, field):
+        if held is not None:
+            held.destroy()  # what was made with them is stored
     discard(counts)
 
     components = spark.createDataFrame([], "node long, component long")
     links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
     tested, sets = None, None
     for every in (False, False, True):
-        members = rows.join(components, F.col("key") == F.col("node"), "left").select("key", "n", "member", F.coalesce("component", "key").alias("comp"))
+        members = rows.join(components, F.col("key") == F.col("node"), "left").select("key", "n", "member", "large", F.coalesce("component", "key").alias("comp"))
         if not every:  # an eighth of the members brings near copies together
             members = members.where(F.pmod(F.xxhash64("member"), F.lit(8)) == 0)
-        mixed = members.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-        parts = F.ceil(F.col("rows") / PART).cast("int")
-        tiled = members.join(mixed.select("member", parts.alias("parts")), "member").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-        tiles = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.least(F.col("part"), j) * F.col("parts") + F.greatest(F.col("part"), j)) * 2 + (F.col("part") != j).cast("int"))
-        )
-        tiled = tiled.select("member", "key", "n", "comp", "part", F.explode(tiles).alias("tile")).join(classes.select("key", "bits"), "key")
-        tiled = tiled.select("member", "tile", "part", "key", "n", "comp", "bits").repartition("member", "tile").sortWithinPartitions("member", "tile")
+        tiled = _small_tiles(members.where("NOT large")).unionByName(_large_tiles(members.where("large")))
+        tiled = tiled.join(bits, "key").repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
         pairs = tiled.mapInPandas(_proposals(every), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -315,13 +379,19 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
         n_pairs = pairs.count()
         if not n_pairs:
             continue
-        if sets is None or every:
-            ends = pairs.select("a").union(pairs.select("b")).distinct()
-            if sets is not None:
-                ends = ends.join(sets.select(F.col("key").alias("a")), "a", "left_anti")
-            wanted = spark.sparkContext.broadcast(bit_filter(ends, 2 * n_pairs))
-            got = stash(docs.mapInPandas(_wanted_sets(wanted), "key long, members array<long>").dropDuplicates(["key"]), "sets")
-            sets = got if sets is None else stash(sets.union(got).dropDuplicates(["key"]), "sets")
+        ends = pairs.select("a").union(pairs.select("b")).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select(F.col("key").alias("a")), "a", "left_anti")
+        ends = stash(ends, "ends")
+        if n_ends := ends.count():
+            wanted = spark.sparkContext.broadcast(bit_filter(ends, n_ends))
+            holders = classes.join(ends.withColumnRenamed("a", "key"), "key", "left_semi").select(F.coalesce("doc", F.lit(0)))
+            of = spark.sparkContext.broadcast(bit_filter(holders, n_ends))
+            got = docs.mapInPandas(_wanted_sets(wanted, of), "key long, members array<long>").join(ends.withColumnRenamed("a", "key"), "key", "left_semi")
+            got = stash(got.dropDuplicates(["key"]), "sets")
+            sets = got if sets is None else sets.unionByName(got)  # of keys that were not there
+            wanted.destroy()
+            of.destroy()
         checked = pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("members").alias("sa")), "a")
         holds = stash(checked.select("a", "b", "sa", "sb").mapInPandas(_verified, "a long, b long"), "links")
         links = links.union(holds)
@@ -337,7 +407,8 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of each component with the smallest doc_id; documents without words, or without a doc_id, stay."""
     found = near_texts(docs)
-    lost = found.where("component_id IS NOT NULL AND doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    # written out, its size is known before the join: few ids are broadcast, and the texts then stay where they are
+    lost = stash(found.where("component_id IS NOT NULL AND doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "lost")
     return docs.select("doc_id", "text", "lang", "source", "n_chars").join(lost, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -352,7 +423,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
   FROM w),
 n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
 x AS (SELECT doc_id, unnest(g) AS g FROM s),
