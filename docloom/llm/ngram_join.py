@@ -35,7 +35,7 @@ from docloom.llm.common import connected_components, discard, mix, stash, table,
 
 WORDS, PERCENT = 5, 80
 #: A first member that more classes hold is common, and goes last in the order.
-COMMON = 16
+COMMON = 8
 #: Classes of one tile that are compared in one task; more are dealt out as pairs of parts.
 PART = 1024
 #: Bits of the filters that are sent to the tasks: 8 for each entry within these bounds, so at most 16 MB whatever the input.
@@ -68,11 +68,11 @@ def first_members(n: int) -> int:
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """Parity bitmap: for each bit whether an odd number of members fall on it; a power of two of bits, two to four for each member.
+    """Parity bitmap: for each bit whether an odd number of members fall on it; a power of two of bits, one to two for each member.
 
     With fewer, bits in which two sets differ cancel out and the bound no longer tells 0.7 from 0.8.
     """
-    bits = min(1 << 16, max(64, 1 << (2 * len(members)).bit_length()))
+    bits = min(1 << 15, max(64, 1 << len(members).bit_length()))
     counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -162,37 +162,38 @@ def _ids(df: pd.DataFrame) -> np.ndarray:
 
 
 def _more_members(common, affected):
-    """First members of the documents that hold common ones, in the order with these last: those that they had before, and further ones."""
+    """The members that documents with common ones have among their first in the order with these last, beyond those that are not common."""
 
     def run(batches):
         for df in batches:
-            rows = []
+            rows, done = [], set()
             for _, sets in _by_text(df[in_filter(affected.value, _ids(df))]):
                 for members in sets:
                     k = first_members(len(members))
-                    if len(members) and (often := in_filter(common.value, members.view(np.int64)))[:k].any():
+                    if len(members) and (key := digest(members)) not in done and (often := in_filter(common.value, members.view(np.int64)))[:k].any():
                         first = np.concatenate([members[~often], members[often]])[:k].view(np.int64)
                         kept = k - int(often[:k].sum())
-                        rows.append((len(members), digest(members), first[:kept].copy(), first[kept:].copy()))
+                        done.add(key)
+                        rows.append((len(members), key, first[kept:].copy()))
             if rows:
-                yield pd.DataFrame(dict(zip(("n", "key", "first", "extra"), zip(*rows, strict=True), strict=True)))
+                yield pd.DataFrame(dict(zip(("n", "key", "extra"), zip(*rows, strict=True), strict=True)))
 
     return run
 
 
 def _only(field, common=None):
-    """Rows with the first members that are in a filter, if any; with `common` without the rows that hold a common one, which have others instead."""
+    """Rows with the first members that are in a filter, if any; with `common` without those that are common."""
 
     def run(batches):
         for df in batches:
+            df = df.drop_duplicates("key") if "key" in df else df  # copies: once a batch
             if not len(df):
                 continue
             sizes = np.concatenate(([0], np.cumsum(df["first"].map(len).to_numpy())))
             flat = np.concatenate(df["first"].tolist())
             hit = in_filter(field.value, flat)
             if common is not None:
-                often = np.diff(np.concatenate(([0], np.cumsum(in_filter(common.value, flat))))[sizes]) > 0
-                hit &= ~np.repeat(often, np.diff(sizes))
+                hit &= ~in_filter(common.value, flat)
             kept = np.diff(np.concatenate(([0], np.cumsum(hit)))[sizes])
             some = kept > 0
             if some.any():
@@ -297,12 +298,18 @@ def _wanted_sets(wanted, ids):
     return run
 
 
+def _near_in_size(members: DataFrame) -> DataFrame:
+    """Of members with at most PART rows those rows that have a neighbour in size near enough to link with; all rows of larger ones, which are not sorted together."""
+    apart = F.when(F.col("large"), F.pmod(F.xxhash64("key"), F.lit(1024))).otherwise(0)
+    order = Window.partitionBy("member", apart).orderBy("n", "key")
+    near = (F.lag("n").over(order) * 100 >= F.col("n") * PERCENT) | (F.col("n") * 100 >= F.lead("n").over(order) * PERCENT)
+    return members.withColumn("near", F.col("large") | F.coalesce(near, F.lit(False))).where("near").drop("near")
+
+
 def _small_tiles(members: DataFrame) -> DataFrame:
-    """Members with at most PART rows: one tile each, of the rows that have a neighbour in size near enough to link with, if the member is in two components."""
+    """Members with at most PART rows: one tile each, if in two components."""
     by = Window.partitionBy("member")
-    order = by.orderBy("n", "key")
-    near = (F.lag("n").over(order) * 100 >= F.col("n") * PERCENT) | (F.col("n") * 100 >= F.lead("n").over(order) * PERCENT)
-    kept = members.withColumns({"near": F.coalesce(near, F.lit(False)), "mixed": F.min("comp").over(by) != F.max("comp").over(by)}).where("near AND mixed")
+    kept = members.withColumn("mixed", F.min("comp").over(by) != F.max("comp").over(by)).where("mixed")
     return kept.select("member", F.lit(0).alias("tile"), F.lit(0).alias("part"), "key", "n", "comp")
 
 
@@ -344,24 +351,24 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
         hold = full.select("doc_id", "first").mapInPandas(_only(common), "doc_id long, first array<long>").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
         hold = stash(hold, "holders")
         affected = spark.sparkContext.broadcast(bit_filter(hold, hold.count()))
-        more = stash(docs.mapInPandas(_more_members(common, affected), "n long, key long, first array<long>, extra array<long>"), "more-members")
+        more = stash(docs.mapInPandas(_more_members(common, affected), "n long, key long, extra array<long>"), "more-members")
         extra = more.select("key", "n", F.explode("extra").alias("member"))
         shared = shared.union(extra.select("member"))
         n_shared += extra.count()
     field = spark.sparkContext.broadcast(bit_filter(shared, n_shared))
     kind = "key long, n long, first array<long>"
-    rows = rows.mapInPandas(_only(field, common), kind)
-    if more is not None:
-        rows = rows.union(more.select("key", "n", "first").where(F.size("first") > 0).mapInPandas(_only(field), kind))
+    rows = rows.mapInPandas(_only(field, common), kind)  # a common member comes back as a further one where it is still among the first
     rows = rows.select("key", "n", F.explode("first").alias("member"))
-    rows = (rows if more is None else rows.union(extra)).distinct()
+    rows = rows if more is None else rows.union(extra)
     two = rows.groupBy("member").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    rows = stash(rows.join(two.select("member", (F.col("rows") > PART).alias("large")), "member"), "tile-rows")
+    rows = rows.join(two.select("member", (F.col("rows") > PART).alias("large")), "member").distinct()
+    rows = stash(_near_in_size(rows), "tile-rows")
     bits = stash(classes.select("key", "bits").join(rows.select("key").distinct(), "key", "left_semi"), "bitmaps")
     for held in (common, affected, field):
         if held is not None:
             held.destroy()  # what was made with them is stored
-    discard(counts)
+    sketch, was = stash(sketch.select("doc_id", "n", "key"), "documents"), sketch
+    discard(counts, was, *([more] if more is not None else []))  # all that comes later is made from stored tables
 
     components = spark.createDataFrame([], "node long, component long")
     links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
