@@ -4,7 +4,7 @@ Normalisation walks the text once: at each place the longest entry of the model'
 map is replaced, or else one character is copied, and every byte of the result records the byte of the
 text that it comes from. Pieces tile the normalised text, so their lengths give places in it, and the
 record projects these to byte spans of the original text. The library segments into pieces; that the
-pieces tile our normalised text is checked for every text.
+pieces' bytes make up our normalised text, and the spans the original one, is checked for every text.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ class Pieces:
         kinds = [p.type for p in proto.pieces]
         self.own = [p.piece.encode() for p in proto.pieces if p.type == 4]  # user-defined: never normalised
         self.plain &= not self.own
-        self.lengths = np.array([1 if k == 6 else len(p.piece.encode()) for p, k in zip(proto.pieces, kinds, strict=True)])
+        self.bytes = [bytes((int(p.piece[1:-1], 16),)) if k == 6 else p.piece.encode() for p, k in zip(proto.pieces, kinds, strict=True)]
+        self.lengths = np.array([len(b) for b in self.bytes])
         self.unknown = proto.trainer_spec.unk_id
         self.names = [str(i) for i in range(len(kinds))]
 
@@ -138,20 +139,22 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
-    def tiles(self, ids: list[int], normal: bytes) -> bool:
-        """Whether the pieces' bytes make up the normalised text."""
-        at = np.array(ids, np.int64)
-        return self.unknown in ids or int(self.lengths[at].sum()) == len(normal)
-
-    def spans(self, text: bytes, ids: list[int]) -> list[tuple[int, int]]:
-        """For each piece the bytes [start, end) of the original text; byte pieces have one byte each. With an unknown piece in it the text has no spans."""
-        normal, origin = self.normalise(text)
-        if not self.tiles(ids, normal) or self.unknown in ids:
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece the bytes [start, end) of the original text; byte pieces have one byte each. An unknown piece spans the run of characters that the library gives it."""
+        raw, at = text.encode(), np.array(ids, np.int64)
+        normal, origin = self.normalise(raw)
+        if self.unknown in ids:  # as strings, unknown pieces are the characters that they stand for
+            parts = [p.encode() if i == self.unknown else self.bytes[i] for i, p in zip(ids, self.library.encode(text, out_type=str), strict=True)]
+            lengths = np.array([len(p) for p in parts])
+        else:
+            parts, lengths = map(self.bytes.__getitem__, ids), self.lengths[at]
+        if b"".join(parts) != normal:
             raise ValueError("the pieces do not tile the normalised text")
-        origin = self.origin(text, normal) if origin is None else origin
-        ends = np.cumsum(self.lengths[np.array(ids, np.int64)])
-        starts = ends - self.lengths[np.array(ids, np.int64)]
-        return list(zip(origin[starts].tolist(), origin[ends].tolist(), strict=True))
+        origin = self.origin(raw, normal) if origin is None else origin
+        places = origin[np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))]
+        if (places[1:] < places[:-1]).any() or not self.strip and (places[0], places[-1]) != (0, len(raw)):
+            raise ValueError("the spans do not tile the text")
+        return places[:-1], places[1:]
 
 
 @lru_cache(2)
@@ -160,8 +163,9 @@ def _pieces(model: bytes) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str, ids: bool = False, spans: bool = False, digests: bool = True) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_tokens, and by choice ids_sha256 and decoded_sha256, ids, and starts and ends (byte spans).
+    """(doc_id, text) -> doc_id, n_tokens, and by choice ids_sha256, decoded_sha256 and spans_sha256, ids, and starts and ends (byte spans).
 
+    spans_sha256 is of all starts, then all ends, as little-endian 64-bit integers. Spans are computed and checked for every text.
     `model` is the path of a SentencePiece model; its bytes are sent to the tasks. Null and empty texts
     have no ids. A null doc_id stays null; extra columns are ignored.
     """
@@ -176,29 +180,27 @@ def encode(docs: DataFrame, model: str, ids: bool = False, spans: bool = False,
                 some = df.iloc[a : a + 256]
                 texts = some["text"].fillna("").tolist()
                 coded = pieces.encode(texts)
-                for t, c in zip(texts, coded, strict=True):
-                    if not pieces.tiles(c, pieces.normalise(t.encode())[0]):
-                        raise ValueError("the pieces do not tile the normalised text")
+                both = [pieces.spans(t, c) for t, c in zip(texts, coded, strict=True)]
                 out = {"doc_id": some["doc_id"], "n_tokens": [len(c) for c in coded]}
                 if digests:
                     out["ids_sha256"] = [hashlib.sha256(",".join([names[i] for i in c]).encode()).hexdigest() for c in coded]
                     out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in pieces.library.decode(coded, num_threads=1)] if coded else []
+                    out["spans_sha256"] = [hashlib.sha256(np.concatenate(x).astype("<i8").tobytes()).hexdigest() for x in both]
                 if ids:
                     out["ids"] = [np.array(c, np.int32) for c in coded]
                 if spans:
-                    both = [pieces.spans(t.encode(), c) for t, c in zip(texts, coded, strict=True)]
-                    out["starts"], out["ends"] = [[s for s, _ in x] for x in both], [[e for _, e in x] for x in both]
+                    out["starts"], out["ends"] = [s for s, _ in both], [e for _, e in both]
                 yield pd.DataFrame(out)
 
-    schema = "doc_id long, n_tokens long" + ", ids_sha256 string, decoded_sha256 string" * digests + ", ids array<int>" * ids + ", starts array<long>, ends array<long>" * spans
+    schema = "doc_id long, n_tokens long" + ", ids_sha256 string, decoded_sha256 string, spans_sha256 string" * digests + ", ids array<int>" * ids + ", starts array<long>, ends array<long>" * spans
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token ids: doc_id, n_tokens, digests and ids of each of its rows."""
+    """The mix as token ids: doc_id, n_tokens, digests, ids and byte spans of each of its rows."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True)
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True, spans=True)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

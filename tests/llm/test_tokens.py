@@ -101,3 +101,35 @@ def test_pieces_documents(spark, sf_dir):
         ids = library.encode(texts[r.doc_id] or "")
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pieces_spans_of_documents(spark, sf_dir):
+    """The registered query and the pipeline's stage carry spans, against the library's own offsets."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    digests = {r.doc_id: r.spans_sha256 for r in pieces.op8_pieces(spark, sf_dir).collect()}
+    for r in pieces.stage(spark, docs, sf_dir).collect():
+        text = texts[r.doc_id]
+        assert digests[r.doc_id] == r.spans_sha256 == hashlib.sha256(b"".join(x.to_bytes(8, "little") for x in [*r.starts, *r.ends])).hexdigest()
+        assert [0, *r.ends] == [*r.starts, len(text.encode())]
+        if len(text) < 2000:
+            theirs = library.encode(text, return_type="proto").pieces
+            for start, end, p in zip(r.starts, r.ends, theirs, strict=True):
+                assert library.is_byte(p.id) or (start, end) == (p.begin, p.end)
+
+
+def test_unknown_pieces():
+    """A model without byte pieces: an unknown piece spans its characters."""
+    import io
+
+    made = io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(["ab ab abc cab bca"] * 50), model_writer=made, vocab_size=12, model_type="bpe", normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2)
+    p = pieces.Pieces(made.getvalue())
+    for text in ("ab 日本 cab", "é", "abé", " 🙂🙂 a é"):
+        ids = p.encode([text])[0]
+        starts, ends = p.spans(text, ids)
+        assert p.unknown in ids and [0, *ends] == [*starts, len(text.encode())]
+        for i, a, b in zip(ids, starts, ends, strict=True):
+            if i == p.unknown:
+                assert not set(text.encode()[a:b].decode()) & set("abc")
