@@ -1,7 +1,7 @@
 """Operator 5: license scans by ordered signature rules.
 
 A rule is a regular expression with a label, a priority and a weight, and is tried only on texts that
-hold its keyword. Detections are taken in the order of their rules' priority; one whose interval lies
+hold its keyword, however its blanks are written. Detections are taken in the order of their rules' priority; one whose interval lies
 within an interval already taken is suppressed (so "GNU Lesser General Public License" is not also the
 GPL, and a license's full text is one detection, not one for each of its sentences). Besides, fixed
 phrases are counted wherever their words stand consecutively; their labels are never suppressed.
@@ -35,7 +35,7 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
-#: label; keyword; names, most special first. Texts are lower-cased; a blank in a pattern is any run of blanks, line ends and quotes.
+#: label; keyword; names, most special first. Texts are lower-cased; a blank in a pattern is any run of blanks, line ends, quotes and comment marks.
 LICENSES = [
     ("agpl-3", "affero", [r"gnu affero general public licen[cs]e,? (?:v(?:ersion)? ?)?3(?:\.0)?", r"gnu affero general public licen[cs]e", r"agpl[ -]?(?:v ?)?3(?:\.0)?"]),
     ("agpl-3", "agpl", [r"agpl[ -]?(?:v ?)?3(?:\.0)?"]),
@@ -82,7 +82,8 @@ LICENSES = [
     ("afl-3", "academic free", [r"academic free licen[cs]e(?:,? (?:v(?:ersion)?\.? ?)?3(?:\.0)?)?"]),
     ("ms-pl", "microsoft", [r"microsoft public licen[cs]e"]),
     ("ms-rl", "microsoft", [r"microsoft reciprocal licen[cs]e"]),
-    ("python-2", "python", [r"python software foundation licen[cs]e(?:,? version 2)?", r"psf"]),
+    ("python-2", "python", [r"python software foundation licen[cs]e(?:,? version 2)?"]),
+    ("python-2", "psf", [r"psf"]),
     ("ruby", "ruby", [r"ruby"]),
     ("php-3", "php", [r"php licen[cs]e,? (?:version )?3(?:\.01?)?", r"php"]),
     ("openssl", "openssl", [r"openssl"]),
@@ -103,7 +104,9 @@ LICENSES = [
     ("cc0", "cc0", [r"cc0(?:[- ]1\.0)?"]),
     ("cc0", "creative commons zero", [r"creative commons zero(?: v?1\.0)?(?: universal)?"]),
     ("cc-by-nc-nd", "nc", [r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|noncommercial|non-commercial)[ -](?:nd|noderiv(?:s|atives)?|no-derivatives)(?: [1-4]\.\d)?"]),
+    ("cc-by-nc-nd", "commercial", [r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:noncommercial|non-commercial)[ -](?:nd|noderiv(?:s|atives)?|no-derivatives)(?: [1-4]\.\d)?"]),
     ("cc-by-nc-sa", "nc", [r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|noncommercial|non-commercial)[ -](?:sa|sharealike|share-alike)(?: [1-4]\.\d)?"]),
+    ("cc-by-nc-sa", "commercial", [r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:noncommercial|non-commercial)[ -](?:sa|sharealike|share-alike)(?: [1-4]\.\d)?"]),
     ("cc-by-nc", "nc", [r"cc[ -]by[ -]nc(?: [1-4]\.\d)?"]),
     ("cc-by-nc", "commercial", [r"creative commons attribution[ -](?:noncommercial|non-commercial)(?: [1-4]\.\d)?"]),
     ("cc-by-nd", "nd", [r"cc[ -]by[ -]nd(?: [1-4]\.\d)?"]),
@@ -123,7 +126,7 @@ FORMS = [
 #: Names that say enough by themselves.
 PLAIN = (60, 0.6)
 #: Keywords of names that are common words or names of other things: these need the word license after them.
-COMMON_NAMES = {"mit", "bsd", "x11", "expat", "isc", "zlib", "libpng", "boost", "ruby", "php", "openssl", "postgresql", "python", "ncsa", "w3c", "rail"}
+COMMON_NAMES = {"mit", "bsd", "x11", "expat", "isc", "zlib", "libpng", "boost", "ruby", "php", "openssl", "postgresql", "python", "psf", "ncsa", "w3c", "rail"}
 #: Sentences and lines by which a license's own text or a notice is known.
 TEXTS = [
     ("mit", "free of charge, to any person", 1.0, r"permission is hereby granted, free of charge, to any person obtaining a copy.{0,400}?without restriction"),
@@ -151,9 +154,12 @@ TEXTS = [
 ]
 
 
+_BLANK = r"[\s\"'*#/]+"
+
+
 def _pattern(p: str) -> re.Pattern:
-    blank, either = r"[\s\"'*#/]+", r"[\s-]"
-    parts = [x.replace(" ", blank) for x in re.split(r"\[ -\]|\[- \]", p)]
+    either = f"(?:{_BLANK}|-)"
+    parts = [x.replace(" ?", f"(?:{_BLANK})?").replace(" ", _BLANK) for x in re.split(r"\[ -\]|\[- \]", p)]
     return re.compile(r"(?<![a-z0-9])" + either.join(parts) + r"(?![a-z0-9])", re.DOTALL)
 
 
@@ -181,17 +187,28 @@ def _by_keyword() -> dict[str, list[tuple[int, Rule]]]:
     return out
 
 
+@lru_cache(1)
+def _squeezed() -> list[tuple[str, list[tuple[int, Rule]]]]:
+    """The rules by keyword, each run of what a blank stands for written as one blank."""
+    return [(re.sub(_BLANK, " ", keyword), some) for keyword, some in _by_keyword().items()]
+
+
 #: A text without any of these holds nothing that a rule matches: every rule's match has one.
-_GATE = re.compile(r"licen[cs]|under|spdx|rights reserved|permission|redistribut|creativecommons|creative commons|apache|mozilla|gnu|gpl|public domain|confidential|unauthori|train|as-is|bsd|cc[ -]|cc0|mit-0|openrail|(?:cc|x11|boost)\W")
+_GATE = re.compile(r"licen[cs]|under|spdx|reserved|permission|redistribut|commons|apache|mozilla|gnu|gpl|domain|confidential|unauthori|train|as-is|bsd|cc0|mit-0|openrail|(?:cc|x11|boost)\W")
 
 
-def detect(low: str) -> list[tuple[int, int, Rule]]:
-    """The detections in a lower-cased text that are left after suppression: (start, end, rule), by start."""
+def _due(low: str) -> list[tuple[int, Rule]]:
+    """The rules that a lower-cased text is tried for, with their places in the order."""
     if not _GATE.search(low):
         return []
-    due = sorted((i, r) for keyword, some in _by_keyword().items() if keyword in low for i, r in some)
+    plain = re.sub(_BLANK, " ", low)
+    return sorted((i, r) for keyword, some in _squeezed() if keyword in plain for i, r in some)
+
+
+def detect(low: str) -> list[tuple[int, int, Rule]]:
+    """The detections in a lower-cased text that are left after suppression: (start, end, rule), by start."""
     taken: list[tuple[int, int, Rule]] = []
-    for _, rule in due:
+    for _, rule in _due(low):
         for m in rule.pattern.finditer(low):
             if not any(s <= m.start() and m.end() <= e for s, e, _ in taken):
                 taken.append((m.start(), m.end(), rule))

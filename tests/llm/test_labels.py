@@ -58,6 +58,50 @@ def test_gate_and_keywords_lose_nothing():
         assert bool(plain) == bool(licenses.detect(low))
 
 
+def _spellings(pattern, blank, rng):
+    """A text that the pattern matches: blanks as given, optional parts and alternatives by chance."""
+    from re import _constants as C
+    from re import _parser
+
+    def one(nodes):
+        out = ""
+        for op, arg in nodes:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.ANY:
+                out += "x"
+            elif op is C.IN:
+                kind, value = arg[0]
+                out += {C.LITERAL: lambda v: chr(v), C.RANGE: lambda v: chr(v[0]), C.CATEGORY: lambda v: "1"}[kind](value)
+            elif op is C.BRANCH:
+                out += one(arg[1][rng.integers(len(arg[1]))])
+            elif op is C.SUBPATTERN:
+                out += one(arg[3])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                least, most, inner = arg
+                if len(inner) == 1 and inner[0][0] is C.IN and (C.CATEGORY, C.CATEGORY_SPACE) in inner[0][1]:
+                    out += blank
+                else:
+                    out += "".join(one(inner) for _ in range(rng.integers(least, min(most, least + 1) + 1)))
+        return out
+
+    return one(_parser.parse(pattern.pattern, pattern.flags & ~re.UNICODE))
+
+
+def test_no_spelling_is_lost():
+    """Wrapped, commented and compact spellings of every rule reach it through gate and keyword."""
+    rng = np.random.default_rng(0)
+    for blank in (" ", "\n", "\n# ", "\n * ", "  ", '" '):
+        for rule in licenses.rules():
+            for _ in range(3):
+                low = _spellings(rule.pattern, blank, rng)
+                assert rule.pattern.search(low), (rule, low)
+                assert any((r.label, r.priority) == (rule.label, rule.priority) and r.pattern.search(low) for _, r in licenses._due(low)), (rule, low)
+    cases = [("released under the GNU General\n# Public License version 3", "gpl-3"), ("Copyright X. All rights\n * reserved.", "all-rights-reserved"), ("is in the public\n# domain", "public-domain"), ("License:MIT", "mit"), ("released under GPLv3", "gpl-3"), ("SPDX-License-Identifier:ISC", "isc"), ("Mozilla Public License, v2.0", "mpl-2"), ("Apache License, Version2.0", "apache-2"), ("the PSF license", "python-2"), ("under Creative Commons\n// Attribution-Non-Commercial-ShareAlike 4.0", "cc-by-nc-sa")]
+    for text, label in cases:
+        assert {r.label for _, _, r in licenses.detect(text.lower())} == {label}, text
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     known = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
