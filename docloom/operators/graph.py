@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ENTITY = r"\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}{3,})*"
 #: Entity kinds by the order in which questions prefer them.
 PRIORITY = {"PERSON": 0, "ORG": 1, "PRODUCT": 2, "LAW": 3, "FAC": 4}
+#: Entities of a document that the registered queries and their SQL pair.
+MOST = 30
 LEGAL = r"(?i)(^| )(act|law|regulation|directive|code)$"
 
 
@@ -47,14 +49,16 @@ def chunk_edges(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.groupBy(key, "entity").agg(F.count("*").alias("weight")).select(F.concat(F.lit("Chunk:"), F.col(key).cast("string")).alias("src"), F.col("entity").alias("dst"), F.lit("mentions").alias("rel"), "weight")
 
 
-def cooccurrence(found: DataFrame, key: str = "doc_id", most: int = 30) -> DataFrame:
+def cooccurrence(found: DataFrame, key: str = "doc_id", most: int | None = None) -> DataFrame:
     """(src, dst, weight): pairs of entities by the chunks that hold both, src before dst.
 
-    A chunk pairs its first `most` entities, which bounds its pairs by most * (most - 1) / 2; that is the
-    extractor's own limit of entities for a text, not a cut of the result.
+    All entities of a chunk are paired; the size of a chunk bounds its pairs. With `most`, only the first
+    `most` entities of a chunk are, which loses pairs: the registered queries take whole documents as
+    chunks, and their SQL pairs 30.
     """
     first = found.groupBy(key, "entity").agg(F.min("pos").alias("pos"))
-    first = first.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("n") <= most)
+    if most is not None:
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("n") <= most)
     held = first.groupBy(key).agg(F.sort_array(F.collect_list("entity")).alias("e"))
     pairs = held.select(F.posexplode("e").alias("i", "src"), "e").select("src", F.explode(F.expr("slice(e, i + 2, size(e))")).alias("dst"))
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
@@ -69,13 +73,13 @@ def nodes(docs: DataFrame, found: DataFrame, tables: DataFrame | None = None) ->
     return out.union(found.select("entity", F.lit("entity"))).distinct()
 
 
-def edges(docs: DataFrame, found: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+def edges(docs: DataFrame, found: DataFrame, tables: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(src, dst, rel, weight) of all relations; undirected, each once."""
     ids = F.col("doc_id").cast("string")
     out = docs.select(F.concat(F.lit("Document:"), ids).alias("src"), F.concat(F.lit("Chunk:"), ids).alias("dst"), F.lit("contains").alias("rel"), F.lit(1).cast("long").alias("weight"))
     if tables is not None:
         out = out.union(tables.select(F.concat(F.lit("Document:"), ids), F.concat(F.lit("Table:"), "table_name"), F.lit("contains"), F.lit(1).cast("long")))
-    return out.union(chunk_edges(found)).union(cooccurrence(found).select("src", "dst", F.lit("co_occurs"), "weight"))
+    return out.union(chunk_edges(found)).union(cooccurrence(found, most=most).select("src", "dst", F.lit("co_occurs"), "weight"))
 
 
 def degrees(all_edges: DataFrame) -> DataFrame:
@@ -137,13 +141,13 @@ co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM l a JOIN
 QUERIES = {
     "entity_mentions": (lambda s, d: mention_counts(mentions(_docs(s, d))), f"SELECT entity, label, count(*) AS mentions, count(DISTINCT doc_id) AS chunks FROM ({MENTION_SQL}) GROUP BY ALL"),
     "top_entities": (lambda s, d: top_entities(mentions(_docs(s, d))), f"SELECT entity, count(*) AS mentions FROM ({MENTION_SQL}) GROUP BY entity ORDER BY mentions DESC, min((doc_id, pos)), entity LIMIT 10"),
-    "cooccurrence": (lambda s, d: cooccurrence(mentions(_docs(s, d))), _PAIRS_SQL + "SELECT * FROM co"),
+    "cooccurrence": (lambda s, d: cooccurrence(mentions(_docs(s, d)), most=MOST), _PAIRS_SQL + "SELECT * FROM co"),
     "graph_counts": (
         lambda s, d: nodes(_docs(s, d), mentions(_docs(s, d))).groupBy("type").agg(F.count("*").alias("nodes")),
         f"WITH me AS ({MENTION_SQL}) SELECT 'document' AS type, count(DISTINCT doc_id) AS nodes FROM documents UNION ALL SELECT 'chunk', count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'entity', count(DISTINCT entity) FROM me",
     ),
     "node_degree": (
-        lambda s, d: degrees(edges(_docs(s, d), mentions(_docs(s, d)))),
+        lambda s, d: degrees(edges(_docs(s, d), mentions(_docs(s, d)), most=MOST)),
         _PAIRS_SQL
         + """, e AS (SELECT 'Document:' || doc_id AS src, 'Chunk:' || doc_id AS dst FROM documents UNION ALL SELECT DISTINCT 'Chunk:' || doc_id, entity FROM me UNION ALL SELECT src, dst FROM co)
 SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node""",

@@ -298,6 +298,15 @@ def test_retry():
         assert len(calls) == tries
 
 
+def test_all_entities_of_a_chunk_are_paired(spark, tmp_path):
+    found = spark.createDataFrame([("c1", i, f"ORG:e{i:02d}") for i in range(40)], "chunk_id string, pos long, entity string")
+    engine = Engine(spark, f"file://{tmp_path}/stores")
+    held = {"chunks": spark.createDataFrame([("c1",)], "chunk_id string"), "entities": found}
+    engine._of = lambda key, job_id: held[key]
+    pairs = engine.graph()["edges"].where("rel = 'co_occurs'").select("src", "dst").collect()
+    assert {tuple(p) for p in pairs} == {(f"ORG:e{i:02d}", f"ORG:e{j:02d}") for j in range(40) for i in range(j)}
+
+
 def _office(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
