@@ -36,11 +36,12 @@ def scores(made: dict[str, DataFrame], queries: DataFrame, query: str = "item_id
     return hits.groupBy(query, key).agg(F.sum(F.col("times") * weight).alias("score"))
 
 
-def top(scored: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", digits: int = 6) -> DataFrame:
-    """The k best of each query, ranks by position: score, then key."""
+def top(scored: DataFrame, k: int | None, query: str = "item_id", key: str = "doc_id", digits: int = 6) -> DataFrame:
+    """The k best of each query (None: all), ranks by position: score, then key."""
     rounded = scored.withColumn("score", F.round("score", digits))
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))
-    return rounded.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+    ranked = rounded.withColumn("rank", place.cast("long"))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def rare_terms(chunks: DataFrame, made: dict[str, DataFrame], stopwords: list[str], k: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:

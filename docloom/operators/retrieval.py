@@ -47,22 +47,38 @@ def dense_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query
     return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, candidates: int, query: str = "item_id", key: str = "doc_id") -> DataFrame:
-    """Reciprocal rank fusion of two candidate lists (query, key, score, rank); one that misses a chunk ranks it behind its last place with score 0."""
+def absent_ranks(queries: DataFrame, sparse: DataFrame, candidates: int, query: str = "item_id") -> DataFrame:
+    """(query, absent_dense, absent_sparse): the ranks of a chunk that the dense candidates miss, and of one that shares no term, behind all that do; `sparse` has every pair that shares a term."""
+    counts = sparse.groupBy(query).agg(F.count("*").alias("n"))
+    return queries.select(query).distinct().join(counts, query, "left").select(query, F.lit(candidates + 1).cast("long").alias("absent_dense"), (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("absent_sparse"))
+
+
+def _rrf_score() -> Column:
+    c = DEFAULT.rrf_k
+    return F.round(1.0 / (c + F.col("dense_rank")) + 1.0 / (c + F.col("sparse_rank")), 9)
+
+
+def fuse(dense: DataFrame, sparse: DataFrame, candidates: int, query: str = "item_id", key: str = "doc_id", absent: DataFrame | None = None) -> DataFrame:
+    """Reciprocal rank fusion of two candidate lists (query, key, score, rank); one that misses a chunk ranks it behind its last place (or as `absent_ranks` says) with score 0."""
     d = dense.select(query, key, F.col("score").alias("dense"), F.col("rank").alias("dense_rank"))
     s = sparse.select(query, key, F.col("score").alias("sparse"), F.col("rank").alias("sparse_rank"))
     both = d.join(s, [query, key], "full_outer")
+    both = both if absent is None else both.join(absent, query)
     for name in ("dense", "sparse"):
-        both = both.withColumn(name, F.coalesce(name, F.lit(0.0))).withColumn(f"{name}_rank", F.coalesce(f"{name}_rank", F.lit(candidates + 1).cast("long")))
-    c = DEFAULT.rrf_k
-    both = both.withColumn("rrf", F.round(1.0 / (c + F.col("dense_rank")) + 1.0 / (c + F.col("sparse_rank")), 9))
+        last = F.lit(candidates + 1).cast("long") if absent is None else F.col(f"absent_{name}")
+        both = both.withColumn(name, F.coalesce(name, F.lit(0.0))).withColumn(f"{name}_rank", F.coalesce(f"{name}_rank", last))
+    both = both.drop("absent_dense", "absent_sparse").withColumn("rrf", _rrf_score())
     return both.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("rrf"), F.asc(key))).cast("long"))
 
 
-def graph_bonus(fused: DataFrame, chunk_entities: DataFrame, query: str = "item_id", key: str = "doc_id") -> DataFrame:
-    """Fused candidates with the entity bonus: the share of the top three chunks' entities that a chunk holds, times the weight, and the rank by the sum."""
+def graph_bonus(fused: DataFrame, chunk_entities: DataFrame, query: str = "item_id", key: str = "doc_id", absent: DataFrame | None = None) -> DataFrame:
+    """Fused candidates with the entity bonus: the share of the top three chunks' entities that a chunk holds, times the weight, and the rank by the sum. With `absent` (see `absent_ranks`) every chunk that holds such an entity becomes a candidate."""
     anchors = fused.where(F.col("rank") <= DEFAULT.graph_anchors).join(chunk_entities, key).select(query, "entity").distinct()
     sizes = anchors.groupBy(query).agg(F.count("*").alias("anchors"))
+    if absent is not None:
+        more = chunk_entities.join(anchors, "entity").select(query, key).distinct().join(fused.select(query, key), [query, key], "left_anti").join(absent, query)
+        more = more.select(query, key, F.lit(0.0).alias("dense"), F.col("absent_dense").alias("dense_rank"), F.lit(0.0).alias("sparse"), F.col("absent_sparse").alias("sparse_rank")).withColumn("rrf", _rrf_score())
+        fused = fused.unionByName(more.withColumn("rank", F.lit(None).cast("long")))
     shared = fused.select(query, key).join(chunk_entities, key).join(anchors, [query, "entity"]).groupBy(query, key).agg(F.countDistinct("entity").alias("shared"))
     out = fused.join(sizes, query, "left").join(shared, [query, key], "left")
     bonus = F.when(F.col("anchors") > 0, DEFAULT.graph_weight * F.least(F.lit(1.0), F.coalesce("shared", F.lit(0)) / F.col("anchors"))).otherwise(0.0)

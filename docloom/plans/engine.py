@@ -118,14 +118,15 @@ class Engine:
 
     # Questions
     def ask(self, questions: DataFrame, job_id: str | None = None, k: int = DEFAULT.top_k, candidates: int = 50) -> DataFrame:
-        """(question_id long, q) -> answers: chunks by fused lexical, dense and graph ranks, reranked; the answer, and its confidence."""
+        """(question_id long, q) -> answers: chunks by fused lexical, dense and graph ranks, reranked; only the dense list is cut (to `candidates`); the answer, and its confidence."""
         chunks = self._of("chunks", job_id).select(F.xxhash64("chunk_id").alias("key"), "chunk_id", "text", "embedding")
         asked = questions.select("question_id", F.col("q").alias("text"), self.provider.embed(F.col("q")).alias("embedding"))
         dense = retrieval.dense_top(chunks, asked, candidates, "question_id", "key")
-        sparse = bm25.top(bm25.scores(bm25.index(chunks, "key"), asked, "question_id", "key"), candidates, "question_id", "key")
-        fused = retrieval.fuse(dense, sparse, candidates, "question_id", "key")
+        sparse = bm25.top(bm25.scores(bm25.index(chunks, "key"), asked, "question_id", "key"), None, "question_id", "key")
+        absent = retrieval.absent_ranks(asked, sparse, candidates, "question_id")
+        fused = retrieval.fuse(dense, sparse, candidates, "question_id", "key", absent)
         entities = self._of("entities", job_id).select(F.xxhash64("chunk_id").alias("key"), "entity").distinct()
-        ranked = retrieval.graph_bonus(fused, entities, "question_id", "key").where(F.col("rank") <= DEFAULT.retrieve_k)
+        ranked = retrieval.graph_bonus(fused, entities, "question_id", "key", absent).where(F.col("rank") <= DEFAULT.retrieve_k)
         held = ranked.join(chunks.select("key", "chunk_id", "text"), "key").withColumn("has_sql", F.lit(False))
         top = held.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("c"))  # at most retrieve_k chunks
         top = top.join(questions, "question_id").withColumn("order", self.provider.rerank(F.col("q"), F.transform("c", lambda c: c["text"])))

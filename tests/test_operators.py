@@ -109,6 +109,27 @@ def test_dense_and_fusion(spark):
     assert out[0].doc_id == 13 and out[0].graph == 0.25  # the overlap overturns the fused order
 
 
+def test_fusion_of_all_lexical_and_graph_candidates(spark):
+    """Found by dense search only, a chunk keeps its true lexical rank; one that only shares an entity is a candidate."""
+    dense = spark.createDataFrame([(1, 12, 0.9, 1)], "item_id long, doc_id long, score double, rank long")
+    sparse = bm25.top(spark.createDataFrame([(1, 10, 3.0), (1, 11, 2.0), (1, 12, 1.0)], "item_id long, doc_id long, score double"), None)
+    absent = retrieval.absent_ranks(spark.createDataFrame([(1,), (2,)], "item_id long"), sparse, 1)
+    fused = retrieval.fuse(dense, sparse, 1, absent=absent)
+    assert {r.doc_id: (r.sparse, r.sparse_rank, r.dense_rank) for r in fused.collect()} == {10: (3.0, 1, 2), 11: (2.0, 2, 2), 12: (1.0, 3, 1)}
+    held = spark.createDataFrame([(12, "E1"), (20, "E1"), (21, "E9")], "doc_id long, entity string")
+    got = {r.doc_id: r for r in retrieval.graph_bonus(fused, held, absent=absent).collect()}
+    assert set(got) == {10, 11, 12, 20} and (got[20].sparse_rank, got[20].dense_rank, got[20].graph, got[20].rank) == (4, 2, 0.25, 2)
+
+
+def test_ask_reaches_chunks_outside_the_lists(spark, tmp_path):
+    made = spark.createDataFrame([("c1", "alpha beta"), ("c2", "alpha gamma"), ("c3", "alpha delta"), ("c4", "omega")], "chunk_id string, text string")
+    engine = Engine(spark, f"file://{tmp_path}/stores")
+    held = {"chunks": made.withColumn("embedding", engine.provider.embed(F.col("text"))), "entities": spark.createDataFrame([(c, "ORG:acme") for c in ("c1", "c4")], "chunk_id string, entity string")}
+    engine._of = lambda key, job_id: held[key]
+    answer = engine.ask(spark.createDataFrame([(1, "alpha beta")], "question_id long, q string"), candidates=1).first()
+    assert set(answer.chunk_ids) == {"c1", "c2", "c3", "c4"}
+
+
 def test_confidence(spark):
     rows = [(1, 0.8, 0.1, 0.0, True), (1, 0.6, 0.0, 0.1, True), (2, None, None, None, True), (3, None, None, None, False)]
     got = {r.item_id: (r.confidence, r.tier) for r in retrieval.confidence(spark.createDataFrame(rows, "item_id long, dense double, sparse double, graph double, has_sql boolean")).collect()}
