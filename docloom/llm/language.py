@@ -1,13 +1,14 @@
 """Operator 4: language identification by language-bitmask n-gram filters.
 
 Each language has a Bloom filter of the character n-grams that it contains. The filters are bit-sliced:
-they share one table of slots, and a slot's bitmask has a bit for each language whose filter sets it. So
+they share one table of slots, and a slot's bitmask has a bit for each language whose filter sets it, in
+as many 64-bit words as the languages need. So
 the AND of an n-gram's slots gives all languages that contain it at once. A text's language is the one
 with the highest count of its n-grams, each language's count corrected for the false positives that its
 filter's fill leads to.
 
 The filters are fitted on at most SAMPLE documents of each language, chosen by the hash of their ids;
-their n-grams are counted in Spark. The table has a fixed size.
+their n-grams are counted in Spark. The table has SLOTS slots, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from docloom.llm.common import mix, stash, table
 GRAM, SAMPLE, SLOTS, HASHES = 4, 3000, 1 << 20, 3
 #: A language contains an n-gram that this share of its documents have, if no other has it this many times as often.
 LEAST_SHARE, MOST_TIMES = 0.005, 8.0
-LANGUAGES = 64
+#: Bits of a word of a mask.
+BITS = 64
 FOLDS, HELD_OUT = 4, 2
 #: Documents of the pipeline below this score have no language.
 REJECT = 0.1
@@ -67,6 +69,11 @@ def _places(h: np.ndarray) -> list[np.ndarray]:
     return [((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
 
 
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    """Language i's bit of each mask."""
+    return (masks[:, i // BITS] >> np.uint64(i % BITS)) & np.uint64(1)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether the row is in the fold that nothing is learned from; a null id is."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(True))
@@ -87,34 +94,36 @@ def _sample_grams(batches):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Filters from documents (doc_id, text, lang). Null languages, null texts and the held-out fold are not learned from; of more than 64 languages those with most documents are."""
+    """Filters from documents (doc_id, text, lang). Null languages, null texts and the held-out fold are not learned from."""
     spark = docs.sparkSession
     usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in counts)
+    langs = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
+    words = -(-len(langs) // BITS) or 1
     # ids only are ranked; the partial limit keeps a hot language's rows off the exchange
-    ranked = usable.select("doc_id", "lang").where(F.col("lang").isin(langs)).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("place") <= sample).select("doc_id", "lang").distinct()  # at most 64 * sample ids
-    rows = stash(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]), "language-sample")
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    shares = F.col("count") / F.element_at(F.create_map(*[F.lit(x) for p in (n or {"": 1}).items() for x in p]), F.col("lang"))
-    found = rows.select("lang", "text").mapInPandas(_sample_grams, "lang string, gram long").groupBy("gram", "lang").count().withColumn("share", shares)
+    ranked = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    chosen = ranked.where(F.col("place") <= sample).select("doc_id", "lang").distinct()
+    chosen = F.broadcast(chosen) if words == 1 else chosen  # sample ids for each language: with many, Spark decides
+    rows = stash(docs.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]), "language-sample")
+    n = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    found = rows.select("lang", "text").mapInPandas(_sample_grams, "lang string, gram long").groupBy("gram", "lang").count().join(F.broadcast(n), "lang").withColumn("share", F.col("count") / F.col("n"))
     most = found.groupBy("gram").agg(F.max("share").alias("most")).where(F.col("most") >= LEAST_SHARE)
     contained = found.join(most, "gram").where((F.col("share") >= LEAST_SHARE) & (F.col("share") * MOST_TIMES >= F.col("most"))).select("lang", "gram")
 
     def slots(batches):
-        bit = {lang: np.uint64(1) << np.uint64(i) for i, lang in enumerate(langs)}
+        at = {lang: i for i, lang in enumerate(langs)}
         for df in batches:
             h = df["gram"].to_numpy(np.int64).view(np.uint64)
-            mask = np.array([bit[x] for x in df["lang"]], np.uint64)
+            i = np.array([at[x] for x in df["lang"]], np.int64)
+            mask = np.uint64(1) << (i % BITS).astype(np.uint64)
             for place in _places(h):
-                yield pd.DataFrame({"slot": place, "mask": mask.view(np.int64)})
+                yield pd.DataFrame({"slot": place * words + i // BITS, "mask": mask.view(np.int64)})
 
-    got = contained.mapInPandas(slots, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()  # SLOTS rows at most
-    masks = np.zeros(SLOTS, np.uint64)
+    got = contained.mapInPandas(slots, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()  # SLOTS rows at most for each word
+    masks = np.zeros(SLOTS * words, np.uint64)
     masks[got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
-    fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))])
-    narrow = masks.astype(np.uint8) if len(langs) <= 8 else masks
+    masks = masks.reshape(SLOTS, words)
+    fill = np.array([_bit(masks, i).mean() for i in range(len(langs))])
+    narrow = masks[:, 0].astype(np.uint8) if len(langs) <= 8 else masks
     return {"langs": langs, "masks": narrow, "false": fill**HASHES}
 
 
@@ -135,7 +144,7 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
         if bits is not None:
             counts = np.bincount(mask, minlength=256) @ bits
         else:
-            counts = np.array([int(((mask >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(len(langs))])
+            counts = np.array([int(_bit(mask, i).sum()) for i in range(len(langs))])
         shares = np.clip((counts / len(h) - false) / np.maximum(1e-9, 1 - false), 0, 1)
         best = int(shares.argmax())
         names.append(langs[best])

@@ -130,6 +130,18 @@ def test_many_languages(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
 
 
+def test_more_languages_than_bits(spark):
+    """Over 64 languages need several words; the ones with fewest documents are learned as well."""
+    n = 140
+    rows = [(100 * k + i, " ".join(chr(0x4E00 + 100 * k + (i * 7 + j) % 40) * 3 for j in range(30)), f"l{k:03d}") for k in range(n) for i in range(8 + (k < 64))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model["langs"]) == n
+    got = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    right = [r for r in got if r.lang == r.lang_pred and r.score > language.REJECT]
+    assert len(right) > 0.9 * len(rows) and len({r.lang for r in right}) > 0.95 * n
+
+
 def test_quality(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = quality.op10_quality(spark, sf_dir).collect()
