@@ -23,12 +23,17 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (local runs, tests) is one made."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set by setCheckpointDir.
+
+    Only a local master, where all tasks run in one process, gets one of its own if none is named.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-docloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-docloom-"))
+        base = sc.getCheckpointDir()
     return base
 
 

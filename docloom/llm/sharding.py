@@ -1,22 +1,30 @@
 """Operator 6: size-tiered compaction of small immutable shards under a versioned manifest.
 
-Arrivals are appended as small Parquet shards. Shards of one size tier (a power of four of bytes) are
-merged in order of arrival into files near a target size; a shard beyond the target is split. A version
-becomes visible by one rename of its finished manifest, so a reader sees the old files or the new ones.
-Only DataFrame operations; the driver holds names, not rows.
+Under a root folder, data/set=<name>/part=<n> are immutable units of rows: an append adds a set with a
+part for each arrival, a compaction one with a part for each file that it makes. A version's manifest
+lists the live units. A compaction reads the latest manifest and the sets that came since, and rewrites
+only what is due: in a size tier (a power of four of bytes) with FAN small units or more, these are
+merged in order of arrival into files near the target; a unit far beyond the target is split. All
+other units are carried over by name. The manifest is published by creating one file exclusively: a
+reader sees the old units or the new ones, and of two writers with one base the second starts again.
+Only DataFrame operations; the driver holds names of sets, not rows.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from docloom.llm.common import shared_dir, stash, table
+from docloom.llm.common import discard, shared_dir, stash, table
 
-#: Ids per arriving batch, and bytes of text of a finished file.
-ARRIVAL_IDS, TARGET_BYTES = 2000, 64 << 20
+#: Ids per arriving batch; bytes of text of a finished file; small units of a tier that make it due.
+ARRIVAL_IDS, TARGET_BYTES, FAN = 2000, 64 << 20, 4
+UNITS = "set string, part long, tier long, run long, piece long, unit_rows long, unit_bytes long, first_arrival long, last_arrival long"
 
 
 def _folder(spark: SparkSession, path: str):
@@ -24,110 +32,219 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-#: Columns that shards have of their own.
-OWN = ("arrival", "tier", "run", "piece", "file_rows", "file_bytes", "version")
+def _create(spark: SparkSession, path: str, content: str) -> None:
+    """A new file; FileAlreadyExistsException if it is there."""
+    fs, p = _folder(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(content.encode()))
+    out.close()
 
 
-def append(docs: DataFrame, root: str, arrival: Column) -> None:
-    """Add rows as small shards, one folder for each arrival; files are only ever added.
+def _content(spark: SparkSession, path: str) -> str:
+    fs, p = _folder(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() or s.getLen()] if fs.exists(p) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
 
-    A null arrival is shard -1. All columns are kept; one with a name that shards use themselves
-    becomes doc_<name>.
-    """
-    docs = docs.withColumn("__arrival", arrival)
-    docs = docs.withColumnsRenamed({c: f"doc_{c}" for c in OWN if c in docs.columns})
-    (docs.withColumnRenamed("__arrival", "arrival").withColumn("arrival", F.coalesce(F.col("arrival").cast("long"), F.lit(-1)))
-     .write.mode("append").option("compression", "zstd").partitionBy("arrival").parquet(f"{root}/shards"))
 
+def _add_set(rows: DataFrame, root: str, name: str, n: int | None = None) -> None:
+    """Write rows (with a column part) aside and let the finished set appear by one rename to its new name."""
+    spark, aside = rows.sparkSession, f"{root}/data/_{name}"
+    rows.write.option("compression", "zstd").partitionBy("part").parquet(aside)
+    _create(spark, f"{aside}/_schema", rows.drop("part").schema.json())
+    fs, p = _folder(spark, aside)
+    if not fs.rename(p, _folder(spark, f"{root}/data/set={name}")[1]):
+        raise OSError(f"could not name set {name}")
 
-def plan(shards: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """(arrival, shard_bytes) -> tier, run and pieces: which shards are merged, in how many files a run is cut.
 
-    tier: half the bit length of the shard's bytes. run: shards of a tier, in order of arrival, by the
-    place of their first byte in units of the target. pieces: files a run makes, 1 unless it is larger
-    than one and a half targets. This table has a row for each shard, not for each document.
+def append(docs: DataFrame, root: str, arrival: Column, nbytes: Column, key: Column) -> None:
+    """Add rows as a new set of small shards, one for each arrival (null: -1). Files are only ever added.
+
+    All columns are kept, whatever their names, in one struct. nbytes (null: 0) is the size that tiers
+    and files are measured by; key deals the rows of a shard that is split.
     """
-    order = Window.partitionBy("tier").orderBy("arrival")
-    df = shards.withColumn("tier", F.floor(F.length(F.bin("shard_bytes")) / 2).cast("long"))
-    df = df.withColumn("run", F.floor((F.sum("shard_bytes").over(order) - F.col("shard_bytes")) / target_bytes).cast("long"))
-    run = Window.partitionBy("tier", "run")
-    return df.withColumn("pieces", F.greatest(F.lit(1), F.round(F.sum("shard_bytes").over(run) / target_bytes)).cast("long"))
+    deal = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    own = [F.coalesce(arrival.cast("long"), F.lit(-1)).alias("arrival"), F.coalesce(nbytes.cast("long"), F.lit(0)).alias("bytes"), deal.alias("deal")]
+    _add_set(docs.select(F.struct("*").alias("row"), *own).withColumn("part", F.col("arrival")), root, f"a-{uuid.uuid4().hex}")
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    fs, path = _folder(spark, f"{root}/manifest")
-    return sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")) if fs.exists(path) else []
+def _merged(schemas: list[StructType]) -> StructType:
+    """One schema for sets written at different times: a column that a set lacks is null in its rows."""
+    fields: dict[str, StructField] = {}
+    for f in (f for s in schemas for f in s["row"].dataType):
+        if fields.setdefault(f.name, f).dataType != f.dataType:
+            raise ValueError(f"column {f.name} has two types: {fields[f.name].dataType.simpleString()} and {f.dataType.simpleString()}")
+    own = [StructField(c, LongType()) for c in ("arrival", "bytes", "deal")]
+    return StructType([StructField("row", StructType([StructField(f.name, f.dataType) for f in fields.values()])), *own])
 
 
-def commit(files: DataFrame, root: str) -> int:
-    """Write the manifest aside and publish it by one rename, which fails if another writer took the number: then the next is tried."""
-    spark = files.sparkSession
-    aside = f"{root}/manifest/_{uuid.uuid4().hex}"
-    files.coalesce(1).write.parquet(aside)
-    version = max(versions(spark, root), default=0)
-    while True:
-        version += 1
-        fs, to = _folder(spark, f"{root}/manifest/version={version}")
-        if not fs.exists(to) and fs.rename(_folder(spark, aside)[1], to):
-            return version
+def _rows(spark: SparkSession, root: str, schema: StructType, sets: list[str]) -> DataFrame:
+    full = StructType([*schema.fields, StructField("set", StringType()), StructField("part", LongType())])
+    if not sets:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in full])
+    return spark.read.schema(full).option("basePath", f"{root}/data").parquet(*[f"{root}/data/set={s}" for s in sets])
 
 
-def compact(spark: SparkSession, root: str, nbytes: Column, key: Column, target_bytes: int = TARGET_BYTES) -> int:
-    """Merge all appended shards into target-sized files and commit the version's manifest; returns its number.
+def plan(units: DataFrame, target_bytes: int = TARGET_BYTES, fan: int = FAN) -> DataFrame:
+    """units -> also kind, group, pieces and move; tier for all, run and piece for those without.
 
-    Rows move once, to the file they end in. Files are immutable: each call writes a folder of its own,
-    and one that fails leaves nothing a manifest names.
+    tier: half the bit length of the unit's bytes. kind: 2 for a unit over one and a half targets, 1 for
+    one over half of it, else 0. Where a tier has `fan` units of kind 0 they form groups by the place
+    of their first byte, in order of arrival, in units of the target; any other unit is its own group.
+    A group makes `pieces` files (1, or for a large unit its size in targets); move: whether it is
+    rewritten. A run is named by its group's first arrival. One row for each unit, not for each document.
     """
-    rows = spark.read.parquet(f"{root}/shards").withColumn("__bytes", nbytes.cast("long"))
-    shards = rows.groupBy("arrival").agg(F.sum("__bytes").alias("shard_bytes"))
-    # written out, the plan's size is known before the join: it is broadcast if small, and the texts then move only once
-    planned = stash(plan(shards, target_bytes).select("arrival", "tier", "run", "pieces"), "shard-plan")
-    digest = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    placed = rows.join(planned, "arrival").withColumn("piece", digest % F.col("pieces"))
-    data = f"{root}/files/{uuid.uuid4().hex}"
-    placed.drop("pieces").repartition("tier", "run", "piece").write.option("compression", "zstd").partitionBy("tier", "run", "piece").parquet(data)
-    written = spark.read.parquet(data)
-    files = written.groupBy("tier", "run", "piece").agg(
-        F.count("*").alias("file_rows"), F.sum("__bytes").alias("file_bytes"), F.min("arrival").alias("first_arrival"), F.max("arrival").alias("last_arrival")
-    )
-    return commit(files.withColumn("data", F.lit(data)), root)
+    b = F.col("unit_bytes")
+    kind = F.when(b * 2 > 3 * target_bytes, 2).when(b * 2 >= target_bytes, 1).otherwise(0)
+    df = units.withColumns({"tier": F.floor(F.length(F.bin("unit_bytes")) / 2).cast("long"), "kind": kind})
+    peers = Window.partitionBy("tier", "kind")
+    order = peers.orderBy("first_arrival", "set", "part")
+    due = (F.col("kind") == 0) & (F.count("*").over(peers) >= fan)
+    df = df.withColumn("group", F.when(due, F.floor((F.sum(b).over(order) - b) / target_bytes)).otherwise(-F.row_number().over(order)).cast("long"))
+    group = Window.partitionBy("tier", "kind", "group")
+    df = df.withColumns({
+        "pieces": F.when(F.col("kind") == 1, 1).otherwise(F.greatest(F.lit(1), F.round(F.sum(b).over(group) / target_bytes))).cast("long"),
+        "first": F.min("first_arrival").over(group), "members": F.count("*").over(group),
+    })
+    df = df.withColumn("move", (F.col("members") > 1) | (F.col("pieces") > 1))
+    return df.withColumns({"run": F.when(F.col("move"), F.col("first")).otherwise(F.coalesce("run", "first")), "piece": F.coalesce("piece", F.lit(0).cast("long"))}).drop("first", "members")
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n.rpartition("-")[2]) for n in _names(spark, f"{root}/manifest") if n.startswith("version-"))
+
+
+def _manifest(spark: SparkSession, root: str, version: int) -> tuple[DataFrame, dict]:
+    """The live units of a version, and what else its file names: the sets taken in so far, those without a live unit, and the rows' schema."""
+    info = json.loads(_content(spark, f"{root}/manifest/version-{version}")) if version else {"units": None, "taken": [], "retired": [], "schema": None}
+    held = spark.read.schema(UNITS)
+    if info["units"]:
+        return held.parquet(f"{root}/manifest/{info['units']}"), info
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in UNITS.split(", "))]), info
+
+
+def _compacted(spark: SparkSession, root: str, base: int, target_bytes: int, fan: int) -> tuple[dict, list[str]]:
+    """Rewrite what is due on a base version; what the next version's file says, and the folders to remove if it is not published."""
+    held, info = _manifest(spark, root, base)
+    there = [n.partition("=")[2] for n in _names(spark, f"{root}/data") if n.startswith("set=")]
+    fresh = sorted(s for s in there if s.startswith("a-") and s not in info["taken"])
+    schemas = [StructType.fromJson(json.loads(x)) for x in ([info["schema"]] if info["schema"] else []) + [_content(spark, f"{root}/data/set={s}/_schema") for s in fresh]]
+    schema = _merged(schemas) if schemas else None
+    if fresh:
+        arrived = _rows(spark, root, schema, fresh).groupBy("set", "part").agg(
+            F.count("*").alias("unit_rows"), F.sum("bytes").alias("unit_bytes"), F.min("arrival").alias("first_arrival"), F.max("arrival").alias("last_arrival")
+        )
+        held = held.unionByName(arrived, allowMissingColumns=True)
+    # written out, the plan's size is known before the join: it is broadcast if small, and the rows then move only once
+    planned = stash(plan(held, target_bytes, fan), "shard-plan")
+    groups = planned.where("move").groupBy("tier", "kind", "group").agg(F.max("pieces").alias("pieces"), F.min("run").alias("run"))
+    groups = groups.withColumn("base", F.sum("pieces").over(Window.orderBy("tier", "kind", "group")) - F.col("pieces"))  # a row for each group of files
+    groups = stash(groups, "shard-groups")
+    files = groups.agg(F.sum("pieces")).first()[0] or 0
+    live, made = planned.where("NOT move").select(*held.columns), []
+    if files:
+        name = f"c-{uuid.uuid4().hex}"
+        made.append(f"{root}/data/set={name}")
+        due = planned.where("move").select("set", "part", "tier", "kind", "group").join(groups.select("tier", "kind", "group", "base", "pieces"), ["tier", "kind", "group"])
+        due = stash(due.select("set", "part", "base", "pieces"), "shards-due")
+        sets = [r["set"] for r in due.select("set").distinct().collect()]
+        rows = _rows(spark, root, schema, sets).join(due, ["set", "part"])
+        rows = rows.withColumn("part", F.col("base") + F.col("deal") % F.col("pieces")).select(*schema.fieldNames(), "part")
+        _add_set(rows.repartitionById(files, F.col("part").cast("int")), root, name)
+        new = _rows(spark, root, schema, [name]).groupBy("part").agg(
+            F.count("*").alias("unit_rows"), F.sum("bytes").alias("unit_bytes"), F.min("arrival").alias("first_arrival"), F.max("arrival").alias("last_arrival")
+        )
+        named = groups.select("tier", "run", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+        named = named.select("tier", "run", "piece", (F.col("base") + F.col("piece")).alias("part"))
+        live = live.unionByName(new.join(named, "part").withColumn("set", F.lit(name)).select(*held.columns))
+    units = f"units-{uuid.uuid4().hex}"
+    live.select(*[x.split()[0] for x in UNITS.split(", ")]).coalesce(1).write.parquet(f"{root}/manifest/{units}")
+    made.append(f"{root}/manifest/{units}")
+    kept = {r["set"] for r in spark.read.schema(UNITS).parquet(f"{root}/manifest/{units}").select("set").distinct().collect()}
+    before = {r["set"] for r in planned.select("set").distinct().collect()}
+    retired = sorted((before | {s for s in [*info["retired"], *fresh] if s in there}) - kept)
+    discard(planned, groups)
+    taken = [s for s in [*info["taken"], *fresh] if s in there]
+    return {"units": units, "taken": taken, "retired": retired, "schema": schema.json() if schema else None}, made
+
+
+def compact(spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan: int = FAN, attempts: int = 5) -> int:
+    """Merge what is due of the live units and of the sets appended since, and publish the next version; returns its number.
+
+    Nothing that a manifest names is changed or removed. A compaction that fails, or whose number
+    another writer took meanwhile, leaves nothing that a manifest names; in the latter case it begins again.
+    """
+    for _ in range(attempts):
+        version = max(versions(spark, root), default=0) + 1
+        info, made = _compacted(spark, root, version - 1, target_bytes, fan)
+        try:
+            _create(spark, f"{root}/manifest/version-{version}", json.dumps(info))
+            return version
+        except Py4JJavaError as e:
+            for path in made:
+                _remove(spark, path)
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+    raise RuntimeError(f"other writers published first {attempts} times")
+
+
+def vacuum(spark: SparkSession, root: str) -> None:
+    """Delete the sets of which the latest version names no unit. Older versions can't be read after that."""
+    version = max(versions(spark, root), default=0)
+    for s in _manifest(spark, root, version)[1]["retired"]:
+        _remove(spark, f"{root}/data/set={s}")
 
 
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The rows of a committed version (the latest by default), each with the file it is in."""
+    """The rows of a published version (the latest by default): row (a struct of all their columns), arrival, bytes, and shard (a struct of the unit that holds them)."""
     version = version or max(versions(spark, root))
-    manifest = spark.read.parquet(f"{root}/manifest/version={version}")
-    (data,) = [r.data for r in manifest.select("data").distinct().collect()] or [None]
-    keys = ["tier", "run", "piece"]
-    typed = [F.col(k).cast("long").alias(k) for k in keys]
-    rows = spark.read.parquet(data).withColumns({k: F.col(k).cast("long") for k in keys})
-    return rows.join(manifest.select(*typed, "file_rows", "file_bytes").withColumn("version", F.lit(version)), keys)
+    units, info = _manifest(spark, root, version)
+    if info["schema"] is None:
+        raise ValueError("nothing was ever appended")
+    sets = [r["set"] for r in units.select("set").distinct().collect()]
+    rows = _rows(spark, root, StructType.fromJson(json.loads(info["schema"])), sets).join(units, ["set", "part"])
+    return rows.select("row", "arrival", "bytes", F.struct("set", "part", "tier", "run", "piece", "unit_rows", "unit_bytes", F.lit(version).cast("long").alias("version")).alias("shard"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of documents through append, compact and a read of the committed version. A null text has 0 bytes."""
+    """All of documents through append, compact and a read of the published version. A null text has 0 bytes, an empty table no rows."""
     root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    nbytes = F.coalesce(F.octet_length("text"), F.lit(0))
-    append(table(spark, sf_dir, "documents"), root, F.floor(F.col("doc_id") / ARRIVAL_IDS))
-    version = compact(spark, root, nbytes, F.col("doc_id"))
-    fs, path = _folder(spark, f"{root}/shards")
-    fs.delete(path, True)  # merged and committed: the small shards are done with
-    out = read(spark, root, version)
-    return out.select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("arrival").cast("long"), "tier", "run", "piece", F.col("file_rows").cast("long"), F.col("file_bytes").cast("long"), F.col("version").cast("long"))
-
-
+    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.md5("text"))
+    append(table(spark, sf_dir, "documents"), root, F.floor(F.col("doc_id") / ARRIVAL_IDS), F.octet_length("text"), key)
+    version = compact(spark, root)
+    vacuum(spark, root)
+    own = [F.col(f"shard.{c}") for c in ("tier", "run", "piece")] + [F.col("shard.unit_rows").alias("file_rows"), F.col("shard.unit_bytes").alias("file_bytes"), F.col("shard.version")]
+    return read(spark, root, version).select(F.col("row.doc_id").alias("doc_id"), F.col("bytes").alias("n_bytes"), "arrival", *own)
 
 
 OP6_SQL = f"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST(coalesce(floor(doc_id / {ARRIVAL_IDS}), -1) AS BIGINT) AS arrival,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS digest
+         CAST('0x' || substr(md5(concat_ws('/', CAST(doc_id AS VARCHAR), md5(text))), 1, 8) AS BIGINT) AS deal
   FROM documents),
-s AS (SELECT arrival, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM d GROUP BY arrival),
-t AS (SELECT *, CAST(length(bin(shard_bytes)) // 2 AS BIGINT) AS tier FROM s),
-r AS (SELECT *, CAST((sum(shard_bytes) OVER (PARTITION BY tier ORDER BY arrival) - shard_bytes) // {TARGET_BYTES} AS BIGINT) AS run FROM t),
-p AS (SELECT *, greatest(1, CAST(round(sum(shard_bytes) OVER (PARTITION BY tier, run) / {TARGET_BYTES}.0) AS BIGINT)) AS pieces FROM r),
-f AS (SELECT doc_id, n_bytes, d.arrival, tier, run, digest % pieces AS piece FROM d JOIN p USING (arrival))
+s AS (SELECT arrival, CAST(sum(n_bytes) AS BIGINT) AS b FROM d GROUP BY arrival),
+t AS (SELECT *, CAST(length(bin(b)) // 2 AS BIGINT) AS tier, CASE WHEN b * 2 > 3 * {TARGET_BYTES} THEN 2 WHEN b * 2 >= {TARGET_BYTES} THEN 1 ELSE 0 END AS kind FROM s),
+g AS (
+  SELECT *, CASE WHEN kind = 0 AND count(*) OVER (PARTITION BY tier, kind) >= {FAN}
+                 THEN CAST((sum(b) OVER (PARTITION BY tier, kind ORDER BY arrival) - b) // {TARGET_BYTES} AS BIGINT)
+                 ELSE -row_number() OVER (PARTITION BY tier, kind ORDER BY arrival) END AS grp
+  FROM t),
+p AS (
+  SELECT *, min(arrival) OVER w AS run, CASE WHEN kind = 1 THEN 1 ELSE greatest(1, CAST(round(sum(b) OVER w / {TARGET_BYTES}.0) AS BIGINT)) END AS pieces
+  FROM g WINDOW w AS (PARTITION BY tier, kind, grp)),
+f AS (SELECT doc_id, n_bytes, d.arrival, tier, run, CAST(deal % pieces AS BIGINT) AS piece FROM d JOIN p USING (arrival))
 SELECT *, count(*) OVER w AS file_rows, CAST(sum(n_bytes) OVER w AS BIGINT) AS file_bytes, CAST(1 AS BIGINT) AS version
 FROM f WINDOW w AS (PARTITION BY tier, run, piece)
 """

@@ -78,28 +78,92 @@ def test_mix_stage(spark, sf_dir):
     assert sum(r.text not in texts for r in got) <= 4  # one document is cut for each source
 
 
+def _sharded(docs, root):
+    sharding.append(docs, root, F.floor(F.col("doc_id") / 10), F.octet_length("text"), F.col("doc_id"))
+
+
+def _files(spark, root):
+    """By name of set and part: the rows of each unit of the latest version, and its tier, run and piece."""
+    out = defaultdict(list)
+    for r in sharding.read(spark, root).collect():
+        assert r.bytes == len((r.row.text or "").encode())
+        out[r.shard.set, r.shard.part].append((str(r.row.doc_id), r.row.text))
+    return out
+
+
 def test_sharding(spark, tmp_path):
-    rows = [(i, "x" * (i * 37 % 900), i) for i in range(400)] + [(None, "null id", 1), (401, None, 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, tier int")
+    """Append, compact, remove what is merged, four times: no row is lost, files that are not due keep their names, and none is far from the target."""
+    root, size, target = f"file://{tmp_path}/shards", 0, 20_000
+    rows, before = [], {}
+    for k, n in enumerate((900, 40, 10, 600)):
+        new = [(1000 * k + i, "x" * (i * 37 % 300), i) for i in range(n)] + [(None, f"null id {k}", 1), (7, None, k)]
+        _sharded(spark.createDataFrame(new, "doc_id long, text string, tier int"), root)
+        rows += new
+        assert sharding.compact(spark, root, target, 4) == k + 1
+        sharding.vacuum(spark, root)
+        now = _files(spark, root)
+        assert sorted(map(str, sum(now.values(), []))) == sorted(str((str(i), t)) for i, t, _ in rows)
+        for name, held in before.items():
+            if sum(len(t or "") for _, t in held) * 2 >= target:  # done with, so never moved again
+                assert sorted(map(str, now[name])) == sorted(map(str, held))
+        size = max(sum(len(t or "") for _, t in held) for held in now.values())
+        assert size <= 1.5 * target
+        before = now
+    assert sharding.versions(spark, root) == [1, 2, 3, 4]
+    assert sharding.compact(spark, root, target, 4) == 5 and _files(spark, root).keys() == now.keys()  # nothing new: only what a merge made due could move, and it did not
+
+
+def test_sharding_splits_hot_arrival(spark, tmp_path):
+    """An arrival with nearly all rows, all of them without an id, is dealt out by its texts."""
+    root = f"file://{tmp_path}/shards"
+    docs = spark.createDataFrame([(None, f"text {i}" * 20) for i in range(2000)] + [(1, "x")], "doc_id long, text string")
+    sharding.append(docs, root, F.floor(F.col("doc_id") / 10), F.octet_length("text"), F.concat_ws("/", "doc_id", F.md5("text")))
+    sharding.compact(spark, root, 40_000)
+    sizes = [sum(len(t) for _, t in held) for held in _files(spark, root).values()]
+    assert sum(x > 10_000 for x in sizes) >= 6 and max(sizes) < 60_000
+
+
+def test_sharding_edges(spark, tmp_path):
+    """No rows at all, columns named as shards' own in any case, columns that come later, and a reader of the version before."""
     root = f"file://{tmp_path}/shards"
-    sharding.append(docs.where("doc_id < 200"), root, F.floor(F.col("doc_id") / 10))
-    sharding.append(docs.where("doc_id >= 200 OR doc_id IS NULL"), root, F.floor(F.col("doc_id") / 10))
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    assert sharding.compact(spark, root, size, F.col("doc_id"), 20_000) == 1
-    first = sharding.read(spark, root, 1)
-    held = first.select("doc_id", "__bytes", "file_bytes", "run", "piece", "arrival").collect()
-    assert sorted(str((r.doc_id, r["__bytes"])) for r in held) == sorted(str((i, len(t or ""))) for i, t, _ in rows)
-    assert max(r.file_bytes for r in held) < 60_000
-    sharding.append(docs.limit(3), root, F.lit(99))
-    assert sharding.compact(spark, root, size, F.col("doc_id"), 20_000) == 2
-    assert sharding.versions(spark, root) == [1, 2] and first.count() == len(rows) and sharding.read(spark, root).count() == len(rows) + 3
+    docs = spark.createDataFrame([(1, "a", 5, 6, 7, 8, 9)], "doc_id long, text string, pieces int, Tier int, `set` int, bytes int, part int")
+    _sharded(docs.limit(0), root)
+    assert sharding.compact(spark, root) == 1 and sharding.read(spark, root).count() == 0
+    _sharded(docs, root)
+    assert sharding.compact(spark, root) == 2
+    (r,) = sharding.read(spark, root).select("row.*").collect()
+    assert r.asDict() == docs.first().asDict()
+    _sharded(docs.withColumn("more", F.lit("new")), root)
+    assert sharding.compact(spark, root) == 3 and sharding.read(spark, root, 2).count() == 1
+    assert sorted(str(r.more) for r in sharding.read(spark, root).select("row.more").collect()) == ["None", "new"]
+    with pytest.raises(ValueError):
+        sharding.read(spark, f"file://{tmp_path}/none", 0)
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """The second of two writers with one base begins again on what the first made."""
+    root, made = f"file://{tmp_path}/shards", sharding._compacted
+    docs = spark.createDataFrame([(i, "x" * 50) for i in range(100)], "doc_id long, text string")
+    _sharded(docs, root)
+
+    def late(*a):
+        out = made(*a)
+        monkeypatch.setattr(sharding, "_compacted", made)
+        assert sharding.compact(spark, root, 2000) == 1
+        return out
+
+    monkeypatch.setattr(sharding, "_compacted", late)
+    assert sharding.compact(spark, root, 2000) == 2
+    assert sharding.read(spark, root).count() == 100
 
 
 def test_shard_plan(spark):
-    shards = spark.createDataFrame([(0, 100), (1, 120), (2, 5000), (3, 90), (4, 0), (5, 1_000_000)], "arrival long, shard_bytes long")
-    got = {r.arrival: r for r in sharding.plan(shards, 200).collect()}
-    assert got[0].tier == got[1].tier == got[3].tier and (got[0].run, got[1].run, got[3].run) == (0, 0, 1)
-    assert got[5].pieces == 5000 and got[0].pieces == 1
+    units = [("a", i, b, i) for i, b in enumerate((100, 120, 5000, 90, 0, 101, 150, 1_000_000))]
+    units = spark.createDataFrame(units, "set string, part long, unit_bytes long, first_arrival long").selectExpr("*", "CAST(null AS long) AS run", "CAST(null AS long) AS piece")
+    got = {r.part: r for r in sharding.plan(units, 400, 4).collect()}
+    assert [got[i].kind for i in range(8)] == [0, 0, 2, 0, 0, 0, 0, 2] and [got[i].tier for i in (0, 1, 3, 5, 6)] == [3, 3, 3, 3, 4]
+    assert [got[i].move for i in range(8)] == [True, True, True, True, False, True, False, True]
+    assert got[0].run == got[1].run == got[3].run == got[5].run == 0 and got[0].pieces == 1 and got[7].pieces == 2500
 
 
 def test_pipeline(spark, sf_dir):
