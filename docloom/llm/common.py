@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Everything but the ASCII space and \t \n \v \f \r makes up words.
@@ -54,19 +55,63 @@ def discard(*stashed: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stash_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As stash, and the number of rows, counted while they are written."""
+    seen = Observation()
+    stored = stash(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return stored, seen.get.get("rows") or 0
+
+
+#: Edges that a task contracts at a time.
+EDGES = 1 << 20
+
+
+def _forest(batches):
+    """The edges of each EDGES or so as a star forest: (node, smallest node that these edges lead to)."""
+
+    def stars(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        ends = np.concatenate([p[c].to_numpy(np.int64) for c in ("a", "b") for p in parts])
+        nodes, at = np.unique(ends, return_inverse=True)
+        a, b = at[: len(at) // 2], at[len(at) // 2 :]
+        label = np.arange(len(nodes))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], least)
+            np.minimum.at(new, label[b], least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = label != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+
+    held, n = [], 0
+    for df in batches:
+        held.append(df)
+        n += len(df)
+        if n >= EDGES:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) long edges -> (node, component): the smallest node reachable, for every node that has an edge.
+    """(a, b) long edges -> (node, component): the smallest node reachable, for every node but the components' smallest ones.
 
-    Alternates large-star and small-star steps; a step takes the smallest neighbour of each node by a
-    map-side combined aggregate and joins it back, so that no neighbourhood is gathered in one place.
-    Every round is written to the shared folder. Nulls and loops in edges are ignored.
+    Each task first makes a star forest of the edges it has. Then large-star and small-star steps
+    alternate; a step takes the smallest neighbour of each node by a map-side combined aggregate and
+    joins it back, so that no neighbourhood is gathered in one place. Every round is written to the
+    shared folder. Nulls and loops in edges are ignored.
     """
-    edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def keep(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        stored = stash(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return stored, (seen.get.get("n") or 0, seen.get.get("sum"))
 
-    before = mark(edges)
+    edges, before = keep(edges.where("a <> b").select("a", "b").mapInPandas(_forest, "a long, b long").distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -74,17 +119,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        joined = large.join(least, F.col("a") == F.col("k"))
-        small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        was, edges = edges, stash(small, "edges")
+        # a node's other neighbours get its smallest one; that edge itself stays
+        small = large.join(least, F.col("a") == F.col("k")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        was, (edges, now) = edges, keep(small)
         discard(was)
-        now = mark(edges)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("connected components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def text_chunks(texts: list[bytes], most: int = 1 << 19):

@@ -5,14 +5,15 @@ Jaccard similarity t share a member among the first |x| - ceil(t |x|) + 1 of eac
 is the same for all. The order here is by hash, with the members that very many documents hold put
 last, so that a passage common to thousands of documents brings none of them together.
 
-1. sketch: one pass over the texts gives each set's size, digest, first members and a parity bitmap.
-   Sets with one digest are one class from here on.
-2. shared: count each first member; documents whose first members include common ones get further
-   members from a second pass over just these texts. Only members that two classes hold go on.
+1. common: a pass over the texts counts each set's first members by hash. The most frequent are common.
+2. sketch: a second pass gives each set's size, digest, first members in the order with the common ones
+   last, and a parity bitmap. Sets with one digest are one class from here on. Only members that two
+   classes hold go on.
 3. tiles: the classes that share a member meet in that member's tile, in bands of set size (only
    adjacent bands are compared); a tile of many classes is dealt out as pairs of parts. Every bit
    in which two parity bitmaps differ is a member that only one of the sets holds, so the bit count
-   bounds the overlap from above; pairs that it leaves are checked by intersecting the sorted sets.
+   bounds the overlap from above; pairs that it leaves are checked by intersecting the sorted sets,
+   made again from the texts of the documents that a semi-join by doc_id leaves.
 4. rounds: first each class proposes only its most similar partner in a tile. Links that hold join
    components, and tiles within one component are done with, so a group of near copies costs links in
    proportion to its size. The last round proposes every remaining pair of different components,
@@ -31,14 +32,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, discard, mix, stash, table, text_chunks, utf8, word_hashes
+from docloom.llm.common import connected_components, discard, mix, stash, stash_counted, table, text_chunks, utf8, word_hashes
 
 WORDS, PERCENT = 5, 80
-#: A first member that more classes hold is common, and goes last in the order.
-COMMON = 8
+#: A first member that more rows hold is common, and goes last in the order; where there are more such members than MOST_COMMON, this is doubled until there are not.
+COMMON, MOST_COMMON = 8, 1 << 20
 #: Classes of one tile that are compared in one task; more are dealt out as pairs of parts.
 PART = 1024
-#: Bits of the filters that are sent to the tasks: 8 for each entry within these bounds, so at most 16 MB whatever the input.
+#: Bits of the filter of shared members that is sent to the tasks: 8 for each entry within these bounds, so at most 16 MB whatever the input. It only thins what is joined.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 
@@ -114,15 +115,57 @@ def _by_text(df: pd.DataFrame):
         yield df.iloc[a:b], list(shingle_sets(texts[a:b]))
 
 
-def _sketches(batches):
+def _first(batches):
+    """The first members by hash of each text's set."""
     for df in batches:
-        for some, sets in _by_text(df):
-            rows = [(len(m), digest(m), m[: first_members(len(m))].view(np.int64).copy(), bitmap(m)) if len(m) else (0, None, None, None) for m in sets]
-            n, key, first, bits = zip(*rows, strict=True)
-            yield pd.DataFrame({"doc_id": some["doc_id"], "n": n, "key": pd.array(key, dtype="Int64"), "first": first, "bits": bits})
+        for _, sets in _by_text(df):
+            if any(map(len, sets)):
+                yield pd.DataFrame({"first": [m[: first_members(len(m))].view(np.int64) for m in sets if len(m)]})
 
 
-# Filters: a set of 64-bit values as two bits for each in a fixed field of bits. A hit can be false, a miss cannot.
+class Common:
+    """Which values are among the common members; a table of 2^22 flags spares most values the search."""
+
+    def __init__(self, members: np.ndarray):
+        self.members = np.sort(members.astype(np.int64))
+        self.flags = None
+
+    def __getstate__(self):
+        return self.members
+
+    def __setstate__(self, members):
+        self.members, self.flags = members, None
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        if self.flags is None:
+            self.flags = np.zeros(1 << 22, bool)
+            self.flags[self.members & (1 << 22) - 1] = True
+        hit = self.flags[values & (1 << 22) - 1]
+        some = np.flatnonzero(hit)
+        if len(some):
+            at = np.searchsorted(self.members, values[some])
+            hit[some] = self.members[np.minimum(at, len(self.members) - 1)] == values[some]
+        return hit
+
+
+def _sketches(common):
+    def run(batches):
+        for df in batches:
+            for some, sets in _by_text(df):
+                often = common.value.holds(np.concatenate(sets).view(np.int64)) if sets else np.zeros(0, bool)
+                rows, at = [], 0
+                for m in sets:
+                    k, last = first_members(len(m)), often[at : at + len(m)]
+                    at += len(m)
+                    first = m[:k] if not last[:k].any() else np.concatenate([m[~last], m[last]])[:k]
+                    rows.append((len(m), digest(m), first.view(np.int64).copy(), bitmap(m)) if len(m) else (0, None, None, None))
+                n, key, first, bits = zip(*rows, strict=True)
+                yield pd.DataFrame({"doc_id": some["doc_id"], "n": n, "key": pd.array(key, dtype="Int64"), "first": first, "bits": bits})
+
+    return run
+
+
+# A filter: a set of 64-bit values as two bits for each in a fixed field of bits. A hit can be false, a miss cannot.
 def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(values.astype(np.int64).view(np.uint64) + _BASE)
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
@@ -157,43 +200,17 @@ def in_filter(field: np.ndarray, values: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _ids(df: pd.DataFrame) -> np.ndarray:
-    return pd.to_numeric(df["doc_id"]).fillna(0).to_numpy(np.int64)
-
-
-def _more_members(common, affected):
-    """The members that documents with common ones have among their first in the order with these last, beyond those that are not common."""
+def _only(field):
+    """Rows with the first members that are in a filter, if any."""
 
     def run(batches):
         for df in batches:
-            rows, done = [], set()
-            for _, sets in _by_text(df[in_filter(affected.value, _ids(df))]):
-                for members in sets:
-                    k = first_members(len(members))
-                    if len(members) and (key := digest(members)) not in done and (often := in_filter(common.value, members.view(np.int64)))[:k].any():
-                        first = np.concatenate([members[~often], members[often]])[:k].view(np.int64)
-                        kept = k - int(often[:k].sum())
-                        done.add(key)
-                        rows.append((len(members), key, first[kept:].copy()))
-            if rows:
-                yield pd.DataFrame(dict(zip(("n", "key", "extra"), zip(*rows, strict=True), strict=True)))
-
-    return run
-
-
-def _only(field, common=None):
-    """Rows with the first members that are in a filter, if any; with `common` without those that are common."""
-
-    def run(batches):
-        for df in batches:
-            df = df.drop_duplicates("key") if "key" in df else df  # copies: once a batch
+            df = df.drop_duplicates("key")  # copies: once a batch
             if not len(df):
                 continue
             sizes = np.concatenate(([0], np.cumsum(df["first"].map(len).to_numpy())))
             flat = np.concatenate(df["first"].tolist())
             hit = in_filter(field.value, flat)
-            if common is not None:
-                hit &= ~in_filter(common.value, flat)
             kept = np.diff(np.concatenate(([0], np.cumsum(hit)))[sizes])
             some = kept > 0
             if some.any():
@@ -284,18 +301,11 @@ def _verified(batches):
         yield df.loc[np.array(links, bool), ["a", "b"]]
 
 
-def _wanted_sets(wanted, ids):
-    """The sets of the classes asked for, from the documents that can hold them."""
-
-    def run(batches):
-        for df in batches:
-            for _, sets in _by_text(df[in_filter(ids.value, _ids(df))]):
-                keys = np.array([digest(m) if len(m) else 0 for m in sets], np.int64)
-                kept = [i for i, hit in enumerate(in_filter(wanted.value, keys)) if hit and len(sets[i])]
-                if kept:
-                    yield pd.DataFrame({"key": keys[kept], "members": [sets[i].view(np.int64) for i in kept]})
-
-    return run
+def _sets(batches):
+    for df in batches:
+        for _, sets in _by_text(df):
+            if sets := [m for m in sets if len(m)]:
+                yield pd.DataFrame({"key": [digest(m) for m in sets], "members": [m.view(np.int64) for m in sets]})
 
 
 def _near_in_size(members: DataFrame) -> DataFrame:
@@ -325,90 +335,96 @@ def _large_tiles(members: DataFrame) -> DataFrame:
     return dealt.select("member", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), one)).alias("tile"), "part", "key", "n", "comp")
 
 
+def common_members(docs: DataFrame) -> Common:
+    """The first members that more than COMMON rows hold, or the most frequent of these: MOST_COMMON at most, so 8 MB whatever the input."""
+    counts = docs.mapInPandas(_first, "first array<long>").select(F.explode("first").alias("member")).groupBy("member").agg(F.count("*").alias("rows"))
+    counts = stash(counts.where(F.col("rows") > COMMON), "frequent-members")
+    by_size = sorted(counts.groupBy(F.floor(F.log2("rows")).cast("int").alias("power")).count().collect(), reverse=True)  # at most 63 rows
+    total, least = 0, COMMON
+    for r in by_size:
+        total += r["count"]
+        if total > MOST_COMMON:
+            least = max(least, 2 ** (r["power"] + 1) - 1)
+            break
+    found = Common(counts.where(F.col("rows") > least).select("member").toPandas()["member"].to_numpy(np.int64)) if by_size else Common(np.zeros(0, np.int64))
+    discard(counts)
+    return found
+
+
 def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     """(doc_id long, text) -> doc_id, n_shingles, component_id, one row for each row.
 
     Null texts and texts without words have an empty set (0 shingles) and link with nothing. Rows with
     equal sets are one class; a null doc_id takes part, and counts as a component's id only if no row
-    of it has one. Extra columns are ignored.
+    of it has one. Rows that share a doc_id each have their own text's set. Extra columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("text") if text is None else text).alias("text"))
-    sketch = stash(docs.mapInPandas(_sketches, "doc_id long, n long, key long, first array<long>, bits binary"), "sketches")
+    common = spark.sparkContext.broadcast(common_members(docs))
+    sketch = stash(docs.mapInPandas(_sketches(common), "doc_id long, n long, key long, first array<long>, bits binary"), "sketches")
+    common.destroy()
     full = sketch.where("n > 0")
     classes = stash(full.groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.first("bits").alias("bits")), "classes")
 
-    # members that two classes hold, and those that very many rows hold
+    # members that two classes hold
     held = full.select("key", F.explode("first").alias("member"))
-    counts = held.groupBy("member").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    counts = stash(counts.select("member", (F.col("rows") > COMMON).alias("common")), "members")
-    many = counts.groupBy("common").count().collect()
-    many = {r["common"]: r["count"] for r in many}
-    rows, shared, n_shared = full.select("key", "n", "first"), counts.select("member"), sum(many.values())
-    common = affected = more = None
-    if many.get(True):
-        common = spark.sparkContext.broadcast(bit_filter(counts.where("common").select("member"), many[True]))
-        hold = full.select("doc_id", "first").mapInPandas(_only(common), "doc_id long, first array<long>").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
-        hold = stash(hold, "holders")
-        affected = spark.sparkContext.broadcast(bit_filter(hold, hold.count()))
-        more = stash(docs.mapInPandas(_more_members(common, affected), "n long, key long, extra array<long>"), "more-members")
-        extra = more.select("key", "n", F.explode("extra").alias("member"))
-        shared = shared.union(extra.select("member"))
-        n_shared += extra.count()
+    shared = held.groupBy("member").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("member")
+    shared, n_shared = stash_counted(shared, "members")
     field = spark.sparkContext.broadcast(bit_filter(shared, n_shared))
-    kind = "key long, n long, first array<long>"
-    rows = rows.mapInPandas(_only(field, common), kind)  # a common member comes back as a further one where it is still among the first
-    rows = rows.select("key", "n", F.explode("first").alias("member"))
-    rows = rows if more is None else rows.union(extra)
+    rows = full.select("key", "n", "first").mapInPandas(_only(field), "key long, n long, first array<long>")
+    rows = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("key", "n", F.explode("first").alias("member"))
     two = rows.groupBy("member").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    rows = rows.join(two.select("member", (F.col("rows") > PART).alias("large")), "member").distinct()
+    rows = rows.join(two.select("member", (F.col("rows") > PART).alias("large")), "member")
     rows = stash(_near_in_size(rows), "tile-rows")
-    bits = stash(classes.select("key", "bits").join(rows.select("key").distinct(), "key", "left_semi"), "bitmaps")
-    for held in (common, affected, field):
-        if held is not None:
-            held.destroy()  # what was made with them is stored
+    field.destroy()  # what was made with it is stored
     sketch, was = stash(sketch.select("doc_id", "n", "key"), "documents"), sketch
-    discard(counts, was, *([more] if more is not None else []))  # all that comes later is made from stored tables
+    discard(shared, was)  # all that comes later is made from stored tables
 
-    components = spark.createDataFrame([], "node long, component long")
-    links = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    tested, sets = None, None
+    components, tested, sets = None, None, None
     for every in (False, False, True):
-        members = rows.join(components, F.col("key") == F.col("node"), "left").select("key", "n", "member", "large", F.coalesce("component", "key").alias("comp"))
+        members = rows.withColumn("comp", F.col("key"))
+        if components is not None:
+            members = rows.join(components, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
         if not every:  # an eighth of the members brings near copies together
             members = members.where(F.pmod(F.xxhash64("member"), F.lit(8)) == 0)
         tiled = _small_tiles(members.where("NOT large")).unionByName(_large_tiles(members.where("large")))
-        tiled = tiled.join(bits, "key").repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
+        tiled = tiled.join(classes.select("key", "bits"), "key").repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
         pairs = tiled.mapInPandas(_proposals(every), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        n_pairs = pairs.count()
+        pairs, n_pairs = stash_counted(pairs, "pairs")
         if not n_pairs:
             continue
-        ends = pairs.select("a").union(pairs.select("b")).distinct()
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         if sets is not None:
-            ends = ends.join(sets.select(F.col("key").alias("a")), "a", "left_anti")
-        ends = stash(ends, "ends")
-        if n_ends := ends.count():
-            wanted = spark.sparkContext.broadcast(bit_filter(ends, n_ends))
-            holders = classes.join(ends.withColumnRenamed("a", "key"), "key", "left_semi").select(F.coalesce("doc", F.lit(0)))
-            of = spark.sparkContext.broadcast(bit_filter(holders, n_ends))
-            got = docs.mapInPandas(_wanted_sets(wanted, of), "key long, members array<long>").join(ends.withColumnRenamed("a", "key"), "key", "left_semi")
-            got = stash(got.dropDuplicates(["key"]), "sets")
+            ends = ends.join(sets.select("key"), "key", "left_anti")
+        # written out, the number of classes asked for is known: few ids are broadcast, and the texts then stay where they are
+        ends, n_ends = stash_counted(ends.join(classes.select("key", "doc"), "key"), "ends")
+        if n_ends:
+            holders = ends.select(F.col("doc").alias("__doc")).distinct()
+            got = docs.join(holders, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").mapInPandas(_sets, "key long, members array<long>")
+            got = stash(got.join(ends.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
             sets = got if sets is None else sets.unionByName(got)  # of keys that were not there
-            wanted.destroy()
-            of.destroy()
         checked = pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("members").alias("sa")), "a")
-        holds = stash(checked.select("a", "b", "sa", "sb").mapInPandas(_verified, "a long, b long"), "links")
-        links = links.union(holds)
+        holds = checked.select("a", "b", "sa", "sb").mapInPandas(_verified, "a long, b long")
+        if components is not None:
+            holds = holds.union(components.select("node", "component"))
+        components, was = connected_components(holds), components
+        if was is not None:
+            discard(was)
+        discard(ends)
         tested = pairs if tested is None else tested.union(pairs)
-        components = stash(connected_components(links), "components")
+    if components is None:
+        components = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     lowest = classes.join(components, F.col("key") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "key").alias("comp"))
     names = lowest.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = lowest.join(names, "comp").select("key", "component_id")
-    out = sketch.select("doc_id", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sketch.join(named, "key", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    for done in (rows, tested, sets):
+        if done is not None:
+            discard(done)
+    return out
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

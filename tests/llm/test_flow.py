@@ -16,7 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (3000, 3001), (3001, 3000), (3000, 3001)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain + [(None, 7)], "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1100)) and got[3001] == 3000
+    assert all(got[i] == 0 for i in range(1, 201)) and all(got[i] == 1000 for i in range(1001, 1100)) and got[3001] == 3000
+    assert not {0, 1000, 3000} & set(got)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
