@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from docloom.llm.common import connected_components, discard, stash, table
 
@@ -70,8 +71,15 @@ def decode(unit: np.ndarray, seed: int, filters: int = FILTERS) -> np.ndarray:
     return np.take_along_axis(ids, top, axis=1)
 
 
+def _matrix(vectors) -> np.ndarray:
+    """The vectors, all of one length, as unit rows in double precision; scaled first, so that no square leaves the range of doubles."""
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _prepared(batches):
-    """Valid vectors with a digest of their components; cosines need a finite, non-zero vector."""
+    """Valid vectors with a digest of their components and their length; cosines need a finite, non-zero vector."""
     for df in batches:
         keep, keys = [], []
         for i, v in enumerate(df["embedding"]):
@@ -82,38 +90,51 @@ def _prepared(batches):
                 keep.append(i)
                 keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
         out = df.iloc[keep]
-        yield pd.DataFrame({"vec_id": out["vec_id"], "label": out["label"].astype("int64"), "same": keys, "embedding": out["embedding"]})
+        yield out.assign(same=keys, dim=out["embedding"].map(len))[["vec_id", "label", "same", "dim", "embedding"]]
 
 
 def _filters(batches):
     for df in batches:
-        if not len(df):
-            continue
-        dims = df["embedding"].map(len)
-        for _, part in df.groupby(dims, sort=False):
+        for dim, part in df.groupby("dim", sort=False):
             for at in range(0, len(part), 512):
                 some = part.iloc[at : at + 512]
-                x = np.stack([np.asarray(v, np.float64) for v in some["embedding"]])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = np.concatenate([decode(x, t) + (np.int64(t) << 40) + (np.int64(x.shape[1]) << 44) for t in range(TABLES)], axis=1)
+                x = _matrix(some["embedding"])
+                found = np.concatenate([decode(x, t) + t * WORDS ** min(BLOCKS, dim) for t in range(TABLES)], axis=1)
                 found.sort(axis=1)
-                yield pd.DataFrame({"rep": some["rep"].to_numpy(), "filters": list(found)})
+                yield pd.DataFrame({"rep": some["rep"], "filters": list(found.astype(np.int32))})
+
+
+def _met_before(filters: list[np.ndarray], this: int) -> np.ndarray:
+    """Which two of the rows share a filter that comes before this one; a bounded number of filters at a time."""
+    early = [f[: np.searchsorted(f, this)] for f in filters]
+    names, counts = np.unique(np.concatenate(early), return_counts=True)
+    names = names[counts > 1]
+    met = np.zeros((len(filters), len(filters)), bool)
+    for at in range(0, len(names), 4096):
+        some = names[at : at + 4096]
+        member = np.zeros((len(filters), len(some)), np.float32)
+        for k, f in enumerate(early):
+            f = f[np.searchsorted(f, some[0]) : np.searchsorted(f, some[-1], side="right")]
+            place = np.searchsorted(some, f)
+            member[k, place[some[place] == f]] = 1
+        met |= member @ member.T > 0.5
+    return met
 
 
 def _links(batches):
-    """Compare the members of each (label, filter, tile) run; a pair counts in the first filter it shares only.
+    """Compare the members of each (label, dim, filter, tile) run; a pair counts in the first filter it shares only.
 
     Yields for each member the weight of its partners (as `links`) and one partner that it is joined
     with (the smallest in what the run connects), so the output is as large as the input at most.
     """
     held: pd.DataFrame | None = None
+    names = ["label", "dim", "filter", "tile"]
 
     def run(df: pd.DataFrame):
         n = len(df)
         if n < 2:
             return None
-        x = np.stack([np.asarray(v, np.float64) for v in df["embedding"]])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _matrix(df["embedding"])
         part, reps, copies = df["part"].to_numpy(), df["rep"].to_numpy(), df["copies"].to_numpy()
         close = x @ x.T >= MIN_COSINE
         np.fill_diagonal(close, False)
@@ -123,14 +144,7 @@ def _links(batches):
             return None
         near = np.flatnonzero(close.any(axis=1))
         close = close[np.ix_(near, near)]
-        this = df["filter"].iat[0]
-        earlier = [[f for f in df["filters"].iat[i] if f < this] for i in near]
-        names = {f: k for k, f in enumerate(sorted({f for fs in earlier for f in fs}))}
-        if names:
-            member = np.zeros((len(near), len(names)), np.float32)
-            for k, fs in enumerate(earlier):
-                member[k, [names[f] for f in fs]] = 1
-            close &= member @ member.T < 0.5
+        close &= ~_met_before([df["filters"].iat[i] for i in near], int(df["filter"].iat[0]))
         if not close.any():
             return None
         reps, copies = reps[near], copies[near]
@@ -152,8 +166,10 @@ def _links(batches):
             df = pd.concat([held, df], ignore_index=True)
         if not len(df):
             continue
-        keys = df[["label", "filter", "tile"]].to_numpy()
-        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        new = np.zeros(len(df) - 1, bool)
+        for c in names:
+            new |= df[c].to_numpy()[1:] != df[c].to_numpy()[:-1]
+        cut = np.flatnonzero(new) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(df)]))
         held = df.iloc[starts[-1] :]
         for a, b in zip(starts[:-1].tolist(), ends[:-1].tolist(), strict=True):
@@ -168,29 +184,39 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     Only vectors with one and the same label (not null) are compared. A vector that is null, empty,
     zero or not finite links with nothing, nor do vectors of different lengths. Rows with equal
-    components are compared once and counted in full; rows that share a vec_id are vectors of
-    their own. A null vec_id is its own null component and is kept. Extra columns are ignored.
+    components and one label are a class, compared once and counted in full. Rows that share a vec_id
+    are vectors of their own: each has its own links, and ids only name components. A null vec_id
+    is its own null component and is kept. Extra columns are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    valid = rows.where("label IS NOT NULL AND vec_id IS NOT NULL").mapInPandas(_prepared, "vec_id long, label long, same binary, embedding array<double>")
+    element = vectors.schema["embedding"].dataType.elementType
+    array = "array<float>" if isinstance(element, FloatType) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(array).alias("embedding"), "label")
+    kind = rows.schema["label"].dataType.simpleString()
+    valid = rows.where("label IS NOT NULL AND vec_id IS NOT NULL").mapInPandas(_prepared, f"vec_id long, label {kind}, same binary, dim int, embedding {array}")
     valid = stash(valid, "vectors")
-    reps = stash(valid.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "distinct-vectors")
-    filters = stash(reps.mapInPandas(_filters, "rep long, filters array<long>"), "filters")
-    held = filters.join(reps.select("rep", "label"), "rep").select("rep", "label", F.explode("filters").alias("filter"))
-    shared = held.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1")
+    classes = valid.groupBy("label", "same").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("embedding").alias("embedding"))
+    # numbered when written, so a class keeps its number in all that is read from the table
+    reps = stash(classes.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
+    filters = stash(reps.select("rep", "dim", "embedding").mapInPandas(_filters, "rep long, filters array<int>"), "filters")
+    held = filters.join(reps.select("rep", "label", "dim"), "rep").select("rep", "label", "dim", F.explode("filters").alias("filter"))
+    own = ["label", "dim", "filter"]
+    shared = held.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / PART).cast("int")
-    held = held.join(shared, ["label", "filter"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    held = held.join(shared, own).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a tile holds one part, or two (then its number is odd, and only pairs across count)
     tiles = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.least(F.col("part"), j) * F.col("parts") + F.greatest(F.col("part"), j)) * 2 + (F.col("part") != j).cast("int")))
-    held = held.select("label", "filter", "rep", "part", F.explode(tiles).alias("tile"))
+    held = held.select(*own, "rep", "part", F.explode(tiles).alias("tile"))
     full = held.join(reps.select("rep", "embedding", "copies"), "rep").join(filters, "rep")
-    found = full.select("label", "filter", "tile", "part", "rep", "copies", "embedding", "filters")
-    found = found.repartition("label", "filter", "tile").sortWithinPartitions("label", "filter", "tile", "rep")
+    found = full.select(*own, "tile", "part", "rep", "copies", "embedding", "filters")
+    found = found.repartition(*own, "tile").sortWithinPartitions(*own, "tile", "rep")
     found = stash(found.mapInPandas(_links, "rep long, links long, joined long"), "vector-links")
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("joined").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.select("label", "same", "rep", "copies").join(sums, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = reps.select("label", "same", "rep", "lowest", "copies").join(sums, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
+    known = known.select("label", "same", "lowest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    names = known.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    known = stash(known.join(names, "component").select("label", "same", "n_links", "component_id"), "known-vectors")
+    discard(reps, filters, found)
     linked = valid.select("vec_id", "label", "same").join(known, ["label", "same"]).select("vec_id", "n_links", "component_id")
     usable = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rest = rows.where(F.col("label").isNull() | F.col("vec_id").isNull() | ~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -56,6 +56,32 @@ def test_vectors(spark, monkeypatch, part):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_ids_and_extreme_sizes(spark):
+    """Rows that share a vec_id, in one label and in two, are vectors of their own; components from 1e-200 to 1e200 keep their cosines."""
+    x, y = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.3, 0.0]
+    rows = [(1, x, "a"), (1, x, "a"), (1, y, "a"), (1, y, "b"), (2, [1e200 * v for v in y], "a"), (3, [-1e-200 * v for v in x], "a"), (4, [1e-200 * v + 1e-202 for v in x], "a"), (5, [1e-200 * v for v in y], "b"), (6, [0.0, 1.0, 0.0, 0.0], "c")]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    unit = [np.array(v) / np.abs(v).max() for _, v, _ in rows]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    want = []
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93]
+    component = _components(range(len(rows)), links)
+    for i, (name, _, _) in enumerate(rows):
+        lowest = min(rows[j][0] for j in range(len(rows)) if component[j] == component[i])
+        want.append((name, sum(i in link for link in links), lowest, name == lowest))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted(want)
+
+
+def test_filters_met_before():
+    """In blocks of filters, as by sets."""
+    rng = np.random.default_rng(1)
+    filters = [np.unique(rng.integers(0, 30_000, 400)).astype(np.int32) for _ in range(60)]
+    for this in (0, 17_000, 30_000):
+        met = caps._met_before(filters, this)
+        early = [{int(f) for f in fs if f < this} for fs in filters]
+        assert all(met[i, j] == bool(early[i] & early[j]) for i in range(60) for j in range(60) if i != j)
+
+
 def test_recall_at_the_lowest_cosine():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((2000, 64))
@@ -107,3 +133,23 @@ def test_texts(spark, monkeypatch, part, common):
         assert got[i].component_id == component[i], i
     assert ngram_join.near_texts(df.limit(0)).count() == 0
     assert ngram_join.near_texts(df.where("text is null")).collect()[0].n_shingles == 0
+
+
+def test_texts_with_repeated_ids(spark):
+    """Rows that share a doc_id, or have none, each have their own text's set; ids only name components."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (3, b + " end"), (None, a + " more"), (None, c), (9, c + " x"), (9, None)]
+    got = ngram_join.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted([("7", 36, "7"), ("7", 36, "3"), ("3", 37, "3"), ("None", 37, "7"), ("None", 36, "9"), ("9", 37, "9"), ("9", 0, "9")])
+
+
+def test_common_members_are_bounded(spark, monkeypatch):
+    """Over the bound the most frequent ones are taken, and the result stays exact."""
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    monkeypatch.setattr(ngram_join, "MOST_COMMON", 8)
+    texts = [" ".join(f"p{j}" for j in range(50)) + " " + " ".join(f"{i}w{j}" for j in range(3 if i < 30 else 200)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(ngram_join.common_members(docs).members) <= 8
+    sets = _sets(texts)
+    component = _components(range(60), [(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    assert {r.doc_id: r.component_id for r in ngram_join.near_texts(docs).collect()} == component
