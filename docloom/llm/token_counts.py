@@ -3,31 +3,37 @@
 The tokens of a prefix are those of the prefix that ends before its last token, plus that token. Of all
 vocabulary entries that end at a place, exactly one continues the tokens before it the way the merges
 would: the one whose pair with its predecessor the merges leave as it is. So count[i] = count[i - len] + 1,
-place by place. Text is first split as the tokenizer splits it, so the table of a text is the running sum
-over its pieces, and within a piece the table of the piece, which is kept per task for pieces seen before.
-A prefix's count, the longest prefix within a budget and the total are read off the tables; no text is
-encoded again.
+place by place. Text is first split as the tokenizer splits it, and a piece has a table of its own, kept
+per task for pieces seen before; a text's table is theirs one after the other. A prefix that ends within
+white space, within a contraction or within a special string splits otherwise than the whole text does;
+the table has the prefix's own count there too.
+
+A table is stored as differences: one number for each character, by how much its prefix has more tokens
+than the one before. The total, the longest prefix within a budget and the count of any prefix are read
+off it (prefix_tokens, longest_within); no text is encoded again.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table
 
 LIMIT = 1024
-#: Pieces of text whose totals a task keeps; the table is begun anew when it is full.
-KEPT = 1 << 20
+#: Bytes of the pieces' tables that a task keeps (about; they are begun anew when that is full), and characters of the longest piece that is kept.
+KEPT, LONGEST = 96 << 20, 64
 #: How the byte-level pre-tokenizer splits text.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+SPLIT = "|".join(CONTRACTIONS) + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Prefixes:
@@ -61,11 +67,20 @@ class Prefixes:
                 for c in reversed(t):
                     node = node.setdefault(c, {})
                 node[None] = i
+        if max(map(len, tokens)) > 1 << 14:
+            raise ValueError("tokens are too long for differences of 16 bits")
         self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.split = regex.compile(SPLIT).findall
+        blanks = "".join(chr(c) for c in range(0x3001) if regex.match(r"\s", chr(c)))
+        self.blanks = re.compile(f"[{re.escape(blanks)}]{{2,}}")
         self.pairs: dict[int, bool] = {}
-        self.totals: dict[str, int] = {}
+        #: By piece its differences; by character the counts and last tokens of its run, which grow as longer runs come.
+        self.tables: dict[str, bytes] = {}
+        self.runs: dict[str, tuple[list[int], list[int]]] = {}
+        self.joins: dict[str, int] = {}
+        self.specials: dict[tuple[str, str], np.ndarray] = {}
+        self.held = 0
 
     def stands(self, a: int, b: int, before: int = 1 << 60) -> bool:
         """Whether the merges made before a place leave the border between two tokens that stand side by side.
@@ -88,8 +103,10 @@ class Prefixes:
 
     def table(self, piece: str) -> list[int]:
         """count[i] of every prefix of i bytes of a piece."""
-        count, last, pairs, tree = [0], [-1], self.pairs, self.tree
-        for i in range(1, len(piece) + 1):
+        run = len(piece) > LONGEST and piece == piece[0] * len(piece)
+        count, last = self.runs.setdefault(piece[0], ([0], [-1])) if run else ([0], [-1])
+        pairs, tree = self.pairs, self.tree
+        for i in range(len(count), len(piece) + 1):
             node, j = tree, i
             while j:
                 node = node.get(piece[j - 1])
@@ -108,70 +125,97 @@ class Prefixes:
                         break
             count.append(count[j] + 1)
             last.append(token)
-        return count
-
-    def total(self, piece: str) -> int:
-        if piece in self.special:
-            return 1
-        raw = piece.encode("utf-8", "replace").decode("latin-1")
-        if len(self.totals) >= KEPT:
-            self.totals.clear()
-        n = self.totals[piece] = self.table(raw)[-1]
-        return n
-
-    def pieces(self, text: str) -> list[str]:
-        if self.at_special is None or not self.at_special.search(text):
-            return self.split(text)
-        out, at = [], 0
-        for m in self.at_special.finditer(text):
-            out += [*self.split(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + self.split(text[at:])
+        return count[: len(piece) + 1] if run else count
+
+    def counts(self, piece: str) -> list[int]:
+        """The count of every prefix of a piece by characters, from the empty one."""
+        raw = piece.encode("utf-8", "replace")
+        table = self.table(raw.decode("latin-1"))
+        if piece in CONTRACTIONS:  # a beginning of one splits otherwise
+            return [sum(self.table(x)[-1] for x in self.split(piece[:n])) for n in range(len(piece))] + [table[-1]]
+        return table if len(raw) == len(piece) else [table[n] for n in accumulate((len(c.encode("utf-8", "replace")) for c in piece), initial=0)]
+
+    def piece(self, piece: str) -> bytes:
+        """The differences of a piece's counts, as 16-bit numbers."""
+        found = np.diff(np.array(self.counts(piece))).astype("<i2").tobytes()
+        if len(piece) <= LONGEST:
+            self.held += 3 * len(found) + 200
+            if self.held > KEPT:
+                self.tables.clear()
+                self.joins.clear()
+                self.runs.clear()
+                self.held = 0
+            self.tables[piece] = found
+        return found
 
-    def counts(self, text: str) -> tuple[list[str], list[int]]:
-        """The pieces of a text and the token count at the end of each."""
-        pieces = self.pieces(text)
+    def join(self, run: str) -> int:
+        """By how much a run of white space at the end of a text has more tokens than split as before a word, where its last character is apart."""
+        found = self.joins.get(run)
+        if found is None:
+            counts = self.counts(run)
+            found = counts[-1] - counts[-2] - self.counts(run[-1])[-1]
+            if len(run) <= LONGEST:
+                self.joins[run] = found
+                self.held += 300
+        return found
+
+    def _plain(self, text: str) -> np.ndarray:
+        pieces = self.split(text)
         try:
-            return pieces, list(accumulate(map(self.totals.__getitem__, pieces)))
+            joined = b"".join(map(self.tables.__getitem__, pieces))
         except KeyError:
-            pass
-        for p in set(pieces).difference(self.totals):
-            self.total(p)
-        get = self.totals.get
-        return pieces, list(accumulate(get(p) or self.total(p) for p in pieces))
-
-    def at(self, pieces: list[str], counts: list[int], k: int, part: str) -> int:
-        """The count of the prefix that ends with `part`, the beginning of piece k."""
-        if part.isspace():  # white space at the end of a text is one piece, where before a word it would be two
-            while k and pieces[k - 1].isspace():
-                k, part = k - 1, pieces[k - 1] + part
-        elif part not in self.special:
-            own = self.split(part)  # a cut piece can split otherwise than the whole
-            return (counts[k - 1] if k else 0) + sum(self.table(p.encode("utf-8", "replace").decode("latin-1"))[-1] for p in own)
-        return (counts[k - 1] if k else 0) + (1 if part in self.special else sum(self.totals.get(p) or self.total(p) for p in self.split(part)))
-
-    def cut(self, pieces: list[str], counts: list[int], budget: int) -> int:
-        """Bytes of the longest prefix (of whole characters) with at most `budget` tokens, for a text that has more."""
-        k = int(np.searchsorted(counts, budget, side="right"))  # the first piece that ends over the budget
-        size = sum(len(p.encode("utf-8", "replace")) for p in pieces[:k])
-        best, piece = size, pieces[k]
-        if piece not in self.special:
-            whole = None if piece.isspace() or piece[0] == "'" else self.table(piece.encode("utf-8", "replace").decode("latin-1"))
-            at = size
-            for n in range(1, len(piece) + 1):
-                at += len(piece[n - 1].encode("utf-8", "replace"))
-                # a piece cut within keeps its tokens' table, unless it is white space or split otherwise
-                count = self.at(pieces, counts, k, piece[:n]) if whole is None or n == 1 else (counts[k - 1] if k else 0) + whole[at - size]
-                if count <= budget:
-                    best = at
-            if k + 1 < len(pieces) and pieces[k + 1][0].isspace():  # white space at the end can be one token with that before it
-                for n in range(1, len(pieces[k + 1]) + 1):
-                    at += len(pieces[k + 1][n - 1].encode("utf-8", "replace"))
-                    if not pieces[k + 1][n - 1].isspace():
-                        break
-                    if self.at(pieces, counts, k + 1, pieces[k + 1][:n]) <= budget:
-                        best = at
-        return best
+            known = self.tables.get
+            joined = b"".join([known(p) or self.piece(p) for p in pieces])
+        out = np.frombuffer(joined, "<i2")
+        for m in self.blanks.finditer(text):
+            if m.end() < len(text) and (more := self.join(m[0])):
+                out = out if out.flags.writeable else out.copy()
+                out[m.end() - 1] += more
+                out[m.end()] -= more
+        return out
+
+    def differences(self, text: str) -> np.ndarray:
+        """For each character by how much the prefix that it ends has more tokens than the one before."""
+        if self.at_special is None or not (found := list(self.at_special.finditer(text))):
+            return self._plain(text)
+        out, at = [], 0
+        for m in found:
+            before = text[at : m.start()]
+            out.append(self._plain(before))
+            # a beginning of a special string belongs to the text before it, whose last piece may go on or split otherwise
+            out.append(self.within(self.split(before)[-1] if before else "", m[0]))
+            at = m.end()
+        return np.concatenate([*out, self._plain(text[at:])])
+
+    def within(self, last: str, special: str) -> np.ndarray:
+        """The differences of a special string after a piece."""
+        found = self.specials.get((last, special))
+        if found is None:
+            base = self.total(last)
+            counts = [base, *(self.total(last + special[:n]) for n in range(1, len(special))), base + 1]
+            found = np.array([b - a for a, b in pairwise(counts)], "<i2")
+            if len(last) <= LONGEST and len(self.specials) < 10_000:
+                self.specials[last, special] = found
+        return found
+
+    def total(self, text: str) -> int:
+        return int(self.differences(text).sum())
+
+
+def prefix_tokens(differences: Column, chars: Column) -> Column:
+    """The tokens of a text's first `chars` characters, from its table."""
+    return F.aggregate(F.slice(differences, F.lit(1), chars), F.lit(0), lambda n, d: n + d)
+
+
+def longest_within(differences: Column, budget: Column) -> Column:
+    """The characters of a text's longest prefix with at most `budget` tokens, from its table."""
+    start = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("chars"), F.lit(0).alias("best"))
+
+    def step(s: Column, d: Column) -> Column:
+        tokens, chars = s["tokens"] + d, s["chars"] + 1
+        return F.struct(tokens.alias("tokens"), chars.alias("chars"), F.when(tokens <= budget, chars).otherwise(s["best"]).alias("best"))
+
+    return F.aggregate(differences, start, step, lambda s: s["best"])
 
 
 @lru_cache(2)
@@ -183,8 +227,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (LI
     """(doc_id, text) -> doc_id, n_bytes, n_tokens, and for each budget cut_<budget>: the bytes of the longest prefix within it.
 
     `tokenizer` is the path of a byte-level BPE tokenizer .json; its bytes are sent to the tasks. With
-    `with_tables` also ends and counts: the byte at which each piece ends and the tokens up to there.
-    Null and empty texts have 0 bytes and 0 tokens; a null doc_id stays null. Extra columns are ignored.
+    `with_tables` also differences: the table of every prefix, to be stored and asked later.
+    Null and empty texts have 0 bytes, 0 tokens and an empty table; a null doc_id stays null. Extra columns are ignored.
     """
     with open(tokenizer, "rb") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -192,22 +236,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (LI
     def run(batches):
         prefixes = _prefixes(spec.value)
         for df in batches:
-            texts = df["text"].fillna("").tolist()
-            out = {"doc_id": df["doc_id"], "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": []}
-            out |= {f"cut_{b}": [] for b in budgets} | ({"ends": [], "counts": []} if with_tables else {})
-            for text, size in zip(texts, out["n_bytes"], strict=True):
-                pieces, counts = prefixes.counts(text)
-                n = counts[-1] if counts else 0
-                out["n_tokens"].append(n)
-                for b in budgets:
-                    out[f"cut_{b}"].append(size if n <= b else prefixes.cut(pieces, counts, b))
-                if with_tables:
-                    out["ends"].append(list(accumulate(len(p.encode("utf-8", "replace")) for p in pieces)))
-                    out["counts"].append(counts)
-            yield pd.DataFrame(out)
+            for a in range(0, len(df), 256):  # few texts at a time, for long ones
+                some = df.iloc[a : a + 256]
+                out = {"doc_id": some["doc_id"], "n_bytes": [], "n_tokens": []} | {f"cut_{b}": [] for b in budgets} | ({"differences": []} if with_tables else {})
+                for text in some["text"].fillna("").tolist():
+                    found = prefixes.differences(text)
+                    counts = found.cumsum(dtype=np.int64)
+                    n, size = int(counts[-1]) if len(counts) else 0, len(text.encode("utf-8", "replace"))
+                    out["n_bytes"].append(size)
+                    out["n_tokens"].append(n)
+                    for b in budgets:
+                        within = np.flatnonzero(counts <= b) if n > b else [len(text) - 1]
+                        out[f"cut_{b}"].append(len(text[: within[-1] + 1].encode("utf-8", "replace")) if len(within) else 0)
+                    if with_tables:
+                        out["differences"].append(found)
+                yield pd.DataFrame(out)
 
     cuts = "".join(f", cut_{b} long" for b in budgets)
-    tables = ", ends array<long>, counts array<long>" if with_tables else ""
+    tables = ", differences array<short>" if with_tables else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, n_bytes long, n_tokens long{cuts}{tables}")
 
 

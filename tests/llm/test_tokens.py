@@ -1,10 +1,14 @@
 """Token counts and SentencePiece against the libraries."""
 
 import hashlib
+import time
+from itertools import accumulate
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docloom.llm import pieces, token_counts
@@ -24,28 +28,48 @@ def test_counts(spark, sf_dir, docs):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
-    got = {r.doc_id: r for r in token_counts.count_tokens(docs, path, (5,), with_tables=True).collect()}
+    made = token_counts.count_tokens(docs, path, (5,), with_tables=True)
+    asked = made.withColumns({"three": token_counts.prefix_tokens(F.col("differences"), F.lit(3)), "within": token_counts.longest_within(F.col("differences"), F.lit(7))})
+    got = {r.doc_id: r for r in asked.collect()}
     for i, t in enumerate(TEXTS):
+        t = t or ""
         assert got[i].n_tokens == count(t), t
-        assert got[i].n_bytes == len((t or "").encode())
-        if t and len(t) < 200:
-            best = max(n for n in range(len(t) + 1) if count(t[:n]) <= 5)
-            assert got[i].cut_5 == len(t[:best].encode()), t
-            for end, n in zip(got[i].ends, got[i].counts, strict=True):
-                prefix = t.encode()[:end].decode()
-                if not prefix[-1].isspace():
-                    assert count(prefix) == n
+        assert got[i].n_bytes == len(t.encode())
+        assert len(got[i].differences) == len(t) and got[i].three == count(t[:3])
+        if len(t) < 200:
+            counts = [count(t[:n]) for n in range(len(t) + 1)]
+            assert counts == [0, *accumulate(got[i].differences)], t
+            assert got[i].cut_5 == len(t[: max(n for n, c in enumerate(counts) if c <= 5)].encode()), t
+            assert got[i].within == max(n for n, c in enumerate(counts) if c <= 7)
     assert token_counts.count_tokens(docs.limit(0), path).count() == 0
 
 
-def test_every_prefix(spark):
+@pytest.fixture(scope="module")
+def prefixes():
     with open(P.path("byte_bpe_50k.json"), "rb") as f:
-        prefixes = token_counts.Prefixes(f.read())
+        return token_counts.Prefixes(f.read())
+
+
+def test_every_prefix(prefixes, monkeypatch):
+    """Of texts made of what splits in more than one way, with a table that is emptied again and again too."""
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for word in (" internationalisation", "thhaenthhaenerthwhnt", " 1234567", "!!!!??...", "Größe"):
-        whole = prefixes.table(word.encode().decode("latin-1"))
-        for n in range(1, len(word) + 1):
-            assert whole[len(word[:n].encode())] == len(library.encode(word[:n]).ids)
+    rng = np.random.default_rng(1)
+    parts = [*" \n\t'sret!<|endoftext>aé日1", "<|endoftext|>", "  ", "\n\n", "'re", "\u3000", " internationalisation", "x" * 70, " " * 70, "'" * 70, "\x1c"]
+    texts = ["".join(rng.choice(parts, 25)) for _ in range(120)] + [" internationalisation", "thhaenthhaenerthwhnt", " 1234567", "!!!!??...", "Größe", "a!!<|endoftext|>b  <|endoftext|>\n\n<|endoftext|> '<|endoft"]
+    for kept in (token_counts.KEPT, 3000):
+        monkeypatch.setattr(token_counts, "KEPT", kept)
+        for t in texts:
+            assert [0, *accumulate(prefixes.differences(t).tolist())] == [len(library.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)], t
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "'" * 1_000_000, "x" * 1_000_000, " \n" * 500_000 + "x", "!<|endoftext|>" * 70_000])
+def test_long_runs(prefixes, text):
+    """Time in proportion to the text, and no more kept than for short ones."""
+    began = time.process_time()
+    total = int(prefixes.differences(text).sum())
+    assert time.process_time() - began < 6
+    assert total == len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids)
+    assert prefixes.held < token_counts.KEPT and all(len(p) <= token_counts.LONGEST for p in prefixes.tables)
 
 
 def test_documents(spark, sf_dir):
@@ -120,13 +144,18 @@ def test_pieces_spans_of_documents(spark, sf_dir):
 
 
 def test_unknown_pieces():
-    """A model without byte pieces: an unknown piece spans its characters."""
-    import io
+    """A model whose byte pieces are taken away: an unknown piece spans its characters."""
+    from sentencepiece import sentencepiece_model_pb2
 
-    made = io.BytesIO()
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(["ab ab abc cab bca"] * 50), model_writer=made, vocab_size=12, model_type="bpe", normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2)
-    p = pieces.Pieces(made.getvalue())
-    for text in ("ab 日本 cab", "é", "abé", " 🙂🙂 a é"):
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.byte_fallback = False
+    for piece in proto.pieces:
+        if piece.type == 6:
+            piece.type = 5
+    p = pieces.Pieces(proto.SerializeToString())
+    for text in ("ab \U0001f9ff\U0001f9ff cab", "\ue000", "ab\ue000", " 🧿\ue000 a \ue001"):
         ids = p.encode([text])[0]
         starts, ends = p.spans(text, ids)
         assert p.unknown in ids and [0, *ends] == [*starts, len(text.encode())]
