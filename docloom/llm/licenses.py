@@ -13,6 +13,7 @@ texts refer to one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -205,12 +206,32 @@ def _due(low: str) -> list[tuple[int, Rule]]:
     return sorted((i, r) for keyword, some in _squeezed() if keyword in plain for i, r in some)
 
 
+class Covered:
+    """Intervals, of which only those are kept that lie in no other: by start, their ends then rise too, so one bisection tells whether a new one lies within any."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """An interval that none of those here holds; those that lie in it go."""
+        first = bisect_left(self.starts, start)
+        last = bisect_right(self.ends, end, first)
+        self.starts[first:last], self.ends[first:last] = [start], [end]
+
+
 def detect(low: str) -> list[tuple[int, int, Rule]]:
     """The detections in a lower-cased text that are left after suppression: (start, end, rule), by start."""
     taken: list[tuple[int, int, Rule]] = []
+    covered = Covered()
     for _, rule in _due(low):
         for m in rule.pattern.finditer(low):
-            if not any(s <= m.start() and m.end() <= e for s, e, _ in taken):
+            if not covered.holds(m.start(), m.end()):
+                covered.add(m.start(), m.end())
                 taken.append((m.start(), m.end(), rule))
     return sorted(taken, key=lambda x: x[:2])
 

@@ -1,6 +1,7 @@
 """License scans against a plain reading; held-out accuracy of languages and quality."""
 
 import re
+import time
 
 import numpy as np
 
@@ -102,6 +103,43 @@ def test_no_spelling_is_lost():
         assert {r.label for _, _, r in licenses.detect(text.lower())} == {label}, text
 
 
+def _all_pairs(low):
+    """Detections by comparing each with all that were taken before."""
+    taken = []
+    for rule in licenses.rules():
+        for m in rule.pattern.finditer(low):
+            if not any(s <= m.start() and m.end() <= e for s, e, _ in taken):
+                taken.append((m.start(), m.end(), rule))
+    return sorted(taken, key=lambda x: x[:2])
+
+
+def test_suppression():
+    """The sorted intervals against all pairs, on texts of many overlapping references."""
+    rng = np.random.default_rng(2)
+    parts = ["released under the", "mit license", "gnu lesser general public license version 2.1", "gpl v3", "license: bsd-3-clause", "under the apache license, version 2.0", "all rights reserved", "x", "the", "copyright (c) y", "cc by-nc-sa 4.0"]
+    for _ in range(60):
+        low = " ".join(rng.choice(parts, 30))
+        assert licenses.detect(low) == _all_pairs(low)
+    covered, kept = licenses.Covered(), []
+    for a, b in rng.integers(0, 60, (3000, 2)).tolist():
+        a, b = min(a, b), max(a, b)
+        inside = any(s <= a and b <= e for s, e in kept)
+        assert covered.holds(a, b) == inside
+        if not inside:
+            covered.add(a, b)
+            kept.append((a, b))
+
+
+def test_many_detections(spark):
+    """Time in proportion to the text; rows alike have equal results."""
+    low = "under the mit license " * 45_000
+    began = time.process_time()
+    assert len(licenses.detect(low)) == 45_000
+    assert time.process_time() - began < 12
+    rows = [r.asDict() for r in licenses.scan(spark.createDataFrame([(1, "GPL v3, MIT license"), (1, "GPL v3, MIT license")], "doc_id long, text string")).drop("spans").collect()]
+    assert rows[0] == rows[1] and rows[0]["labels"] == "gpl-3,mit"
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     known = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
