@@ -325,10 +325,11 @@ def thumbnail(image: Image, coefficients: np.ndarray) -> np.ndarray:
 
 
 def average_hash(pixels: np.ndarray) -> int:
-    """64 bits: which of 8x8 evenly spaced pixels are over their mean."""
-    rows, columns = pixels.shape
-    some = pixels[np.arange(8) * rows // 8][:, np.arange(8) * columns // 8].astype(np.int64)
-    return int.from_bytes(np.packbits(some * 64 > some.sum()).tobytes(), "big")
+    """64 bits: which of 8x8 areas are brighter than the whole, each averaged over all its pixels (an area without one takes the next)."""
+    down, across = (np.arange(9) * n // 8 for n in pixels.shape)
+    sums = np.add.reduceat(np.add.reduceat(pixels.astype(np.int64), down[:8], axis=0), across[:8], axis=1)
+    counts = np.maximum(np.diff(down), 1)[:, None] * np.maximum(np.diff(across), 1)[None, :]
+    return int.from_bytes(np.packbits(sums * pixels.size > int(pixels.sum(dtype=np.int64)) * counts).tobytes(), "big")
 
 
 def padded(text: bytes) -> bytes:

@@ -8,7 +8,8 @@ with the highest count of its n-grams, each language's count corrected for the f
 filter's fill leads to.
 
 The filters are fitted on at most SAMPLE documents of each language, chosen by the hash of their ids;
-their n-grams are counted in Spark. The table has SLOTS slots, whatever the corpus.
+their n-grams are counted in Spark. Of rows that share id and language one text is learned from. The
+table has SLOTS slots, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, stash, table
+from docloom.llm.common import discard, mix, stash, table
 
 #: Characters of an n-gram; most documents of a language that are learned from; slots; hashes of an n-gram.
 GRAM, SAMPLE, SLOTS, HASHES = 4, 3000, 1 << 20, 3
@@ -63,10 +64,10 @@ def grams(texts: list[str | None]):
         yield mix(h)
 
 
-def _places(h: np.ndarray) -> list[np.ndarray]:
-    """The slots of each hash."""
+def _places(h: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The places of each hash among the slots, a power of two."""
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
+    return [((h + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 def _bit(masks: np.ndarray, i: int) -> np.ndarray:
@@ -93,35 +94,39 @@ def _sample_grams(batches):
                 yield pd.DataFrame({"lang": np.concatenate(keys), "gram": np.concatenate(values)})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, sample: int = SAMPLE, slots: int = SLOTS) -> dict:
     """Filters from documents (doc_id, text, lang). Null languages, null texts and the held-out fold are not learned from."""
-    spark = docs.sparkSession
     usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    langs = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
+    sizes = stash(usable.groupBy("lang").agg(F.count("*").alias("rows")), "language-sizes")
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
     words = -(-len(langs) // BITS) or 1
-    # ids only are ranked; the partial limit keeps a hot language's rows off the exchange
-    ranked = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("place") <= sample).select("doc_id", "lang").distinct()
-    chosen = F.broadcast(chosen) if words == 1 else chosen  # sample ids for each language: with many, Spark decides
-    rows = stash(docs.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]), "language-sample")
+    # a language's size tells below which hash about twice the sample lie: only these ids are ranked, however large it is
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    low = usable.select("doc_id", "lang", place.alias("place")).join(sizes, "lang").where(F.col("place") * F.col("rows").cast("double") < F.lit(2.0 * sample * (1 << 30)))
+    low = low.select("doc_id", "lang", "place").distinct()
+    chosen = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("rank") <= sample).select("doc_id", "lang")
+    chosen = stash(chosen, "language-ids")  # then its size is known: few ids are broadcast, and the texts stay where they are
+    rows = docs.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = stash(rows, "language-sample")
     n = rows.groupBy("lang").agg(F.count("*").alias("n"))
     found = rows.select("lang", "text").mapInPandas(_sample_grams, "lang string, gram long").groupBy("gram", "lang").count().join(F.broadcast(n), "lang").withColumn("share", F.col("count") / F.col("n"))
     most = found.groupBy("gram").agg(F.max("share").alias("most")).where(F.col("most") >= LEAST_SHARE)
     contained = found.join(most, "gram").where((F.col("share") >= LEAST_SHARE) & (F.col("share") * MOST_TIMES >= F.col("most"))).select("lang", "gram")
 
-    def slots(batches):
+    def set_bits(batches):
         at = {lang: i for i, lang in enumerate(langs)}
         for df in batches:
             h = df["gram"].to_numpy(np.int64).view(np.uint64)
             i = np.array([at[x] for x in df["lang"]], np.int64)
             mask = np.uint64(1) << (i % BITS).astype(np.uint64)
-            for place in _places(h):
+            for place in _places(h, slots):
                 yield pd.DataFrame({"slot": place * words + i // BITS, "mask": mask.view(np.int64)})
 
-    got = contained.mapInPandas(slots, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()  # SLOTS rows at most for each word
-    masks = np.zeros(SLOTS * words, np.uint64)
+    got = contained.mapInPandas(set_bits, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()  # a row for each slot and word of a mask at most
+    masks = np.zeros(slots * words, np.uint64)
     masks[got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
-    masks = masks.reshape(SLOTS, words)
+    masks = masks.reshape(slots, words)
+    discard(sizes, chosen, rows)
     fill = np.array([_bit(masks, i).mean() for i in range(len(langs))])
     narrow = masks[:, 0].astype(np.uint8) if len(langs) <= 8 else masks
     return {"langs": langs, "masks": narrow, "false": fill**HASHES}
@@ -137,7 +142,7 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
             names.append("und")
             scores.append(0.0)
             continue
-        places = _places(h)
+        places = _places(h, len(masks))
         mask = masks[places[0]]
         for p in places[1:]:
             mask = mask & masks[p]
@@ -165,7 +170,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; their lang becomes the predicted one."""
+    """Documents that have a language; their lang becomes the predicted one. Columns that documents does not have go."""
     model = spark.sparkContext.broadcast(train(docs))
 
     def run(batches):

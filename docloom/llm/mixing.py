@@ -1,6 +1,7 @@
 """Operator 7: mix sources to target weights within a word budget.
 
-Every document gets a hash-random key (the MD5 of its doc_id). Documents of a source are taken in the
+Every document gets a hash-random key (the MD5 of its doc_id and its text's MD5, so that rows that share
+an id, or have none, lie apart too). Documents of a source are taken in the
 order of their keys until the source's budget is spent; what a budget has beyond the source's size
 repeats it as further epochs. The order is a range sort dealt out by the leading digits of the key:
 a prefix sum over the ranges of a source, then one within each range, so that a source with a third of
@@ -74,13 +75,21 @@ def mix(docs: DataFrame, size: Column, key: Column, weights: tuple[int, ...] = W
     return joined.withColumn("taken", taken.cast("long")).drop("__key", "__range", "__before", "__source", "__r", "start")
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """What a row's key is made of."""
+    return F.concat_ws("/", doc_id.cast("string"), F.md5(text))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: a row for each whole repeat, and one with the first words for the part at the cut. Documents of which nothing is taken go."""
-    # sizes and decisions travel without the texts; rows alike in all of these share what they take
-    alike = F.xxhash64("doc_id", "source", "text")
-    small = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("__n"), alias_of(alike)), "sizes")
-    taken = mix(small, F.col("__n"), F.col("doc_id")).groupBy("__alike").agg(F.first("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).alias("taken"))
-    rows = docs.select("doc_id", "text", "lang", "source", alias_of(alike)).join(taken.where("taken > 0"), "__alike")
+    """The mix as documents: a row for each whole repeat, and one with the first words for the part at the cut. Documents of which nothing is taken go, as do columns that documents does not have.
+
+    Rows are numbered when they are written once more, so that rows alike in all columns each take their own words.
+    """
+    numbered = stash(docs.select("doc_id", "text", "lang", "source").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    # sizes and decisions travel without the texts
+    small = stash(numbered.select("__row", "source", n_words(F.col("text")).alias("__n"), identity(F.col("doc_id"), F.col("text")).alias("__id")), "sizes")
+    taken = mix(small, F.col("__n"), F.col("__id")).where("taken > 0").select("__row", "size", "taken")
+    rows = numbered.join(taken, "__row")
     part = (F.col("taken") % F.col("size")).cast("int")
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     whole = F.array_repeat(F.col("text"), F.floor(F.col("taken") / F.col("size")).cast("int"))
@@ -88,20 +97,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def alias_of(column: Column) -> Column:
-    return column.alias("__alike")
-
-
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, mixed; sizes are word counts, a null text has size 0."""
-    docs = stash(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words")), "sizes")
-    return mix(docs, F.col("words"), F.col("doc_id")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"), identity(F.col("doc_id"), F.col("text")).alias("id"))
+    return mix(stash(docs, "sizes"), F.col("words"), F.col("id")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(concat_ws('/', CAST(doc_id AS VARCHAR), md5(text))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),

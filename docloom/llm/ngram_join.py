@@ -428,7 +428,7 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of each component with the smallest doc_id; documents without words, or without a doc_id, stay."""
+    """Keep the document of each component with the smallest doc_id; documents without words, or without a doc_id, stay. Columns that documents does not have go."""
     found = near_texts(docs)
     # written out, its size is known before the join: few ids are broadcast, and the texts then stay where they are
     lost = stash(found.where("component_id IS NOT NULL AND doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "lost")

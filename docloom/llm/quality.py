@@ -8,7 +8,7 @@ labelled rows of the training fold. With the logistic loss the sigmoid of the ou
 chance of label 1.
 
 Features are computed in Spark for all texts by numpy: shares of kinds of characters, of repeated words
-and of repeated runs, lengths. The network is fitted on the driver on at most SAMPLE positives and
+and of repeated pairs, of repeats within windows, lengths. The network is fitted on the driver on at most SAMPLE positives and
 SAMPLE unlabelled rows, chosen by the hash of their ids; only their features go there. Scoring is one
 pass over the texts with the network's few thousand weights.
 """
@@ -34,6 +34,14 @@ KINDS = 7 + len(_MARKS)
 FEATURES = KINDS + 10
 
 
+def _window_variety(w: np.ndarray) -> float:
+    """The share of distinct words within windows of 64 words, over all of them (the last may be shorter)."""
+    cut = len(w) // 64 * 64
+    whole, rest = np.sort(w[:cut].reshape(-1, 64), axis=1), np.sort(w[cut:])
+    same = (whole[:, 1:] == whole[:, :-1]).sum() + (rest[1:] == rest[:-1]).sum()
+    return 1 - same / len(w)
+
+
 def text_features(texts: list[bytes]) -> np.ndarray:
     """A row of FEATURES numbers for each text; all zero for an empty one."""
     out = np.zeros((len(texts), FEATURES), np.float32)
@@ -53,15 +61,35 @@ def text_features(texts: list[bytes]) -> np.ndarray:
                 _, each = np.unique(w, return_counts=True)
                 pairs = mix(w[1:] + w[:-1] * np.uint64(0x9E3779B97F4A7C15))
                 distinct = len(np.unique(pairs)) / max(1, len(pairs))
-                runs = [len(np.unique(w[:: max(1, n // 64)])) / len(w[:: max(1, n // 64)])]
                 out[a + i, KINDS:] = (
                     np.log1p(n) / 8, np.log1p(sizes[i]) / 10, sizes[i] / n / 20, len(each) / n, each.max() / n,
-                    (w[1:] == w[:-1]).mean() if n > 1 else 0, distinct, runs[0], counts[i, 2] / max(1, counts[i, 1] + counts[i, 2]), 1,
+                    (w[1:] == w[:-1]).mean() if n > 1 else 0, distinct, _window_variety(w), counts[i, 2] / max(1, counts[i, 1] + counts[i, 2]), 1,
                 )
             start = end
     return out
 
 
+def risk(w: dict, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive and the negative part of the unbiased risk, with the logistic loss: its sum may turn negative, which no risk is."""
+    f = lambda x: np.tanh(x @ w["w"] + w["b"]) @ w["v"] + w["c"]
+    loss = lambda z: np.logaddexp(0, z).mean()
+    return prior * loss(-f(xp)), loss(f(xu)) - prior * loss(f(xp))
+
+
+def step_direction(w: dict, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[bool, dict]:
+    """Whether the negative part is below 0, and the gradient to follow: that of both parts, or else of the negative part away from 0; with a little weight decay."""
+    x = np.concatenate([xp, xu])
+    h = np.tanh(x @ w["w"] + w["b"])
+    f = h @ w["v"] + w["c"]
+    fp, fu = f[: len(xp)], f[len(xp) :]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    below = bool(np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean() < 0)
+    of_negative = np.concatenate([-prior * sigmoid(fp) / len(xp), sigmoid(fu) / len(xu)])
+    grad = -of_negative if below else np.concatenate([-prior * sigmoid(-fp) / len(xp), np.zeros(len(xu))]) + of_negative
+    inner = grad[:, None] * w["v"] * (1 - h * h)
+    return below, {"w": x.T @ inner + 1e-4 * w["w"], "b": inner.sum(0), "v": h.T @ grad + 1e-4 * w["v"], "c": grad.sum()}
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, rate: float = 0.01, seed: int = 7) -> dict:
     """The network's weights; deterministic for given rows. Without rows of both kinds it gives the prior for all."""
     prior = float(min(max(prior, 1e-3), 1 - 1e-3))
@@ -74,19 +102,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     p, u = np.clip(p, -8, 8), np.clip(u, -8, 8)
     w = {"w": rng.standard_normal((FEATURES, hidden)) / np.sqrt(FEATURES), "b": np.zeros(hidden), "v": rng.standard_normal(hidden) / np.sqrt(hidden), "c": np.array(np.log(prior / (1 - prior)))}
     m1, m2 = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
-    sigmoid = lambda f: 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-    soft = lambda f: np.logaddexp(0, f)
     for step in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 512)]
-        x = np.concatenate([xp, xu])
-        h = np.tanh(x @ w["w"] + w["b"])
-        f = h @ w["v"] + w["c"]
-        fp, fu = f[:512], f[512:]
-        negative = soft(fu).mean() - prior * soft(fp).mean()
-        grad_negative = np.concatenate([-prior * sigmoid(fp) / 512, sigmoid(fu) / 512])
-        grad = -grad_negative if negative < 0 else np.concatenate([-prior * sigmoid(-fp) / 512, np.zeros(512)]) + grad_negative
-        gh = grad[:, None] * w["v"] * (1 - h * h)
-        grads = {"w": x.T @ gh + 1e-4 * w["w"], "b": gh.sum(0), "v": h.T @ grad + 1e-4 * w["v"], "c": grad.sum()}
+        grads = step_direction(w, p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 512)], prior)[1]
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
             m1[k] = 0.9 * m1[k] + 0.1 * g
@@ -126,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     unlabelled = ids.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("kind"), order.alias("order"))
     chosen = unlabelled.distinct().orderBy("order").limit(sample).union(positive)  # at most 2 * sample ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInPandas(_features, "kind int, order long, x array<float>").toPandas().sort_values(["order", "kind"], kind="stable")
+    found = rows.mapInPandas(_features, "kind int, order long, x array<float>").groupBy("kind", "order").agg(F.min("x").alias("x"))  # of rows that share a doc_id one
+    got = found.toPandas().sort_values(["order", "kind"], kind="stable")
     x = np.stack(got["x"].tolist()) if len(got) else np.zeros((0, FEATURES), np.float32)
     kind = got["kind"].to_numpy()
     return fit(x[kind == 1], x[kind == 0] if (kind == 0).sum() >= 50 else x, 0.5 if prior is None else prior)
@@ -147,7 +165,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts. Columns that documents does not have go."""
     model = train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     weights = spark.sparkContext.broadcast(model)
 

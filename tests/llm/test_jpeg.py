@@ -154,3 +154,18 @@ def test_query(spark, sf_dir):
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and ":" in r.feature
+
+
+def test_average_hash():
+    """Areas averaged over all their pixels, one by one."""
+    rng = np.random.default_rng(4)
+    for shape in ((8, 8), (26, 26), (9, 31), (1, 1), (3, 50), (7, 8)):
+        pixels = rng.integers(0, 256, shape).astype(np.uint8)
+        bits = ""
+        for i in range(8):
+            for j in range(8):
+                rows = range(i * shape[0] // 8, max((i + 1) * shape[0] // 8, i * shape[0] // 8 + 1))
+                columns = range(j * shape[1] // 8, max((j + 1) * shape[1] // 8, j * shape[1] // 8 + 1))
+                area = [int(pixels[r, c]) for r in rows for c in columns]
+                bits += str(int(sum(area) * pixels.size > int(pixels.astype(int).sum()) * len(area)))
+        assert jpeg.average_hash(pixels) == int(bits, 2)

@@ -2,8 +2,11 @@
 
 import re
 import time
+import unicodedata
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docloom.llm import language, licenses, quality
 
@@ -180,6 +183,86 @@ def test_more_languages_than_bits(spark):
     assert len(right) > 0.9 * len(rows) and len({r.lang for r in right}) > 0.95 * n
 
 
+def _plain_language(rows, model_rows, size):
+    """The operator in plain Python: sets of n-grams, a bit for each slot and language, counts. -> by text (name, score)."""
+    low64 = (1 << 64) - 1
+
+    def scramble(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & low64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & low64
+        return x ^ (x >> 31)
+
+    def grams(text):
+        out = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        out = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in out)
+        out = " " + re.sub(" +", " ", out) + " "
+        found = []
+        for i in range(max(1, len(out) - language.GRAM + 1)):
+            h = 0
+            for c in out[i : i + language.GRAM]:
+                h = (h * 0x100000001B3 + ord(c)) & low64
+            found.append(scramble(h))
+        return found
+
+    def slots(h):
+        step = (h >> 32) | 1
+        return [(h + k * step & low64) % size for k in range(language.HASHES)]
+
+    langs = sorted({lang for _, lang in model_rows})
+    shares = {lang: Counter() for lang in langs}
+    sizes = Counter(lang for _, lang in model_rows)
+    for text, lang in model_rows:
+        shares[lang].update(set(grams(text)) if any(map(str.isalpha, text)) else [])
+    shares = {lang: {g: n / sizes[lang] for g, n in c.items()} for lang, c in shares.items()}
+    bits = {lang: set() for lang in langs}
+    for lang in langs:
+        for g, s in shares[lang].items():
+            if s >= language.LEAST_SHARE and s * language.MOST_TIMES >= max(shares[o].get(g, 0) for o in langs):
+                bits[lang].update(slots(g))
+    out = []
+    for text in rows:
+        if not any(map(str.isalpha, text or "")):
+            out.append(("und", 0.0))
+            continue
+        own, best = grams(text), []
+        for lang in langs:
+            n = sum(all(s in bits[lang] for s in slots(g)) for g in own)
+            false = (len(bits[lang]) / size) ** language.HASHES
+            best.append((min(1.0, max(0.0, (n / len(own) - false) / (1 - false))), lang))
+        top = max(s for s, _ in best)
+        out.append((next(lang for s, lang in best if s == top), top))
+    return out
+
+
+def test_language_against_plain_python(spark, sf_dir):
+    """Membership, popcounts and correction, with so few slots that false positives occur."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL").limit(60).select("doc_id", F.substring("text", 1, 400).alias("text"), "lang")
+    docs = spark.createDataFrame([*docs.collect(), (10**6, "", "en"), (10**6 + 1, "ÉtÉ ß 12", "en"), (10**6 + 2, "a", "de")], docs.schema)
+    rows = docs.withColumn("held", language.held_out(F.col("doc_id"))).collect()
+    model = language.train(docs, slots=1 << 14)
+    want = _plain_language([r.text for r in rows], [(r.text, r.lang) for r in rows if not r.held], 1 << 14)
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    for r, (name, score) in zip(rows, want, strict=True):
+        assert got[r.doc_id].lang_pred == name and abs(got[r.doc_id].score - score) < 1e-9, r
+
+
+def test_language_sample(spark):
+    """At most the sample of each language, one text of rows that share an id; a hot language is thinned before it is ranked."""
+    rows = [(i, f"wort{i} und", "de") for i in range(4000)] + [(5000 + i, f"word{i} and", "en") for i in range(50)] + [(3, "noch ein text", "de")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkey = language.stash
+    try:
+        language.stash = lambda df, name: seen.append((name, monkey(df, name))) or seen[-1][1]
+        discard, language.discard = language.discard, lambda *a: None
+        language.train(docs, 100)
+    finally:
+        language.stash, language.discard = monkey, discard
+    sample = dict(seen)["language-sample"].groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in sample} == {"de": 100, "en": dict(seen)["language-sample"].where("lang = 'en'").count()}
+    assert 30 < dict(seen)["language-sample"].where("lang = 'en'").count() <= 50
+
+
 def test_quality(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = quality.op10_quality(spark, sf_dir).collect()
@@ -204,3 +287,69 @@ def test_non_negative_risk():
     model = quality.fit(make(3000, 1.2), np.concatenate([make(2800, 1.2), make(1200, -1.2)]), 0.7)
     high, low = quality.predict(model, make(500, 1.2)), quality.predict(model, make(500, -1.2))
     assert (high[:, None] > low[None, :]).mean() > 0.97 and high.mean() > 0.8 and low.mean() < 0.5
+
+
+def _plain_features(text):
+    """The features one by one, from the text's bytes."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * quality.FEATURES
+    kinds = [0] * quality.KINDS
+    for b in raw:
+        c = chr(b)
+        kind = 6 if b >= 128 else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if c.isdigit() else 4 if b in (32, 9, 11, 12) else 5 if b in (10, 13) else 7 + quality._MARKS.index(b) if b in quality._MARKS else 0
+        kinds[kind] += 1
+    out = [(n / len(raw)) ** 0.5 for n in kinds]
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+    if not w:
+        return out + [0.0] * 10
+    pairs = list(zip(w, w[1:], strict=False))
+    windows = [w[i : i + 64] for i in range(0, len(w), 64)]
+    return out + [
+        np.log1p(len(w)) / 8, np.log1p(len(raw)) / 10, len(raw) / len(w) / 20, len(set(w)) / len(w), max(Counter(w).values()) / len(w),
+        sum(a == b for a, b in pairs) / len(pairs) if pairs else 0, len(set(pairs)) / max(1, len(pairs)), sum(len(set(x)) for x in windows) / len(w), kinds[2] / max(1, kinds[1] + kinds[2]), 1,
+    ]
+
+
+def test_features_against_plain_python(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).collect()] + ["", None, "  \n", "one", "Same same SAME", "x " * 5000, "É日本 1,2;3"]
+    got = quality.text_features([(t or "").encode() for t in texts])
+    assert np.allclose(got, np.array([_plain_features(t) for t in texts]), atol=1e-5)
+
+
+def test_risk_gradient():
+    """The step follows the non-negative risk: numerical gradients of the parts, on both sides of 0."""
+    rng = np.random.default_rng(0)
+    seen = set()
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0)):
+        w = {"w": np.abs(rng.standard_normal((5, 4))), "b": rng.standard_normal(4), "v": rng.standard_normal(4) + shift, "c": np.array(0.2 + shift)}
+        xp, xu = rng.standard_normal((30, 5)) + shift, rng.standard_normal((40, 5)) - shift
+        below, grads = quality.step_direction(w, xp, xu, prior)
+        positive, negative = quality.risk(w, xp, xu, prior)
+        seen.add(below)
+        assert below == (negative < 0)
+        for k in w:
+            for at in np.ndindex(w[k].shape):
+                def value(step, k=k, at=at):
+                    moved = {n: x.astype(float).copy() for n, x in w.items()}
+                    moved[k][at] += step
+                    a, b = quality.risk(moved, xp, xu, prior)
+                    return -b if below else a + b
+
+                slope = (value(1e-5) - value(-1e-5)) / 2e-5 + (1e-4 * w[k][at] if k in "wv" else 0)
+                assert abs(slope - np.asarray(grads[k])[at]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_scores_against_plain_python(spark, sf_dir):
+    """The network's output written out, and that a label's copies, clashing columns and repeated ids change nothing that is not theirs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumns({"text": F.lit("other"), "kind": F.lit(7), "order": F.lit(1), "score": F.lit("x")})
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs.withColumn("quality", F.lit(9)), model).collect()}
+    for r in docs.limit(20).collect():
+        x = np.clip((np.array(_plain_features(r.text)) - model["mean"]) / model["scale"], -8, 8)
+        f = sum(float(np.tanh(x @ model["w"][:, j] + model["b"][j])) * model["v"][j] for j in range(len(model["v"]))) + float(model["c"])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-f))) < 1e-4
+    again = quality.train(docs, labels.union(labels))
+    assert np.allclose(again["w"], model["w"]) and np.allclose(again["v"], model["v"])
