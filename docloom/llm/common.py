@@ -106,29 +106,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared folder. Nulls and loops in edges are ignored.
     """
 
-    def keep(df: DataFrame) -> tuple[DataFrame, tuple]:
-        seen = Observation()
-        stored = stash(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
-        return stored, (seen.get.get("n") or 0, seen.get.get("sum"))
+    def settled(edges: DataFrame) -> bool:
+        """Whether the edges are stars: no node has two edges down, or one down and one up."""
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down > 0 AND up > 0").isEmpty()
 
-    edges, before = keep(edges.where("a <> b").select("a", "b").mapInPandas(_forest, "a long, b long").distinct())
+    edges = stash(edges.where("a <> b").select("a", "b").mapInPandas(_forest, "a long, b long").distinct(), "edges")
     for _ in range(max_rounds):
-        if not before[0]:
-            break
+        if settled(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         # a node's other neighbours get its smallest one; that edge itself stays
         small = large.join(least, F.col("a") == F.col("k")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        was, (edges, now) = edges, keep(small)
+        was, edges = edges, stash(small, "edges")
         discard(was)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError("connected components did not settle")
 
 
 def text_chunks(texts: list[bytes], most: int = 1 << 19):

@@ -14,10 +14,10 @@ last, so that a passage common to thousands of documents brings none of them tog
    in which two parity bitmaps differ is a member that only one of the sets holds, so the bit count
    bounds the overlap from above; pairs that it leaves are checked by intersecting the sorted sets,
    made again from the texts of the documents that a semi-join by doc_id leaves.
-4. rounds: first each class proposes only its most similar partner in a tile. Links that hold join
-   components, and tiles within one component are done with, so a group of near copies costs links in
-   proportion to its size. The last round proposes every remaining pair of different components,
-   so that no link between components is lost.
+4. two rounds: in the first each class proposes only its most similar partner in a tile. Links that
+   hold join components, and tiles within one component are done with, so a group of near copies costs
+   links in proportion to its size. The second round proposes every remaining pair of different
+   components, so that no link between components is lost.
 
 Sets are compared by 64-bit hashes: with n distinct runs in the corpus the chance that any two collide
 is n^2 / 2^65.
@@ -381,12 +381,10 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     discard(shared, was)  # all that comes later is made from stored tables
 
     components, tested, sets = None, None, None
-    for every in (False, False, True):
+    for every in (False, True):
         members = rows.withColumn("comp", F.col("key"))
         if components is not None:
             members = rows.join(components, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
-        if not every:  # an eighth of the members brings near copies together
-            members = members.where(F.pmod(F.xxhash64("member"), F.lit(8)) == 0)
         tiled = _small_tiles(members.where("NOT large")).unionByName(_large_tiles(members.where("large")))
         tiled = tiled.join(classes.select("key", "bits"), "key").repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
         pairs = tiled.mapInPandas(_proposals(every), "a long, b long").distinct()
