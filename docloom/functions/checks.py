@@ -24,7 +24,7 @@ def pass_rate(column: Column) -> Column:
 #: Checks by stage: name -> (severity if it fails, condition in SQL over the stage's metrics).
 CATALOGUE = {
     "intake": {"file_exists": ("error", "true"), "size_nonzero": ("error", "size_bytes > 0"), "extension_present": ("warn", "extension <> ''"), "sha256_computed": ("warn", "length(sha256) = 64")},
-    "format": {"mime_resolved": ("warn", "mime <> 'application/octet-stream'"), "encoding_detected": ("warn", "encoding NOT IN ('binary', 'unknown')"), "not_scanned_pdf": ("warn", "sub_structure <> 'scanned_pdf'"), "sub_structure_classified": ("warn", "sub_structure <> 'unknown'")},
+    "format": {"mime_resolved": ("warn", "mime <> 'application/octet-stream'"), "encoding_detected": ("warn", "encoding NOT IN ('binary', 'unknown')"), "not_scanned_pdf": ("warn", "sub_structure <> 'scanned-pdf'"), "sub_structure_classified": ("warn", "sub_structure <> 'unknown'")},
     "parse": {"word_count_positive": ("warn", "word_count > 0"), "content_extracted": ("warn", "blocks + tables > 0"), "parser_matched_mime": ("warn", "true")},
     "intel": {"doc_type_classified": ("warn", "doc_type <> 'other'"), "domain_detected": ("warn", "domain <> 'general'"), "summary_generated": ("warn", "summary <> ''"), "entities_extracted": ("warn", "entities > 0")},
     "chunk": {"chunks_created": ("error", "chunks > 0"), "avg_tokens_in_range": ("warn", "avg_tokens BETWEEN 30 AND 600"), "no_empty_chunks": ("warn", "min_tokens >= 20"), "coverage": ("warn", "coverage >= 90")},

@@ -18,17 +18,22 @@ def without_cid(text: Column) -> Column:
     return F.regexp_replace(text, CID, "")
 
 
+#: White space of any script and the four control characters that separate records.
+BLANK = r"\s\x1c-\x1f"
+
+
 def gibberish_signals(text: Column) -> dict[str, Column]:
-    """Long runs of one character for 100 characters, vowels among letters, characters that are no letters or white space."""
+    """Letters of any script; long runs of one character for 100 characters; vowels among letters; the share of characters other than letters, blanks apart."""
     size = F.greatest(F.length(text), F.lit(1))
-    letters = F.length(F.regexp_replace(text, r"[^A-Za-z]", ""))
-    vowels = F.length(F.regexp_replace(text, r"[^AEIOUaeiou]", ""))
-    other = F.length(F.regexp_replace(text, r"[\p{L}\s]", ""))
+    letters = F.length(F.regexp_replace(F.lower(text), r"[^\p{L}]", ""))
+    vowels = F.length(F.regexp_replace(F.lower(text), r"[^aeiou]", ""))
+    filled = F.length(F.regexp_replace(text, f"(?U)[{BLANK}]", ""))
+    other = F.length(F.regexp_replace(text, rf"(?U)[\p{{L}}{BLANK}]", ""))
     return {
         "letters": letters,
-        "runs": F.regexp_count(text, F.lit(r"(.)\1{4,}")) * 100.0 / size,
+        "runs": F.regexp_count(text, F.lit(r"(?d)(.)\1{4,}")) * 100.0 / size,
         "vowels": F.when(letters > 0, vowels / letters).otherwise(F.lit(0.0)),
-        "other": other / size,
+        "other": other / F.greatest(filled, F.lit(1)),
     }
 
 

@@ -15,6 +15,8 @@ BY_EXTENSION = {
     "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
     "txt": "text/plain",
 }
+#: Further types that the name of a file tells where its content does not.
+FURTHER = {"doc": "application/msword", "xls": "application/vnd.ms-excel", "ppt": "application/vnd.ms-powerpoint", "csv": "text/csv", "md": "text/markdown", "xml": "text/xml", "log": "text/plain"}
 IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
 UNKNOWN = "application/octet-stream"
 
@@ -39,10 +41,11 @@ def mime(content: Column, path: Column) -> Column:
     """By the first bytes; zip containers and texts by the name."""
     head = F.hex(F.substring(content, 1, 4))
     start = F.lower(F.substring(content, 1, 512).cast("string"))
-    named = mime_by_name(path)
+    named = _lookup(BY_EXTENSION | FURTHER, extension(path), UNKNOWN)
     return (
         F.when(head == "25504446", "application/pdf")
         .when(head == "504B0304", F.when(named.startswith("application/vnd"), named).otherwise("application/zip"))
+        .when(head == "D0CF11E0", F.when(named.isin("application/msword", "application/vnd.ms-excel", "application/vnd.ms-powerpoint"), named).otherwise("application/x-ole-storage"))
         .when(head == "89504E47", "image/png")
         .when(head.startswith("FFD8FF"), "image/jpeg")
         .when(start.rlike(r"^\s*(<!doctype html|<html|<head|<body)"), "text/html")
@@ -53,14 +56,14 @@ def mime(content: Column, path: Column) -> Column:
 
 def sub_structure(kind: Column, content: Column) -> Column:
     """A label for each type; a PDF without a font in its first 64 KB is a scan."""
-    has_font = F.instr(F.substring(content, 1, 65536).cast("string"), "/Font") > 0
+    has_font = F.contains(F.substring(content, 1, 65536), F.lit(bytearray(b"/Font")))
     return (
-        F.when(kind == "application/pdf", F.when(has_font, "native_pdf").otherwise("scanned_pdf"))
-        .when(kind.contains("spreadsheetml"), "spreadsheet")
-        .when(kind.contains("wordprocessingml"), "word_document")
-        .when(kind.contains("presentationml"), "presentation")
-        .when(kind == "text/html", "web_page")
-        .when(kind == "text/plain", "plain_text")
+        F.when(kind == "application/pdf", F.when(has_font, "text-native-pdf").otherwise("scanned-pdf"))
+        .when(kind.contains("spreadsheetml") | (kind == "application/vnd.ms-excel"), "spreadsheet-xlsx")
+        .when(kind.contains("wordprocessingml") | (kind == "application/msword"), "docx-document")
+        .when(kind.contains("presentationml"), "pptx-presentation")
+        .when(kind == "text/html", "html-document")
+        .when(kind.startswith("text/"), "plain-text")
         .otherwise("unknown")
     )
 

@@ -10,12 +10,11 @@ NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_number(cell: Column) -> Column:
-    """A cell as double: currency signs before it, commas within, parentheses for negative; null for blanks and all else."""
-    text = F.trim(F.coalesce(cell, F.lit("")))
-    negative = text.rlike(r"^\(.*\)$")
-    text = F.when(negative, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
-    text = F.regexp_replace(F.trim(text), r"^(?:[₱$€£¥]|P )\s*", "")
-    text = F.replace(F.trim(text), F.lit(","), F.lit(""))
+    """A cell as double: a currency sign before it (or the letter p and a blank), then parentheses for negative, commas within; null for blanks and all else."""
+    text = F.trim(F.regexp_replace(F.trim(F.coalesce(cell, F.lit(""))), r"^(?:[₱$€£¥]\s*|[Pp]\s+)", ""))
+    negative = text.rlike(r"(?s)^\(.*\)$")
+    text = F.when(negative, F.trim(F.regexp_replace(text, r"^\(|\)$", ""))).otherwise(text)
+    text = F.replace(text, F.lit(","), F.lit(""))
     value = F.when(text.rlike(NUMBER), text).try_cast("double")
     return F.when(negative, -value).otherwise(value)
 

@@ -24,16 +24,6 @@ def normalise_score(score: Column) -> Column:
 MULTIPLIER, INCREMENT = 6364136223846793005, 1442695040888963407
 
 
-def mock_vector(text: str, dim: int) -> np.ndarray:
-    """A unit vector that depends on the text alone: the generator seeded with its SHA-256."""
-    state, out = int.from_bytes(hashlib.sha256(text.encode()).digest(), "big") & (1 << 64) - 1, np.zeros(dim)
-    for i in range(dim):
-        state = (state * MULTIPLIER + INCREMENT) & (1 << 64) - 1
-        out[i] = ((state >> 17) & 0xFFFF) / 32768.0 - 1.0
-    size = np.linalg.norm(out)
-    return out / (size if size else 1.0)
-
-
 def mock_embedding(text: Column, dim: int = 64) -> Column:
     """Vectors of a text column; all texts of a batch step through the generator together."""
 

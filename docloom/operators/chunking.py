@@ -9,98 +9,126 @@ from pyspark.sql import functions as F
 from docloom.config import DEFAULT, Config
 from docloom.functions.text import SPACES_SQL, estimate, tokens
 
-CHUNK = "chunk_pos long, text string, token_count long, page int, heading_path string"
+#: Deepest heading level that breadcrumbs tell apart.
+LEVELS = 9
 
 
 def words_for(tokens_: int, config: Config = DEFAULT) -> int:
     return int(tokens_ / config.tokens_per_word)
 
 
-def _estimate(text: str, config: Config) -> int:
-    return max(1, int(len(text.split()) * config.tokens_per_word))
+def _tokens(words: int, config: Config) -> int:
+    return max(1, int(words * config.tokens_per_word)) if words else 0
 
 
-def fold_blocks(blocks: list[tuple], config: Config = DEFAULT) -> list[dict]:
-    """Chunks of one document's blocks (level, text, page) in order.
+def cuts(words: list[int], levels: list[int], config: Config = DEFAULT) -> list[tuple[int, int, int]]:
+    """Where a document's chunks lie, from the words and heading levels (0: body) of its blocks alone: (first block, end, words of overlap).
 
-    A heading ends the chunk before it, under the old breadcrumb, and begins one under its own; fewer
-    than the least tokens before a heading are carried over to it. Body text that would pass the target
-    ends the chunk too, whose last words then begin the next. What is left at the end is dropped if it
-    is under the least, unless nothing was made at all: then windows over all words are.
+    A chunk is a run of blocks after the last words of the blocks before it. It ends before a body block
+    that would take it past the target (the next chunk then overlaps it) and before a heading (then it
+    does not); one under the least is no chunk: its words go on into the next, or are lost at the end.
     """
-    path: list[str] = []
-    held: list[str] = []
-    size, page, out = 0, None, []
-    tail_words = words_for(config.chunk_overlap, config)
-
-    def flush(overlap: bool) -> None:
-        nonlocal held, size
-        text = " ".join(held)
-        if size >= config.chunk_least:
-            out.append({"text": text, "token_count": _estimate(text, config), "page": page, "heading_path": " > ".join(path) or None})
-        held = [" ".join(text.split()[-tail_words:])] if overlap and text else []
-        size = _estimate(held[0], config) if held else 0
-
-    for level, text, at in blocks:
-        if not (text or "").strip():
-            continue
-        n = _estimate(text, config)
-        if level:
-            carried = held if 0 < size < config.chunk_least else []
-            flush(False)
-            path = path[: level - 1] + [text]
-            held, page = [*carried, text], at
-            size = sum(_estimate(t, config) for t in held)
-            continue
-        if held and size + n > config.chunk_target:
-            flush(True)
-            page = at if at is not None else page
-        held.append(text)
-        size += n
-        page = at if at is not None else page
-    flush(False)
-    if not out:
-        width, overlap = words_for(config.fallback_tokens, config), words_for(config.window_overlap, config)
-        words = " ".join(t for _, t, _ in blocks if (t or "").strip()).split()
-        for start in range(0, len(words), width - overlap):
-            text = " ".join(words[start : start + width])
-            out.append({"text": text, "token_count": _estimate(text, config), "page": None, "heading_path": None})
-            if start + width >= len(words):
-                break
-    return merge_small(out, config)
-
-
-def merge_small(chunks: list[dict], config: Config = DEFAULT) -> list[dict]:
-    """Chunks under the least go into the next one, the last into the one before; positions are given anew."""
-    out: list[dict] = []
-    carried = ""
-    for i, c in enumerate(chunks):
-        text = f"{carried} {c['text']}".strip()
-        carried = ""
-        if _estimate(text, config) < config.chunk_least and (i + 1 < len(chunks) or out):
-            if i + 1 < len(chunks):
-                carried = text
-            else:
-                text = f"{out[-1]['text']} {text}"
-                out[-1] |= {"text": text, "token_count": _estimate(text, config)}
-            continue
-        out.append(c | {"text": text, "token_count": _estimate(text, config)})
-    return [{"chunk_pos": i} | c for i, c in enumerate(out)]
+    found, first, overlap, held, size = [], 0, 0, 0, 0
+    for i, (n, level) in enumerate(zip(words, levels, strict=True)):
+        past = not level and size > 0 and size + _tokens(n, config) > config.chunk_target
+        if past or level and size >= config.chunk_least:
+            if size >= config.chunk_least:
+                found.append((first, i, overlap))
+            first, overlap = i, min(held, words_for(config.chunk_overlap, config)) if past else 0
+            held, size = overlap, _tokens(overlap, config)
+        held, size = held + n, size + _tokens(n, config)
+    return found + [(first, len(words), overlap)] * (size >= config.chunk_least)
+
+
+def _breadcrumbs(blocks: DataFrame, key: str) -> DataFrame:
+    """blocks with heading_path: the headings above each block and itself, joined by ` > `.
+
+    A heading's depth is its level, but at most one more than the depth before it: over a document's
+    headings the least of level less number so far, plus the number. The text at each depth is that of the last
+    heading there.
+    """
+    so_far = Window.partitionBy(key).orderBy("pos")
+    heading = F.col("level") > 0
+    df = blocks.withColumn("nth", F.sum(heading.cast("int")).over(so_far))
+    least = F.min(F.when(heading, F.least(F.col("level"), F.lit(LEVELS)) - F.col("nth"))).over(so_far)
+    df = df.withColumn("depth", F.when(heading, F.col("nth") + F.least(F.lit(0), least)))
+    above = F.array(*[F.last(F.when(F.col("depth") == d, F.col("text")), ignorenulls=True).over(so_far) for d in range(1, LEVELS + 1)])
+    here = F.coalesce(F.last("depth", ignorenulls=True).over(so_far), F.lit(0)).cast("int")
+    return df.withColumn("heading_path", F.when(here > 0, F.array_join(F.slice(above, F.lit(1), here), " > "))).drop("depth")
 
 
 def heading_chunks(blocks: DataFrame, key: str = "doc_id", page: str | None = None, config: Config = DEFAULT) -> DataFrame:
-    """(key, pos, level, text) -> (key, chunk_pos, text, token_count, page, heading_path). The fold runs within a document; documents are spread over the tasks."""
-    own = F.struct("pos", "level", "text", (F.col(page) if page else F.lit(None).cast("int")).alias("page"))
-    docs = blocks.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("blocks"))
-    kind = dict(blocks.dtypes)[key]
+    """(key, pos, level, text) -> (key, chunk_pos, text, token_count, page, heading_path).
+
+    Blank blocks are left out. A chunk's page is the last one known at its end since the last heading, its
+    heading_path that of its last block. A document whose blocks make no chunk gives its whole text, in
+    windows if it is long. Where chunks end is found from counts alone; texts never leave the JVM.
+    """
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    own = blocks.select(key, "pos", F.coalesce(F.col("level").cast("int"), F.lit(0)).alias("level"), text.alias("text"), (F.col(page).cast("int") if page else F.lit(None).cast("int")).alias("page")).where("text <> ''")
+    own = _breadcrumbs(own, key).withColumn("n", F.size(tokens(F.col("text"))))
+    own = own.withColumn("page_now", F.last("page", ignorenulls=True).over(Window.partitionBy(key, "nth").orderBy("pos")))
+    docs = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "text", "n", "page", "page_now", "heading_path"))).alias("b"))
+
+    @F.pandas_udf("array<int>")
+    def found(words: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series([[x for cut in cuts(list(w), list(lv), config) for x in cut] for w, lv in zip(words, levels, strict=True)])
+
+    docs = docs.withColumn("texts", F.col("b.text")).withColumn("cut", found(F.col("b.n"), F.col("b.level")))
+
+    def chunk(k: Column) -> Column:
+        first, end, overlap = (F.element_at("cut", 3 * k + i) for i in (1, 2, 3))
+        # every block has a word, so that many blocks hold the overlap
+        before = tokens(F.array_join(F.slice("texts", F.greatest(F.lit(1), first - overlap + 1), F.least(first, overlap)), " "))
+        tail = F.slice(before, F.greatest(F.lit(1), F.size(before) - overlap + 1), overlap)
+        said = F.array_join(F.concat(tail, F.slice("texts", first + 1, end - first)), " ")
+        last = F.element_at("b", end)
+        return F.struct(said.alias("text"), last["page_now"].alias("page"), last["heading_path"].alias("heading_path"))
+
+    whole = F.array_join("texts", "\n\n")
+    width, step = words_for(config.fallback_tokens, config), words_for(config.fallback_tokens, config) - words_for(config.window_overlap, config)
+    words = tokens(whole)
+    last = F.greatest(F.lit(0), F.ceil((F.size(words) - width) / F.lit(step))).cast("int")
+    bare = lambda t: F.struct(t.alias("text"), F.element_at("b", 1)["page"].alias("page"), F.lit(None).cast("string").alias("heading_path"))
+    long = F.transform(F.sequence(F.lit(0), last), lambda k: bare(F.array_join(F.slice(words, k * step + 1, F.lit(width)), " ")))
+    rest = F.when(estimate(F.size(words)) <= config.fallback_tokens, F.array(bare(whole))).otherwise(long)
+    made = F.when(F.size("cut") > 0, F.transform(F.sequence(F.lit(0), (F.size("cut") / 3).cast("int") - 1), chunk)).otherwise(rest)
+    out = docs.select(key, F.posexplode(made).alias("chunk_pos", "c"))
+    return out.select(key, F.col("chunk_pos").cast("long"), "c.text", estimate(F.size(tokens(F.col("c.text")))).alias("token_count"), "c.page", "c.heading_path")
+
+
+def small_groups(sizes: list[int], words: list[int], config: Config = DEFAULT) -> list[int]:
+    """For each of a document's chunks the group that it is merged into: a group ends with the chunk that brings it to the least; what is left at the end joins the group before, as a negative number less one."""
+    out, group, held = [], 0, 0
+    for size, n in zip(sizes, words, strict=True):
+        out.append(group)
+        held += n
+        if (size if held == n else _tokens(held, config)) >= config.chunk_least:
+            group, held = group + 1, 0
+    return [-g if g == group and g else g for g in out]
+
+
+def merge_small(chunks: DataFrame, key: str = "doc_id", config: Config = DEFAULT) -> DataFrame:
+    """(key, chunk_pos, text, token_count, page, heading_path): chunks under the least go into the next one, the last ones into the one before; positions are given anew.
+
+    A chunk keeps the first heading and page of those that went into it from before. A lone chunk stays as it is.
+    """
+    own = chunks.select(key, F.struct("chunk_pos", "text", "token_count", F.size(tokens(F.col("text"))).alias("n"), "page", F.nullif("heading_path", F.lit("")).alias("heading_path")).alias("c"))
+    docs = own.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("c"))
 
-    def run(batches):
-        for df in batches:
-            rows = [{key: k} | c for k, held in zip(df[key], df["blocks"], strict=True) for c in fold_blocks([(b["level"], b["text"], b["page"]) for b in held], config)]
-            if rows:
-                yield pd.DataFrame(rows).astype({"page": "Int32"})
+    @F.pandas_udf("array<int>")
+    def groups(sizes: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([small_groups(list(s), list(w), config) for s, w in zip(sizes, words, strict=True)])
 
-    return docs.mapInPandas(run, f"{key} {kind}, {CHUNK}")
+    docs = docs.withColumn("g", groups(F.col("c.token_count"), F.col("c.n")))
+    rows = docs.select(key, F.posexplode(F.arrays_zip("c", "g")).alias("at", "x")).select(key, "at", "x.c.*", "x.g")
+    # -1 is the group before the one left over, which there is unless nothing reached the least
+    rows = rows.withColumns({"into": F.when(F.col("g") < 0, -F.col("g") - 1).otherwise(F.col("g")), "own": F.col("g") >= 0})
+    first = lambda c: F.min_by(c, F.when(F.col("own") & F.col(c).isNotNull(), F.col("at")))
+    out = rows.groupBy(key, "into").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("held"), F.min("token_count").alias("one"), first("page").alias("page"), first("heading_path").alias("heading_path"))
+    out = out.withColumn("text", F.when(F.size("held") == 1, F.col("held")[0]["text"]).otherwise(F.trim(F.array_join(F.transform("held", lambda x: x["text"]), " "))))
+    count = F.when(F.size("held") == 1, F.col("one")).otherwise(estimate(F.size(tokens(F.col("text")))))
+    return out.select(key, F.col("into").cast("long").alias("chunk_pos"), "text", count.alias("token_count"), "page", "heading_path")
 
 
 def windows(docs: DataFrame, width: int, overlap: int, key: str = "doc_id", text: Column | None = None) -> DataFrame:
@@ -124,32 +152,31 @@ def split_oversize(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rest.unionByName(named.select(*rest.columns))
 
 
-def fold_table_rows(headers: list[str], rows: list[list[str]], config: Config = DEFAULT) -> list[str]:
-    """A table's rows packed up to the target, each text with the header; a last one under the least is dropped."""
-    head = " | ".join(headers)
-    out, held = [], []
-    for row in rows:
-        line = " | ".join(row)
-        if held and _estimate("\n".join([head, *held, line]), config) > config.chunk_target:
-            out.append("\n".join([head, *held]))
-            held = []
-        held.append(line)
-    if held and (_estimate(text := "\n".join([head, *held]), config) >= config.chunk_least):
-        out.append(text)
-    return out
+def row_batches(words: list[int], header: int, config: Config = DEFAULT) -> list[int]:
+    """For each of a table's rows the text that it is packed into, from the words of rows and header alone: as many as stay within the target. A last one under the least is -1, dropped."""
+    out, batch, held = [], 0, 0
+    for n in words:
+        if held and _tokens(header + held + n, config) > config.chunk_target:
+            batch, held = batch + 1, 0
+        out.append(batch)
+        held += n
+    return [-1 if k == batch and max(1, _tokens(header + held, config)) < config.chunk_least else k for k in out]
 
 
 def table_chunks(tables: DataFrame, key: str = "table_id", config: Config = DEFAULT) -> DataFrame:
-    """(key, headers, rows) -> (key, chunk_pos, text, token_count)."""
-    kind = dict(tables.dtypes)[key]
-
-    def run(batches):
-        for df in batches:
-            rows = [(k, i, t, _estimate(t, config)) for k, h, r in zip(df[key], df["headers"], df["rows"], strict=True) for i, t in enumerate(fold_table_rows(list(h), [list(x) for x in r], config))]
-            if rows:
-                yield pd.DataFrame(rows, columns=[key, "chunk_pos", "text", "token_count"])
-
-    return tables.select(key, "headers", "rows").mapInPandas(run, f"{key} {kind}, chunk_pos long, text string, token_count long")
+    """(key, headers, rows) -> (key, chunk_pos, text, token_count): rows packed up to the target, each text with the header."""
+
+    @F.pandas_udf("array<int>")
+    def batches(words: pd.Series, header: pd.Series) -> pd.Series:
+        return pd.Series([row_batches(list(w), int(h), config) for w, h in zip(words, header, strict=True)])
+
+    count = lambda t: F.size(tokens(t))
+    lines = tables.select(key, F.array_join("headers", " | ").alias("head"), F.transform("rows", lambda r: F.array_join(r, " | ")).alias("lines")).where(F.size("lines") > 0)
+    lines = lines.withColumn("batch", batches(F.transform("lines", count), count(F.col("head"))))
+    rows = lines.select(key, "head", F.posexplode(F.arrays_zip("lines", "batch")).alias("at", "x")).where("x.batch >= 0")
+    held = rows.groupBy(key, F.col("x.batch").cast("long").alias("chunk_pos")).agg(F.first("head").alias("head"), F.array_sort(F.collect_list(F.struct("at", "x.lines"))).alias("held"))
+    out = held.withColumn("text", F.concat_ws("\n", "head", F.transform("held", lambda x: x["lines"])))
+    return out.select(key, "chunk_pos", "text", estimate(count(F.col("text"))).alias("token_count"))
 
 
 def with_ids(chunks: DataFrame, job: str, pipeline: str, order: list[str]) -> DataFrame:

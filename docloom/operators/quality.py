@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions.checks import pass_rate, stage_checks
 from docloom.functions.garbage import gibberish_signals, is_cid_garbage, is_gibberish, without_cid
-from docloom.functions.text import tokens
-from docloom.functions.vector import mock_embedding
-from docloom.operators.chunking import EST, OVERLAP, W, WIDTH, heading_chunks, stats, windows
+from docloom.functions.text import SPACES_SQL, tokens
+from docloom.functions.vector import INCREMENT, MULTIPLIER, mock_embedding
+from docloom.operators.chunking import EST, OVERLAP, W, WIDTH, heading_chunks, merge_small, stats, windows
 from docloom.operators.chunking import _WINDOWS_SQL as WINDOWS_SQL
 from docloom.functions.text import estimate
 from docloom.operators.tables import table_questions
@@ -67,14 +68,73 @@ k AS (SELECT page_id, part, i, level, CASE WHEN part = 1 THEN substring(text, 1,
 bl AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, i) - 1 AS pos, level, text FROM k)
 """
 def _heading_chunks(spark, sf_dir):
-    """Web pages, chunked under their headings. The fold carries state from block to block, which SQL has no form for; tests hold it against hand-made cases."""
+    """Web pages, chunked under their headings."""
     chunks = heading_chunks(html.blocks(_t(spark, sf_dir, "pages")), "page_id")
     return chunks.select("page_id", "chunk_pos", "token_count", F.coalesce("heading_path", F.lit("")).alias("heading_path"), F.md5("text").alias("text_md5"))
 
 
+#: Block by block with the text held so far, as the rules are worded; nothing of the operator's counts.
+_CHUNKS_SQL = (
+    "WITH RECURSIVE "
+    + _PAGES.removeprefix("WITH ")
+    + f""", bw AS (SELECT page_id, pos, level, regexp_replace(text, '^{SPACES_SQL}|{SPACES_SQL}$', '', 'g') AS text, {EST.format(f"len({W})")} AS e FROM bl),
+st AS (
+  SELECT DISTINCT page_id, CAST(-1 AS BIGINT) AS pos, '' AS buf, CAST(0 AS BIGINT) AS held, CAST([] AS VARCHAR[]) AS path, CAST(NULL AS VARCHAR) AS made, CAST([] AS VARCHAR[]) AS made_path FROM bw
+  UNION ALL
+  SELECT b.page_id, b.pos,
+         CASE WHEN b.level > 0 THEN CASE WHEN s.held BETWEEN 1 AND 19 THEN s.buf || ' ' || b.text ELSE b.text END
+              WHEN s.held > 0 AND s.held + b.e > 300 THEN array_to_string(list_filter(regexp_split_to_array(s.buf, '{SPACES_SQL}'), lambda t: t <> '')[-47:], ' ') || ' ' || b.text
+              WHEN s.held > 0 THEN s.buf || ' ' || b.text ELSE b.text END,
+         b.e + CASE WHEN b.level > 0 THEN CASE WHEN s.held < 20 THEN s.held ELSE 0 END
+                    WHEN s.held > 0 AND s.held + b.e > 300 THEN CAST(floor(least(47, len(list_filter(regexp_split_to_array(s.buf, '{SPACES_SQL}'), lambda t: t <> ''))) * 1.35::DOUBLE) AS BIGINT)
+                    ELSE s.held END,
+         CASE WHEN b.level > 0 THEN list_concat(s.path[1:b.level - 1], [b.text]) ELSE s.path END,
+         CASE WHEN s.held >= 20 AND (b.level > 0 OR s.held + b.e > 300) THEN s.buf END, s.path
+  FROM st s JOIN bw b ON b.page_id = s.page_id AND b.pos = s.pos + 1),
+en AS (SELECT page_id, pos, made AS text, made_path AS path FROM st WHERE made IS NOT NULL
+       UNION ALL SELECT page_id, pos + 1, buf, path FROM st WHERE held >= 20 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos DESC) = 1 AND pos = (SELECT max(b.pos) FROM bw b WHERE b.page_id = st.page_id)),
+fa AS (SELECT page_id, 0 AS pos, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text, CAST([] AS VARCHAR[]) AS path FROM bw WHERE page_id NOT IN (SELECT page_id FROM en) GROUP BY page_id),
+ch AS (SELECT * FROM en UNION ALL SELECT * FROM fa)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS chunk_pos, {EST.format(f"len({W})")} AS token_count, array_to_string(path, ' > ') AS heading_path, md5(text) AS text_md5 FROM ch"""
+)
+
+
+def _merge_small(spark, sf_dir):
+    """Conversations as documents whose turns are chunks, most of them under the least."""
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role").withColumn("chunk_pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long") - 1)
+    chunks = turns.select("conv_id", "chunk_pos", F.coalesce("text", F.lit("")).alias("text"), estimate(F.size(tokens(F.col("text")))).alias("token_count"), F.col("turn").cast("int").alias("page"), F.col("role").alias("heading_path"))
+    return merge_small(chunks, "conv_id").select("conv_id", "chunk_pos", "token_count", "page", "heading_path", F.md5("text").alias("text_md5"))
+
+
+_MERGE_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, coalesce(text, '') AS text, CAST(turn AS INT) AS page, role, {EST.format(f"len({W})")} AS e, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+st AS (
+  SELECT conv_id, pos, n, text, e, page, role FROM c WHERE pos = 0
+  UNION ALL
+  SELECT c.conv_id, c.pos, c.n, CASE WHEN s.e < 20 THEN trim(s.text || ' ' || c.text) ELSE c.text END,
+         CASE WHEN s.e < 20 THEN {EST.format(f"len({W.replace('text', chr(39) + chr(39) + ' || s.text || ' + chr(39) + ' ' + chr(39) + ' || c.text')})")} ELSE c.e END,
+         CASE WHEN s.e < 20 THEN coalesce(s.page, c.page) ELSE c.page END, CASE WHEN s.e < 20 THEN coalesce(nullif(s.role, ''), c.role) ELSE c.role END
+  FROM st s JOIN c ON c.conv_id = s.conv_id AND c.pos = s.pos + 1),
+ok AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS chunk_pos, count(*) OVER (PARTITION BY conv_id) AS made FROM st WHERE e >= 20),
+le AS (SELECT * FROM st WHERE pos = n - 1 AND e < 20),
+jo AS (SELECT ok.conv_id, chunk_pos, CASE WHEN le.text IS NOT NULL AND chunk_pos = made - 1 THEN trim(ok.text || ' ' || le.text) ELSE ok.text END AS text, le.text IS NOT NULL AND chunk_pos = made - 1 AS grew, ok.e, ok.page, ok.role FROM ok LEFT JOIN le USING (conv_id)
+       UNION ALL SELECT conv_id, 0, text, false, e, page, role FROM le WHERE conv_id NOT IN (SELECT conv_id FROM ok))
+SELECT conv_id, CAST(chunk_pos AS BIGINT) AS chunk_pos, CASE WHEN grew THEN {EST.format(f"len({W})")} ELSE e END AS token_count, page, role AS heading_path, md5(text) AS text_md5 FROM jo"""
+
+
 def _mock_vectors(spark, sf_dir):
-    """Stand-in vectors of the benchmark passages: 64-bit wrap-around arithmetic, tested against integers of any size."""
-    return _t(spark, sf_dir, "benchmark").select("item_id", F.transform(mock_embedding(F.col("text")), lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+    """Stand-in vectors of the benchmark passages, a row for each component."""
+    made = _t(spark, sf_dir, "benchmark").select("item_id", F.posexplode(mock_embedding(F.col("text"))).alias("pos", "value"))
+    return made.select("item_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+_MOCK_SQL = f"""
+WITH RECURSIVE s AS (
+  SELECT item_id, 0 AS i, CAST(CAST('0x' || right(sha256(coalesce(text, '')), 16) AS UBIGINT) AS UHUGEINT) AS st FROM benchmark
+  UNION ALL
+  SELECT item_id, i + 1, (st * CAST({MULTIPLIER} AS UHUGEINT) + CAST({INCREMENT} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) FROM s WHERE i < 64),
+v AS (SELECT item_id, i - 1 AS pos, CAST((st // 131072) % 65536 AS DOUBLE) / 32768 - 1 AS x FROM s WHERE i > 0)
+SELECT item_id, pos, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM v"""
 
 
 def _questions(spark, sf_dir):
@@ -94,8 +154,9 @@ def _row_counts(spark, sf_dir):
 
 
 QUERIES = {
-    "heading_chunks": (_heading_chunks, None),
-    "mock_embedding": (_mock_vectors, None),
+    "heading_chunks": (_heading_chunks, _CHUNKS_SQL),
+    "merge_small": (_merge_small, _MERGE_SQL),
+    "mock_embedding": (_mock_vectors, _MOCK_SQL),
     "table_questions": (_questions, None),
     "quality_cid": (
         _cid,
@@ -106,8 +167,8 @@ QUERIES = {
         r"""WITH c AS (SELECT doc_id, text, string_split(text, '') AS ch FROM documents), e AS (SELECT doc_id, unnest(ch) AS x, generate_subscripts(ch, 1) AS i FROM c),
 l AS (SELECT doc_id, x, i, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)), g AS (SELECT doc_id, x, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM l),
 n AS (SELECT doc_id, run, count(*) AS n, any_value(x) AS x FROM g GROUP BY ALL), r AS (SELECT doc_id, count(*) FILTER (n >= 5 AND x <> chr(10)) AS runs FROM n GROUP BY doc_id),
-s AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(text, '[^AEIOUaeiou]', '', 'g')) AS v, length(regexp_replace(text, '[\p{L}\s]', '', 'g')) AS o, coalesce(runs, 0) AS runs FROM c LEFT JOIN r USING (doc_id)),
-t AS (SELECT doc_id, n, letters, runs * 100.0::DOUBLE / greatest(n, 1) AS runs, CASE WHEN letters > 0 THEN v / letters::DOUBLE ELSE 0 END AS vowels, o / greatest(n, 1)::DOUBLE AS other FROM s)
+s AS (SELECT doc_id, length(text) AS n, length(regexp_replace(lower(text), '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(lower(text), '[^aeiou]', '', 'g')) AS v, length(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\p{Z}]', '', 'g')) AS filled, length(regexp_replace(text, '[\p{L}\s\x0B\x1C-\x1F\x85\p{Z}]', '', 'g')) AS o, coalesce(runs, 0) AS runs FROM c LEFT JOIN r USING (doc_id)),
+t AS (SELECT doc_id, n, letters, runs * 100.0::DOUBLE / greatest(n, 1) AS runs, CASE WHEN letters > 0 THEN v / letters::DOUBLE ELSE 0 END AS vowels, o / greatest(filled, 1)::DOUBLE AS other FROM s)
 SELECT doc_id, letters, round(runs, 6) AS runs, round(vowels, 6) AS vowels, round(other, 6) AS other, n >= 80 AND (letters = 0 OR CAST(runs > 1.5 AS INT) + CAST(vowels < 0.15 AS INT) + CAST(other > 0.45 AS INT) >= 2) AS gibberish FROM t""",
     ),
     "stage_checks": (

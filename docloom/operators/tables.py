@@ -14,7 +14,7 @@ from docloom.functions.numeric import parse_number, safe_identifier
 AGGREGATE_WORDS = ["total", "sum", "average", "avg", "mean", "count", "how many", "maximum", "max", "minimum", "min", "combined"]
 NUMERIC_HINTS = ["amount", "price", "cost", "total", "qty", "quantity", "value", "rate", "%", "count", "balance", "discount", "tax"]
 CATEGORY_HINTS = ["name", "type", "status", "category", "segment", "flag", "priority", "brand", "region", "mode"]
-FORBIDDEN = ["insert", "update", "delete", "drop", "alter", "create", "attach", "pragma"]
+FORBIDDEN = ["insert", "update", "delete", "drop", "alter", "create", "attach", "replace", "pragma"]
 
 
 def cells(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -155,7 +155,7 @@ def _order_cells(spark, sf_dir):
 
 def _parse(spark, sf_dir):
     n = F.round("l_extendedprice", 2)
-    styles = [F.format_number(n, 2), F.concat(F.lit("("), F.format_number(n, 2), F.lit(")")), F.concat(F.lit("P "), F.format_number(n, 0)), F.concat(F.lit("€"), F.col("l_quantity").cast("decimal(10,2)").cast("string")), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%")), F.lit(" "), F.lit("DECLINED"), F.col("l_returnflag")]
+    styles = [F.format_number(n, 2), F.concat(F.lit("("), F.format_number(n, 2), F.lit(")")), F.concat(F.lit("P "), F.format_number(n, 0)), F.concat(F.lit("€"), F.col("l_quantity").cast("decimal(10,2)").cast("string")), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%")), F.lit(" "), F.lit("DECLINED"), F.col("l_returnflag"), F.concat(F.lit("p ("), F.format_number(n, 2), F.lit(")"))]
     cell = F.element_at(F.array(*styles), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(styles) + 1).cast("int"))
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell"))
     return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "cell", F.round(F.coalesce(parse_number(F.col("cell")), F.lit(-1.0e18)), 2).alias("value"))
@@ -163,13 +163,15 @@ def _parse(spark, sf_dir):
 
 _FMT = "format('{:,.2f}', CAST(round(%s, 2) AS DOUBLE))"
 _CELL_SQL = f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, [{_FMT % 'l_extendedprice'}, '(' || {_FMT % 'l_extendedprice'} || ')', 'P ' || format('{{:,.0f}}', round_even(round(l_extendedprice, 2), 0)),
-'€' || CAST(CAST(l_quantity AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(l_quantity AS INT) AS VARCHAR) || '%', ' ', 'DECLINED', l_returnflag][(l_orderkey + l_linenumber) % 8 + 1] AS cell FROM lineitem"""
-PARSE_SQL = r"""CASE WHEN regexp_matches(trim({c}), '^\(.*\)$') THEN -1 ELSE 1 END * TRY_CAST(CASE WHEN regexp_matches({t}, '^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$') THEN {t} END AS DOUBLE)"""
-_CLEAN = r"replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(trim({c}), '^\((.*)\)$', '\1'), '^$', '')), '^([₱$€£¥]|P )\s*', '')), ',', '')"
+'€' || CAST(CAST(l_quantity AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(l_quantity AS INT) AS VARCHAR) || '%', ' ', 'DECLINED', l_returnflag, 'p (' || {_FMT % 'l_extendedprice'} || ')'][(l_orderkey + l_linenumber) % 9 + 1] AS cell FROM lineitem"""
+PARSE_SQL = r"""CASE WHEN regexp_matches({s}, '^\(.*\)$') THEN -1 ELSE 1 END * TRY_CAST(CASE WHEN regexp_matches({t}, '^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$') THEN {t} END AS DOUBLE)"""
+#: A cell without its currency sign, and that without parentheses and commas.
+_BARE = r"trim(regexp_replace(trim(coalesce({c}, '')), '^([₱$€£¥]\s*|[Pp]\s+)', ''))"
+_CLEAN = r"replace(trim(regexp_replace({s}, '^\((.*)\)$', '\1')), ',', '')"
 
 
 def _parse_sql(c: str) -> str:
-    return PARSE_SQL.replace("{t}", _CLEAN).replace("{c}", c)
+    return PARSE_SQL.replace("{t}", _CLEAN).replace("{s}", _BARE).replace("{c}", c)
 
 
 SQL_CASES = "SELECT * FROM (VALUES ('select 1'), ('SELECT a FROM t;'), ('select 1; drop table t'), ('with x as (select 1) select * from x'), ('select replace(a, 1, 2) from t'), ('select * from t where delete = 1'), (' select insert from t')) v(s)"

@@ -18,30 +18,62 @@ from docloom.streaming import events
 WORDS = lambda n, w="word": " ".join(f"{w}{i}" for i in range(n))
 
 
-def test_fold_normal():
-    out = chunking.fold_blocks([(1, "Title", 1), (0, WORDS(150), 1), (0, WORDS(150, "b"), 2), (2, "Part", 2), (0, WORDS(120, "c"), 3)])
-    assert [c["heading_path"] for c in out] == ["Title", "Title", "Title > Part"]
-    assert out[0]["text"].startswith("Title word0") and out[1]["text"].split()[:47] == WORDS(150).split()[-47:]
-    assert [c["page"] for c in out] == [1, 2, 3] and all(c["token_count"] >= 20 for c in out)
-
-
-def test_fold_edges():
-    carried = chunking.fold_blocks([(0, "few words here", None), (1, "Head", None), (0, WORDS(40), None)])
-    assert len(carried) == 1 and carried[0]["text"].startswith("few words here Head")
-    dropped = chunking.fold_blocks([(0, WORDS(100), 1), (1, "H", 2), (0, "short rest", 2)])
-    assert len(dropped) == 1 and "rest" not in dropped[0]["text"]
-    skipped = chunking.fold_blocks([(1, "A", 1), (3, "B", 1), (0, WORDS(50), 1)])
-    assert skipped[-1]["heading_path"] == "A > B"
-    assert [c["text"] for c in chunking.fold_blocks([(0, "Hi.", None), (0, "Hello.", None)])] == ["Hi. Hello."]
-    assert chunking.fold_blocks([]) == [] and chunking.fold_blocks([(0, "  ", None)]) == []
-    assert len(chunking.fold_blocks([(0, WORDS(5000), None)])) == 1  # one block is never cut here
+def _chunked(spark, *documents):
+    """The chunks of each document, given as blocks (level, text, page)."""
+    rows = [(d, i, level, text, page) for d, blocks in enumerate(documents) for i, (level, text, page) in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, level int, text string, page int")
+    out = [[] for _ in documents]
+    for r in chunking.heading_chunks(df, page="page").orderBy("doc_id", "chunk_pos").collect():
+        out[r.doc_id].append(r)
+    return out
 
 
 def test_heading_chunks(spark):
-    rows = [(1, 0, 1, "Title"), (1, 1, 0, WORDS(60)), (2, 0, 0, "tiny")]
-    got = chunking.heading_chunks(spark.createDataFrame(rows, "doc_id long, pos long, level int, text string")).collect()
-    assert sorted((r.doc_id, r.chunk_pos, r.heading_path) for r in got if r.doc_id == 1) == [(1, 0, "Title")] and sum(r.doc_id == 2 for r in got) == 1
-    assert chunking.heading_chunks(spark.createDataFrame([], "doc_id long, pos long, level int, text string")).count() == 0
+    normal, carried, dropped, skipped, tiny, blank, huge, again, long = _chunked(
+        spark,
+        [(1, "Title", 1), (0, WORDS(150), 1), (0, WORDS(150, "b"), 2), (2, "Part", 2), (0, WORDS(120, "c"), 3)],
+        [(0, "few words here", None), (1, "Head", None), (0, WORDS(40), None)],
+        [(0, WORDS(100), 1), (1, "H", 2), (0, "short rest", 2)],
+        [(1, "A", 1), (3, "B", 1), (0, WORDS(50), 1), (3, "C", None), (0, WORDS(50), None), (2, "D", 7), (0, WORDS(50), None), (1, "E", 8), (0, WORDS(50), 9)],
+        [(0, "Hi.", 4), (None, " Hello. ", None)],
+        [(0, "  ", None), (0, None, None)],
+        [(0, WORDS(5000), None)],
+        [(0, "a b c", 1), (0, WORDS(220), 2), (0, WORDS(30, "z"), 3)],
+        [(0, f"w{i} x", 3) for i in range(3)] + [(1, f"h{i}", None) for i in range(4)],
+    )
+    assert [c.heading_path for c in normal] == ["Title", "Title", "Title > Part"]
+    assert normal[0].text.startswith("Title word0") and normal[1].text.split()[:47] == WORDS(150).split()[-47:]
+    assert [c.page for c in normal] == [1, 2, 3] and all(c.token_count >= 20 for c in normal)
+    assert len(carried) == 1 and carried[0].text.startswith("few words here Head") and carried[0].heading_path == "Head"
+    assert len(dropped) == 1 and "rest" not in dropped[0].text and dropped[0].page == 1
+    assert [(c.heading_path, c.page) for c in skipped] == [("A > B", 1), ("A > B > C", None), ("A > D", 7), ("E", 9)]
+    assert [(c.text, c.page, c.heading_path) for c in tiny] == [("Hi.\n\nHello.", 4, None)] and not blank
+    assert len(huge) == 1  # one block is never cut here
+    assert [c.text.split()[:4] for c in again] == [["a", "b", "c", "word0"], [f"word{i}" for i in range(173, 177)]] and [c.page for c in again] == [2, 3]
+    assert [(c.text.split()[-1], c.page) for c in long] == [("h3", 3)]
+    empty = spark.createDataFrame([], "doc_id long, pos long, level int, text string")
+    assert chunking.heading_chunks(empty).count() == 0
+
+
+def test_heading_chunks_fallback_windows(spark):
+    blocks = spark.createDataFrame([(1, i, 0, f"w{i} x") for i in range(100)], "doc_id long, pos long, level int, text string")
+    config = Config(chunk_least=10**6, fallback_tokens=60, window_overlap=14)
+    got = [r.text.split() for r in chunking.heading_chunks(blocks, config=config).orderBy("chunk_pos").collect()]
+    words = " ".join(f"w{i} x" for i in range(100)).split()
+    assert got == [words[k : k + 44] for k in range(0, 200, 34) if k == 0 or k - 34 + 44 < 200]
+
+
+def test_merge_small(spark):
+    def merged(*chunks):
+        rows = [(1, i, t, max(1, int(len(t.split()) * 1.35)), page, path) for i, (t, page, path) in enumerate(chunks)]
+        out = chunking.merge_small(spark.createDataFrame(rows, "doc_id long, chunk_pos long, text string, token_count long, page int, heading_path string"))
+        return [(r.text, r.page, r.heading_path, r.token_count) for r in out.orderBy("chunk_pos").collect()]
+
+    big = WORDS(30)
+    assert merged(("a b", 3, "H"), (big, 4, "I"), (big, 5, "J")) == [(f"a b {big}", 3, "H", 43), (big, 5, "J", 40)]
+    assert merged(("a", None, ""), ("b", 2, None), (big, 4, "I")) == [(f"a b {big}", 2, "I", 43)]
+    assert merged((big, None, None), ("a", 2, "X"), ("b", 3, "Y")) == [(f"{big} a b", None, None, 43)]
+    assert merged(("a", 1, "H")) == [("a", 1, "H", 1)] and merged(("a", 1, "H"), ("b", 2, "I")) == [("a b", 1, "H", 2)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 10, 11, 18, 19, 100])
@@ -65,10 +97,13 @@ def test_oversize(spark):
     assert sorted(r.chunk_id for r in parts) == ["b_part_00", "b_part_01"]
 
 
-def test_table_rows():
-    out = chunking.fold_table_rows(["h1", "h2"], [[WORDS(20), "x"]] * 40)
-    assert len(out) > 1 and all(t.startswith("h1 | h2\n") for t in out) and all(len(t.split()) * 1.35 < 301 for t in out)
-    assert chunking.fold_table_rows(["a"], [["b"]]) == []
+def test_table_rows(spark):
+    rows = [(1, ["h1", "h2"], [[WORDS(20), "x"]] * 40), (2, ["a"], [["b"]]), (3, ["a"], []), (4, ["h"], [[WORDS(400)], ["tail"], [WORDS(300)]])]
+    got = chunking.table_chunks(spark.createDataFrame(rows, "table_id long, headers array<string>, rows array<array<string>>")).orderBy("table_id", "chunk_pos").collect()
+    first = [r for r in got if r.table_id == 1]
+    assert len(first) == 5 and all(r.text.startswith("h1 | h2\n") and r.token_count <= 300 for r in first) and sum(r.text.count("\n") for r in first) == 40
+    assert [(r.table_id, len(r.text.split("\n"))) for r in got if r.table_id != 1] == [(4, 2), (4, 2), (4, 2)]
+    assert chunking.row_batches([400, 1, 300, 2], 1) == [0, 1, 2, -1]  # only the last one is dropped
 
 
 def test_bm25(spark):
