@@ -231,7 +231,7 @@ def _proposals(every: bool):
         band = np.floor(np.log(n) / np.log(100 / PERCENT + 0.01)).astype(np.int64)  # a little wider, so that rounding parts no two that can link
         across = tile % 2 == 1  # such a tile holds two parts, and only pairs across them count
 
-        def good(i, j):
+        def near(i, j):
             keep = (band[j] - band[i] <= 1) & (100 * n[i] >= PERCENT * n[j]) & (comp[i] != comp[j]) & ~(across[i] & (part[i] == part[j]))
             return i[keep], j[keep]
 
@@ -240,37 +240,48 @@ def _proposals(every: bool):
         small = np.repeat(sizes <= 32, sizes)
         for step in range(1, min(32, int(sizes.max()))):
             i = np.flatnonzero((run[step:] == run[:-step]) & small[:-step])
-            yield good(i, i + step)
+            yield near(i, i + step)
         for at, size in zip(first[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
             last = np.searchsorted(band[at : at + size], band[at : at + size] + 1, side="right")  # rows of a run are sorted by size
             held, count = [], 0
             for i in range(size - 1):
                 if last[i] > i + 1:
-                    held.append(good(np.full(last[i] - i - 1, at + i), np.arange(at + i + 1, at + last[i])))
+                    held.append(near(np.full(last[i] - i - 1, at + i), np.arange(at + i + 1, at + last[i])))
                     count += len(held[-1][0])
                 if held and (count > 1 << 18 or i == size - 2):
                     yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
                     held, count = [], 0
 
-    def propose(df: pd.DataFrame):
-        n, key, bits = df["n"].to_numpy(), df["key"].to_numpy(), Bitmaps(df["bits"].tolist())
-        found = []
+    def good(df: pd.DataFrame):
+        """The candidates that the bitmaps leave, with how alike they are at most; a bounded number at a time."""
+        n, bits = df["n"].to_numpy(), Bitmaps(df["bits"].tolist())
         for i, j in candidates(df):
             if len(i):
                 overlap = (n[i] + n[j] - bits.differing(i, j)) // 2
                 union = n[i] + n[j] - overlap
                 keep = 100 * overlap >= PERCENT * union
                 if keep.any():
-                    found.append(np.array([i[keep], j[keep], overlap[keep] * 1_000_000 // union[keep]]))
-        if not found:
-            return None
-        i, j, score = np.concatenate(found, axis=1)
-        if not every:
+                    yield i[keep], j[keep], overlap[keep] * 1_000_000 // union[keep]
+
+    def pairs(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
+
+    def propose(df: pd.DataFrame):
+        key = df["key"].to_numpy()
+        if every:
+            for i, j, _ in good(df):
+                yield pairs(key, i, j)
+            return
+        best, mate = np.full(len(df), -1, np.int64), np.zeros(len(df), np.int64)
+        for i, j, score in good(df):
             row, partner, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
             order = np.lexsort((key[partner], -score, row))
             row, at = np.unique(row[order], return_index=True)
-            i, j = row, partner[order][at]
-        return pd.DataFrame({"a": np.minimum(key[i], key[j]), "b": np.maximum(key[i], key[j])}).drop_duplicates()
+            partner, score = partner[order][at], score[order][at]
+            better = (score > best[row]) | (score == best[row]) & (key[partner] < key[mate[row]])
+            best[row[better]], mate[row[better]] = score[better], partner[better]
+        if (some := np.flatnonzero(best >= 0)).size:
+            yield pairs(key, some, mate[some])
 
     def runs(batches):
         held = None
@@ -284,10 +295,10 @@ def _proposals(every: bool):
             df["run"] = np.concatenate(([0], np.cumsum(new)))
             last = int(df["run"].searchsorted(df["run"].iat[-1]))
             held = df.iloc[last:].drop(columns="run")
-            if last and (out := propose(df.iloc[:last])) is not None:
-                yield out
-        if held is not None and (out := propose(held.assign(run=0))) is not None:
-            yield out
+            if last:
+                yield from propose(df.iloc[:last])
+        if held is not None:
+            yield from propose(held.assign(run=0))
 
     return runs
 
