@@ -14,11 +14,18 @@ def terms(text: Column) -> Column:
     return F.transform(tokens(text), F.lower)
 
 
-def index(chunks: DataFrame, key: str = "doc_id", text: str = "text", scope: list[str] | None = None) -> dict[str, DataFrame]:
-    """postings (key, term, tf, dl), terms (term, df, idf) and stats (n, avgdl); with `scope`, all by these columns, as for one index a document."""
+def index(chunks: DataFrame, key: str = "doc_id", text: str = "text", scope: list[str] | None = None, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
+    """postings (key, term, tf, dl), terms (term, df, idf) and stats (n, avgdl); with `scope`, all by these columns, as for one index a document.
+
+    With `vocabulary` (a column term) only its terms get postings, as for a batch of questions: other words are
+    left out before anything is shuffled. Each kept term's df and idf are the same as in the whole index.
+    """
     by = scope or []
     words = chunks.select(*by, key, terms(F.col(text)).alias("w")).withColumn("dl", F.size("w").cast("long"))
-    postings = words.select(*by, key, "dl", F.explode("w").alias("term")).groupBy(*by, key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    each = words.select(*by, key, "dl", F.explode("w").alias("term"))
+    if vocabulary is not None:
+        each = each.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    postings = each.groupBy(*by, key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     stats = words.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
     df = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
     joined = df.join(stats, by) if by else df.join(F.broadcast(stats))  # one row without a scope
@@ -26,6 +33,10 @@ def index(chunks: DataFrame, key: str = "doc_id", text: str = "text", scope: lis
     return {"postings": postings, "terms": joined.select(*by, "term", "df", idf.alias("idf")), "stats": stats}
 
 
+def asked_terms(queries: DataFrame, text: str = "text") -> DataFrame:
+    return queries.select(F.explode(terms(F.col(text))).alias("term"))
+
+
 def scores(made: dict[str, DataFrame], queries: DataFrame, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, key, score) of every pair that shares a term. A term that a query has twice counts twice; scores of other pairs are 0."""
     bag = queries.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
@@ -60,7 +71,8 @@ def _docs(spark, sf_dir):
 
 def bm25_topk(spark, sf_dir, k: int = DEFAULT.top_k):
     """Benchmark passages as queries over all documents."""
-    return top(scores(index(_docs(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), k)
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return top(scores(index(_docs(spark, sf_dir), vocabulary=asked_terms(asked)), asked), k)
 
 
 def _stats(spark, sf_dir):

@@ -47,6 +47,70 @@ def dense_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query
     return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 
 
+#: Vectors that the lists' centres are fitted on; lists; lists that a query looks into. The test vectors point everywhere alike, the worst case: 36 of 64 lists find 93 to 95 % there.
+ANN_SAMPLE, ANN_LISTS, ANN_PROBES = 20_000, 64, 36
+
+
+def centres(vectors: DataFrame, lists: int, key: str = "vec_id", vector: str = "embedding", sample: int = ANN_SAMPLE, rounds: int = 8) -> np.ndarray:
+    """Unit vectors that divide the space: spherical k-means over at most `sample` vectors, those whose keys hash lowest."""
+    chosen = vectors.where(F.col(vector).isNotNull()).select(key, vector).orderBy(F.xxhash64(key), key).limit(sample)
+    x = np.array([r[vector] for r in chosen.collect()], np.float64).reshape(-1, len(chosen.first()[vector]) if not chosen.isEmpty() else 1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = x[np.random.default_rng(5).permutation(len(x))[:lists]]
+    for _ in range(rounds if len(c) else 0):
+        near = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+    return c
+
+
+def ann_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", lists: int = ANN_LISTS, probes: int = ANN_PROBES, digits: int = 6) -> DataFrame:
+    """As dense_top, approximately: each vector is in the list of its nearest centre, and a query is compared with the lists of its `probes` nearest ones.
+
+    All vectors are indexed; the centres (at most `lists` rows) are sent to the tasks. A list's
+    vectors and its queries are dealt out in blocks of about BLOCK, and each two blocks are one comparison, so that
+    a crowded list is spread over many tasks. tests measure recall against dense_top.
+    """
+    spark = chunks.sparkSession
+    c = centres(chunks, lists, key, vector)
+    held = spark.sparkContext.broadcast(c)
+
+    def near(many: int, name: str):
+        def run(batches):
+            for df in batches:
+                if len(df) and len(held.value):
+                    s = np.stack(df["v"].tolist()) @ held.value.T
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :many]
+                    yield pd.DataFrame({name: np.repeat(df[name].to_numpy(), best.shape[1]), "v": [v for v in df["v"] for _ in range(best.shape[1])], "list": best.ravel()})
+
+        return run
+
+    plain = lambda df, name: df.where(F.col(vector).isNotNull()).select(F.col(name).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
+    stored = plain(chunks, key).mapInPandas(near(1, key), f"{key} long, v array<double>, list int")
+    asked = plain(queries, query).mapInPandas(near(probes, query), f"{query} long, v array<double>, list int")
+    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(stored, "s_parts").join(blocks(asked, "q_parts"), "list")
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = stored.join(sizes, "list").select("list", key, "v", dealt(key, "s_parts").alias("part"), every("q_parts").alias("q_part"))
+    asked = asked.join(sizes, "list").select("list", query, "v", every("s_parts").alias("part"), dealt(query, "q_parts").alias("q_part"))
+
+    def compare(_, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(s):
+            return pd.DataFrame({query: [], key: [], "score": []})
+        s = s.sort_values(key)
+        found = np.round(np.stack(q["v"].tolist()) @ np.stack(s["v"].tolist()).T, digits) + 0.0
+        best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({query: np.repeat(q[query].to_numpy(), best.shape[1]), key: s[key].to_numpy()[best].ravel(), "score": np.take_along_axis(found, best, axis=1).ravel()})
+
+    tile = ["list", "part", "q_part"]
+    found = asked.groupBy(*tile).cogroup(stored.groupBy(*tile)).applyInPandas(compare, f"{query} long, {key} long, score double")
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))
+    return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+
+
 def absent_ranks(queries: DataFrame, sparse: DataFrame, candidates: int, query: str = "item_id") -> DataFrame:
     """(query, absent_dense, absent_sparse): the ranks of a chunk that the dense candidates miss, and of one that shares no term, behind all that do; `sparse` has every pair that shares a term."""
     counts = sparse.groupBy(query).agg(F.count("*").alias("n"))
@@ -140,13 +204,19 @@ def _dense_topk(spark, sf_dir):
     return dense_top(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), DEFAULT.top_k).withColumn("normalised", F.round(normalise_score(F.col("score")), 4))
 
 
-def _fused(spark, sf_dir):
+def _ann_topk(spark, sf_dir):
     vectors = _t(spark, sf_dir, "embeddings")
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    asked = _t(spark, sf_dir, "benchmark").join(vectors.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
-    dense = dense_top(docs, asked, CANDIDATES, "item_id", "doc_id")
-    sparse = bm25.top(bm25.scores(bm25.index(docs), asked), CANDIDATES)
-    return docs, fuse(dense, sparse, CANDIDATES)
+    return ann_top(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), DEFAULT.top_k)
+
+
+def _fused(spark, sf_dir):
+    """All documents take part: by their words, and those with a vector by that too."""
+    vectors, docs, asked = _t(spark, sf_dir, "embeddings"), _t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "benchmark")
+    with_vector = lambda df, key: df.select(key).join(vectors.select(F.col("vec_id").alias(key), "embedding"), key)
+    dense = dense_top(with_vector(docs, "doc_id"), with_vector(asked, "item_id"), CANDIDATES, "item_id", "doc_id")
+    sparse = bm25.top(bm25.scores(bm25.index(docs, vocabulary=bm25.asked_terms(asked)), asked), None)
+    absent = absent_ranks(asked, sparse, CANDIDATES)
+    return docs, fuse(dense, sparse, CANDIDATES, absent=absent), absent
 
 
 def _rrf(spark, sf_dir):
@@ -154,29 +224,35 @@ def _rrf(spark, sf_dir):
 
 
 def _full(spark, sf_dir):
-    docs, fused = _fused(spark, sf_dir)
-    return graph_bonus(fused, mentions(docs).select("doc_id", "entity").distinct()).where(F.col("rank") <= DEFAULT.top_k)
+    docs, fused, absent = _fused(spark, sf_dir)
+    return graph_bonus(fused, mentions(docs).select("doc_id", "entity").distinct(), absent=absent).where(F.col("rank") <= DEFAULT.top_k)
 
 
 FUSED_SQL = f"""
-{bm25.INDEX_SQL.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))", 1).replace("FROM benchmark)", "FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings))", 1)},
+{bm25.INDEX_SQL},
 dn AS (SELECT item_id, doc_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0 AS score
        FROM benchmark JOIN embeddings a ON a.vec_id = item_id CROSS JOIN documents JOIN embeddings b ON b.vec_id = doc_id),
 dr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM dn QUALIFY rank <= {CANDIDATES}),
-sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= {CANDIDATES}),
-fu AS (SELECT coalesce(dr.item_id, sr.item_id) AS item_id, coalesce(dr.doc_id, sr.doc_id) AS doc_id, coalesce(dr.score, 0) AS dense, coalesce(sr.score, 0) AS sparse,
-       coalesce(dr.rank, {CANDIDATES + 1}) AS dense_rank, coalesce(sr.rank, {CANDIDATES + 1}) AS sparse_rank FROM dr FULL JOIN sr ON dr.item_id = sr.item_id AND dr.doc_id = sr.doc_id),
+sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc),
+ab AS (SELECT item_id, CAST({CANDIDATES + 1} AS BIGINT) AS absent_dense, (SELECT count(*) FROM sr WHERE sr.item_id = b.item_id) + 1 AS absent_sparse FROM (SELECT DISTINCT item_id FROM benchmark) b),
+pa AS (SELECT item_id, doc_id FROM dr UNION SELECT item_id, doc_id FROM sr),
+fu AS (SELECT pa.item_id, pa.doc_id, coalesce(dr.score, 0) AS dense, coalesce(sr.score, 0) AS sparse, coalesce(dr.rank, absent_dense) AS dense_rank, coalesce(sr.rank, absent_sparse) AS sparse_rank
+       FROM pa JOIN ab USING (item_id) LEFT JOIN dr USING (item_id, doc_id) LEFT JOIN sr USING (item_id, doc_id)),
 f1 AS (SELECT *, round(1.0::DOUBLE / (60 + dense_rank) + 1.0::DOUBLE / (60 + sparse_rank), 9) AS rrf FROM fu),
 f2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS rank FROM f1)
 """
 FULL_SQL = (
     FUSED_SQL
-    + f""", me AS ({MENTION_SQL}), ce AS (SELECT DISTINCT doc_id, entity FROM me WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+    + f""", me AS ({MENTION_SQL}), ce AS (SELECT DISTINCT doc_id, entity FROM me),
 an AS (SELECT DISTINCT item_id, entity FROM f2 JOIN ce USING (doc_id) WHERE rank <= 3),
 az AS (SELECT item_id, count(*) AS anchors FROM an GROUP BY item_id),
-sh AS (SELECT f2.item_id, f2.doc_id, count(DISTINCT ce.entity) AS shared FROM f2 JOIN ce USING (doc_id) JOIN an ON an.item_id = f2.item_id AND an.entity = ce.entity GROUP BY ALL),
-g AS (SELECT f2.item_id, f2.doc_id, dense, sparse, dense_rank, sparse_rank, rrf, round(CASE WHEN anchors > 0 THEN 0.25::DOUBLE * least(1.0::DOUBLE, coalesce(shared, 0) / anchors::DOUBLE) ELSE 0 END, 9) AS graph
-      FROM f2 LEFT JOIN az USING (item_id) LEFT JOIN sh USING (item_id, doc_id)),
+mo AS (SELECT DISTINCT item_id, doc_id FROM an JOIN ce USING (entity)),
+al AS (SELECT item_id, doc_id, dense, sparse, dense_rank, sparse_rank FROM f2
+       UNION ALL SELECT item_id, doc_id, 0, 0, absent_dense, absent_sparse FROM mo JOIN ab USING (item_id) ANTI JOIN f2 USING (item_id, doc_id)),
+f3 AS (SELECT *, round(1.0::DOUBLE / (60 + dense_rank) + 1.0::DOUBLE / (60 + sparse_rank), 9) AS rrf FROM al),
+sh AS (SELECT al.item_id, al.doc_id, count(DISTINCT ce.entity) AS shared FROM al JOIN ce USING (doc_id) JOIN an ON an.item_id = al.item_id AND an.entity = ce.entity GROUP BY ALL),
+g AS (SELECT f3.item_id, f3.doc_id, dense, sparse, dense_rank, sparse_rank, rrf, round(CASE WHEN anchors > 0 THEN 0.25::DOUBLE * least(1.0::DOUBLE, coalesce(shared, 0) / anchors::DOUBLE) ELSE 0 END, 9) AS graph
+      FROM f3 LEFT JOIN az USING (item_id) LEFT JOIN sh USING (item_id, doc_id)),
 h AS (SELECT *, round(rrf + graph, 6) AS final FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS rank FROM h)
 """
@@ -187,6 +263,7 @@ QUERIES = {
         "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) + 0 AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)"
         " SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score + 1) / 2)), 4) AS normalised FROM s QUALIFY rank <= 5",
     ),
+    "ann_topk": (_ann_topk, None),
     "rrf_hybrid": (_rrf, FUSED_SQL + "SELECT item_id, doc_id, dense_rank, sparse_rank, round(rrf, 6) AS rrf, rank FROM f2 WHERE rank <= 15"),
     "full_hybrid": (_full, FULL_SQL + "SELECT * FROM r WHERE rank <= 5"),
     "rag_confidence": (

@@ -106,6 +106,37 @@ def test_table_rows(spark):
     assert chunking.row_batches([400, 1, 300, 2], 1) == [0, 1, 2, -1]  # only the last one is dropped
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_ann_recall(spark, sf_dir, monkeypatch, block):
+    """At least nine of ten of the exact nearest, over all vectors and over one crowded list; scores are exact."""
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    vectors = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/embeddings.parquet").select("vec_id", "embedding")
+    crowd = spark.createDataFrame([(10**6 + i, [0.17 + 0.0001 * ((i * 7) % 11)] * 32 + [0.001 * (i % 13)] * 32) for i in range(40)], "vec_id long, embedding array<float>")
+    vectors = vectors.union(crowd).union(spark.createDataFrame([(10**7, None)], "vec_id long, embedding array<float>"))
+    asked = vectors.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = lambda df: {(r.query_id, r.vec_id): r.score for r in df.collect()}
+    exact, found = pairs(retrieval.dense_top(vectors, asked, 5)), pairs(retrieval.ann_top(vectors, asked, 5))
+    by_query = {}
+    for (q, _), score in exact.items():
+        by_query.setdefault(q, []).append(score)
+    # a neighbour as near as the fifth counts, whichever of equals it is
+    right = sum(score >= min(by_query[q]) for (q, _), score in found.items())
+    assert right / len(exact) >= 0.9
+    assert all(abs(exact[p] - score) < 1e-9 for p, score in found.items() if p in exact)
+    empty = vectors.limit(0)
+    assert retrieval.ann_top(empty, asked, 5).count() == 0 and retrieval.ann_top(vectors, asked.limit(0), 5).count() == 0
+
+
+def test_vocabulary(spark):
+    """An index of a few terms has their postings, df and idf as in the whole one."""
+    docs = spark.createDataFrame(list(enumerate(["a b a", "b c", "c", ""])), "doc_id long, text string")
+    some = spark.createDataFrame([("b",), ("b",), ("z",)], "term string")
+    whole, part = bm25.index(docs), bm25.index(docs, vocabulary=some)
+    for name in ("postings", "terms"):
+        assert sorted(whole[name].where("term = 'b'").collect()) == sorted(part[name].collect())
+    assert whole["stats"].collect() == part["stats"].collect()
+
+
 def test_bm25(spark):
     texts = ["the cat sat", "the dog sat sat", "a bird", "", "cat cat cat dog"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
