@@ -415,13 +415,13 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
             got = stash(got.join(ends.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
             sets = got if sets is None else sets.unionByName(got)  # of keys that were not there
         checked = pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("members").alias("sa")), "a")
-        holds = checked.select("a", "b", "sa", "sb").mapInPandas(_verified, "a long, b long")
-        if components is not None:
-            holds = holds.union(components.select("node", "component"))
+        # written out: components run Python too, and two such steps in one task take twice the workers
+        links = stash(checked.select("a", "b", "sa", "sb").mapInPandas(_verified, "a long, b long"), "links")
+        holds = links if components is None else links.union(components.select("node", "component"))
         components, was = connected_components(holds), components
         if was is not None:
             discard(was)
-        discard(ends)
+        discard(ends, links)
         tested = pairs if tested is None else tested.union(pairs)
     if components is None:
         components = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
