@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.chunking import _WINDOWS_SQL, OVERLAP, WIDTH, windows
+
 #: A mention: one or more capitalised words of at least four letters.
 ENTITY = r"\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}{3,})*"
 #: Entity kinds by the order in which questions prefer them.
 PRIORITY = {"PERSON": 0, "ORG": 1, "PRODUCT": 2, "LAW": 3, "FAC": 4}
-#: Entities of a document that the registered queries and their SQL pair.
-MOST = 30
 LEGAL = r"(?i)(^| )(act|law|regulation|directive|code)$"
 
 
@@ -49,37 +49,40 @@ def chunk_edges(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.groupBy(key, "entity").agg(F.count("*").alias("weight")).select(F.concat(F.lit("Chunk:"), F.col(key).cast("string")).alias("src"), F.col("entity").alias("dst"), F.lit("mentions").alias("rel"), "weight")
 
 
-def cooccurrence(found: DataFrame, key: str = "doc_id", most: int | None = None) -> DataFrame:
-    """(src, dst, weight): pairs of entities by the chunks that hold both, src before dst.
-
-    All entities of a chunk are paired; the size of a chunk bounds its pairs. With `most`, only the first
-    `most` entities of a chunk are, which loses pairs: the registered queries take whole documents as
-    chunks, and their SQL pairs 30.
-    """
-    first = found.groupBy(key, "entity").agg(F.min("pos").alias("pos"))
-    if most is not None:
-        first = first.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("n") <= most)
-    held = first.groupBy(key).agg(F.sort_array(F.collect_list("entity")).alias("e"))
+def cooccurrence(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(src, dst, weight): pairs of entities by the chunks that hold both, src before dst. All entities of a chunk are paired; the size of a chunk bounds its pairs."""
+    held = found.groupBy(key).agg(F.sort_array(F.collect_set("entity")).alias("e"))
     pairs = held.select(F.posexplode("e").alias("i", "src"), "e").select("src", F.explode(F.expr("slice(e, i + 2, size(e))")).alias("dst"))
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def nodes(docs: DataFrame, found: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """(key, type): documents, chunks, tables and entities, each once."""
-    out = docs.select(F.concat(F.lit("Document:"), F.col("doc_id").cast("string")).alias("key"), F.lit("document").alias("type"))
-    out = out.union(docs.select(F.concat(F.lit("Chunk:"), F.col("doc_id").cast("string")), F.lit("chunk")))
+def _chunk_key(df: DataFrame) -> str:
+    """Chunks have ids of their own, or a document is one chunk."""
+    return "chunk_id" if "chunk_id" in df.columns else "doc_id"
+
+
+def _name(kind: str, *columns: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.concat_ws("/", *[F.col(c).cast("string") for c in columns]))
+
+
+def nodes(chunks: DataFrame, found: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(key, type): documents, chunks, tables and entities, each once. chunks: (doc_id, chunk_id); tables: (doc_id, table_name)."""
+    out = chunks.select(_name("Document", "doc_id").alias("key"), F.lit("document").alias("type"))
+    out = out.union(chunks.select(_name("Chunk", _chunk_key(chunks)), F.lit("chunk")))
     if tables is not None:
-        out = out.union(tables.select(F.concat(F.lit("Table:"), "table_name"), F.lit("table")))
+        out = out.union(tables.select(_name("Table", "doc_id", "table_name"), F.lit("table")))
     return out.union(found.select("entity", F.lit("entity"))).distinct()
 
 
-def edges(docs: DataFrame, found: DataFrame, tables: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(src, dst, rel, weight) of all relations; undirected, each once."""
-    ids = F.col("doc_id").cast("string")
-    out = docs.select(F.concat(F.lit("Document:"), ids).alias("src"), F.concat(F.lit("Chunk:"), ids).alias("dst"), F.lit("contains").alias("rel"), F.lit(1).cast("long").alias("weight"))
+def edges(chunks: DataFrame, found: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(src, dst, rel, weight) of all relations; undirected, each once. A table's entities are those of the chunk that tells of it: tables is (doc_id, table_name, chunk_id)."""
+    key, one = _chunk_key(chunks), F.lit(1).cast("long")
+    out = chunks.select(_name("Document", "doc_id").alias("src"), _name("Chunk", key).alias("dst"), F.lit("contains").alias("rel"), one.alias("weight")).distinct()
     if tables is not None:
-        out = out.union(tables.select(F.concat(F.lit("Document:"), ids), F.concat(F.lit("Table:"), "table_name"), F.lit("contains"), F.lit(1).cast("long")))
-    return out.union(chunk_edges(found)).union(cooccurrence(found, most=most).select("src", "dst", F.lit("co_occurs"), "weight"))
+        out = out.union(tables.select(_name("Document", "doc_id"), _name("Table", "doc_id", "table_name"), F.lit("contains"), one).distinct())
+        told = found.join(tables.select("doc_id", "table_name", "chunk_id"), "chunk_id").groupBy("doc_id", "table_name", "entity").agg(F.count("*").alias("n"))
+        out = out.union(told.select(_name("Table", "doc_id", "table_name"), "entity", F.lit("mentions"), "n"))
+    return out.union(chunk_edges(found, key)).union(cooccurrence(found, key).select("src", "dst", F.lit("co_occurs"), "weight"))
 
 
 def degrees(all_edges: DataFrame) -> DataFrame:
@@ -117,6 +120,16 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def _windows(spark, sf_dir):
+    """The documents' windows of words as chunks."""
+    return windows(_docs(spark, sf_dir), WIDTH, OVERLAP).select("doc_id", F.format_string("%d_%d", "doc_id", "window").alias("chunk_id"), "text")
+
+
+def _degrees(spark, sf_dir):
+    chunks = _windows(spark, sf_dir)
+    return degrees(edges(chunks, mentions(chunks, "chunk_id")))
+
+
 def _places(spark, sf_dir):
     """The star tables as a graph: regions, nations, customers and suppliers."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
@@ -134,22 +147,22 @@ SELECT *, CASE WHEN regexp_matches(name, '(?i)(^| )(act|law|regulation|directive
 SELECT doc_id, unnest(m) AS name, generate_subscripts(m, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}{3,})*') AS m FROM documents)))"""
 _PLACES_SQL = """SELECT 'R:' || n_regionkey AS src, 'N:' || n_nationkey AS dst, 'contains' AS rel, 1::BIGINT AS weight FROM nation
 UNION ALL SELECT 'N:' || c_nationkey, 'C:' || c_custkey, 'contains', 1 FROM customer UNION ALL SELECT 'N:' || s_nationkey, 'S:' || s_suppkey, 'contains', 1 FROM supplier"""
-_PAIRS_SQL = f"""WITH me AS ({MENTION_SQL}), f AS (SELECT doc_id, entity, min(pos) AS pos FROM me GROUP BY ALL),
-l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f QUALIFY n <= 30),
-co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL)
+_PAIRS_SQL = f"""{_WINDOWS_SQL}, wi AS (SELECT doc_id, doc_id || '_' || win AS chunk_id, text FROM ch), me AS ({MENTION_SQL.replace("doc_id", "chunk_id").replace("FROM documents", "FROM wi")}),
+l AS (SELECT DISTINCT chunk_id, entity FROM me),
+co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM l a JOIN l b ON a.chunk_id = b.chunk_id AND a.entity < b.entity GROUP BY ALL)
 """
 QUERIES = {
     "entity_mentions": (lambda s, d: mention_counts(mentions(_docs(s, d))), f"SELECT entity, label, count(*) AS mentions, count(DISTINCT doc_id) AS chunks FROM ({MENTION_SQL}) GROUP BY ALL"),
     "top_entities": (lambda s, d: top_entities(mentions(_docs(s, d))), f"SELECT entity, count(*) AS mentions FROM ({MENTION_SQL}) GROUP BY entity ORDER BY mentions DESC, min((doc_id, pos)), entity LIMIT 10"),
-    "cooccurrence": (lambda s, d: cooccurrence(mentions(_docs(s, d)), most=MOST), _PAIRS_SQL + "SELECT * FROM co"),
+    "cooccurrence": (lambda s, d: cooccurrence(mentions(_windows(s, d), "chunk_id"), "chunk_id"), _PAIRS_SQL + "SELECT * FROM co"),
     "graph_counts": (
         lambda s, d: nodes(_docs(s, d), mentions(_docs(s, d))).groupBy("type").agg(F.count("*").alias("nodes")),
         f"WITH me AS ({MENTION_SQL}) SELECT 'document' AS type, count(DISTINCT doc_id) AS nodes FROM documents UNION ALL SELECT 'chunk', count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'entity', count(DISTINCT entity) FROM me",
     ),
     "node_degree": (
-        lambda s, d: degrees(edges(_docs(s, d), mentions(_docs(s, d)), most=MOST)),
+        _degrees,
         _PAIRS_SQL
-        + """, e AS (SELECT 'Document:' || doc_id AS src, 'Chunk:' || doc_id AS dst FROM documents UNION ALL SELECT DISTINCT 'Chunk:' || doc_id, entity FROM me UNION ALL SELECT src, dst FROM co)
+        + """, e AS (SELECT DISTINCT 'Document:' || doc_id AS src, 'Chunk:' || chunk_id AS dst FROM wi UNION ALL SELECT DISTINCT 'Chunk:' || chunk_id, entity FROM me UNION ALL SELECT src, dst FROM co)
 SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node""",
     ),
     "graph_neighbours": (

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
+import time
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Config
+from docloom.functions import numeric
 from docloom.functions.text import estimated_tokens
-from docloom.operators import bm25, chunking, facts, graph, observe, relational, retrieval, tables
+from docloom.operators import bm25, chunking, facts, graph, observe, records, relational, retrieval, tables
 from docloom.plans.provider import Offline
 from docloom.sources import files, html, plain, sheets
+from docloom.streaming import events
 
 STORES = ["documents", "blocks", "tables", "chunks", "facts", "entities", "nodes", "edges", "events"]
 
 
+def view_name(doc_id: Column, table_name: Column) -> Column:
+    """The name of a document's table in SQL, unique among all documents."""
+    return F.concat(F.lit("d"), F.lower(F.hex(doc_id)), F.lit("_"), table_name)
+
+
 class Engine:
     """Stores are Parquet folders under `root`, partitioned by job; nothing is read back from one job into another."""
 
@@ -24,25 +33,57 @@ class Engine:
 
     # Ingestion
     def ingest(self, path: str, job_id: str, pipeline: str = "custom") -> None:
-        """All files of a folder to stores; a file that cannot be read is a row with its error. A stage that is stored for the job is not done again."""
+        """All files of a folder to stores; a file that cannot be read is a row with its error.
+
+        A stage that is stored for the job is not done again. Each stage that runs leaves its start and its
+        end in the event log, and all its Spark work carries the job's tag, by which it can be cancelled.
+        """
+        self.spark.addTag(job_id)
+        try:
+            self._ingest(path, job_id, pipeline)
+        finally:
+            self.spark.removeTag(job_id)
+
+    def _ingest(self, path: str, job_id: str, pipeline: str) -> None:
         raw = files.raw_files(self.spark, path).withColumn("doc_id", F.xxhash64("path"))
         info = files.intake(raw).withColumn("doc_id", F.xxhash64("path"))
-        self._store("documents", job_id, lambda: info)
-        self._store("blocks", job_id, lambda: self._blocks(raw, info))
-        self._store("tables", job_id, lambda: self._tables(raw))
-        blocks, made = self._of("blocks", job_id), self._of("tables", job_id)
-        self._store("chunks", job_id, lambda: self._chunks(blocks, made, job_id, pipeline))
-        chunks = self._of("chunks", job_id)
-        keyed = chunks.select("doc_id", "chunk_id", "text")
+        of = lambda key: self._of(key, job_id)
+        self._stage(1, "documents", job_id, lambda: info)
+        self._stage(2, "blocks", job_id, lambda: self._blocks(raw, info))
+        self._stage(3, "tables", job_id, lambda: self._tables(raw))
+        self._stage(4, "chunks", job_id, lambda: self._chunks(of("blocks"), of("tables"), job_id, pipeline))
         # blocks keep the lines of a fact, which chunks join
-        lines = blocks.select(F.format_string("%d_b%04d", "doc_id", "pos").alias("block_id"), "text")
-        self._store("facts", job_id, lambda: facts.validate(self.provider.facts(lines, "block_id"), lines, "block_id").where("accepted"))
-        self._store("entities", job_id, lambda: self.provider.entities(keyed, "chunk_id"))
+        lines = of("blocks").select(F.format_string("%d_b%04d", "doc_id", "pos").alias("block_id"), "text")
+        self._stage(5, "facts", job_id, lambda: facts.validate(self.provider.facts(lines, "block_id"), lines, "block_id").where("accepted"))
+        self._stage(6, "entities", job_id, lambda: self.provider.entities(of("chunks").select("doc_id", "chunk_id", "text"), "chunk_id"))
+        self._stage(7, "nodes", job_id, lambda: self._graph(job_id)["nodes"])
+        self._stage(8, "edges", job_id, lambda: self._graph(job_id)["edges"])
 
-    def _store(self, key: str, job_id: str, make) -> None:
+    def _stage(self, stage_id: int, key: str, job_id: str, make) -> None:
         have = self._table(key)
-        if have is None or have.where(F.col("job_id") == job_id).isEmpty():
+        if have is not None and not have.where(F.col("job_id") == job_id).isEmpty():
+            return
+        began = time.monotonic()
+        self._event(job_id, stage_id, key, "started")
+        try:
             files.write_artifact(make().withColumn("job_id", F.lit(job_id)), self.root, key)
+        except Exception as e:
+            self._event(job_id, stage_id, key, "error", began, f"{type(e).__name__}: {e}"[:300])
+            raise
+        self._event(job_id, stage_id, key, "completed", began)
+
+    def _event(self, job_id: str, stage_id: int, stage: str, status: str, began: float | None = None, payload: str | None = None) -> None:
+        took = None if began is None else round((time.monotonic() - began) * 1000)
+        row = self.spark.range(1).select(F.lit(stage_id).alias("stage_id"), F.lit(stage).alias("stage"), F.current_timestamp().alias("ts"), F.lit(status).alias("status"), F.lit(took).cast("long").alias("duration_ms"), F.lit(payload).cast("string").alias("payload"), F.lit(job_id).alias("job_id"))
+        files.append_artifact(row, self.root, "events")
+
+    def stages(self, job_id: str | None = None) -> DataFrame:
+        """(job_id, stage_id, events, status, duration_ms, payload): the latest state of each stage."""
+        return events.reduce_events(self._of("events", job_id), ["job_id", "stage_id"], ["ts", "status"])
+
+    def status(self, job_id: str | None = None) -> DataFrame:
+        """(job_id, run_status)."""
+        return events.run_status(self.stages(job_id))
 
     def _table(self, key: str) -> DataFrame | None:
         return files.read_artifact(self.spark, self.root, key)
@@ -66,7 +107,8 @@ class Engine:
         read = files.office(raw.where(F.lower("path").rlike(r"\.(docx|xlsx)$"))).withColumn("doc_id", F.xxhash64("path"))
         word = read.where("kind = 'table'").select("doc_id", "table_pos", "headers", "rows")
         cells = read.where("kind = 'sheet_row'").select(F.col("doc_id").alias("doc"), "sheet", F.col("pos").alias("row_no"), F.col("rows")[0].alias("cells"))
-        found = sheets.sheet_tables(cells).withColumn("table_pos", F.pmod(F.xxhash64("sheet", "island"), F.lit(1 << 31)))
+        place = F.row_number().over(Window.partitionBy("doc").orderBy("sheet", "island")) - 1
+        found = sheets.sheet_tables(cells).withColumn("table_pos", place.cast("long"))
         book = found.select(F.col("doc").alias("doc_id"), "table_pos", "headers", "rows")
         out = reduce(DataFrame.unionByName, [web, word, book])
         return out.withColumn("table_name", F.format_string("doc_table_%d", F.col("table_pos") + 1)).withColumn("description", self.provider.describe_table(F.col("headers"), F.size("rows")))
@@ -104,11 +146,14 @@ class Engine:
     def facts(self, job_id: str | None = None) -> DataFrame:
         return self._of("facts", job_id)
 
-    def graph(self, job_id: str | None = None) -> dict[str, DataFrame]:
+    def _graph(self, job_id: str | None) -> dict[str, DataFrame]:
         chunks, found = self._of("chunks", job_id), self._of("entities", job_id)
-        own = chunks.select(F.col("chunk_id").alias("doc_id"))
-        found = found.withColumnRenamed("chunk_id", "doc_id")
-        return {"nodes": graph.nodes(own, found), "edges": graph.edges(own, found)}
+        told = chunks.where("table_name IS NOT NULL").select("doc_id", "table_name", "chunk_id")
+        return {"nodes": graph.nodes(chunks.select("doc_id", "chunk_id"), found, told), "edges": graph.edges(chunks.select("doc_id", "chunk_id"), found, told)}
+
+    def graph(self, job_id: str | None = None) -> dict[str, DataFrame]:
+        """Documents, their chunks and tables, and the entities of these."""
+        return {key: self._of(key, job_id) if self._table(key) is not None else df for key, df in self._graph(job_id).items()}
 
     def storage_summary(self) -> DataFrame:
         return observe.storage_survey({k: t for k in STORES if (t := self._table(k)) is not None})
@@ -117,23 +162,85 @@ class Engine:
         return observe.job_cost(usage, ["job_id"])
 
     # Questions
-    def ask(self, questions: DataFrame, job_id: str | None = None, k: int = DEFAULT.top_k, candidates: int = 50) -> DataFrame:
-        """(question_id long, q) -> answers: chunks by fused lexical, dense and graph ranks, reranked; only the dense list is cut (to `candidates`); the answer, and its confidence."""
+    def columns(self, job_id: str | None = None) -> DataFrame:
+        """(doc_id, source, table_name, pos, column, type): every stored table's columns with the types of their cells. table_name is that of the view for SQL, source its name in the document."""
+        own = self._of("tables", job_id).select("doc_id", F.col("table_name").alias("source"), view_name(F.col("doc_id"), F.col("table_name")).alias("table_name"), "headers", "rows")
+        heads = tables.unique_names(own.select("doc_id", "source", "table_name", F.posexplode("headers").alias("pos", "header")), ["table_name"]).withColumnRenamed("name", "column")
+        cells = own.select("table_name", F.explode("rows").alias("r")).select("table_name", F.posexplode("r").alias("pos", "cell"))
+        kinds = tables.infer_types(cells, ["table_name", "pos"]).select("table_name", "pos", "type")
+        return heads.join(kinds, ["table_name", "pos"], "left").select("doc_id", "source", "table_name", "pos", "column", F.coalesce("type", F.lit("TEXT")).alias("type"))
+
+    def sql_answers(self, questions: DataFrame, job_id: str | None = None) -> DataFrame:
+        """(q) -> (q, sql, sql_value, sql_block, sql_rows, reason): the provider routes, the guards decide, and each statement that passes is a Spark query of its own."""
+        known = self.columns(job_id)
+        routed = self.provider.route(questions.select("q").distinct(), known).collect()  # texts of statements, one for each question
+        views = {r["table_name"]: (r["doc_id"], r["source"]) for r in known.select("table_name", "doc_id", "source").distinct().where(F.col("table_name").isin([v for r in routed for v in re.findall(r"\bFROM (\w+)", r["sql"] or "")])).collect()}
+        for view, (doc_id, name) in views.items():
+            self.table(doc_id, name, job_id).createOrReplaceTempView(view)
+        out = []
+        for r in routed:
+            df, reason = tables.run_guarded(self.spark, r["sql"], r["q"])
+            rows = [] if df is None else df.collect()
+            value = str(rows[0][0]) if len(rows) == 1 and len(rows[0]) == 1 and rows[0][0] is not None else None
+            block = "\n".join([" | ".join(df.columns), *(" | ".join("" if v is None else str(v) for v in row) for row in rows[:5])]) if rows else None
+            out.append((r["q"], r["sql"], value, block, len(rows), reason))
+        return self.spark.createDataFrame(out, "q string, sql string, sql_value string, sql_block string, sql_rows int, reason string")
+
+    def fact_answers(self, asked: DataFrame, job_id: str | None = None) -> DataFrame:
+        """(question_id, embedding) -> (question_id, label, value, quote): the fact whose label is nearest the question, if near enough."""
+        own = self._of("facts", job_id).withColumn("fact_id", F.xxhash64("block_id", "pos")).withColumn("vector", self.provider.embed(F.col("label")))
+        best = facts.match_questions(asked.select("question_id", F.col("embedding").alias("vector")), own.select("fact_id", "vector"))
+        return best.join(own.select("fact_id", "label", "value", "quote"), "fact_id").drop("fact_id", "score")
+
+    def ask(self, questions: DataFrame, job_id: str | None = None, k: int = DEFAULT.top_k, candidates: int = 50, rerank: bool = True) -> DataFrame:
+        """(question_id long, q, and keywords if known) -> answer records.
+
+        Chunks by fused lexical, dense and graph ranks; only the dense list is cut (to `candidates`). The
+        fact nearest the question and the result of a routed SQL statement come before them in the context;
+        a lone number that SQL gives must be near one in the chunks, and yields to a fact. Chunks are reranked
+        where there are more than `k` and no SQL result. With keywords (array), the answer is judged by them.
+        """
         chunks = self._of("chunks", job_id).select(F.xxhash64("chunk_id").alias("key"), "chunk_id", "text", "embedding")
         asked = questions.select("question_id", F.col("q").alias("text"), self.provider.embed(F.col("q")).alias("embedding"))
         dense = retrieval.dense_top(chunks, asked, candidates, "question_id", "key")
-        sparse = bm25.top(bm25.scores(bm25.index(chunks, "key"), asked, "question_id", "key"), None, "question_id", "key")
+        sparse = bm25.top(bm25.scores(bm25.index(chunks, "key", vocabulary=bm25.asked_terms(asked)), asked, "question_id", "key"), None, "question_id", "key")
         absent = retrieval.absent_ranks(asked, sparse, candidates, "question_id")
         fused = retrieval.fuse(dense, sparse, candidates, "question_id", "key", absent)
         entities = self._of("entities", job_id).select(F.xxhash64("chunk_id").alias("key"), "entity").distinct()
         ranked = retrieval.graph_bonus(fused, entities, "question_id", "key", absent).where(F.col("rank") <= DEFAULT.retrieve_k)
-        held = ranked.join(chunks.select("key", "chunk_id", "text"), "key").withColumn("has_sql", F.lit(False))
+        held = ranked.join(chunks.select("key", "chunk_id", "text"), "key")
         top = held.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("c"))  # at most retrieve_k chunks
-        top = top.join(questions, "question_id").withColumn("order", self.provider.rerank(F.col("q"), F.transform("c", lambda c: c["text"])))
-        order = retrieval.reranked(F.col("order"), k, F.size("c"))
-        top = top.withColumn("c", F.transform(order, lambda i: F.element_at(F.col("c"), (i + 1).cast("int"))))
-        answers = top.select("question_id", "q", F.transform("c", lambda c: c["chunk_id"]).alias("chunk_ids"), self.provider.answer(F.transform("c", lambda c: c["text"]), F.lit("")).alias("answer"))
-        return answers.join(retrieval.confidence(held, "question_id"), "question_id", "left")
+        top = questions.join(top, "question_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<rank:bigint,chunk_id:string,text:string>>")))
+        if self._table("tables") is not None:
+            top = top.join(self.sql_answers(questions, job_id), "q", "left")
+        else:
+            top = top.selectExpr("*", *[f"CAST(null AS {kind}) AS {name}" for name, kind in (("sql", "string"), ("sql_value", "string"), ("sql_block", "string"), ("sql_rows", "int"), ("reason", "string"))])
+        if self._table("facts") is not None:
+            top = top.join(self.fact_answers(asked, job_id), "question_id", "left")
+        else:
+            top = top.selectExpr("*", *[f"CAST(null AS string) AS {name}" for name in ("label", "value", "quote")])
+        texts = lambda c: F.transform(c, lambda x: x["text"])
+        number = F.col("sql_value").try_cast("double")
+        doubtful = number.isNotNull() & ~tables.plausible(number, texts(F.col("c")))
+        covered = number.isNotNull() & tables.overlaps_fact(numeric.parse_number(F.col("value")), number)
+        top = top.withColumn("reason", F.when(F.col("reason") != "ok", F.col("reason")).when(doubtful, "implausible").when(covered, "covered_by_fact").otherwise(F.coalesce("reason", F.lit("not_routed"))))
+        top = top.withColumn("has_sql", F.col("reason") == "ok").withColumn("sql_block", F.when(F.col("has_sql"), F.col("sql_block")))
+        order = F.when(retrieval.should_rerank(F.size("c"), F.lit(rerank), F.when(F.col("has_sql"), F.col("sql_rows")).otherwise(0)), self.provider.rerank(F.col("q"), texts(F.col("c"))))
+        order = retrieval.reranked(F.coalesce(order, F.array().cast("array<int>")), k, F.size("c"))
+        top = top.withColumn("c", F.when(F.size("c") > 0, F.transform(order, lambda i: F.element_at(F.col("c"), (i + 1).cast("int")))).otherwise(F.col("c")))
+        fact = F.when(F.col("label").isNotNull(), facts.block(F.col("label"), F.col("value"), F.col("quote")))
+        route = F.concat_ws("+", F.when(F.col("has_sql"), "sql"), F.when(F.col("label").isNotNull(), "facts"), F.when(F.size("c") > 0, "vector"))
+        # what comes before the chunks is the first text that an answer is made of
+        before = F.filter(F.array(fact), lambda t: t.isNotNull())
+        answers = top.withColumns({
+            "chunk_ids": F.transform("c", lambda c: c["chunk_id"]), "route": route, "context": retrieval.context(fact, F.col("sql_block"), texts(F.col("c"))),
+            "answer": self.provider.answer(F.concat(before, texts(F.col("c"))), F.when(F.col("has_sql"), F.coalesce("sql_value", "sql_block")).otherwise(F.lit(""))),
+        })
+        if "keywords" in questions.columns:
+            score, verdict = self.provider.judge(F.col("answer"), F.col("keywords"))
+            answers = answers.withColumns({"judge_score": score, "verdict": verdict})
+        sure = retrieval.confidence(top.select("question_id", "has_sql").join(held.drop("has_sql"), "question_id", "left"), "question_id")
+        return records.answer_record(answers.drop("c", "label", "value", "quote")).join(sure, "question_id", "left")
 
     def question_bank(self, job_id: str | None = None, most: int = 10) -> DataFrame:
         """Ten questions at most for a job's tables and entities: SQL questions first, then one for each of the most mentioned entities."""
@@ -146,8 +253,9 @@ class Engine:
         return tables.run_guarded(self.spark, sql, question)
 
     def cancel(self, job_id: str) -> None:
-        """Stop the Spark work that runs under a job's tag."""
+        """Stop the Spark work that runs under a job's tag, and mark the run as cancelled."""
         self.spark.interruptTag(job_id)
+        self._event(job_id, events.CANCELLED, "run", "cancelled")
 
     @staticmethod
     def compare(runs: dict[str, DataFrame]) -> DataFrame:

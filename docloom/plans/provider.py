@@ -86,7 +86,7 @@ class Offline:
         """(q) -> (q, sql): the template of the table whose column the question names; null where it asks no aggregate."""
         made = tables.table_questions(columns).select("table_name", "sql", F.lower("q").alias("t"))
         one = made.withColumn("column", F.regexp_extract("t", r"average ([a-z0-9_]+)", 1)).groupBy("column").agg(F.min("sql").alias("sql")).where("column <> ''")
-        asked = questions.withColumn("wants", tables.asks_aggregate(F.col("q"))).withColumn("word", F.explode_outer(tokens(F.lower("q"))))
+        asked = questions.withColumn("wants", tables.asks_aggregate(F.col("q"))).withColumn("word", F.explode_outer(F.regexp_extract_all(F.lower("q"), F.lit(r"[a-z0-9_]+"), F.lit(0))))
         return asked.join(one, F.col("word") == F.col("column"), "left").groupBy("q").agg(F.min(F.when(F.col("wants"), F.col("sql"))).alias("sql"))
 
     def rerank(self, question: Column, texts: Column) -> Column:

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docloom.config import DEFAULT
 from docloom.functions import mime
@@ -121,9 +122,17 @@ def has_artifact(spark: SparkSession, root: str, key: str) -> bool:
     return fs.exists(path) and any("=" in s.getPath().getName() for s in fs.listStatus(path))
 
 
-def read_artifact(spark: SparkSession, root: str, key: str) -> DataFrame | None:
-    """A stored result, or None where there is none."""
-    return spark.read.parquet(f"{root}/{key}") if has_artifact(spark, root, key) else None
+def append_artifact(df: DataFrame, root: str, key: str, job: str = "job_id") -> None:
+    """Add rows to a stored result, as to a log."""
+    df.write.mode("append").partitionBy(job).parquet(f"{root}/{key}")
+
+
+def read_artifact(spark: SparkSession, root: str, key: str, job: str = "job_id") -> DataFrame | None:
+    """A stored result, or None where there is none. The job's id is text, however it looks: 0012 is not 12."""
+    if not has_artifact(spark, root, key):
+        return None
+    found = spark.read.parquet(f"{root}/{key}").schema
+    return spark.read.schema(StructType([StructField(f.name, StringType() if f.name == job else f.dataType) for f in found])).parquet(f"{root}/{key}")
 
 
 def clear_artifact(spark: SparkSession, root: str, key: str) -> None:

@@ -192,6 +192,7 @@ def test_ask_reaches_chunks_outside_the_lists(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/stores")
     held = {"chunks": made.withColumn("embedding", engine.provider.embed(F.col("text"))), "entities": spark.createDataFrame([(c, "ORG:acme") for c in ("c1", "c4")], "chunk_id string, entity string")}
     engine._of = lambda key, job_id: held[key]
+    engine._table = lambda key: held.get(key)
     answer = engine.ask(spark.createDataFrame([(1, "alpha beta")], "question_id long, q string"), candidates=1).first()
     assert set(answer.chunk_ids) == {"c1", "c2", "c3", "c4"}
 
@@ -388,7 +389,7 @@ def test_retry():
 def test_all_entities_of_a_chunk_are_paired(spark, tmp_path):
     found = spark.createDataFrame([("c1", i, f"ORG:e{i:02d}") for i in range(40)], "chunk_id string, pos long, entity string")
     engine = Engine(spark, f"file://{tmp_path}/stores")
-    held = {"chunks": spark.createDataFrame([("c1",)], "chunk_id string"), "entities": found}
+    held = {"chunks": spark.createDataFrame([(1, "c1", None)], "doc_id long, chunk_id string, table_name string"), "entities": found}
     engine._of = lambda key, job_id: held[key]
     pairs = engine.graph()["edges"].where("rel = 'co_occurs'").select("src", "dst").collect()
     assert {tuple(p) for p in pairs} == {(f"ORG:e{i:02d}", f"ORG:e{j:02d}") for j in range(40) for i in range(j)}
@@ -436,11 +437,27 @@ def test_engine(spark, tmp_path):
     assert [r.value for r in engine.facts("job00001").collect()] == ["Jane Smith"]
     g = engine.graph("job00001")
     assert g["nodes"].where("type = 'entity'").count() > 0 and g["edges"].count() > 0
-    asked = spark.createDataFrame([(1, "note3 note4 note5"), (2, "Acme Corp")], "question_id long, q string")
-    answers = {r.question_id: r for r in engine.ask(asked).collect()}
-    assert len(answers) == 2 and 0 <= answers[1].confidence <= 1
+    assert {r.type for r in g["nodes"].select("type").distinct().collect()} == {"document", "chunk", "table", "entity"}
+    far = graph.reach(g["edges"].drop("job_id"), g["nodes"].where("type = 'document'").select(F.col("key").alias("node")), 2)
+    assert far.where("node LIKE 'Table:%' AND hops = 1").count() == 3 and far.where("node LIKE 'ORG:%' AND hops = 2").count() > 0
+    assert [(r.job_id, r.run_status) for r in engine.status().collect()] == [("job00001", "completed")]
+    assert {(r.status, r.duration_ms is not None, r.events) for r in engine.stages("job00001").collect()} == {("completed", True, 2)}
+    questions = [(1, "note3 note4 note5", ["note3"]), (2, "Acme Corp", ["nothing of this"]), (3, "What is the average cost?", None), (4, "Owner", ["jane"]), (5, "What is the sum of amount?", None)]
+    asked = spark.createDataFrame(questions, "question_id long, q string, keywords array<string>")
+    answers = {r.question_id: r for r in engine.ask(asked, "job00001").collect()}
+    assert len(answers) == 5 and 0 <= answers[1].confidence <= 1
+    assert (answers[3].route, answers[3].reason, answers[3].sql_rows) == ("sql+vector", "ok", 1) and "3.0" in answers[3].answer and "====" in answers[3].context
+    assert answers[4].route == "facts+vector" and "Jane Smith" in answers[4].answer and answers[4].context.startswith("Owner: Jane Smith") and answers[4].judge_score == 1.0
+    assert answers[1].reason == "not_routed" and answers[2].judge_score == 0.0 and answers[1].trace.n_chunks == 5
     top = engine.chunks().where(F.col("chunk_id") == answers[1].chunk_ids[0]).first()
     assert "note3" in top.text
     assert engine.question_bank("job00001").count() > 0 and engine.storage_summary().count() >= 5
-    engine.ingest(str(folder), "job00002")
-    assert {r.job_id for r in engine.chunks("job00002").collect()} == {"job00002"}
+    small = tmp_path / "small"
+    small.mkdir()
+    (small / "t.txt").write_text(WORDS(70))
+    engine.ingest(str(small), "0012")
+    assert {r.job_id for r in engine.chunks("0012").collect()} == {"0012"} and engine.documents("12").count() == 0 and engine.documents("jobA").count() == 0
+    engine.cancel("0012")
+    assert {r.job_id: r.run_status for r in engine.status().collect()} == {"job00001": "completed", "0012": "cancelled"}
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader refuses
+        engine.ingest(str(tmp_path / "missing"), "gone")
