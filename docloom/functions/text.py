@@ -65,3 +65,22 @@ def keyword_grade(answer: Column, keywords: Column) -> tuple[Column, Column]:
 
 def confidence_tier(score: Column, high: float = 0.70, medium: float = 0.45) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
+
+
+#: Frequent words by which a text's language is told.
+STOPWORDS = {
+    "de": ["der", "die", "und", "das", "nicht", "ist", "ein", "eine", "mit", "von"],
+    "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "was"],
+    "es": ["el", "la", "de", "que", "los", "las", "por", "con", "una", "para"],
+    "fr": ["le", "la", "les", "des", "est", "dans", "une", "pour", "que", "avec"],
+}
+
+
+def language(text: Column, least: int = 50, most: int = 8192) -> Column:
+    """The language with the most of its frequent words in a text's beginning, the first by name of equal ones; unknown for short texts and without any."""
+    head = F.trim(F.substring(text, 1, most))
+    own = tokens(F.lower(F.regexp_replace(head, r"[^\p{L}]+", " ")))
+    count = lambda words: F.size(F.filter(own, lambda w: w.isin(words)))
+    hits = F.array(*[F.struct(count(words).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(STOPWORDS.items())])
+    best = F.array_max(hits)
+    return F.when((F.length(head) > least) & (best["n"] > 0), best["name"]).otherwise("unknown")

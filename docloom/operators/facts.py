@@ -73,6 +73,16 @@ def _claims(spark, sf_dir):
 
 
 
+def _order_forms(spark, sf_dir):
+    """Each order as a form of lines with labels, and one line without."""
+    o = _t(spark, sf_dir, "orders")
+    lines = ["Order form", F.concat(F.lit("Order key: "), F.col("o_orderkey").cast("string")), F.concat(F.lit("Total price:  $ "), F.round("o_totalprice").cast("long").cast("string")), F.concat(F.lit("Order date: "), F.date_format("o_orderdate", "yyyy-MM-dd")), F.concat(F.lit("Status: "), "o_orderstatus"), F.concat(F.lit("Marks: "), "o_orderstatus", F.lit(", "), "o_orderpriority"), "no: label, too short"]
+    return o.select("o_orderkey", F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines]).alias("text"))
+
+
+_FORMS_SQL = """SELECT o_orderkey, concat_ws(chr(10), 'Order form', 'Order key: ' || o_orderkey, 'Total price:  $ ' || CAST(round(o_totalprice) AS BIGINT), 'Order date: ' || strftime(o_orderdate, '%Y-%m-%d'), 'Status: ' || o_orderstatus, 'Marks: ' || o_orderstatus || ', ' || o_orderpriority, 'no: label, too short') AS text FROM orders"""
+
+
 def _norm(column: str) -> str:
     return f"trim(regexp_replace(lower({column}), '{SPACES_SQL}', ' ', 'g'))"
 
@@ -88,8 +98,15 @@ QUERIES = {
 FROM benchmark b LEFT JOIN documents d ON d.doc_id = item_id)""",
     ),
     "fact_types": (
-        lambda s, d: by_type(extract(_t(s, d, "documents").select("doc_id", "text"))),
-        r"""WITH f AS (SELECT trim(regexp_extract(q, '(?m)^([A-Za-z][A-Za-z0-9 ]{2,40}): +([^\n]{1,200})$', 2)) AS v FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '(?m)^([A-Za-z][A-Za-z0-9 ]{2,40}): +([^\n]{1,200})$')) AS q FROM documents))
-SELECT CASE WHEN regexp_matches(v, '^[₱$€£¥]') THEN 'currency' WHEN regexp_matches(v, '^[+-]?[\d,]+(\.\d+)?%?$') THEN 'number' WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}$') THEN 'date' WHEN contains(v, ', ') THEN 'list' ELSE 'text' END AS type, count(*) AS facts FROM f GROUP BY 1""",
+        lambda s, d: by_type(extract(_order_forms(s, d), "o_orderkey")),
+        rf"""WITH f AS (SELECT trim(regexp_extract(q, '{FACT_LINE}', 2)) AS v FROM (SELECT unnest(regexp_extract_all(text, '{FACT_LINE}')) AS q FROM ({_FORMS_SQL})))
+SELECT CASE WHEN regexp_matches(v, '^[₱$€£¥]') THEN 'currency' WHEN regexp_matches(v, '^[+-]?[\d,]+(\.\d+)?%?$') THEN 'number' WHEN regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN 'date' WHEN contains(v, ', ') THEN 'list' ELSE 'text' END AS type, count(*) AS facts FROM f GROUP BY 1""",
+    ),
+    "fact_lines": (
+        lambda s, d: extract(_order_forms(s, d), "o_orderkey").where("type <> 'text'").select("o_orderkey", "pos", "label", "value", "type"),
+        """SELECT o_orderkey, 0::BIGINT AS pos, 'Order key' AS label, CAST(o_orderkey AS VARCHAR) AS value, 'number' AS type FROM orders
+UNION ALL SELECT o_orderkey, 1, 'Total price', '$ ' || CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR), 'currency' FROM orders
+UNION ALL SELECT o_orderkey, 2, 'Order date', strftime(o_orderdate, '%Y-%m-%d'), 'date' FROM orders
+UNION ALL SELECT o_orderkey, 4, 'Marks', o_orderstatus || ', ' || o_orderpriority, 'list' FROM orders""",
     ),
 }

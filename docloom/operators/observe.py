@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,37 @@ def eval_rollup(graded: DataFrame) -> DataFrame:
     return out.select(kind.alias("level"), F.coalesce("route", "category", F.lit("all")).alias("value"), "n", "correct", "keyword_passes", "avg_score")
 
 
+def routing_summary(answers: DataFrame, route: str = "route") -> DataFrame:
+    """(kind, answers): by route; what took more than one (joined by +) is hybrid, none is vector."""
+    kind = F.when(F.contains(F.col(route), F.lit("+")), "hybrid").otherwise(F.coalesce(F.nullif(route, F.lit("")), F.lit("vector")))
+    return answers.groupBy(kind.alias("kind")).agg(F.count("*").alias("answers"))
+
+
+def answer_totals(answers: DataFrame) -> DataFrame:
+    """(answers, tokens_in, tokens_out, cost to 6 places, avg_score to 3, correct, partial, unsupported, incorrect) over answers (tokens_in, tokens_out, cost, score); without a score none of the verdicts."""
+    said = F.when(F.col("score").isNotNull(), verdict(F.col("score")))
+    count = lambda name: F.count(F.when(said == name, 1)).alias(name)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return answers.agg(
+        F.count("*").alias("answers"), total("tokens_in"), total("tokens_out"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost"), F.round(F.avg("score"), 3).alias("avg_score"), *map(count, ("correct", "partial", "unsupported", "incorrect"))
+    )
+
+
+def usage_summary(calls: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, calls, tokens, cost): a turn's own measures (turn_tokens, turn_cost) count before the call's (tokens, cost), and a tool's cost is added."""
+    tokens, cost = F.coalesce("turn_tokens", "tokens", F.lit(0)), F.coalesce("turn_cost", "cost", F.lit(0.0)) + F.coalesce("tool_cost", F.lit(0.0))
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(tokens).cast("long").alias("tokens"), F.sum(cost).alias("cost"))
+
+
+def stage_costs(usage: DataFrame, by: list[str], stage: str = "stage") -> DataFrame:
+    """The rollup of a job stage by stage, in the order of the numbers that the stages' keys end in; the wall time is from the first start to the last end where usage has started and ended, else the sum of durations."""
+    rows = job_cost(usage, [*by, stage]).withColumn("place", F.coalesce(F.regexp_extract(stage, r"(\d+)$", 1).try_cast("int"), F.lit(0)))
+    if {"started", "ended"} <= set(usage.columns):
+        spans = usage.groupBy(*by, stage).agg((F.unix_millis(F.max("ended")) - F.unix_millis(F.min("started"))).alias("span"))
+        rows = rows.join(spans, [*by, stage]).withColumn("wall_ms", F.coalesce("span", "wall_ms")).drop("span")
+    return rows
+
+
 def extraction_confidence(parser: Column, words: Column, tables: Column, headings: Column) -> tuple[Column, Column]:
     """How much an extraction can be trusted, by parser, words and structure; and its tier."""
     reliability = F.when(parser == "native", 0.95).when(parser == "office", 0.95).when(parser == "unified", 0.9).when(parser == "vision", 0.75).otherwise(0.6)
@@ -87,11 +120,14 @@ def extraction_confidence(parser: Column, words: Column, tables: Column, heading
     return score, F.when(score >= 0.85, "High").when(score >= 0.65, "Medium").otherwise("Low")
 
 
-def storage_survey(stores: dict[str, DataFrame]) -> DataFrame:
-    """(store, rows) of every store."""
+def storage_survey(stores: dict[str, DataFrame], chars: bool = False) -> DataFrame:
+    """(store, rows) of every store, and with `chars` the characters of its text columns."""
     out = None
     for name, df in stores.items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("store"), "rows")
+        texts = [F.coalesce(F.length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        size = F.coalesce(F.sum(reduce(lambda a, b: a + b, texts)), F.lit(0)).cast("long") if texts else F.lit(0).cast("long")
+        one = df.agg(F.count("*").alias("rows"), *([size.alias("chars")] if chars else [])).withColumn("store", F.lit(name))
+        one = one.select("store", "rows", *(["chars"] if chars else []))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import estimate, tokens
 from docloom.operators.chunking import EST, W
 from docloom.operators.graph import MENTION_SQL, mentions
+from docloom.operators.relational import enriched
 from docloom.operators.retrieval import within_budget
 
 #: Page renders and embedded images that a document keeps, and the least area of an embedded one.
@@ -85,6 +86,13 @@ def _turns(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 4 + F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)).alias("place"), "role", "turn", "text")
 
 
+def _metadata(spark, sf_dir):
+    """Documents' own keys, which stay, and further ones."""
+    own = F.map_filter(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")), lambda k, v: v.isNotNull())
+    df = enriched(_t(spark, sf_dir, "documents").select("doc_id", "text", own.alias("metadata")), {"lang": F.lit("zz"), "doc_type": F.lit("note"), "token_count": estimate(F.size(tokens(F.col("text"))))})
+    return df.select("doc_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata")))).alias("metadata"))
+
+
 QUERIES = {
     "image_selection": (
         lambda s, d: select_images(_images(s, d).distinct()),
@@ -114,7 +122,7 @@ SELECT doc_id, label, count(*) AS n, md5(string_agg(f[2], ', ' ORDER BY f) FILTE
         "SELECT s_suppkey, coalesce(s_name, '---') || ' | ' || coalesce(CAST(s_nationkey AS VARCHAR), '---') AS line FROM supplier",
     ),
     "metadata_enriched": (
-        lambda s, d: _t(s, d, "documents").select("doc_id", F.to_json(F.map_filter(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("token_count"), estimate(F.size(tokens(F.col("text")))).cast("string")), lambda k, v: v.isNotNull())).alias("metadata")),
-        f"""SELECT doc_id, '{{' || concat_ws(',', CASE WHEN lang IS NOT NULL THEN '"lang":"' || lang || '"' END, CASE WHEN source IS NOT NULL THEN '"source":"' || source || '"' END, '"token_count":"' || {EST.format(f"len({W})")} || '"') || '}}' AS metadata FROM documents""",
+        _metadata,
+        f"""SELECT doc_id, '{{"doc_type":"note",' || concat_ws(',', '"lang":"' || coalesce(lang, 'zz') || '"', CASE WHEN source IS NOT NULL THEN '"source":"' || source || '"' END, '"token_count":"' || {EST.format(f"len({W})")} || '"') || '}}' AS metadata FROM documents""",
     ),
 }
