@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch of rows that goes to Python: four tasks' texts, frames and results then take little of an executor, however long the texts are.
+BATCH_BYTES = "16m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table's columns. Bounds the session's batches to Python (spark.sql.execution.arrow.maxBytesPerBatch), as all operators here run on texts of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
