@@ -56,13 +56,14 @@ def top(scored: DataFrame, k: int | None, query: str = "item_id", key: str = "do
 
 
 def rare_terms(chunks: DataFrame, made: dict[str, DataFrame], stopwords: list[str], k: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The k terms of each document with the highest idf: over 4 letters, letters only, no stopwords; ties by term."""
-    own = chunks.select(key, F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).where((F.length("term") > 4) & F.col("term").rlike("^[a-z]+$") & ~F.col("term").isin(stopwords))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("idf", 9)), F.asc("term")))
+    """The k terms of each document with the highest idf: over 4 letters, letters only, no stopwords; of equal ones the first seen."""
+    own = chunks.select(key, F.posexplode(F.array_distinct(terms(F.col(text)))).alias("pos", "term")).where((F.length("term") > 4) & F.col("term").rlike(r"^\p{L}+$") & ~F.col("term").isin(stopwords))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("idf", 9)), F.asc("pos")))
     return own.join(made["terms"], "term").withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select(key, "rank", "term")
 
 
-STOPWORDS = ["about", "after", "their", "there", "these", "those", "which", "while", "would", "could", "should", "other", "where", "being"]
+#: Words of over four letters that make no question.
+STOPWORDS = ["their", "which", "would", "there", "other", "about", "using", "within", "under"]
 
 
 def _docs(spark, sf_dir):
@@ -95,6 +96,6 @@ QUERIES = {
     "bm25_idf": (lambda s, d: index(_docs(s, d))["terms"].select("term", "df", F.round("idf", 6).alias("idf")), INDEX_SQL + "SELECT term, df, round(idf, 6) AS idf FROM te"),
     "keyword_query_terms": (
         lambda s, d: rare_terms(_docs(s, d), index(_docs(s, d)), STOPWORDS),
-        INDEX_SQL + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 9) DESC, term) AS rank, term FROM po JOIN te USING (term) WHERE length(term) > 4 AND regexp_full_match(term, '[a-z]+') AND term NOT IN ({', '.join(repr(x) for x in STOPWORDS)}) QUALIFY rank <= 6",
+        INDEX_SQL + f", fp AS (SELECT doc_id, term, min(i) AS pos FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w) GROUP BY ALL) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 9) DESC, pos) AS rank, term FROM fp JOIN te USING (term) WHERE length(term) > 4 AND regexp_full_match(term, '\\p{{L}}+') AND term NOT IN ({', '.join(repr(x) for x in STOPWORDS)}) QUALIFY rank <= 6",
     ),
 }

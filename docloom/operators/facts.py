@@ -36,10 +36,10 @@ def quote_places(chunks: DataFrame, quotes: DataFrame, quote_id: str = "item_id"
     words between must be equal, so the key is of the inner words where there are any.
     """
     asked = quotes.select(quote_id, normalised(F.col(quote)).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
-    inner = F.when(F.size("w") > width + 1, F.array_join(F.slice("w", 2, width), " "))
+    inner = F.when(F.size("w") > width + 1, F.xxhash64(F.slice("w", 2, width)))  # a hash: equal texts are compared in full below
     asked = asked.withColumn("run", inner)
     words = chunks.select(key, normalised(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    runs = words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1)), lambda i: F.array_join(F.slice(F.col("w"), i, width), " ")))).alias("run"))
+    runs = words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, width))))).alias("run"))
     hits = asked.where("run IS NOT NULL").select(quote_id, "run").join(runs, "run").select(quote_id, key).distinct()
     long = hits.join(asked.select(quote_id, "q"), quote_id).join(words.select(key, "t"), key).where(F.contains("t", F.col("q")))
     short = asked.where("run IS NULL").select(quote_id, "q").join(words.select(key, "t"), F.contains("t", F.col("q")))

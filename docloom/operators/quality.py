@@ -12,7 +12,7 @@ from docloom.functions.vector import INCREMENT, MULTIPLIER, mock_embedding
 from docloom.operators.chunking import EST, OVERLAP, W, WIDTH, heading_chunks, merge_small, stats, windows
 from docloom.operators.chunking import _WINDOWS_SQL as WINDOWS_SQL
 from docloom.functions.text import estimate
-from docloom.operators.tables import table_questions
+from docloom.operators.tables import CATEGORY_HINTS, NUMERIC_HINTS, table_questions
 from docloom.sources import html, plain
 from docloom.sources.plain import needs_ocr
 
@@ -153,11 +153,25 @@ def _row_counts(spark, sf_dir):
     return storage_survey({n: _t(spark, sf_dir, n) for n in ("customer", "supplier", "part", "orders", "lineitem")}).withColumnRenamed("store", "table_name")
 
 
+_STAR = ("customer", "supplier", "part", "orders", "lineitem")
+
+
+def _hint_sql(hints: list[str]) -> str:
+    return " OR ".join(f"contains(lower(column_name), '{h}')" for h in hints)
+
+
+_QUESTIONS_SQL = f"""
+WITH c AS (SELECT table_name, column_name, data_type IN ('DOUBLE', 'INTEGER', 'BIGINT') AS num, {_hint_sql(NUMERIC_HINTS)} AS nh, {_hint_sql(CATEGORY_HINTS)} AS ch FROM information_schema.columns WHERE table_name IN {_STAR}),
+p AS (SELECT table_name, arg_min(column_name, (NOT nh, column_name)) FILTER (num) AS n, arg_min(column_name, (NOT ch, column_name)) FILTER (NOT num) AS k FROM c GROUP BY table_name),
+r AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _STAR)})
+SELECT table_name, 'sql' AS route, 'What are the highest, lowest and average ' || n || '?' AS q, 'SELECT max(' || n || ') AS max_value, min(' || n || ') AS min_value, round(avg(' || n || '), 2) AS avg_value FROM ' || table_name AS sql, rows FROM p JOIN r USING (table_name) WHERE n IS NOT NULL
+UNION ALL SELECT table_name, 'sql', 'What is the average ' || n || ' by ' || k || '?', 'SELECT ' || k || ', count(*) AS n, round(avg(' || n || '), 2) AS avg_value FROM ' || table_name || ' GROUP BY ' || k || ' ORDER BY avg_value DESC', rows FROM p JOIN r USING (table_name) WHERE n IS NOT NULL AND k IS NOT NULL"""
+
 QUERIES = {
     "heading_chunks": (_heading_chunks, _CHUNKS_SQL),
     "merge_small": (_merge_small, _MERGE_SQL),
     "mock_embedding": (_mock_vectors, _MOCK_SQL),
-    "table_questions": (_questions, None),
+    "table_questions": (_questions, _QUESTIONS_SQL),
     "quality_cid": (
         _cid,
         r"WITH b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '(cid:3)') ELSE text END AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '\(cid:\d+\)', '', 'g')) AS kept FROM b) SELECT doc_id, n >= 30 AND (n - kept) / greatest(n, 1)::DOUBLE > 0.20 AS garbage, kept AS kept_chars FROM c",

@@ -21,7 +21,8 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     """Rows in blocks of about BLOCK by the hash of their key, so that the number of blocks follows the number of rows."""
     n = df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
     placed = df.where(F.col(vector).isNotNull()).join(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
-    return placed.groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias(name)).drop("block")
+    held = placed.groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("held"))
+    return held.select(F.col("held.k").alias(f"{name}k"), F.flatten("held.v").alias(f"{name}v"))
 
 
 def dense_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
@@ -34,9 +35,8 @@ def dense_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query
 
     def run(batches):
         for df in batches:
-            for q, c in zip(df["q"], df["c"], strict=True):
-                qk, ck = np.array([x["k"] for x in q]), np.array([x["k"] for x in c])
-                s = np.round(np.stack([x["v"] for x in q]) @ np.stack([x["v"] for x in c]).T, digits) + 0.0
+            for qk, qv, ck, cv in zip(df["qk"], df["qv"], df["ck"], df["cv"], strict=True):
+                s = np.round(qv.reshape(len(qk), -1) @ cv.reshape(len(ck), -1).T, digits) + 0.0
                 order = np.argsort(ck, kind="stable")
                 ck, s = ck[order], s[:, order]
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]

@@ -11,9 +11,9 @@ from docloom.config import DEFAULT
 from docloom.functions.numeric import parse_number, safe_identifier
 
 #: Words that ask for an aggregate, and those that mark a number's or a category's column.
-AGGREGATE_WORDS = ["total", "sum", "average", "avg", "mean", "count", "how many", "maximum", "max", "minimum", "min", "combined"]
-NUMERIC_HINTS = ["amount", "price", "cost", "total", "qty", "quantity", "value", "rate", "%", "count", "balance", "discount", "tax"]
-CATEGORY_HINTS = ["name", "type", "status", "category", "segment", "flag", "priority", "brand", "region", "mode"]
+AGGREGATE_WORDS = ["sum", "average", "avg", "total", "count", "minimum", "maximum", "highest", "lowest", "compare", "across all", "how many"]
+NUMERIC_HINTS = ["amount", "total", "value", "count", "n", "mean", "avg", "score", "rate", "pct", "%", "$", "revenue", "cost", "price", "number", "quantity", "size", "weight", "age", "days", "ratio", "margin", "growth", "sales", "profit", "loss"]
+CATEGORY_HINTS = ["group", "type", "category", "segment", "treatment", "arm", "product", "region", "department", "class", "status", "name", "stage", "quarter", "year"]
 FORBIDDEN = ["insert", "update", "delete", "drop", "alter", "create", "attach", "replace", "pragma"]
 
 
