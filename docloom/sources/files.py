@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from docloom.config import DEFAULT
 from docloom.functions import mime
 from docloom.functions.checks import stage_checks
+from docloom.functions.text import language
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -30,10 +31,11 @@ def raw_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFr
 
 
 def intake(files: DataFrame) -> DataFrame:
-    """Name, size, SHA-256, type, sub-structure and encoding of each raw file, with its checks."""
+    """Name, size, SHA-256, type, sub-structure, encoding and language (of text files) of each raw file, with its checks."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     df = files.select("path", name.alias("filename"), F.coalesce("length", F.lit(0)).alias("size_bytes"), F.sha2("content", 256).alias("sha256"), mime.extension(F.col("path")).alias("extension"), mime.mime(F.col("content"), F.col("path")).alias("mime"), "content")
-    df = df.withColumn("sub_structure", mime.sub_structure(F.col("mime"), F.col("content"))).withColumn("encoding", mime.encoding(F.col("mime"), F.col("content"))).drop("content")
+    df = df.withColumn("sub_structure", mime.sub_structure(F.col("mime"), F.col("content"))).withColumn("encoding", mime.encoding(F.col("mime"), F.col("content")))
+    df = df.withColumn("language", language(F.try_validate_utf8(F.col("content").cast("string")))).drop("content")
     return df.withColumn("checks", F.concat(stage_checks("intake"), stage_checks("format")))
 
 

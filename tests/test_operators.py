@@ -430,6 +430,10 @@ def test_engine(spark, tmp_path):
     engine.ingest(str(folder), "job00001")  # nothing is done twice
     assert engine.documents("job00001").count() == 6 and engine.documents("other").count() == 0
     assert engine.chunks("job00001", "table_summary").count() == 3 and engine.chunks("job00001", "prose").count() >= 3
+    (folder.parent / "lang").mkdir()
+    for name, said in {"a.txt": "Der Hund und die Katze sind nicht mit der Maus von nebenan befreundet.", "b.txt": "The dog and the cat went to the house of the mouse in the end.", "c.txt": "the end", "d.bin": "x"}.items():
+        (folder.parent / "lang" / name).write_bytes(said.encode() if name != "d.bin" else b"\xff\x00" * 99)
+    assert {r.filename: r.language for r in files.intake(files.raw_files(spark, str(folder.parent / "lang"))).collect()} == {"a.txt": "de", "b.txt": "en", "c.txt": "unknown", "d.bin": "unknown"}
     doc = engine.documents().where("filename = 'p.html'").first().doc_id
     assert [tuple(r)[1:] for r in engine.table(doc, "doc_table_1").collect()] == [("Bolt", 3.0)]
     with pytest.raises(LookupError):
