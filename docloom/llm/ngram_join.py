@@ -14,10 +14,11 @@ last, so that a passage common to thousands of documents brings none of them tog
    in which two parity bitmaps differ is a member that only one of the sets holds, so the bit count
    bounds the overlap from above; pairs that it leaves are checked by intersecting the sorted sets,
    made again from the texts of the documents that a semi-join by doc_id leaves.
-4. two rounds: in the first each class proposes only its most similar partner in a tile. Links that
-   hold join components, and tiles within one component are done with, so a group of near copies costs
-   links in proportion to its size. The second round proposes every remaining pair of different
-   components, so that no link between components is lost.
+4. two rounds: in the first each class proposes only its most similar partner in a tile, and only in
+   those of its LEAD members, which near copies mostly share. Links that hold join components, and
+   tiles within one component are done with, so a group of near copies costs links in proportion to its
+   size. The second round proposes every remaining pair of different components, so that no link
+   between components is lost.
 
 Sets are compared by 64-bit hashes: with n distinct runs in the corpus the chance that any two collide
 is n^2 / 2^65.
@@ -39,6 +40,8 @@ WORDS, PERCENT = 5, 80
 COMMON, MOST_COMMON = 8, 1 << 20
 #: Classes of one tile that are compared in one task; more are dealt out as pairs of parts.
 PART = 1024
+#: Members of a class that bring it together with near copies in the first round, those whose hashes are lowest.
+LEAD = 16
 #: Bits of the filter of shared members that is sent to the tasks: 8 for each entry within these bounds, so at most 16 MB whatever the input. It only thins what is joined.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
@@ -383,7 +386,9 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     shared, n_shared = stash_counted(shared, "members")
     field = spark.sparkContext.broadcast(bit_filter(shared, n_shared))
     rows = full.select("key", "n", "first").mapInPandas(_only(field), "key long, n long, first array<long>")
-    rows = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("key", "n", F.explode("first").alias("member"))
+    rows = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    by_hash = F.array_sort(F.transform("first", lambda m: F.struct(F.xxhash64(m).alias("h"), m.alias("m"))))
+    rows = rows.select("key", "n", F.posexplode(by_hash).alias("place", "x")).select("key", "n", F.col("x.m").alias("member"), (F.col("place") < LEAD).alias("lead"))
     two = rows.groupBy("member").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
     rows = rows.join(two.select("member", (F.col("rows") > PART).alias("large")), "member")
     rows = stash(_near_in_size(rows), "tile-rows")
@@ -393,9 +398,10 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
     components, tested, sets = None, None, None
     for every in (False, True):
-        members = rows.withColumn("comp", F.col("key"))
+        members = rows if every else rows.where("lead")
+        members = members.drop("lead").withColumn("comp", F.col("key"))
         if components is not None:
-            members = rows.join(components, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
+            members = members.join(components, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
         tiled = _small_tiles(members.where("NOT large")).unionByName(_large_tiles(members.where("large")))
         tiled = tiled.join(classes.select("key", "bits"), "key").repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
         pairs = tiled.mapInPandas(_proposals(every), "a long, b long").distinct()

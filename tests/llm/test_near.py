@@ -107,6 +107,7 @@ def _sets(texts):
 def test_texts(spark, monkeypatch, part, common):
     monkeypatch.setattr(ngram_join, "PART", part)
     monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "LEAD", 16 if part > 4 else 1)
     rng = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(3000)] + ["Straße", "É", "été", "x y"]
     passage = rng.choice(vocabulary, 60).tolist()
