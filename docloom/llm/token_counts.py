@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 from itertools import accumulate, pairwise
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from docloom.llm.common import table
 
 LIMIT = 1024
 #: Bytes of the pieces' tables that a task keeps (about; they are begun anew when that is full), and characters of the longest piece that is kept.
-KEPT, LONGEST = 96 << 20, 64
+KEPT, LONGEST = 192 << 20, 64
 #: How the byte-level pre-tokenizer splits text.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPLIT = "|".join(CONTRACTIONS) + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -137,7 +139,8 @@ class Prefixes:
 
     def piece(self, piece: str) -> bytes:
         """The differences of a piece's counts, as 16-bit numbers."""
-        found = np.diff(np.array(self.counts(piece))).astype("<i2").tobytes()
+        counts = self.table(piece) if piece.isascii() and piece[0] != "'" else self.counts(piece)
+        found = array("h", map(sub, counts[1:], counts)).tobytes()
         if len(piece) <= LONGEST:
             self.held += 3 * len(found) + 200
             if self.held > KEPT:
@@ -166,7 +169,7 @@ class Prefixes:
         except KeyError:
             known = self.tables.get
             joined = b"".join([known(p) or self.piece(p) for p in pieces])
-        out = np.frombuffer(joined, "<i2")
+        out = np.frombuffer(joined, np.int16)
         for m in self.blanks.finditer(text):
             if m.end() < len(text) and (more := self.join(m[0])):
                 out = out if out.flags.writeable else out.copy()
@@ -193,7 +196,7 @@ class Prefixes:
         if found is None:
             base = self.total(last)
             counts = [base, *(self.total(last + special[:n]) for n in range(1, len(special))), base + 1]
-            found = np.array([b - a for a, b in pairwise(counts)], "<i2")
+            found = np.array([b - a for a, b in pairwise(counts)], np.int16)
             if len(last) <= LONGEST and len(self.specials) < 10_000:
                 self.specials[last, special] = found
         return found
