@@ -337,14 +337,20 @@ def _small_tiles(members: DataFrame) -> DataFrame:
     return kept.select("member", F.lit(0).alias("tile"), F.lit(0).alias("part"), "key", "n", "comp")
 
 
-def _large_tiles(members: DataFrame) -> DataFrame:
+def _large_tiles(members: DataFrame, every: bool) -> DataFrame:
     """Members with more rows: those in two components are dealt out as parts, and each two parts, and each part, are a tile.
 
+    Without `every` only each part is, and each member deals its rows in its own way, so that classes of
+    one group meet others in every member's parts, at a cost in proportion to their number.
+
     Counts and components are combined before the shuffle, so a member that one component holds costs no more than a row for each task.
     """
     mixed = members.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
     parts = F.ceil(F.col("rows") / PART).cast("int")
-    dealt = members.join(mixed.select("member", parts.alias("parts")), "member").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    by = F.xxhash64("key") if every else F.xxhash64("key", "member")
+    dealt = members.join(mixed.select("member", parts.alias("parts")), "member").withColumn("part", F.pmod(by, F.col("parts")).cast("int"))
+    if not every:
+        return dealt.select("member", (F.col("part") * 2).alias("tile"), "part", "key", "n", "comp")
     one = lambda j: (F.least(F.col("part"), j) * F.col("parts") + F.greatest(F.col("part"), j)) * 2 + (F.col("part") != j).cast("int")
     return dealt.select("member", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), one)).alias("tile"), "part", "key", "n", "comp")
 
@@ -402,7 +408,7 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
         members = members.drop("lead").withColumn("comp", F.col("key"))
         if components is not None:
             members = members.join(components, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
-        tiled = _small_tiles(members.where("NOT large")).unionByName(_large_tiles(members.where("large")))
+        tiled = _small_tiles(members.where("NOT large")).unionByName(_large_tiles(members.where("large"), every))
         tiled = tiled.join(classes.select("key", "bits"), "key").repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
         pairs = tiled.mapInPandas(_proposals(every), "a long, b long").distinct()
         if tested is not None:
