@@ -200,7 +200,7 @@ def _aligner(tokenizer_json: bytes, model: bytes) -> Aligner:
 
 
 _RUNS = "run long, bucket int, records long, pairs binary, counts binary, places binary, times binary"
-_DOCS = "place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+_DOCS = "place int, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
 def _written(run: int, links: list[np.ndarray]) -> pd.DataFrame:
@@ -400,7 +400,7 @@ def align(docs: DataFrame, tokenizer: str, model: str) -> tuple[DataFrame, DataF
         with open(path, "rb") as f:
             files.append(f.read())
     spec = spark.sparkContext.broadcast(tuple(files))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")  # pandas makes numbers with nulls inexact
     found = stash(docs.mapInPandas(_runs(spec), f"{_RUNS}, {_DOCS}"), "alignment")
     spec.destroy()
     runs, docs = found.where("bucket IS NOT NULL"), found.where("bucket IS NULL")
@@ -420,7 +420,7 @@ def align(docs: DataFrame, tokenizer: str, model: str) -> tuple[DataFrame, DataF
     sums = sums.mapInPandas(_summed, "run long, place int, n_best long, count_sum long")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = docs.select("run", *[c.split()[0] for c in _DOCS.split(", ")]).join(sums, ["run", "place"], "left")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256"), counts
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256"), counts
 
 
 def pair_counts(counts: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def test_merge_blocks(monkeypatch, block):
 def test_empty_and_null_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(none, A, B)[0].count() == 0
-    docs = spark.createDataFrame([(None, "one two"), (None, None), (2**60 + 1, "one two"), (7, "one two")], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, "one two"), (None, None), (2**60 + 1, "one two"), (7, "one two")], "doc_id long, text string").coalesce(1)
     rows = alignment.align(docs, A, B)[0].collect()
     assert sorted((str(r.doc_id), r.n_a) for r in rows) == [("1152921504606846977", 2), ("7", 2), ("None", 0), ("None", 2)]
     assert {r.count_sum for r in rows if r.n_a} == {6}
