@@ -18,7 +18,9 @@ last, so that a passage common to thousands of documents brings none of them tog
    those of its LEAD members, which near copies mostly share. Links that hold join components, and
    tiles within one component are done with, so a group of near copies costs links in proportion to its
    size. The second round proposes every remaining pair of different components, so that no link
-   between components is lost.
+   between components is lost. A pair that shares many members is proposed for the first SEEN of them
+   only: each row has prints of its class's EARLY members that come before, and where two rows have SEEN
+   in common there, their pair has been proposed in those members' tiles.
 
 Sets are compared by 64-bit hashes: with n distinct runs in the corpus the chance that any two collide
 is n^2 / 2^65.
@@ -42,6 +44,8 @@ COMMON, MOST_COMMON = 8, 1 << 20
 PART = 1024
 #: Members of a class that bring it together with near copies in the first round, those whose hashes are lowest.
 LEAD = 16
+#: Members of a class of which the second round has a 32-bit print, and how many prints in common before a member tell that a pair has been proposed (that all of so many are false has a chance of about 1e-20 a pair).
+EARLY, SEEN = 24, 3
 #: Bits of the filter of shared members that is sent to the tasks: 8 for each entry within these bounds, so at most 16 MB whatever the input. It only thins what is joined.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
@@ -107,6 +111,26 @@ class Bitmaps:
         return out
 
 
+class Early:
+    """For each row the prints of those of its class's members that come before the row's own."""
+
+    def __init__(self, prints: list[np.ndarray], place: np.ndarray):
+        sizes = np.array([len(p) for p in prints], np.int64)
+        at = np.arange(EARLY)
+        held = at < np.minimum(sizes, EARLY)[:, None]
+        self.prints = np.full((len(prints), EARLY), -1, np.int64)
+        self.prints[held] = np.concatenate([np.asarray(p[:EARLY], np.int64) for p in prints]) & 0xFFFFFFFF if len(prints) else 0
+        self.prints[at >= place[:, None]] = -1
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many prints each pair of rows has in common."""
+        out = np.zeros(len(a), np.int64)
+        for c in range(0, len(a), 1 << 12):
+            x, y = self.prints[a[c : c + (1 << 12)]], self.prints[b[c : c + (1 << 12)]]
+            out[c : c + (1 << 12)] = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).sum(axis=(1, 2))
+        return out
+
+
 def digest(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -272,8 +296,11 @@ def _proposals(every: bool):
     def propose(df: pd.DataFrame):
         key = df["key"].to_numpy()
         if every:
+            early = Early(df["prints"].tolist(), df["place"].to_numpy())
             for i, j, _ in good(df):
-                yield pairs(key, i, j)
+                new = early.shared(i, j) < SEEN
+                if new.any():
+                    yield pairs(key, i[new], j[new])
             return
         best, mate = np.full(len(df), -1, np.int64), np.zeros(len(df), np.int64)
         for i, j, score in good(df):
@@ -334,7 +361,7 @@ def _small_tiles(members: DataFrame) -> DataFrame:
     """Members with at most PART rows: one tile each, if in two components."""
     by = Window.partitionBy("member")
     kept = members.withColumn("mixed", F.min("comp").over(by) != F.max("comp").over(by)).where("mixed")
-    return kept.select("member", F.lit(0).alias("tile"), F.lit(0).alias("part"), "key", "n", "comp")
+    return kept.select("member", F.lit(0).alias("tile"), F.lit(0).alias("part"), "key", "n", "comp", "place")
 
 
 def _large_tiles(members: DataFrame, every: bool) -> DataFrame:
@@ -350,9 +377,9 @@ def _large_tiles(members: DataFrame, every: bool) -> DataFrame:
     by = F.xxhash64("key") if every else F.xxhash64("key", "member")
     dealt = members.join(mixed.select("member", parts.alias("parts")), "member").withColumn("part", F.pmod(by, F.col("parts")).cast("int"))
     if not every:
-        return dealt.select("member", (F.col("part") * 2).alias("tile"), "part", "key", "n", "comp")
+        return dealt.select("member", (F.col("part") * 2).alias("tile"), "part", "key", "n", "comp", "place")
     one = lambda j: (F.least(F.col("part"), j) * F.col("parts") + F.greatest(F.col("part"), j)) * 2 + (F.col("part") != j).cast("int")
-    return dealt.select("member", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), one)).alias("tile"), "part", "key", "n", "comp")
+    return dealt.select("member", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), one)).alias("tile"), "part", "key", "n", "comp", "place")
 
 
 def common_members(docs: DataFrame) -> Common:
@@ -394,7 +421,9 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     rows = full.select("key", "n", "first").mapInPandas(_only(field), "key long, n long, first array<long>")
     rows = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("first").alias("first"))
     by_hash = F.array_sort(F.transform("first", lambda m: F.struct(F.xxhash64(m).alias("h"), m.alias("m"))))
-    rows = rows.select("key", "n", F.posexplode(by_hash).alias("place", "x")).select("key", "n", F.col("x.m").alias("member"), (F.col("place") < LEAD).alias("lead"))
+    grouped = stash(rows.select("key", "n", F.transform(by_hash, lambda x: x["m"]).alias("first")), "class-members")
+    prints = grouped.select("key", F.transform(F.slice("first", 1, EARLY), lambda m: F.shiftright(m, 32).cast("int")).alias("prints"))
+    rows = grouped.select("key", "n", F.posexplode("first").alias("place", "member"))
     two = rows.groupBy("member").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
     rows = rows.join(two.select("member", (F.col("rows") > PART).alias("large")), "member")
     rows = stash(_near_in_size(rows), "tile-rows")
@@ -404,12 +433,14 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
     components, tested, sets = None, None, None
     for every in (False, True):
-        members = rows if every else rows.where("lead")
-        members = members.drop("lead").withColumn("comp", F.col("key"))
+        members = (rows if every else rows.where(F.col("place") < LEAD)).withColumn("comp", F.col("key"))
         if components is not None:
             members = members.join(components, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
         tiled = _small_tiles(members.where("NOT large")).unionByName(_large_tiles(members.where("large"), every))
-        tiled = tiled.join(classes.select("key", "bits"), "key").repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
+        tiled = tiled.join(classes.select("key", "bits"), "key")
+        if every:
+            tiled = tiled.join(prints, "key")
+        tiled = tiled.repartition("member", "tile").sortWithinPartitions("member", "tile", "n", "key")
         pairs = tiled.mapInPandas(_proposals(every), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -442,7 +473,7 @@ def near_texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     named = lowest.join(names, "comp").select("key", "component_id")
     out = sketch.join(named, "key", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    for done in (rows, tested, sets):
+    for done in (grouped, rows, tested, sets):
         if done is not None:
             discard(done)
     return out
