@@ -1,4 +1,4 @@
-"""A BM25 index as three tables, and retrieval by joining a query's terms to the postings."""
+"""What a BM25 index says of words, and the queries of lexical search."""
 
 from __future__ import annotations
 
@@ -7,59 +7,20 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT
 from docloom.functions.text import tokens
+from docloom.operators import lexical
 from docloom.operators.chunking import W
+from docloom.sources.scratch import kept
 
 
 def terms(text: Column) -> Column:
     return F.transform(tokens(text), F.lower)
 
 
-def index(chunks: DataFrame, key: str = "doc_id", text: str = "text", scope: list[str] | None = None, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
-    """postings (key, term, tf, dl), terms (term, df, idf) and stats (n, avgdl); with `scope`, all by these columns, as for one index a document.
-
-    With `vocabulary` (a column term) only its terms get postings, as for a batch of questions: other words are
-    left out before anything is shuffled. Each kept term's df and idf are the same as in the whole index.
-    """
-    by = scope or []
-    words = chunks.select(*by, key, terms(F.col(text)).alias("w")).withColumn("dl", F.size("w").cast("long"))
-    each = words.select(*by, key, "dl", F.explode("w").alias("term"))
-    if vocabulary is not None:
-        each = each.join(vocabulary.select("term").distinct(), "term", "left_semi")
-    postings = each.groupBy(*by, key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    stats = words.groupBy(*by).agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    df = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    joined = df.join(stats, by) if by else df.join(F.broadcast(stats))  # one row without a scope
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return {"postings": postings, "terms": joined.select(*by, "term", "df", idf.alias("idf")), "stats": stats}
-
-
-def asked_terms(queries: DataFrame, text: str = "text") -> DataFrame:
-    return queries.select(F.explode(terms(F.col(text))).alias("term"))
-
-
-def scores(made: dict[str, DataFrame], queries: DataFrame, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, key, score) of every pair that shares a term. A term that a query has twice counts twice; scores of other pairs are 0."""
-    bag = queries.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    avg = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    k1, b = DEFAULT.bm25_k1, DEFAULT.bm25_b
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
-    hits = bag.join(made["terms"], "term").join(made["postings"], "term").join(F.broadcast(made["stats"]))
-    return hits.groupBy(query, key).agg(F.sum(F.col("times") * weight).alias("score"))
-
-
-def top(scored: DataFrame, k: int | None, query: str = "item_id", key: str = "doc_id", digits: int = 6) -> DataFrame:
-    """The k best of each query (None: all), ranks by position: score, then key."""
-    rounded = scored.withColumn("score", F.round("score", digits))
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))
-    ranked = rounded.withColumn("rank", place.cast("long"))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
-
-
-def rare_terms(chunks: DataFrame, made: dict[str, DataFrame], stopwords: list[str], k: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The k terms of each document with the highest idf: over 4 letters, letters only, no stopwords; of equal ones the first seen."""
+def rare_terms(chunks: DataFrame, weights: DataFrame, stopwords: list[str], k: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The k terms of each document with the highest idf in `weights` (term, idf): over 4 letters, letters only, no stopwords; of equal ones the first seen."""
     own = chunks.select(key, F.posexplode(F.array_distinct(terms(F.col(text)))).alias("pos", "term")).where((F.length("term") > 4) & F.col("term").rlike(r"^\p{L}+$") & ~F.col("term").isin(stopwords))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("idf", 9)), F.asc("pos")))
-    return own.join(made["terms"], "term").withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select(key, "rank", "term")
+    return own.join(weights, "term").withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select(key, "rank", "term")
 
 
 #: Words of over four letters that make no question.
@@ -70,16 +31,19 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def _index(spark, sf_dir):
+    return kept(lexical.shards(_docs(spark, sf_dir)), "lexical-index")
+
+
 def bm25_topk(spark, sf_dir, k: int = DEFAULT.top_k):
     """Benchmark passages as queries over all documents."""
-    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return top(scores(index(_docs(spark, sf_dir), vocabulary=asked_terms(asked)), asked), k)
+    return lexical.search(_index(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k)
 
 
 def _stats(spark, sf_dir):
-    made = index(_docs(spark, sf_dir))
-    count = made["terms"].agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
-    return made["stats"].join(F.broadcast(count)).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "postings")
+    index = _index(spark, sf_dir)
+    count = lexical.document_counts(index).agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return lexical.stats(index).join(F.broadcast(count)).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "postings")
 
 
 INDEX_SQL = f"""
@@ -93,9 +57,9 @@ sc AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf +
 QUERIES = {
     "bm25_topk": (bm25_topk, INDEX_SQL + f"SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= {DEFAULT.top_k}"),
     "bm25_index_stats": (_stats, INDEX_SQL + "SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM te) AS terms, (SELECT count(*) FROM po) AS postings FROM st"),
-    "bm25_idf": (lambda s, d: index(_docs(s, d))["terms"].select("term", "df", F.round("idf", 6).alias("idf")), INDEX_SQL + "SELECT term, df, round(idf, 6) AS idf FROM te"),
+    "bm25_idf": (lambda s, d: lexical.weights(_index(s, d)).select("term", "df", F.round("idf", 6).alias("idf")), INDEX_SQL + "SELECT term, df, round(idf, 6) AS idf FROM te"),
     "keyword_query_terms": (
-        lambda s, d: rare_terms(_docs(s, d), index(_docs(s, d)), STOPWORDS),
+        lambda s, d: rare_terms(_docs(s, d), lexical.weights(_index(s, d)), STOPWORDS),
         INDEX_SQL + f", fp AS (SELECT doc_id, term, min(i) AS pos FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w) GROUP BY ALL) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 9) DESC, pos) AS rank, term FROM fp JOIN te USING (term) WHERE length(term) > 4 AND regexp_full_match(term, '\\p{{L}}+') AND term NOT IN ({', '.join(repr(x) for x in STOPWORDS)}) QUALIFY rank <= 6",
     ),
 }

@@ -26,6 +26,12 @@ def mentions(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return found.select(key, F.col("pos").cast("long"), "name", "label", F.concat("label", F.lit(":"), F.lower("name")).alias("entity"))
 
 
+def entities_of(text: Column) -> Column:
+    """The distinct entities of a text, as `mentions` names them."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTITY), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda n: F.concat(label(n), F.lit(":"), F.lower(n))))
+
+
 def mention_counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(entity, label, mentions, chunks)."""
     return found.groupBy("entity", "label").agg(F.count("*").alias("mentions"), F.countDistinct(key).alias("chunks"))

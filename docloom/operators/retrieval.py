@@ -1,154 +1,18 @@
-"""Dense search in blocks, rank fusion, the graph bonus, confidence, and how retrieved text is put together."""
+"""Confidence of what was retrieved, how its text is put together, and the queries of dense, fused and graph search."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT
 from docloom.functions.text import confidence_tier
 from docloom.functions.vector import normalise_score
-from docloom.operators import bm25
-from docloom.operators.graph import MENTION_SQL, mentions
-
-#: Vectors of a block; a pair of blocks is compared by one matrix product.
-BLOCK = 1024
-
-
-def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """Rows in blocks of about BLOCK by the hash of their key, so that the number of blocks follows the number of rows."""
-    n = df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
-    placed = df.where(F.col(vector).isNotNull()).join(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
-    held = placed.groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("held"))
-    return held.select(F.col("held.k").alias(f"{name}k"), F.flatten("held.v").alias(f"{name}v"))
-
-
-def dense_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query, key, score, rank): the k highest dot products of each query with all chunks, ties by key.
-
-    Blocks of queries meet blocks of chunks; each pair of blocks is one matrix product that keeps the k
-    best of every query, so what leaves a task is k rows for each query and block.
-    """
-    pairs = _blocks(queries, query, vector, "q").crossJoin(_blocks(chunks, key, vector, "c"))
-
-    def run(batches):
-        for df in batches:
-            for qk, qv, ck, cv in zip(df["qk"], df["qv"], df["ck"], df["cv"], strict=True):
-                s = np.round(qv.reshape(len(qk), -1) @ cv.reshape(len(ck), -1).T, digits) + 0.0
-                order = np.argsort(ck, kind="stable")
-                ck, s = ck[order], s[:, order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({query: np.repeat(qk, best.shape[1]), key: ck[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
-
-    found = pairs.mapInPandas(run, f"{query} long, {key} long, score double")
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))
-    return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
-
-
-#: Vectors that the lists' centres are fitted on; lists; lists that a query looks into. The test vectors point everywhere alike, the worst case: measured on 500 to 10,000 of them, 32 of 64 lists find 0.91 to 0.92 of the exact five, 48 lists 0.975 to 1.
-ANN_SAMPLE, ANN_LISTS, ANN_PROBES = 20_000, 64, 36
-
-
-def centres(vectors: DataFrame, lists: int, key: str = "vec_id", vector: str = "embedding", sample: int = ANN_SAMPLE, rounds: int = 8) -> np.ndarray:
-    """Unit vectors that divide the space: spherical k-means over at most `sample` vectors, those whose keys hash lowest."""
-    chosen = vectors.where(F.col(vector).isNotNull()).select(key, vector).orderBy(F.xxhash64(key), key).limit(sample)
-    x = np.array([r[vector] for r in chosen.collect()], np.float64).reshape(-1, len(chosen.first()[vector]) if not chosen.isEmpty() else 1)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[np.random.default_rng(5).permutation(len(x))[:lists]]
-    for _ in range(rounds if len(c) else 0):
-        near = (x @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
-    return c
-
-
-def ann_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", lists: int = ANN_LISTS, probes: int = ANN_PROBES, digits: int = 6) -> DataFrame:
-    """As dense_top, approximately: each vector is in the list of its nearest centre, and a query is compared with the lists of its `probes` nearest ones.
-
-    All vectors are indexed; the centres (at most `lists` rows) are sent to the tasks. A list's
-    vectors and its queries are dealt out in blocks of about BLOCK, and each two blocks are one comparison, so that
-    a crowded list is spread over many tasks. tests measure recall against dense_top.
-    """
-    spark = chunks.sparkSession
-    c = centres(chunks, lists, key, vector)
-    held = spark.sparkContext.broadcast(c)
-
-    def near(many: int, name: str):
-        def run(batches):
-            for df in batches:
-                if len(df) and len(held.value):
-                    s = np.stack(df["v"].tolist()) @ held.value.T
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :many]
-                    yield pd.DataFrame({name: np.repeat(df[name].to_numpy(), best.shape[1]), "v": [v for v in df["v"] for _ in range(best.shape[1])], "list": best.ravel()})
-
-        return run
-
-    plain = lambda df, name: df.where(F.col(vector).isNotNull()).select(F.col(name).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
-    stored = plain(chunks, key).mapInPandas(near(1, key), f"{key} long, v array<double>, list int")
-    asked = plain(queries, query).mapInPandas(near(probes, query), f"{query} long, v array<double>, list int")
-    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = blocks(stored, "s_parts").join(blocks(asked, "q_parts"), "list")
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = stored.join(sizes, "list").select("list", key, "v", dealt(key, "s_parts").alias("part"), every("q_parts").alias("q_part"))
-    asked = asked.join(sizes, "list").select("list", query, "v", every("s_parts").alias("part"), dealt(query, "q_parts").alias("q_part"))
-
-    def compare(_, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(s):
-            return pd.DataFrame({query: [], key: [], "score": []})
-        s = s.sort_values(key)
-        found = np.round(np.stack(q["v"].tolist()) @ np.stack(s["v"].tolist()).T, digits) + 0.0
-        best = np.argsort(-found, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({query: np.repeat(q[query].to_numpy(), best.shape[1]), key: s[key].to_numpy()[best].ravel(), "score": np.take_along_axis(found, best, axis=1).ravel()})
-
-    tile = ["list", "part", "q_part"]
-    found = asked.groupBy(*tile).cogroup(stored.groupBy(*tile)).applyInPandas(compare, f"{query} long, {key} long, score double")
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))
-    return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
-
-
-def absent_ranks(queries: DataFrame, sparse: DataFrame, candidates: int, query: str = "item_id") -> DataFrame:
-    """(query, absent_dense, absent_sparse): the ranks of a chunk that the dense candidates miss, and of one that shares no term, behind all that do; `sparse` has every pair that shares a term."""
-    counts = sparse.groupBy(query).agg(F.count("*").alias("n"))
-    return queries.select(query).distinct().join(counts, query, "left").select(query, F.lit(candidates + 1).cast("long").alias("absent_dense"), (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("absent_sparse"))
-
-
-def _rrf_score() -> Column:
-    c = DEFAULT.rrf_k
-    return F.round(1.0 / (c + F.col("dense_rank")) + 1.0 / (c + F.col("sparse_rank")), 9)
-
-
-def fuse(dense: DataFrame, sparse: DataFrame, candidates: int, query: str = "item_id", key: str = "doc_id", absent: DataFrame | None = None) -> DataFrame:
-    """Reciprocal rank fusion of two candidate lists (query, key, score, rank); one that misses a chunk ranks it behind its last place (or as `absent_ranks` says) with score 0."""
-    d = dense.select(query, key, F.col("score").alias("dense"), F.col("rank").alias("dense_rank"))
-    s = sparse.select(query, key, F.col("score").alias("sparse"), F.col("rank").alias("sparse_rank"))
-    both = d.join(s, [query, key], "full_outer")
-    both = both if absent is None else both.join(absent, query)
-    for name in ("dense", "sparse"):
-        last = F.lit(candidates + 1).cast("long") if absent is None else F.col(f"absent_{name}")
-        both = both.withColumn(name, F.coalesce(name, F.lit(0.0))).withColumn(f"{name}_rank", F.coalesce(f"{name}_rank", last))
-    both = both.drop("absent_dense", "absent_sparse").withColumn("rrf", _rrf_score())
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("rrf"), F.asc(key))).cast("long"))
-
-
-def graph_bonus(fused: DataFrame, chunk_entities: DataFrame, query: str = "item_id", key: str = "doc_id", absent: DataFrame | None = None) -> DataFrame:
-    """Fused candidates with the entity bonus: the share of the top three chunks' entities that a chunk holds, times the weight, and the rank by the sum. With `absent` (see `absent_ranks`) every chunk that holds such an entity becomes a candidate."""
-    anchors = fused.where(F.col("rank") <= DEFAULT.graph_anchors).join(chunk_entities, key).select(query, "entity").distinct()
-    sizes = anchors.groupBy(query).agg(F.count("*").alias("anchors"))
-    if absent is not None:
-        more = chunk_entities.join(anchors, "entity").select(query, key).distinct().join(fused.select(query, key), [query, key], "left_anti").join(absent, query)
-        more = more.select(query, key, F.lit(0.0).alias("dense"), F.col("absent_dense").alias("dense_rank"), F.lit(0.0).alias("sparse"), F.col("absent_sparse").alias("sparse_rank")).withColumn("rrf", _rrf_score())
-        fused = fused.unionByName(more.withColumn("rank", F.lit(None).cast("long")))
-    shared = fused.select(query, key).join(chunk_entities, key).join(anchors, [query, "entity"]).groupBy(query, key).agg(F.countDistinct("entity").alias("shared"))
-    out = fused.join(sizes, query, "left").join(shared, [query, key], "left")
-    bonus = F.when(F.col("anchors") > 0, DEFAULT.graph_weight * F.least(F.lit(1.0), F.coalesce("shared", F.lit(0)) / F.col("anchors"))).otherwise(0.0)
-    out = out.withColumn("graph", F.round(bonus, 9)).withColumn("final", F.round(F.col("rrf") + F.col("graph"), 6)).drop("anchors", "shared", "rank")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("final"), F.asc(key))).cast("long"))
-
+from docloom.operators import bm25, lexical
+from docloom.operators.fusion import fused_top, graph_top
+from docloom.operators.graph import MENTION_SQL, entities_of
+from docloom.operators.vectors import ann_top, dense_top
+from docloom.sources.scratch import kept
 
 def confidence(results: DataFrame, query: str = "item_id") -> DataFrame:
     """Confidence of each question's retrieved rows (dense, sparse, graph, has_sql) and its tier."""
@@ -209,23 +73,20 @@ def _ann_topk(spark, sf_dir):
     return ann_top(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), DEFAULT.top_k)
 
 
-def _fused(spark, sf_dir):
-    """All documents take part: by their words, and those with a vector by that too."""
+def _searched(spark, sf_dir):
+    """(index, questions, dense lists). All documents take part: by their words, and those with a vector by that too. Their entities are tags of the index."""
     vectors, docs, asked = _t(spark, sf_dir, "embeddings"), _t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "benchmark")
     with_vector = lambda df, key: df.select(key).join(vectors.select(F.col("vec_id").alias(key), "embedding"), key)
-    dense = dense_top(with_vector(docs, "doc_id"), with_vector(asked, "item_id"), CANDIDATES, "item_id", "doc_id")
-    sparse = bm25.top(bm25.scores(bm25.index(docs, vocabulary=bm25.asked_terms(asked)), asked), None)
-    absent = absent_ranks(asked, sparse, CANDIDATES)
-    return docs, fuse(dense, sparse, CANDIDATES, absent=absent), absent
+    index = kept(lexical.shards(docs.withColumn("tags", entities_of(F.col("text"))), tags="tags"), "lexical-index")
+    return index, asked, dense_top(with_vector(docs, "doc_id"), with_vector(asked, "item_id"), CANDIDATES, "item_id", "doc_id")
 
 
 def _rrf(spark, sf_dir):
-    return _fused(spark, sf_dir)[1].where(F.col("rank") <= DEFAULT.retrieve_k).select("item_id", "doc_id", "dense_rank", "sparse_rank", F.round("rrf", 6).alias("rrf"), "rank")
+    return fused_top(*_searched(spark, sf_dir), DEFAULT.retrieve_k, CANDIDATES).select("item_id", "doc_id", "dense_rank", "sparse_rank", F.round("rrf", 6).alias("rrf"), "rank")
 
 
 def _full(spark, sf_dir):
-    docs, fused, absent = _fused(spark, sf_dir)
-    return graph_bonus(fused, mentions(docs).select("doc_id", "entity").distinct(), absent=absent).where(F.col("rank") <= DEFAULT.top_k)
+    return graph_top(*_searched(spark, sf_dir), DEFAULT.top_k, CANDIDATES)
 
 
 FUSED_SQL = f"""

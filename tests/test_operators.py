@@ -106,87 +106,6 @@ def test_table_rows(spark):
     assert chunking.row_batches([400, 1, 300, 2], 1) == [0, 1, 2, -1]  # only the last one is dropped
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_ann_recall(spark, sf_dir, monkeypatch, block):
-    """At least nine of ten of the exact nearest, over all vectors and over one crowded list; scores are exact."""
-    monkeypatch.setattr(retrieval, "BLOCK", block)
-    vectors = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/embeddings.parquet").select("vec_id", "embedding")
-    crowd = spark.createDataFrame([(10**6 + i, [0.17 + 0.0001 * ((i * 7) % 11)] * 32 + [0.001 * (i % 13)] * 32) for i in range(40)], "vec_id long, embedding array<float>")
-    vectors = vectors.union(crowd).union(spark.createDataFrame([(10**7, None)], "vec_id long, embedding array<float>"))
-    asked = vectors.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id")
-    pairs = lambda df: {(r.query_id, r.vec_id): r.score for r in df.collect()}
-    exact, found = pairs(retrieval.dense_top(vectors, asked, 5)), pairs(retrieval.ann_top(vectors, asked, 5))
-    by_query = {}
-    for (q, _), score in exact.items():
-        by_query.setdefault(q, []).append(score)
-    # a neighbour as near as the fifth counts, whichever of equals it is
-    right = sum(score >= min(by_query[q]) for (q, _), score in found.items())
-    assert right / len(exact) >= 0.9
-    assert all(abs(exact[p] - score) < 1e-9 for p, score in found.items() if p in exact)
-    empty = vectors.limit(0)
-    assert retrieval.ann_top(empty, asked, 5).count() == 0 and retrieval.ann_top(vectors, asked.limit(0), 5).count() == 0
-
-
-def test_vocabulary(spark):
-    """An index of a few terms has their postings, df and idf as in the whole one."""
-    docs = spark.createDataFrame(list(enumerate(["a b a", "b c", "c", ""])), "doc_id long, text string")
-    some = spark.createDataFrame([("b",), ("b",), ("z",)], "term string")
-    whole, part = bm25.index(docs), bm25.index(docs, vocabulary=some)
-    for name in ("postings", "terms"):
-        assert sorted(whole[name].where("term = 'b'").collect()) == sorted(part[name].collect())
-    assert whole["stats"].collect() == part["stats"].collect()
-
-
-def test_bm25(spark):
-    texts = ["the cat sat", "the dog sat sat", "a bird", "", "cat cat cat dog"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    asked = spark.createDataFrame([(0, "cat cat dog"), (1, "unknown")], "item_id long, text string")
-    got = {(r.item_id, r.doc_id): r.score for r in bm25.scores(bm25.index(docs), asked).collect()}
-    tok = [t.split() for t in texts]
-    avg = sum(map(len, tok)) / len(tok)
-    for i, d in enumerate(tok):
-        want = 0.0
-        for q in "cat cat dog".split():
-            df, tf = sum(q in t for t in tok), d.count(q)
-            if tf:
-                want += math.log((len(tok) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d) / avg))
-        assert math.isclose(got.get((0, i), 0.0), want, abs_tol=1e-12)
-    assert not any(q == 1 for q, _ in got)
-    own = bm25.index(docs.withColumn("part", F.col("doc_id") % 2), scope=["part"])["stats"].collect()
-    assert {r.part: r.n for r in own} == {0: 3, 1: 2}
-
-
-def test_dense_and_fusion(spark):
-    rng = np.random.default_rng(0)
-    x, q = rng.standard_normal((300, 8)), rng.standard_normal((5, 8))
-    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>")
-    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
-    got = retrieval.dense_top(c, a, 4).collect()
-    for i in range(5):
-        want = sorted(range(300), key=lambda j: (-round(float(q[i] @ x[j]), 6), j))[:4]
-        assert [r.vec_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == want
-    dense = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.7, 3)], "item_id long, doc_id long, score double, rank long")
-    sparse = spark.createDataFrame([(1, 12, 5.0, 1), (1, 13, 4.0, 2)], "item_id long, doc_id long, score double, rank long")
-    fused = retrieval.fuse(dense, sparse, 3)
-    rrf = {10: 1 / 61 + 1 / 64, 11: 1 / 62 + 1 / 64, 12: 1 / 63 + 1 / 61, 13: 1 / 64 + 1 / 62}
-    assert {r.doc_id: r.rrf for r in fused.collect()} == {k: round(v, 9) for k, v in rrf.items()}
-    held = spark.createDataFrame([(12, "E1"), (10, "E2"), (11, "E3"), (13, "E1"), (13, "E2"), (13, "E3")], "doc_id long, entity string")
-    out = retrieval.graph_bonus(fused, held).orderBy("rank").collect()
-    assert out[0].doc_id == 13 and out[0].graph == 0.25  # the overlap overturns the fused order
-
-
-def test_fusion_of_all_lexical_and_graph_candidates(spark):
-    """Found by dense search only, a chunk keeps its true lexical rank; one that only shares an entity is a candidate."""
-    dense = spark.createDataFrame([(1, 12, 0.9, 1)], "item_id long, doc_id long, score double, rank long")
-    sparse = bm25.top(spark.createDataFrame([(1, 10, 3.0), (1, 11, 2.0), (1, 12, 1.0)], "item_id long, doc_id long, score double"), None)
-    absent = retrieval.absent_ranks(spark.createDataFrame([(1,), (2,)], "item_id long"), sparse, 1)
-    fused = retrieval.fuse(dense, sparse, 1, absent=absent)
-    assert {r.doc_id: (r.sparse, r.sparse_rank, r.dense_rank) for r in fused.collect()} == {10: (3.0, 1, 2), 11: (2.0, 2, 2), 12: (1.0, 3, 1)}
-    held = spark.createDataFrame([(12, "E1"), (20, "E1"), (21, "E9")], "doc_id long, entity string")
-    got = {r.doc_id: r for r in retrieval.graph_bonus(fused, held, absent=absent).collect()}
-    assert set(got) == {10, 11, 12, 20} and (got[20].sparse_rank, got[20].dense_rank, got[20].graph, got[20].rank) == (4, 2, 0.25, 2)
-
-
 def test_ask_reaches_chunks_outside_the_lists(spark, tmp_path):
     made = spark.createDataFrame([("c1", "alpha beta"), ("c2", "alpha gamma"), ("c3", "alpha delta"), ("c4", "omega")], "chunk_id string, text string")
     engine = Engine(spark, f"file://{tmp_path}/stores")
