@@ -24,6 +24,18 @@ def select_images(images: DataFrame) -> DataFrame:
     return both.where(F.col("place") <= F.when(F.col("kind") == "render", RENDERS).otherwise(EMBEDDED))
 
 
+def samples(blocks: DataFrame, tables: DataFrame, key: str = "doc_id", most_blocks: int = 25, most_tables: int = 5, most_rows: int = 10, chars: int = 4000) -> DataFrame:
+    """(key, sample): the beginning of a document by which it is classified: its first 25 blocks; without any, headers and first 10 rows of its first 5 tables; cut to 4000 characters. blocks: (key, pos, text); tables: (key, table_pos, headers, rows)."""
+    first = blocks.where((F.col("pos") < most_blocks) & (F.trim("text") != "")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("t")))).alias("b"))
+    text = first.select(key, F.array_join(F.transform("b", lambda x: x["t"]), "\n").alias("text"))
+    line = lambda cells: F.array_join(cells, " | ")
+    shown = F.concat(F.when(F.size("headers") > 0, F.array(line(F.col("headers")))).otherwise(F.array().cast("array<string>")), F.transform(F.slice("rows", 1, most_rows), line))
+    tabled = tables.where(F.col("table_pos") < most_tables).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("table_pos", F.array_join(shown, "\n").alias("t")))).alias("t"))
+    tabled = tabled.select(key, F.array_join(F.transform("t", lambda x: x["t"]), "\n").alias("table_text"))
+    both = text.join(tabled, key, "full_outer")
+    return both.select(key, F.trim(F.substring(F.coalesce("text", "table_text", F.lit("")), 1, chars)).alias("sample"))
+
+
 def page_set(*marked: DataFrame) -> DataFrame:
     """(doc_id, page) that any of the lists has, each once."""
     out = marked[0].select("doc_id", "page")

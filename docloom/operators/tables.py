@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,19 +109,39 @@ def overlaps_fact(fact: Column, value: Column) -> Column:
 REASONS = ["no_registry", "no_schema", "not_routed", "unsafe_sql", "aggregate_not_asked", "execution_failed", "no_rows", "implausible", "covered_by_fact", "ok"]
 
 
+def refusal(sql: Column, question: Column) -> Column:
+    """Why a routed statement is not run, or null."""
+    return F.when(F.coalesce(sql, F.lit("")) == "", "not_routed").when(~safe_sql(sql), "unsafe_sql").when(~passes_gate(sql, question), "aggregate_not_asked")
+
+
+def statement(sql: str) -> str:
+    return sql.rstrip("; \n")
+
+
+def run_statements(spark: SparkSession, statements: list[str], most: int = 25, at_once: int = 8) -> dict[str, tuple[list[str], list, str]]:
+    """For each of some statements its columns, its first rows and the reason (ok, no_rows or execution_failed). Each is run once, several at a time, as jobs of the calling job's tags."""
+
+    def one(sql: str):
+        try:
+            df = spark.sql(statement(sql)).limit(most)
+            rows = df.collect()
+            return sql, (df.columns, rows, "ok" if rows else "no_rows")
+        except Exception as e:  # whatever Spark refuses is an outcome of the route
+            return sql, ([], [], f"execution_failed: {type(e).__name__}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(pool.map(inheritable_thread_target(spark)(one), dict.fromkeys(statements)))
+
+
 def run_guarded(spark: SparkSession, sql: str, question: str, most: int = 25) -> tuple[DataFrame | None, str]:
-    """A routed question's SQL through the guards: its first rows, or None, and the reason."""
-    if not sql:
-        return None, "not_routed"
-    one = spark.createDataFrame([(sql, question)], "sql string, question string").select(safe_sql(F.col("sql")).alias("safe"), passes_gate(F.col("sql"), F.col("question")).alias("gate")).first()
-    if not one["safe"]:
-        return None, "unsafe_sql"
-    if not one["gate"]:
-        return None, "aggregate_not_asked"
+    """One routed question's SQL through the guards: its first rows, or None, and the reason."""
+    reason = spark.createDataFrame([(sql, question)], "sql string, question string").select(refusal(F.col("sql"), F.col("question"))).first()[0]
+    if reason:
+        return None, reason
     try:
-        out = spark.sql(sql.rstrip("; \n")).limit(most)
+        out = spark.sql(statement(sql)).limit(most)
         return (out, "ok") if out.take(1) else (None, "no_rows")
-    except Exception as e:  # whatever Spark refuses is an outcome of the route
+    except Exception as e:
         return None, f"execution_failed: {type(e).__name__}"
 
 

@@ -1,7 +1,7 @@
 """Model calls behind one interface, and a provider that needs no model: every answer is a function of its input.
 
-A provider's methods take and return columns or DataFrames, so a hosted model is a subclass whose methods
-call it from `mapInPandas`. Calls go through `with_retry`, which tries transient errors again.
+A provider's methods take and return columns or DataFrames. `Offline` answers by rule; `Remote` sends prompts to
+a model from the tasks, each through `with_retry`, which tries transient errors again.
 """
 
 from __future__ import annotations
@@ -10,26 +10,32 @@ import random
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import keyword_grade, tokens
+from docloom.functions.text import keyword_grade, tokens, without_fence
 from docloom.functions.vector import mock_embedding
 from docloom.operators import facts, graph, tables
 from docloom.operators.observe import verdict
+from docloom.plans import planner
 
-#: Document types, domains and flags that a classification chooses from.
-DOC_TYPES = ["contract", "financial", "technical", "report", "policy", "presentation", "other"]
-DOMAINS = ["legal", "finance", "technology", "health", "general"]
+#: The closed lists of document types, domains and content flags that a classification chooses from.
+DOC_TYPES = ["research_paper", "financial_report", "contract", "technical_spec", "presentation", "memo", "other"]
+DOMAINS = ["medical", "financial", "legal", "technical", "general"]
+FLAGS = ["contains_tables", "contains_code", "contains_figures", "has_executive_summary", "is_regulatory", "multi_column"]
+#: Words by which the offline provider tells types and domains, and patterns of flags that a sample's text shows.
 TYPE_WORDS = {
-    "contract": ["agreement", "party", "clause", "liability"],
-    "financial": ["revenue", "ebitda", "margin", "fiscal"],
-    "technical": ["api", "endpoint", "server", "protocol"],
-    "report": ["study", "results", "findings", "survey"],
-    "policy": ["policy", "compliance", "procedure", "guideline"],
-    "presentation": ["slide", "agenda", "board", "deck"],
+    "research_paper": ["abstract", "hypothesis", "methodology", "experiment", "findings", "references"],
+    "financial_report": ["revenue", "ebitda", "margin", "fiscal", "earnings"],
+    "contract": ["agreement", "party", "clause", "liability", "hereby"],
+    "technical_spec": ["api", "endpoint", "server", "protocol", "interface"],
+    "presentation": ["slide", "agenda", "deck"],
+    "memo": ["memo", "memorandum", "subject", "cc"],
 }
-DOMAIN_WORDS = {"legal": ["agreement", "law", "court"], "finance": ["revenue", "invoice", "bank"], "technology": ["software", "api", "data"], "health": ["patient", "clinical", "drug"]}
+DOMAIN_WORDS = {"medical": ["patient", "clinical", "drug", "dose"], "financial": ["revenue", "invoice", "bank", "fiscal"], "legal": ["agreement", "law", "court", "clause"], "technical": ["software", "api", "data", "server"]}
+FLAG_PATTERNS = {"contains_code": r"```|\b(def|class|function|SELECT|import)\b .*[({;:]", "has_executive_summary": r"(?i)\bexecutive summary\b", "is_regulatory": r"(?i)\b(regulation|directive|compliance|statute|pursuant)\b", "multi_column": r"\S {4,}\S[^\n]*\n[^\n]*\S {4,}\S"}
+INTEL = "struct<doc_type:string,doc_type_confidence:double,domain:string,content_flags:array<string>,summary:string,key_dates:array<string>>"
 TRANSIENT = {"RateLimitError", "APIConnectionError", "APITimeoutError", "InternalServerError", "OverloadedError", "TimeoutError", "ConnectionError"}
 
 
@@ -63,9 +69,19 @@ class Offline:
     def embed(self, text: Column, dim: int = 64) -> Column:
         return mock_embedding(text, dim)
 
-    def classify(self, text: Column) -> dict[str, Column]:
-        """Type and domain by keywords, a summary of the first words; an empty text is other and general."""
-        return {"doc_type": _most_hits(text, TYPE_WORDS, "other"), "domain": _most_hits(text, DOMAIN_WORDS, "general"), "summary": F.array_join(F.slice(tokens(text), 1, 30), " ")}
+    def plan(self, inspected: DataFrame) -> DataFrame:
+        """The steps of each inspected document; a model's plan may leave some out, which the repair makes good."""
+        return planner.plan(inspected)
+
+    def classify(self, sample: Column, has_tables: Column, has_images: Column) -> Column:
+        """INTEL of a document by its sample: type and domain by keywords, flags by what the sample shows, its first two sentences and its dates. An empty text is other and general, without confidence."""
+        text = F.coalesce(sample, F.lit(""))
+        kind = _most_hits(text, TYPE_WORDS, "other")
+        flags = {"contains_tables": has_tables, "contains_figures": has_images} | {name: text.rlike(pattern) for name, pattern in FLAG_PATTERNS.items()}
+        found = F.array_compact(F.array(*[F.when(F.coalesce(flags[name], F.lit(False)), F.lit(name)) for name in FLAGS]))
+        dates = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))), 1, 5)
+        summary = F.when(F.trim(text) == "", "No text content available for analysis.").otherwise(F.trim(F.regexp_extract(F.regexp_replace(text, r"\s+", " "), r"^((?:[^.!?]*[.!?]){1,2}|.{1,300})", 1)))
+        return F.struct(kind.alias("doc_type"), F.when(kind == "other", 0.0).otherwise(0.8).alias("doc_type_confidence"), _most_hits(text, DOMAIN_WORDS, "general").alias("domain"), found.alias("content_flags"), summary.alias("summary"), dates.alias("key_dates")).cast(INTEL)
 
     def entities(self, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
         return graph.mentions(chunks, key)
@@ -105,3 +121,48 @@ class Offline:
         _, missing = keyword_grade(answer, keywords)
         score = F.round(1 - F.coalesce(F.try_divide(F.size(missing).cast("double"), F.size(keywords)), F.lit(1.0)), 3)
         return score, verdict(score)
+
+
+class Remote(Offline):
+    """A model behind `send` (a prompt to its reply), which the tasks call; what it does not answer well falls back to the rules.
+
+    attempts and base are those of `with_retry`. A call that still fails is an empty reply, so one document's
+    failure does not end a stage.
+    """
+
+    def __init__(self, send: Callable[[str], str], attempts: int = 3, base: float = 1.0):
+        self.send, self.attempts, self.base = send, attempts, base
+
+    def complete(self, prompt: Column) -> Column:
+        send, attempts, base = self.send, self.attempts, self.base
+
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                return with_retry(lambda: send(text), attempts, base)
+            except Exception:  # noqa: BLE001 - whatever a service raises
+                return ""
+
+        @F.pandas_udf("string")
+        def ask(prompts: pd.Series) -> pd.Series:
+            return pd.Series([one(p) for p in prompts], dtype=object)
+
+        return ask(prompt)
+
+    def classify(self, sample: Column, has_tables: Column, has_images: Column) -> Column:
+        """The reply's JSON, without a fence; values outside the closed lists, and a reply that is no JSON, give way to the rules."""
+        ruled = super().classify(sample, has_tables, has_images)
+        asked = F.concat(F.lit(f"Return one JSON object: doc_type, one of {DOC_TYPES}; domain, one of {DOMAINS}; doc_type_confidence, 0 to 1; content_flags, any of {FLAGS}; summary, two sentences; key_dates, at most 5 ISO dates. Document:\n"), F.coalesce(sample, F.lit("")))
+        said = F.from_json(without_fence(self.complete(F.when(F.trim(sample) != "", asked))), INTEL.removeprefix("struct<").removesuffix(">").replace(":", " "))
+        listed = lambda name, known: F.when(said[name].isin(known), said[name]).otherwise(ruled[name]).alias(name)
+        known = F.coalesce(said["doc_type"].isin(DOC_TYPES), F.lit(False))
+        return F.struct(
+            listed("doc_type", DOC_TYPES), F.when(known, F.coalesce(said["doc_type_confidence"], F.lit(0.5))).otherwise(ruled["doc_type_confidence"]).alias("doc_type_confidence"), listed("domain", DOMAINS),
+            F.coalesce(F.filter(said["content_flags"], lambda f: f.isin(FLAGS)), ruled["content_flags"]).alias("content_flags"), F.coalesce(F.nullif(said["summary"], F.lit("")), ruled["summary"]).alias("summary"),
+            F.coalesce(F.slice(said["key_dates"], 1, 10), ruled["key_dates"]).alias("key_dates"),
+        ).cast(INTEL)
+
+    def answer(self, chunks: Column, sql_value: Column) -> Column:
+        said = self.complete(F.concat(F.lit("Answer from these passages only:\n"), F.array_join(chunks, "\n---\n"), F.lit("\nResult of SQL: "), F.coalesce(sql_value, F.lit(""))))
+        return F.coalesce(F.nullif(said, F.lit("")), super().answer(chunks, sql_value))

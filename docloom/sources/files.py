@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -12,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from docloom.config import DEFAULT
-from docloom.functions import mime
+from docloom.functions import encodings, mime
 from docloom.functions.checks import stage_checks
 from docloom.functions.text import language
 
@@ -34,8 +34,10 @@ def intake(files: DataFrame) -> DataFrame:
     """Name, size, SHA-256, type, sub-structure, encoding and language (of text files) of each raw file, with its checks."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     df = files.select("path", name.alias("filename"), F.coalesce("length", F.lit(0)).alias("size_bytes"), F.sha2("content", 256).alias("sha256"), mime.extension(F.col("path")).alias("extension"), mime.mime(F.col("content"), F.col("path")).alias("mime"), "content")
-    df = df.withColumn("sub_structure", mime.sub_structure(F.col("mime"), F.col("content"))).withColumn("encoding", mime.encoding(F.col("mime"), F.col("content")))
-    df = df.withColumn("language", language(F.try_validate_utf8(F.col("content").cast("string")))).drop("content")
+    # office files and PDF tell their encoding by their type; of all others the text is read
+    own = F.when(F.col("mime").contains("openxmlformats") | (F.col("mime") == "application/pdf"), mime.encoding(F.col("mime"), F.col("content")))
+    df = df.withColumn("sub_structure", mime.sub_structure(F.col("mime"), F.col("content"))).withColumn("read", encodings.decoded(F.when(own.isNull(), F.col("content"))))
+    df = df.withColumn("encoding", F.coalesce(own, "read.encoding", F.lit("unknown"))).withColumn("language", language(F.col("read.text"))).drop("content", "read")
     return df.withColumn("checks", F.concat(stage_checks("intake"), stage_checks("format")))
 
 
@@ -48,7 +50,7 @@ def _docx(book: zipfile.ZipFile):
             style = item.find(f"{_W}pPr/{_W}pStyle")
             level = re.fullmatch(r"Heading ?(\d)", style.get(f"{_W}val", "")) if style is not None else None
             if text:
-                yield {"kind": "block", "pos": pos, "level": int(level[1]) if level else 0, "text": text[: DEFAULT.block_chars]}
+                yield {"kind": "block", "pos": pos, "level": int(level[1]) if level else 0, "text": text}
                 pos += 1
         elif item.tag == f"{_W}tbl":
             rows = [["".join(t.text or "" for t in c.iter(f"{_W}t")) for c in r.findall(f"{_W}tc")] for r in item.findall(f"{_W}tr")]
@@ -74,7 +76,7 @@ def _xlsx(book: zipfile.ZipFile):
     for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet"):
         path = targets[sheet.get(f"{_R}id")]
         root = ElementTree.fromstring(book.read(path.lstrip("/") if path.startswith("/") else f"xl/{path}"))
-        for row in list(root.iter(f"{_S}row"))[: DEFAULT.sheet_rows]:
+        for row in root.iter(f"{_S}row"):
             cells: list[str] = []
             for c in row.findall(f"{_S}c"):
                 letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
@@ -112,31 +114,73 @@ def office(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, BLOCKS)
 
 
-def write_artifact(df: DataFrame, root: str, key: str, job: str = "job_id") -> None:
-    """Store a stage's result by job; a job's partition is replaced as a whole."""
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delimited(files: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, table_pos, headers, rows) of files with separated values; the separator is told from the first lines. Rows beyond the header's width keep their cells, and a file of one column is no table."""
+
+    def run(batches):
+        for df in batches:
+            out = []
+            for k, t in zip(df["key"], df["text"], strict=True):
+                try:
+                    kind = csv.Sniffer().sniff((t or "")[:8192], ",;\t|")
+                except csv.Error:
+                    continue
+                rows = [r for r in csv.reader(io.StringIO(t, newline=""), kind) if any(c.strip() for c in r)]
+                if len(rows) > 1 and len(rows[0]) > 1:
+                    out.append((k, 0, [c.strip() for c in rows[0]], [[c.strip() for c in r] for r in rows[1:]]))
+            yield pd.DataFrame(out, columns=["key", "table_pos", "headers", "rows"])
+
+    kind = dict(files.dtypes)[key]
+    found = files.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, table_pos long, headers array<string>, rows array<array<string>>")
+    return found.select(F.col("key").cast(kind).alias(key), "table_pos", "headers", "rows")
+
+
+def write_artifact(df: DataFrame, root: str, key: str, job: str = "job_id", of: str | None = None) -> None:
+    """Store a stage's result by job; a job's partition is replaced as a whole. With `of`, the one job that the rows are of, an empty result replaces its partition too.
+
+    The schema is kept beside the rows, so a result without rows is read as one.
+    """
+    spark = df.sparkSession
+    if of is not None:
+        path, fs = _path(spark, f"{root}/{key}/{job}={of}")
+        fs.delete(path, True)
+    kept, fs = _path(spark, f"{root}/_schemas/{key}")
+    if not fs.exists(kept) or spark.read.parquet(f"{root}/_schemas/{key}").schema != df.schema:
+        df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/_schemas/{key}")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job).parquet(f"{root}/{key}")
 
 
 def has_artifact(spark: SparkSession, root: str, key: str) -> bool:
     """Whether a partition is there; Spark puts one in place as a whole when its job commits."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, fs = _path(spark, f"{root}/{key}")
     return fs.exists(path) and any("=" in s.getPath().getName() for s in fs.listStatus(path))
 
 
+def artifact_bytes(spark: SparkSession, root: str, key: str) -> int:
+    path, fs = _path(spark, f"{root}/{key}")
+    return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
+
 def append_artifact(df: DataFrame, root: str, key: str, job: str = "job_id") -> None:
     """Add rows to a stored result, as to a log."""
     df.write.mode("append").partitionBy(job).parquet(f"{root}/{key}")
 
 
 def read_artifact(spark: SparkSession, root: str, key: str, job: str = "job_id") -> DataFrame | None:
-    """A stored result, or None where there is none. The job's id is text, however it looks: 0012 is not 12."""
+    """A stored result, one without rows too, or None where there is none. The job's id is text, however it looks: 0012 is not 12."""
+    kept, fs = _path(spark, f"{root}/_schemas/{key}")
+    schema = spark.read.parquet(f"{root}/_schemas/{key}").schema if fs.exists(kept) else None
     if not has_artifact(spark, root, key):
-        return None
-    found = spark.read.parquet(f"{root}/{key}").schema
+        return None if schema is None else spark.createDataFrame([], schema)
+    found = schema or spark.read.parquet(f"{root}/{key}").schema
     return spark.read.schema(StructType([StructField(f.name, StringType() if f.name == job else f.dataType) for f in found])).parquet(f"{root}/{key}")
 
 
 def clear_artifact(spark: SparkSession, root: str, key: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _path(spark, f"{root}/{key}")
+    fs.delete(path, True)

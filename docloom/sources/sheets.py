@@ -13,17 +13,17 @@ def padded(row: Column, width: Column) -> Column:
     return F.slice(F.concat(row, F.array_repeat(F.lit(""), width.cast("int"))), F.lit(1), F.greatest(width.cast("int"), F.lit(0)))
 
 
-def sheet_tables(rows: DataFrame) -> DataFrame:
+def sheet_tables(rows: DataFrame, most: int | None = DEFAULT.sheet_rows) -> DataFrame:
     """(doc, sheet, row_no, cells) -> (doc, sheet, island, headers, rows, note): rows between blank ones make a table.
 
-    The first row is the header; a group of one row is no table. Rows beyond 1000 of a sheet are not
-    read, as a limit of the source. note says if over 40 % of more than 10 cells are blank.
+    The first row is the header; a group of one row is no table. Rows beyond `most` of a sheet are not
+    read, as a limit of the source (None: all are). note says if over 40 % of more than 10 cells are blank.
     """
     keys = ["doc", "sheet"]
     order = Window.partitionBy(*keys).orderBy("row_no")
     trimmed = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
     df = rows.withColumn("cells", trimmed).withColumn("blank", ~F.exists("cells", lambda c: c != ""))
-    df = df.where(F.col("row_no") <= DEFAULT.sheet_rows).withColumn("island", F.sum(F.col("blank").cast("long")).over(order)).where("NOT blank")
+    df = (df if most is None else df.where(F.col("row_no") <= most)).withColumn("island", F.sum(F.col("blank").cast("long")).over(order)).where("NOT blank")
     held = df.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("held"), F.max(F.size("cells")).alias("width")).where(F.size("held") > 1)
     all_rows = F.transform("held", lambda r: padded(r["cells"], F.col("width")))
     held = held.withColumn("all", all_rows)
