@@ -185,16 +185,18 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     Only vectors with one and the same label (not null) are compared. A vector that is null, empty,
     zero or not finite links with nothing, nor do vectors of different lengths. Rows with equal
     components and one label are a class, compared once and counted in full. Rows that share a vec_id
-    are vectors of their own: each has its own links, and ids only name components. A null vec_id
-    is its own null component and is kept. Extra columns are ignored.
+    are vectors of their own: each has its own links, and ids only name components. A row with a null
+    vec_id takes part like any other, but names no component: it is kept only if no row of its component has
+    an id, which then is null. Extra columns are ignored.
     """
     element = vectors.schema["embedding"].dataType.elementType
     array = "array<float>" if isinstance(element, FloatType) else "array<double>"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(array).alias("embedding"), "label")
+    # ids are text until the end: pandas makes numbers with nulls inexact
+    rows = vectors.select(F.col("vec_id").cast("long").cast("string").alias("vec_id"), F.col("embedding").cast(array).alias("embedding"), "label")
     kind = rows.schema["label"].dataType.simpleString()
-    valid = rows.where("label IS NOT NULL AND vec_id IS NOT NULL").mapInPandas(_prepared, f"vec_id long, label {kind}, same binary, dim int, embedding {array}")
+    valid = rows.where("label IS NOT NULL").mapInPandas(_prepared, f"vec_id string, label {kind}, same binary, dim int, embedding {array}")
     valid = stash(valid, "vectors")
-    classes = valid.groupBy("label", "same").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("embedding").alias("embedding"))
+    classes = valid.groupBy("label", "same").agg(F.min(F.col("vec_id").cast("long")).alias("lowest"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("embedding").alias("embedding"))
     # numbered when written, so a class keeps its number in all that is read from the table
     reps = stash(classes.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
     filters = stash(reps.select("rep", "dim", "embedding").mapInPandas(_filters, "rep long, filters array<int>"), "filters")
@@ -217,10 +219,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     names = known.groupBy("component").agg(F.min("lowest").alias("component_id"))
     known = stash(known.join(names, "component").select("label", "same", "n_links", "component_id"), "known-vectors")
     discard(reps, filters, found)
-    linked = valid.select("vec_id", "label", "same").join(known, ["label", "same"]).select("vec_id", "n_links", "component_id")
+    linked = valid.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "same").join(known, ["label", "same"]).select("vec_id", "n_links", "component_id")
     usable = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rest = rows.where(F.col("label").isNull() | F.col("vec_id").isNull() | ~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    rest = rows.where(F.col("label").isNull() | ~F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(rest.withColumn("component_id", F.col("vec_id"))).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

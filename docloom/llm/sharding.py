@@ -5,14 +5,18 @@ part for each arrival, a compaction one with a part for each file that it makes.
 lists the live units. A compaction reads the latest manifest and the sets that came since, and rewrites
 only what is due: in a size tier (a power of four of bytes) with FAN small units or more, these are
 merged in order of arrival into files near the target; a unit far beyond the target is split. All
-other units are carried over by name. The manifest is published by creating one file exclusively: a
-reader sees the old units or the new ones, and of two writers with one base the second starts again.
+other units are carried over by name. A manifest is written whole under another name and published by
+giving it its own in one step that fails where the name is taken: a reader sees the old units or the new
+ones, of two writers with one base the second starts again, and a writer that dies leaves nothing that counts.
+That step is a hard link on local file systems and a rename without overwriting elsewhere; HDFS and file systems like
+it do this atomically, an object store without a conditional write does not, and needs one writer at a time.
 Only DataFrame operations; the driver holds names of sets, not rows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -33,13 +37,34 @@ def _folder(spark: SparkSession, path: str):
 
 
 def _create(spark: SparkSession, path: str, content: str) -> None:
-    """A new file; FileAlreadyExistsException if it is there."""
     fs, p = _folder(spark, path)
     out = fs.create(p, False)
     out.write(bytearray(content.encode()))
     out.close()
 
 
+def _publish(spark: SparkSession, path: str, content: str) -> bool:
+    """A new file that appears whole or not at all; False if the name is taken. A name that a dead writer left on an empty or cut file is taken too."""
+    folder, _, name = path.rpartition("/")
+    aside = f"{folder}/_{name}-{uuid.uuid4().hex}"
+    _create(spark, aside, content)
+    (fs, source), target = _folder(spark, aside), _folder(spark, path)[1]
+    try:
+        if fs.getScheme() == "file":
+            place = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createLink(place(target), place(source))
+        else:
+            context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(source, target, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        return False
+    finally:
+        fs.delete(source, False)
+
+
 def _content(spark: SparkSession, path: str) -> str:
     fs, p = _folder(spark, path)
     stream = fs.open(p)
@@ -51,7 +76,7 @@ def _content(spark: SparkSession, path: str) -> str:
 
 def _names(spark: SparkSession, path: str) -> list[str]:
     fs, p = _folder(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() or s.getLen()] if fs.exists(p) else []
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -122,8 +147,28 @@ def plan(units: DataFrame, target_bytes: int = TARGET_BYTES, fan: int = FAN) ->
     return df.withColumns({"run": F.when(F.col("move"), F.col("first")).otherwise(F.coalesce("run", "first")), "piece": F.coalesce("piece", F.lit(0).cast("long"))}).drop("first", "members")
 
 
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of all manifest files, newest first."""
+    found = (re.fullmatch(r"version-(\d+)", n) for n in _names(spark, f"{root}/manifest"))
+    return sorted((int(m[1]) for m in found if m), reverse=True)
+
+
+def _readable(spark: SparkSession, root: str, version: int) -> bool:
+    """Whether a manifest is whole."""
+    try:
+        return {"units", "taken", "retired", "schema"} <= json.loads(_content(spark, f"{root}/manifest/version-{version}")).keys()
+    except (ValueError, AttributeError):
+        return False
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
-    return sorted(int(n.rpartition("-")[2]) for n in _names(spark, f"{root}/manifest") if n.startswith("version-"))
+    """All versions whose manifests are whole."""
+    return [v for v in reversed(_numbers(spark, root)) if _readable(spark, root, v)]
+
+
+def latest(spark: SparkSession, root: str) -> int:
+    """The newest version whose manifest is whole, or 0. An empty or cut file is passed over; its number is not used again."""
+    return next((v for v in _numbers(spark, root) if _readable(spark, root, v)), 0)
 
 
 def _manifest(spark: SparkSession, root: str, version: int) -> tuple[DataFrame, dict]:
@@ -187,29 +232,25 @@ def compact(spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fa
     another writer took meanwhile, leaves nothing that a manifest names; in the latter case it begins again.
     """
     for _ in range(attempts):
-        version = max(versions(spark, root), default=0) + 1
-        info, made = _compacted(spark, root, version - 1, target_bytes, fan)
-        try:
-            _create(spark, f"{root}/manifest/version-{version}", json.dumps(info))
+        version = max(_numbers(spark, root), default=0) + 1
+        info, made = _compacted(spark, root, latest(spark, root), target_bytes, fan)
+        if _publish(spark, f"{root}/manifest/version-{version}", json.dumps(info)):
             return version
-        except Py4JJavaError as e:
-            for path in made:
-                _remove(spark, path)
-            if "FileAlreadyExistsException" not in str(e.java_exception):
-                raise
+        for path in made:
+            _remove(spark, path)
     raise RuntimeError(f"other writers published first {attempts} times")
 
 
 def vacuum(spark: SparkSession, root: str) -> None:
     """Delete the sets of which the latest version names no unit. Older versions can't be read after that."""
-    version = max(versions(spark, root), default=0)
+    version = latest(spark, root)
     for s in _manifest(spark, root, version)[1]["retired"]:
         _remove(spark, f"{root}/data/set={s}")
 
 
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The rows of a published version (the latest by default): row (a struct of all their columns), arrival, bytes, and shard (a struct of the unit that holds them)."""
-    version = version or max(versions(spark, root))
+    version = version or latest(spark, root)
     units, info = _manifest(spark, root, version)
     if info["schema"] is None:
         raise ValueError("nothing was ever appended")

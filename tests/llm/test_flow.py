@@ -159,6 +159,27 @@ def test_two_writers(spark, tmp_path, monkeypatch):
     assert sharding.read(spark, root).count() == 100
 
 
+def test_dead_writers(spark, tmp_path, monkeypatch):
+    """An empty and a cut manifest stop nobody; a name that is taken is not written over; what is aside does not count."""
+    root = f"file://{tmp_path}/shards"
+    docs = spark.createDataFrame([(i, "x" * 50) for i in range(40)], "doc_id long, text string")
+    _sharded(docs, root)
+    assert sharding.compact(spark, root, 2000) == 1
+    folder = tmp_path / "shards" / "manifest"
+    whole = (folder / "version-1").read_text()
+    (folder / "version-2").write_text("")
+    (folder / "version-3").write_text(whole[: len(whole) // 2])
+    (folder / "_version-4-gone").write_text("half of")
+    assert sharding.versions(spark, root) == [1] and sharding.latest(spark, root) == 1 and sharding.read(spark, root).count() == 40
+    _sharded(docs, root)
+    assert sharding.compact(spark, root, 2000) == 4 and sharding.read(spark, root).count() == 80
+    assert not sharding._publish(spark, f"{root}/manifest/version-1", "other") and (folder / "version-1").read_text() == whole
+    assert not [f for f in folder.iterdir() if f.name.startswith("_version-1")]
+    # the way that other file systems go, on one that does not overwrite either
+    monkeypatch.setattr(sharding, "_folder", lambda s, p, real=sharding._folder: real(s, p))
+    assert sharding._publish(spark, f"{root}/manifest/version-9", whole) and sharding.latest(spark, root) == 9
+
+
 def test_shard_plan(spark):
     units = [("a", i, b, i) for i, b in enumerate((100, 120, 5000, 90, 0, 101, 150, 1_000_000))]
     units = spark.createDataFrame(units, "set string, part long, unit_bytes long, first_arrival long").selectExpr("*", "CAST(null AS long) AS run", "CAST(null AS long) AS piece")

@@ -154,3 +154,15 @@ def test_common_members_are_bounded(spark, monkeypatch):
     sets = _sets(texts)
     component = _components(range(60), [(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
     assert {r.doc_id: r.component_id for r in ngram_join.near_texts(docs).collect()} == component
+
+
+def test_vectors_with_null_ids(spark):
+    """A vector without an id links like any other; it only names nothing."""
+    rng = np.random.default_rng(8)
+    first = rng.standard_normal(32)
+    x, y = first.tolist(), (first + 0.01 * rng.standard_normal(32)).tolist()
+    rows = [(None, x, "a"), (2**60 + 1, y, "a"), (None, x, "b"), (None, y, "b"), (3, x, None), (None, None, "a")]
+    got = sorted(caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").coalesce(1)).collect(), key=str)
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == sorted([
+        ("None", 1, str(2**60 + 1), False), (str(2**60 + 1), 1, str(2**60 + 1), True), ("None", 1, "None", True), ("None", 1, "None", True), ("3", 0, "3", True), ("None", 0, "None", True),
+    ])
