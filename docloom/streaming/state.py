@@ -95,7 +95,10 @@ class Debounced(StatefulProcessor):
 
 
 def debounced(events: DataFrame, quiet_ms: int = 500) -> DataFrame:
-    """(key long, at_us long, status string, …) stream -> one row (key, status, at_us, changes) for each time that a key falls quiet."""
+    """(key long, at_us long, status string, …) stream -> one row (key, status, at_us, changes) for each time that a key falls quiet.
+
+    Its timers make a batch again and again, so it runs under a processing-time trigger; with availableNow it would not end.
+    """
     use_keyed_state(events.sparkSession)
     return events.select("key", "at_us", "status").groupBy("key").transformWithStateInPandas(Debounced(quiet_ms), f"key long, {STATE}", "Append", "ProcessingTime")
 
@@ -103,7 +106,7 @@ def debounced(events: DataFrame, quiet_ms: int = 500) -> DataFrame:
 def replay_then_tail(events: DataFrame, checkpoint: str, take: Callable[[DataFrame, int], None], tail: bool = True, every: str = "500 milliseconds", mode: str = "append"):
     """All past rows of a stream first, in bounded batches, then those that arrive; both read from one checkpoint, so none is taken twice or left out, after a restart too.
 
-    take gets each batch and its number. Without `tail` it returns when the past has been replayed; else the running query.
+    take gets each batch and its number. The stream must not have processing-time timers, as the replay would not end. Without `tail` it returns when the past has been replayed; else the running query.
     """
 
     def query(trigger: dict):

@@ -130,7 +130,7 @@ def test_debounced_stream(spark, tmp_path):
     folder.mkdir()
     pd.DataFrame([(1, i, i, f"s{i}", 0.0) for i in range(9)] + [(2, 1, 1, "only", 0.0)], columns=["key", "event_id", "at_us", "status", "value"]).to_parquet(folder / "a.parquet")
     stream = state.debounced(spark.readStream.schema(EVENTS).parquet(str(folder)), 300)
-    query = state.replay_then_tail(stream, str(tmp_path / "check"), lambda df, _: seen.extend(df.collect()), every="200 milliseconds")
+    query = stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="200 milliseconds").start()
     try:
         until = time.time() + 60
         while len(seen) < 2 and time.time() < until:
