@@ -138,7 +138,7 @@ class Engine:
         office = files.office(raw.where(F.lower("path").rlike(OFFICE))).withColumn("doc_id", F.xxhash64("path"))
         web = markup.pages(read.where("mime = 'text/html'"), "doc_id", "text")
         other = read.where("mime <> 'text/html'").select("doc_id", "text", "mime", "path")
-        marked = plain.markdown_blocks(other.select("doc_id", "text")).where("text <> ''").withColumn("kind", F.lit("block"))
+        marked = plain.markdown_blocks(other.select("doc_id", "text")).where(F.col("text").rlike(r"\S")).withColumn("kind", F.lit("block"))
         listed = files.delimited(other.where("mime = 'text/csv' OR lower(path) LIKE '%.tsv'")).withColumn("kind", F.lit("table"))
         return reduce(DataFrame.unionByName, map(shaped, (office, web, marked, listed)))
 

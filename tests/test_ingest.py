@@ -149,27 +149,27 @@ def test_samples(spark):
     assert 3 not in got
 
 
-class OverloadedError(Exception):
-    pass
+def flaky(reply):
+    """A model that is overloaded twice for each prompt, then answers; made here, so that it is sent to the tasks by value."""
 
+    class OverloadedError(Exception):
+        pass
 
-class Flaky:
-    """A model that is overloaded twice for each prompt, then answers."""
+    seen = {}
 
-    def __init__(self, reply):
-        self.reply, self.seen = reply, {}
-
-    def __call__(self, prompt):
-        self.seen[prompt] = self.seen.get(prompt, 0) + 1
-        if self.seen[prompt] < 3:
+    def send(prompt):
+        seen[prompt] = seen.get(prompt, 0) + 1
+        if seen[prompt] < 3:
             raise OverloadedError
-        return self.reply
+        return reply
+
+    return send
 
 
 def test_remote_provider_retries_and_falls_back(spark):
     df = spark.createDataFrame([(1, "An agreement of each party with a clause. Signed 2024-05-06 it was."), (2, ""), (3, None)], "i int, sample string").coalesce(1)
     good = '```json\n{"doc_type": "memo", "domain": "nonsense", "doc_type_confidence": 0.9, "content_flags": ["contains_code", "other"], "summary": "One. Two.", "key_dates": ["2024-01-01"]}\n```'
-    ask = lambda reply, attempts=3: {r.i: r.c for r in df.select("i", Remote(Flaky(reply), attempts, 0.001).classify(F.col("sample"), F.lit(False), F.lit(True)).alias("c")).collect()}
+    ask = lambda reply, attempts=3: {r.i: r.c for r in df.select("i", Remote(flaky(reply), attempts, 0.001).classify(F.col("sample"), F.lit(False), F.lit(True)).alias("c")).collect()}
     got = ask(good)
     assert (got[1].doc_type, got[1].doc_type_confidence, got[1].domain, got[1].content_flags, got[1].summary) == ("memo", 0.9, "legal", ["contains_code"], "One. Two.")
     assert (got[2].doc_type, got[2].domain, got[2].doc_type_confidence) == ("other", "general", 0.0) and got[3].summary == "No text content available for analysis."
