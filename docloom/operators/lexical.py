@@ -28,6 +28,8 @@ from docloom.config import DEFAULT
 
 #: Documents of a shard, and characters of their texts, at most (a text is never split).
 SHARD, SHARD_CHARS = 4096, 16 << 20
+#: Documents that Spark takes for fewer bytes are dealt out to all cores first: such a table is often one block of one file, which one task would read. Larger ones stay where they are.
+DEALT = 1 << 30
 #: Characters of questions that are sent to the tasks at once; more take several passes.
 QUESTION_CHARS = 4 << 20
 #: One unit of a score.
@@ -88,7 +90,10 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str |
         if held:
             yield shard()
 
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (F.col(tags) if tags else F.array().cast("array<string>")).alias("tags"))
+    own = docs.where(F.col(key).isNotNull())
+    if int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < DEALT:
+        own = own.repartition(own.sparkSession.sparkContext.defaultParallelism)
+    own = own.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (F.col(tags) if tags else F.array().cast("array<string>")).alias("tags"))
     return own.mapInPandas(run, SHARDS)
 
 
