@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Config
-from docloom.functions import encodings, numeric
+from docloom.functions import encodings, languages, numeric, text
 from docloom.functions.text import estimated_tokens, tokens
 from docloom.operators import chunking, facts, fusion, graph, lexical, observe, records, relational, retrieval, tables, vectors
 from docloom.plans import planner
@@ -40,8 +40,10 @@ class Engine:
     has the same fingerprint, those without rows too, and makes anew what a changed input or setting reaches.
     """
 
-    def __init__(self, spark: SparkSession, root: str, provider: Offline | None = None, config: Config = DEFAULT):
+    def __init__(self, spark: SparkSession, root: str, provider: Offline | None = None, config: Config = DEFAULT, profiles: DataFrame | None = None):
+        """profiles: languages.profiles of texts whose language is known; without them frequent words of four languages tell a file's language."""
         self.spark, self.root, self.provider, self.config = spark, root, provider or Offline(), config
+        self.tell = text.language if profiles is None else languages.detector(profiles)
         ship(spark)
 
     # Ingestion
@@ -68,7 +70,7 @@ class Engine:
         # blocks keep the lines of a fact, which chunks join
         lines = lambda: of("blocks").select(F.format_string("%d_b%04d", "doc_id", "pos").alias("block_id"), "text")
         makers = {
-            "documents": lambda: files.intake(raw).withColumn("doc_id", F.xxhash64("path")),
+            "documents": lambda: files.intake(raw, self.tell).withColumn("doc_id", F.xxhash64("path")),
             "parsed": lambda: self._parsed(raw, of("documents")),
             "blocks": lambda: self._blocks(of("parsed")),
             "tables": lambda: self._tables(of("parsed")),

@@ -6,10 +6,11 @@ import csv
 import io
 import re
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -30,14 +31,14 @@ def raw_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFr
     return reader.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def intake(files: DataFrame) -> DataFrame:
-    """Name, size, SHA-256, type, sub-structure, encoding and language (of text files) of each raw file, with its checks."""
+def intake(files: DataFrame, tell: Callable[[Column], Column] = language) -> DataFrame:
+    """Name, size, SHA-256, type, sub-structure, encoding and language (of text files, by `tell`) of each raw file, with its checks."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     df = files.select("path", name.alias("filename"), F.coalesce("length", F.lit(0)).alias("size_bytes"), F.sha2("content", 256).alias("sha256"), mime.extension(F.col("path")).alias("extension"), mime.mime(F.col("content"), F.col("path")).alias("mime"), "content")
     # office files and PDF tell their encoding by their type; of all others the text is read
     own = F.when(F.col("mime").contains("openxmlformats") | (F.col("mime") == "application/pdf"), mime.encoding(F.col("mime"), F.col("content")))
     df = df.withColumn("sub_structure", mime.sub_structure(F.col("mime"), F.col("content"))).withColumn("read", encodings.decoded(F.when(own.isNull(), F.col("content"))))
-    df = df.withColumn("encoding", F.coalesce(own, "read.encoding", F.lit("unknown"))).withColumn("language", language(F.col("read.text"))).drop("content", "read")
+    df = df.withColumn("encoding", F.coalesce(own, "read.encoding", F.lit("unknown"))).withColumn("language", F.coalesce(tell(F.col("read.text")), F.lit("unknown"))).drop("content", "read")
     return df.withColumn("checks", F.concat(stage_checks("intake"), stage_checks("format")))
 
 

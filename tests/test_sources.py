@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions import encodings
+from docloom.functions import encodings, languages
 from docloom.sources import markup
 
 TEXTS = {
@@ -104,3 +104,17 @@ def test_every_word_once(spark, sf_dir):
     assert found.where("kind = 'page'").count() == len(rows)
     some = found.where("kind = 'block' AND page_id = 1").orderBy("pos").collect()
     assert [b.level > 0 for b in some] == sorted((b.level > 0 for b in some), reverse=True)
+
+
+def test_language_profiles(spark, sf_dir):
+    """Learned on three of four documents, the others' languages are told, 97 of 100; what has no profile is unknown."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    known = languages.profiles(docs.where("doc_id % 4 <> 1"))
+    assert known.groupBy("lang").count().where(f"count > {languages.MOST}").count() == 0
+    tell = languages.detector(known)
+    rows = docs.where("doc_id % 4 = 1 AND lang IS NOT NULL AND length(text) > 100").select("lang", tell(F.col("text")).alias("told")).collect()
+    assert sum(r.lang == r.told for r in rows) >= 0.97 * len(rows) and len(rows) > 100
+    other = spark.createDataFrame([(TEXTS["ru"],), (TEXTS["ja"],), ("short",), (None,), ("12345 67890 " * 20,)], "t string").select(tell(F.col("t")).alias("told")).collect()
+    assert {r.told for r in other} == {"unknown"}
+    none = languages.detector(languages.profiles(docs.limit(0)))
+    assert spark.range(1).select(none(F.lit("any text of some length that has letters")).alias("x")).first().x == "unknown"
