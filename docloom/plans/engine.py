@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULT, Config
 from docloom.functions import encodings, languages, numeric, text
+from docloom.functions.garbage import is_cid_garbage
 from docloom.functions.text import estimated_tokens, tokens
 from docloom.operators import chunking, facts, fusion, graph, lexical, observe, records, relational, retrieval, tables, vectors
 from docloom.plans import planner
 from docloom.plans.provider import Offline
-from docloom.sources import files, markup, plain, sheets
+from docloom.sources import files, markup, pdf, plain, sheets
 from docloom.sources.ship import ship
 from docloom.streaming import events
 
@@ -142,7 +143,26 @@ class Engine:
         other = read.where("mime <> 'text/html'").select("doc_id", "text", "mime", "path")
         marked = plain.markdown_blocks(other.select("doc_id", "text")).where(F.col("text").rlike(r"\S")).withColumn("kind", F.lit("block"))
         listed = files.delimited(other.where("mime = 'text/csv' OR lower(path) LIKE '%.tsv'")).withColumn("kind", F.lit("table"))
-        return reduce(DataFrame.unionByName, map(shaped, (office, web, marked, listed)))
+        paged = self._pdf_rows(raw.join(info.where("mime = 'application/pdf'").select("doc_id"), "doc_id"), types)
+        return reduce(DataFrame.unionByName, map(shaped, (office, web, marked, listed, paged)))
+
+    def _pdf_rows(self, raw: DataFrame, types: dict[str, str]) -> DataFrame:
+        """Rows of PDF files: each page (its text layer and number of larger images), its block, and the tables that the provider sees on it. A page without a sound layer is read from its largest image."""
+        found = pdf.judged(pdf.pages(raw))
+        held = F.filter("images", lambda i: i["bytes"].isNotNull())
+        largest = F.array_max(F.transform(held, lambda i: F.struct((i["width"] * i["height"]).alias("area"), i["format"].alias("format"), i["bytes"].alias("bytes"))))
+        asked = F.when((F.col("layer") != "native") & F.col("page").isNotNull(), largest)
+        read = found.withColumn("asked", asked).withColumn("read", pdf.structured(self.provider.read_page(F.col("asked.bytes"), F.col("asked.format"))))
+        rich = read.withColumn("said", F.coalesce("clean", F.nullif("read.prose", F.lit("")))).withColumn("n", F.size(F.filter("images", lambda i: i["width"] * i["height"] >= records.LEAST_AREA)))
+
+        def row(kind: str, **values: Column) -> Column:
+            known = {"kind": F.lit(kind), "pos": F.col("page") - 1, "level": F.lit(0)} | values
+            return F.struct(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+        page = F.when(F.col("page").isNull(), row("error", error=F.col("error"))).otherwise(row("pdf_page", text=F.col("text"), images=F.col("n"), error=F.col("error")))
+        block = F.when(F.col("said").isNotNull(), row("block", text=F.col("said")))
+        seen = F.transform("read.tables", lambda t, i: row("table", table_pos=(F.col("page") - 1) * 1000 + i, headers=t["headers"], rows=t["rows"]))
+        return rich.select("doc_id", F.inline(F.concat(F.array_compact(F.array(page, block)), seen)))
 
     def _blocks(self, parsed: DataFrame) -> DataFrame:
         return parsed.where("kind = 'block'").select("doc_id", "pos", "level", "text")
@@ -158,7 +178,10 @@ class Engine:
         """Each document's facts, classification, parser and steps; without an agent all steps."""
         n = lambda df, name, value: df.groupBy("doc_id").agg(value.alias(name))
         counts = [n(blocks, "words", F.sum(F.size(tokens(F.col("text"))))), n(made, "n_tables", F.count("*")), n(parsed, "n_images", F.coalesce(F.sum("images"), F.lit(0))), records.samples(blocks, made)]
-        own = info.select("doc_id", "mime", F.lit(None).cast("int").alias("pages"), F.lit(None).cast("double").alias("ocr_fraction"), F.lit(None).cast("boolean").alias("cid_coded"))
+        own = info.select("doc_id", "mime")
+        shown = parsed.where("kind = 'pdf_page'").select("doc_id", F.col("pos").alias("page"), "text")
+        coded = shown.groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"), F.bool_or(is_cid_garbage(F.col("text"))).alias("cid_coded"))
+        counts += [plain.ocr_fraction(shown).select("doc_id", "ocr_fraction"), coded]
         own = reduce(lambda a, b: a.join(b, "doc_id", "left"), counts, own)
         own = own.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("words", "n_tables", "n_images")})
         own = own.withColumn("intel", self.provider.classify(F.col("sample"), F.col("n_tables") > 0, F.col("n_images") > 0)).select("*", "intel.*").drop("intel", "sample")

@@ -95,6 +95,10 @@ class Offline:
     def caption(self, kind: Column, width: Column, height: Column) -> Column:
         return F.format_string("%s image of %d by %d pixels", F.upper(kind), width, height)
 
+    def read_page(self, image: Column, kind: Column) -> Column:
+        """The reply about a page's image (bytes and format): JSON of prose and tables, or prose. No rule reads images."""
+        return F.lit(None).cast("string")
+
     def facts(self, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
         return facts.extract(chunks, key)
 
@@ -127,11 +131,30 @@ class Remote(Offline):
     """A model behind `send` (a prompt to its reply), which the tasks call; what it does not answer well falls back to the rules.
 
     attempts and base are those of `with_retry`. A call that still fails is an empty reply, so one document's
-    failure does not end a stage.
+    failure does not end a stage. `see` (an image's bytes and format to a reply) reads pages that have no text layer.
     """
 
-    def __init__(self, send: Callable[[str], str], attempts: int = 3, base: float = 1.0):
-        self.send, self.attempts, self.base = send, attempts, base
+    def __init__(self, send: Callable[[str], str], attempts: int = 3, base: float = 1.0, see: Callable[[bytes, str], str] | None = None):
+        self.send, self.attempts, self.base, self.see = send, attempts, base, see
+
+    def read_page(self, image: Column, kind: Column) -> Column:
+        if self.see is None:
+            return super().read_page(image, kind)
+        see, attempts, base = self.see, self.attempts, self.base
+
+        def one(data: bytes | None, name: str | None) -> str | None:
+            if data is None:
+                return None
+            try:
+                return with_retry(lambda: see(bytes(data), name), attempts, base)
+            except Exception:  # noqa: BLE001 - whatever a service raises
+                return None
+
+        @F.pandas_udf("string")
+        def look(images: pd.Series, kinds: pd.Series) -> pd.Series:
+            return pd.Series([one(i, k) for i, k in zip(images, kinds, strict=True)], dtype=object)
+
+        return look(image, kind)
 
     def complete(self, prompt: Column) -> Column:
         send, attempts, base = self.send, self.attempts, self.base
