@@ -28,22 +28,39 @@ def validate(facts: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str
     return cited.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok").drop("__text", "__found")
 
 
+#: The filter of asked keys has 64 bits in each of so many rows, 2 MB at most whatever is asked.
+SLOTS = 1 << 16
+#: Characters of a short quote's longest word by which it is looked up.
+GRAM = 4
+
+
+def _shared(asked: DataFrame, keys: DataFrame, quote_id: str, key: str) -> DataFrame:
+    """(quote_id, key) of equal `run`. Most of the texts' runs are asked by nobody: a filter of bits, sent to all tasks, keeps these out of the shuffle."""
+    slot, bit = F.pmod("run", F.lit(SLOTS)).cast("int"), F.shiftrightunsigned("run", 58).cast("int")
+    bits = asked.select(slot.alias("slot"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(run, 58) AS INT))").alias("b")).groupBy("slot").agg(F.bit_or("b").alias("mask"))
+    near = keys.withColumns({"slot": slot, "bit": bit}).join(F.broadcast(bits), "slot").where(F.getbit("mask", "bit") == 1).select(key, "run")
+    return asked.select(quote_id, "run").join(near, "run").select(quote_id, key)
+
+
 def quote_places(chunks: DataFrame, quotes: DataFrame, quote_id: str = "item_id", key: str = "doc_id", quote: str = "text", width: int = 5) -> DataFrame:
     """(quote_id, key) of every chunk that has a quote. A quote's first words choose the chunks that are looked at, so no pair is formed without them in common.
 
-    Quotes of fewer words than `width` are looked up by what they have. A quote's first word may be the
-    end of a longer word of the chunk, and its last the beginning of one, as in a substring search: the
-    words between must be equal, so the key is of the inner words where there are any.
+    A quote's first word may be the end of a longer word of the chunk, and its last the beginning of one, as
+    in a substring search: the words between must be equal, so the key is of the inner words where there are enough.
+    Shorter quotes are looked up by the first characters of their longest word, which stand within one of the chunk's words.
     """
     asked = quotes.select(quote_id, normalised(F.col(quote)).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
-    inner = F.when(F.size("w") > width + 1, F.xxhash64(F.slice("w", 2, width)))  # a hash: equal texts are compared in full below
-    asked = asked.withColumn("run", inner)
-    words = chunks.select(key, normalised(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    # hashes: equal texts are compared in full below
+    asked = asked.withColumn("enough", F.size("w") > width + 1).withColumn("run", F.when(F.col("enough"), F.xxhash64(F.slice("w", 2, width))).otherwise(F.xxhash64(F.substring(longest, 1, GRAM))))
+    texts = chunks.select(key, normalised(F.col("text")).alias("t"))
+    words = texts.withColumn("w", F.split("t", " "))
     runs = words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, width))))).alias("run"))
-    hits = asked.where("run IS NOT NULL").select(quote_id, "run").join(runs, "run").select(quote_id, key).distinct()
-    long = hits.join(asked.select(quote_id, "q"), quote_id).join(words.select(key, "t"), key).where(F.contains("t", F.col("q")))
-    short = asked.where("run IS NULL").select(quote_id, "q").join(words.select(key, "t"), F.contains("t", F.col("q")))
-    return long.select(quote_id, key).union(short.select(quote_id, key))
+    # a look ahead takes a word's runs of characters in one pass, however long the word is
+    grams = F.flatten(F.array(*[F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]))
+    parts = words.select(key, F.explode(F.array_distinct("w")).alias("word")).select(key, F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("run"))
+    hits = _shared(asked.where("enough"), runs, quote_id, key).union(_shared(asked.where("NOT enough"), parts, quote_id, key)).distinct()
+    return hits.join(asked.select(quote_id, "q"), quote_id).join(texts, key).where(F.contains("t", F.col("q"))).select(quote_id, key)
 
 
 def match_questions(questions: DataFrame, facts: DataFrame, least: float = DEFAULT.fact_least) -> DataFrame:
