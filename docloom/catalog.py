@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.bm25", "operators.chunking", "operators.graph", "operators.retrieval", "operators.tables", "operators.facts", "operators.observe", "operators.relational", "operators.quality", "operators.records", "operators.surface", "streaming.events", "plans.planner", "functions.languages", "sources.pdf"]
+MODULES = ["operators.bm25", "operators.chunking", "operators.graph", "operators.retrieval", "operators.tables", "operators.facts", "operators.observe", "operators.relational", "operators.quality", "operators.records", "operators.surface", "streaming.events", "plans.planner", "functions.languages", "sources.pdf", "operators.report"]
 
 
 def _all() -> dict:

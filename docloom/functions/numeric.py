@@ -31,3 +31,14 @@ def format_value(value: Column, kind: Column, unit: Column) -> Column:
     number = value.try_cast("double")
     text = F.when(kind.isin("number", "currency") & number.isNotNull(), F.when(number == F.floor(number), F.format_number(number, 0)).otherwise(F.format_number(number, 2))).otherwise(value)
     return F.concat(text, F.when(F.coalesce(unit, F.lit("")) != "", F.concat(F.lit(" "), unit)).otherwise(""))
+
+
+def iso_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two ISO 8601 times in UTC; null where one is none."""
+    read = lambda c: F.try_to_timestamp(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"), c))
+    return (F.unix_micros(read(end)) - F.unix_micros(read(start))) / 1e6
+
+
+def display_words(tokens: Column) -> Column:
+    """Tokens as words for display: three quarters, half up."""
+    return F.floor((tokens * 3 + 2) / 4).cast("long")
