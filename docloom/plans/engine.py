@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from docloom.config import DEFAULT, Config
 from docloom.functions import encodings, languages, numeric, text
 from docloom.functions.garbage import is_cid_garbage
 from docloom.functions.text import estimated_tokens, tokens
-from docloom.operators import chunking, facts, fusion, graph, lexical, observe, records, relational, retrieval, tables, vectors
+from docloom.operators import chunking, facts, fusion, graph, lexical, observe, records, relational, report, retrieval, tables, vectors
 from docloom.plans import planner
 from docloom.plans.provider import Offline
 from docloom.sources import files, markup, pdf, plain, sheets
@@ -62,6 +64,21 @@ class Engine:
         finally:
             self.spark.removeTag(job_id)
 
+    def ingest_all(self, path: str, jobs: dict[str, str]) -> dict[str, str | None]:
+        """The same folder by several pipelines at once, each to a job of its own (pipeline: job). Returns each job's error, None for those that went through; a job that fails leaves the others alone."""
+
+        def one(pipeline: str, job_id: str) -> str | None:
+            try:
+                self.ingest(path, job_id, pipeline)
+            except Exception as e:  # noqa: BLE001 - told to the caller, and in the event log
+                return f"{type(e).__name__}: {e}"[:300]
+
+        if len(set(jobs.values())) < len(jobs):
+            raise ValueError("each pipeline needs a job of its own")
+        with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+            runs = {job: pool.submit(inheritable_thread_target(self.spark)(one), pipeline, job) for pipeline, job in jobs.items()}
+        return {job: run.result() for job, run in runs.items()}
+
     def _ingest(self, path: str, job_id: str, pipeline: str) -> None:
         raw = files.raw_files(self.spark, path).withColumn("doc_id", F.xxhash64("path"))
         listed = raw.select(F.xxhash64("path", "length", "modificationTime").alias("h")).agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
@@ -382,6 +399,13 @@ class Engine:
         sure = retrieval.confidence(top.select("question_id", "has_sql").join(held.drop("has_sql"), "question_id", "left"), "question_id")
         return records.answer_record(answers.drop("c", "label", "value", "quote")).join(sure, "question_id", "left")
 
+    def report(self, answers: DataFrame, path: str) -> None:
+        """The evaluation report of answers that `ask` has judged."""
+        # answers are computed once: both files are made of what is stored
+        kept = f"{path}/answers"
+        answers.withColumnRenamed("judge_score", "score").drop("keywords").write.mode("overwrite").parquet(kept)
+        report.write_report(self.spark.read.parquet(kept), path)
+
     def question_bank(self, job_id: str | None = None, most: int = 10) -> DataFrame:
         """Ten questions at most for a job's tables and entities: SQL questions first, then one for each of the most mentioned entities."""
         sql = tables.table_questions(self.columns(job_id).select("table_name", "column", "type")).select("route", "q", F.lit(0).alias("o"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import threading
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -22,6 +23,8 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Two jobs of one process can store at once; a result's schema, and a log that both add to, are written by one at a time.
+WRITES = threading.RLock()
 BLOCKS = "path string, kind string, pos long, level int, text string, table_pos long, sheet string, headers array<string>, rows array<array<string>>, error string"
 
 
@@ -150,12 +153,18 @@ def write_artifact(df: DataFrame, root: str, key: str, job: str = "job_id", of:
     if of is not None:
         path, fs = _path(spark, f"{root}/{key}/{job}={of}")
         fs.delete(path, True)
-    kept, fs = _path(spark, f"{root}/_schemas/{key}")
-    if not fs.exists(kept) or spark.read.parquet(f"{root}/_schemas/{key}").schema != df.schema:
-        df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/_schemas/{key}")
+    with WRITES:
+        if _schema(spark, root, key) != df.schema:
+            df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/_schemas/{key}")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job).parquet(f"{root}/{key}")
 
 
+def _schema(spark: SparkSession, root: str, key: str) -> StructType | None:
+    kept, fs = _path(spark, f"{root}/_schemas/{key}")
+    with WRITES:
+        return spark.read.parquet(f"{root}/_schemas/{key}").schema if fs.exists(kept) else None
+
+
 def has_artifact(spark: SparkSession, root: str, key: str) -> bool:
     """Whether a partition is there; Spark puts one in place as a whole when its job commits."""
     path, fs = _path(spark, f"{root}/{key}")
@@ -169,13 +178,13 @@ def artifact_bytes(spark: SparkSession, root: str, key: str) -> int:
 
 def append_artifact(df: DataFrame, root: str, key: str, job: str = "job_id") -> None:
     """Add rows to a stored result, as to a log."""
-    df.write.mode("append").partitionBy(job).parquet(f"{root}/{key}")
+    with WRITES:
+        df.write.mode("append").partitionBy(job).parquet(f"{root}/{key}")
 
 
 def read_artifact(spark: SparkSession, root: str, key: str, job: str = "job_id") -> DataFrame | None:
     """A stored result, one without rows too, or None where there is none. The job's id is text, however it looks: 0012 is not 12."""
-    kept, fs = _path(spark, f"{root}/_schemas/{key}")
-    schema = spark.read.parquet(f"{root}/_schemas/{key}").schema if fs.exists(kept) else None
+    schema = _schema(spark, root, key)
     if not has_artifact(spark, root, key):
         return None if schema is None else spark.createDataFrame([], schema)
     found = schema or spark.read.parquet(f"{root}/{key}").schema
