@@ -25,10 +25,10 @@ BLANK = r"\s\x1c-\x1f"
 def gibberish_signals(text: Column) -> dict[str, Column]:
     """Letters of any script; long runs of one character for 100 characters; vowels among letters; the share of characters other than letters, blanks apart."""
     size = F.greatest(F.length(text), F.lit(1))
-    letters = F.length(F.regexp_replace(F.lower(text), r"[^\p{L}]", ""))
-    vowels = F.length(F.regexp_replace(F.lower(text), r"[^aeiou]", ""))
-    filled = F.length(F.regexp_replace(text, f"(?U)[{BLANK}]", ""))
-    other = F.length(F.regexp_replace(text, rf"(?U)[\p{{L}}{BLANK}]", ""))
+    letters = F.length(F.regexp_replace(F.lower(text), r"[^\p{L}]+", ""))
+    vowels = F.length(F.regexp_replace(F.lower(text), r"[^aeiou]+", ""))
+    filled = F.length(F.regexp_replace(text, f"(?U)[{BLANK}]+", ""))
+    other = F.length(F.regexp_replace(text, rf"(?U)[\p{{L}}{BLANK}]+", ""))
     return {
         "letters": letters,
         "runs": F.regexp_count(text, F.lit(r"(?d)(.)\1{4,}")) * 100.0 / size,

@@ -120,3 +120,16 @@ def test_ingest(spark, tmp_path):
     assert plans["a.pdf"].pages == 2 and plans["a.pdf"].ocr_fraction == 0.5 and plans["a.pdf"].parser == "unified" and plans["a.pdf"].n_images == 1
     assert plans["c.pdf"].cid_coded and plans["c.pdf"].parser == "vision" and "caption_images" in plans["a.pdf"].steps
     assert [r.error for r in engine._of("parsed", "j").where("kind = 'error'").collect()][0].startswith("ValueError")
+
+
+def test_work_by_page(spark, monkeypatch):
+    """Words are split once a document, not once a page; fonts are read once a file; pages come in bounded frames."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1500))), (2, None)], "doc_id long, text string")
+    made = pdf.written(docs)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    doc = pdf.Document(made.where("doc_id = 1").first().content)
+    pages = [pdf.Page(doc, *p) for p in doc.pages()]
+    assert len(pages) == 5 and len(doc.fonts) == 1
+    monkeypatch.setattr(pdf, "GIVEN", 1)
+    got = {(r.doc_id, r.page): r.text for r in pdf.pages(made).collect()}
+    assert len(got) == 6 and got[2, 1] == "" and got[1, 5].split() == [f"w{i}" for i in range(1200, 1500)]
