@@ -3,6 +3,7 @@
 import random
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,19 @@ def test_language_profiles(spark, sf_dir):
     assert {r.told for r in other} == {"unknown"}
     none = languages.detector(languages.profiles(docs.limit(0)))
     assert spark.range(1).select(none(F.lit("any text of some length that has letters")).alias("x")).first().x == "unknown"
+
+
+def test_grams():
+    """Counted by arrays, in the order that counting text by text gives."""
+    from collections import Counter
+
+    for t in (None, "", "12 _ !", "a", "Ab ab ÀB x_y İstanbul 𐐀𐐁 a a", "the cat " * 2000):
+        plain = Counter()
+        for word in languages._WORD.findall((t or "")[: languages.HEAD].lower()):
+            marked = f"_{word}_"
+            plain.update(g for n in (1, 2, 3) for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) != "_")
+        codes, counts = languages.grams(t)
+        assert isinstance(codes, np.ndarray)
+        assert dict(zip(map(languages.gram_text, codes.tolist()), counts.tolist(), strict=True)) == plain
+        assert [languages.gram_text(c) for c in languages.ranked(codes, counts).tolist()] == sorted(plain, key=lambda g: (-plain[g], g))[: languages.MOST]
+        assert all(languages.gram_code(languages.gram_text(c)) == c for c in codes.tolist())
