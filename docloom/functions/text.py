@@ -79,8 +79,11 @@ STOPWORDS = {
 def language(text: Column, least: int = 50, most: int = 8192) -> Column:
     """The language with the most of its frequent words in a text's beginning, the first by name of equal ones; unknown for short texts and without any."""
     head = F.trim(F.substring(text, 1, most))
-    own = tokens(F.lower(F.regexp_replace(head, r"[^\p{L}]+", " ")))
-    count = lambda words: F.size(F.filter(own, lambda w: w.isin(words)))
-    hits = F.array(*[F.struct(count(words).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(STOPWORDS.items())])
-    best = F.array_max(hits)
-    return F.when((F.length(head) > least) & (best["n"] > 0), best["name"]).otherwise("unknown")
+    known = sorted({w for words in STOPWORDS.values() for w in words})
+    # a lambda's argument is computed once; as an expression the words would be made anew for each language
+    own = F.filter(F.split(F.lower(F.regexp_replace(head, r"[^\p{L}]+", " ")), " "), lambda w: w.isin(known))
+    count = lambda o, words: F.size(F.filter(o, lambda w: w.isin(words)))
+    hits = lambda o: F.array(*[F.struct(count(o, words).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(STOPWORDS.items())])
+    told = lambda b: F.when(b["n"] > 0, b["name"]).otherwise("unknown")
+    best = F.get(F.transform(F.transform(F.array(own), lambda o: F.array_max(hits(o))), told), F.lit(0))
+    return F.when(F.length(head) > least, best).otherwise("unknown")

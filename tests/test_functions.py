@@ -83,3 +83,11 @@ def test_checks(spark):
     got = df.select(checks.stage_checks("chunk").alias("c")).select("c", checks.pass_rate(F.col("c")).alias("r")).collect()
     assert got[0].r == 1.0 and got[1].r == 0.0 and {c.severity for c in got[1].c} == {"error", "warn"} and {c.severity for c in got[0].c} == {"info"}
     assert all(len(v) >= 3 for v in checks.CATALOGUE.values())
+
+
+def test_language_words_once(spark):
+    """The words of a text are made once, not once a language and use."""
+    df = spark.createDataFrame([("der Hund und die Katze " * 4,), ("le chat et les chiens sont dans la maison " * 3,), ("the",), (None,), ("xx " * 40,)], "t string").coalesce(1)
+    told = df.select(text.language(F.col("t")).alias("l"))
+    assert [r.l for r in told.collect()] == ["de", "fr", "unknown", "unknown", "unknown"]
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
