@@ -17,12 +17,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from itertools import count
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from docloom.config import DEFAULT
 
@@ -38,6 +42,7 @@ SHARDS = (
     "shard long, n int, words long, keys binary, sizes binary, terms string, dfs array<int>, places binary, tfs binary, most binary, least binary, "
     "tags array<string>, tag_dfs array<int>, tag_places binary"
 )
+KINDS = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 2, pa.string(), pa.list_(pa.int32()), *[pa.binary()] * 4, pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
 _BLANKS = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -48,16 +53,28 @@ def words(text: str | None) -> list[str]:
     return [w for w in _BLANKS.split(text) if w] if _CONTROLS.search(text) else text.split()
 
 
-def _postings(lists: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(words in order, in how many lists each is, the lists' numbers word by word, how often each is in each)."""
-    number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), np.int64)
-    order = sorted(number)
-    place = np.zeros(len(order), np.int64)
-    place[[number[w] for w in order]] = np.arange(len(order))
-    owner = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
-    key, times = np.unique(place[flat] << 16 | owner if len(flat) else np.zeros(0, np.int64), return_counts=True)
-    return order, np.bincount(key >> 16, minlength=len(order)), key & 0xFFFF, times
+class _Postings:
+    """Postings of lists of words as they come: of a list only its words' numbers and how often each is there are kept."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.own, self.times = [], []
+
+    def add(self, ws: list[str]) -> None:
+        number = self.number
+        own, times = np.unique(np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)), return_counts=True)
+        self.own.append(own)
+        self.times.append(times.astype(np.int32))
+
+    def made(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(words in order, in how many lists each is, the lists' numbers word by word, how often each is in each)."""
+        order = sorted(self.number)
+        place = np.zeros(len(order), np.int32)
+        place[[self.number[w] for w in order]] = np.arange(len(order), dtype=np.int32)
+        owner = np.repeat(np.arange(len(self.own), dtype=np.uint16), [len(x) for x in self.own])
+        word = place[np.concatenate([*self.own, np.zeros(0, np.int32)])]
+        sort = np.argsort(word, kind="stable")  # lists are in order already
+        return order, np.bincount(word, minlength=len(order)), owner[sort], np.concatenate([*self.times, np.zeros(0, np.int32)])[sort]
 
 
 def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str | None = None) -> DataFrame:
@@ -65,36 +82,47 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str |
 
     def run(batches):
         number = count(TaskContext.get().partitionId() << 32)
-        held: list[tuple[int, list[str], list[str]]] = []
-        chars = 0
-
-        def shard() -> pd.DataFrame:
-            keys, own, tagged = zip(*held, strict=True)
-            sizes = np.array([len(w) for w in own], np.int32)
-            terms, dfs, places, tfs = _postings(list(own))
-            names, tag_dfs, tag_places, _ = _postings([sorted(set(t)) for t in tagged])
-            first = np.cumsum(dfs) - dfs
+        keys, sizes, own, tagged, chars = [], [], _Postings(), _Postings(), 0
+
+        def shard() -> pa.RecordBatch:
+            terms, dfs, places, tfs = own.made()
+            names, tag_dfs, tag_places, _ = tagged.made()
+            size, first = np.array(sizes, np.int32), np.cumsum(dfs) - dfs
             most = np.maximum.reduceat(tfs, first) if len(terms) else tfs
-            least = np.minimum.reduceat(sizes[places], first) if len(terms) else tfs
+            least = np.minimum.reduceat(size[places], first) if len(terms) else tfs
             raw = lambda a, kind: a.astype(kind).tobytes()
-            row = (next(number), len(held), int(sizes.sum()), raw(np.array(keys), "<i8"), raw(sizes, "<i4"), "\n".join(terms), dfs.astype(np.int32), raw(places, "<u2"), raw(tfs, "<i4"), raw(most, "<i4"), raw(least, "<i4"), names, tag_dfs.astype(np.int32), raw(tag_places, "<u2"))
-            return pd.DataFrame([row], columns=[c.split()[0] for c in SHARDS.split(", ")])
+            row = (next(number), len(keys), int(size.sum()), raw(np.array(keys), "<i8"), raw(size, "<i4"), "\n".join(terms), dfs.astype(np.int32), raw(places, "<u2"), raw(tfs, "<i4"), raw(most, "<i4"), raw(least, "<i4"), names, tag_dfs.astype(np.int32), raw(tag_places, "<u2"))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
-        for df in batches:
-            for k, t, tagged in zip(df["k"], df["t"], df["tags"], strict=True):
-                if len(held) == SHARD or held and chars + len(t or "") > SHARD_CHARS:
+        for batch in batches:  # by Arrow, so that only one text at a time is a Python string
+            for k, t, x in zip(*batch.columns, strict=True):
+                t = t.as_py() or ""
+                if len(keys) == SHARD or keys and chars + len(t) > SHARD_CHARS:
                     yield shard()
-                    held, chars = [], 0
-                held.append((int(k), words(t), [x for x in tagged if x is not None] if tagged is not None else []))
-                chars += len(t or "")
-        if held:
+                    keys, sizes, own, tagged, chars = [], [], _Postings(), _Postings(), 0
+                ws = words(t)
+                keys.append(k.as_py())
+                sizes.append(len(ws))
+                own.add(ws)
+                tagged.add(sorted({y for y in x.as_py() or [] if y is not None}))
+                chars += len(t)
+        if keys:
             yield shard()
 
     own = docs.where(F.col(key).isNotNull())
     if int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < DEALT:
         own = own.repartition(own.sparkSession.sparkContext.defaultParallelism)
     own = own.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (F.col(tags) if tags else F.array().cast("array<string>")).alias("tags"))
-    return own.mapInPandas(run, SHARDS)
+    return own.mapInArrow(run, SHARDS)
+
+
+def _rows(batches) -> Iterator[SimpleNamespace]:
+    """Shards one by one, their binary columns as buffers of the batch, not copied."""
+    for batch in batches:
+        names, kinds = batch.schema.names, batch.schema.types
+        for i in range(batch.num_rows):
+            row = [c[i] for c in batch.columns]
+            yield SimpleNamespace(**{n: x.as_buffer() if pa.types.is_binary(t) or pa.types.is_large_binary(t) else x.values.to_numpy() if pa.types.is_list(t) and pa.types.is_integer(t.value_type) else x.as_py() for n, t, x in zip(names, kinds, row, strict=True)})
 
 
 def stats(index: DataFrame) -> DataFrame:
@@ -128,15 +156,14 @@ class Questions:
 
         def found(batches):
             total = np.zeros(len(sent.value), np.int64)
-            for df in batches:
-                for terms, dfs in zip(df["terms"], df["dfs"], strict=True):
-                    at, hit = _places(listed(terms), sent.value)
-                    total[hit] += np.asarray(dfs)[at[hit]]
+            for row in _rows(batches):
+                at, hit = _places(listed(row.terms), sent.value)
+                total[hit] += row.dfs[at[hit]]
             some = np.flatnonzero(total)
-            yield pd.DataFrame({"term": some, "df": total[some]})
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["term", "df"])
 
         df = np.zeros(len(self.terms))
-        for r in index.select("terms", "dfs").mapInPandas(found, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # of the block's words at most
+        for r in index.select("terms", "dfs").mapInArrow(found, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # of the block's words at most
             df[r.term] = r.df
         self.idf = np.log((self.n - df + 0.5) / (df + 0.5) + 1)
 
@@ -240,14 +267,17 @@ class Shard:
 def over_shards(index: DataFrame, asked, each: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
     """A pass over all shards: `each` makes, for a task, what takes a shard and yields frames, and what gives frames at the end. `asked` is the broadcast of the questions."""
 
-    def run(batches) -> Iterator[pd.DataFrame]:
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         take, end = each()
-        for df in batches:
-            for row in df.itertuples():
-                yield from take(Shard(row, asked.value))
-        yield from end()
+        for row in _rows(batches):
+            for df in take(Shard(row, asked.value)):
+                yield pa.RecordBatch.from_pandas(df, kinds, preserve_index=False)
+        for df in end():
+            yield pa.RecordBatch.from_pandas(df, kinds, preserve_index=False)
 
-    return index.mapInPandas(run, schema)
+    return index.mapInArrow(run, schema)
 
 
 def best_rows(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

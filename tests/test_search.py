@@ -161,3 +161,18 @@ def test_ties_beyond_the_lists(spark, made):
         got.setdefault(r.item_id, []).append((r.final, r.doc_id, r.dense_rank, r.sparse_rank))
     assert got == {q: rows[:5] for q, rows in expected.items()}
     assert DEFAULT.graph_anchors == 3
+
+
+def test_postings_kept_small():
+    """A shard in the making keeps two numbers a posting, not the words; the result is what counting gives."""
+    rng = np.random.default_rng(7)
+    lists = [[f"word{i}" for i in rng.zipf(1.5, 400) % 500] for _ in range(50)] + [[]]
+    held = lexical._Postings()
+    for ws in lists:
+        held.add(ws)
+    bags = [Counter(ws) for ws in lists]
+    assert sum(a.nbytes for a in [*held.own, *held.times]) == 8 * sum(map(len, bags))
+    terms, dfs, places, tfs = held.made()
+    want = sorted((w, d, n) for d, bag in enumerate(bags) for w, n in bag.items())
+    assert list(zip(np.repeat(np.array(terms, object), dfs), places.tolist(), tfs.tolist(), strict=True)) == want
+    assert [len(x) for x in lexical._Postings().made()] == [0, 0, 0, 0]
