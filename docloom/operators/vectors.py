@@ -23,6 +23,8 @@ from docloom.sources.scratch import kept
 QUESTION_BYTES = 32 << 20
 #: Vectors that are compared at a time, and in a block of a list.
 BLOCK = 1024
+#: Questions that a block is compared with at a time: what a task holds beside its questions does not grow with their number.
+TILE = 256
 #: Vectors on which the file is fitted, components of a code, and vectors of the sample for each list at least.
 SAMPLE, COMPONENTS, EACH = 20_000, 4, 8
 #: A list is looked into where more than so many of its vectors are expected to beat the k-th best of the sample.
@@ -48,10 +50,11 @@ class _Best:
     def __init__(self, n: int, k: int):
         self.k, self.scores, self.keys = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
-    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
-        """Scores of all questions with some keys, in ascending order of these."""
-        some = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= self.scores[:, -1])
-        both = np.concatenate([self.scores[some], scores[some]], axis=1)
+    def add(self, scores: np.ndarray, keys: np.ndarray, first: int = 0) -> None:
+        """Scores of questions, all or those from `first` on, with some keys, in ascending order of these."""
+        near = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= self.scores[first : first + len(scores), -1])
+        some, scores = near + first, scores[near]
+        both = np.concatenate([self.scores[some], scores], axis=1)
         of = np.concatenate([self.keys[some], np.broadcast_to(keys, (len(some), len(keys)))], axis=1)
         order = np.lexsort((of, -both), axis=1)[:, : self.k]
         self.scores[some], self.keys[some] = np.take_along_axis(both, order, 1), np.take_along_axis(of, order, 1)
@@ -93,7 +96,9 @@ def dense_top(chunks: DataFrame, queries: DataFrame, k: int, query: str = "query
                 df = df.sort_values("key", kind="stable")
                 for a in range(0, len(df), BLOCK):
                     some = df.iloc[a : a + BLOCK]
-                    best.add(np.round(asked @ np.stack(some["v"].to_numpy()).T, digits) + 0.0, some["key"].to_numpy(np.int64))
+                    own, keys = np.stack(some["v"].to_numpy()).T, some["key"].to_numpy(np.int64)
+                    for q in range(0, len(asked), TILE):
+                        best.add(np.round(asked[q : q + TILE] @ own, digits) + 0.0, keys, q)
             yield best.frame()
 
         found = _vectors(chunks, key, vector).mapInPandas(run, "q int, key long, score double")

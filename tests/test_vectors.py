@@ -78,3 +78,17 @@ def test_approximate_edges(spark):
     same = frame(spark, np.ones((50, 4)))
     assert [r.vec_id for r in vectors.ann_top(same, asked.limit(1), 3).orderBy("rank").collect()] == [0, 1, 2]
     assert vectors.ann_top(same, asked.limit(0), 3).count() == 0
+
+
+def test_best_by_tiles():
+    """Questions compared tile by tile keep what all at once would, with no more than a tile's scores at a time."""
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.standard_normal((7, 40)), 1)
+    whole, tiles = vectors._Best(7, 4), vectors._Best(7, 4)
+    for a in (0, 20):
+        keys = np.arange(a, a + 20)
+        whole.add(scores[:, a : a + 20], keys)
+        for q in range(0, 7, 3):
+            tiles.add(scores[q : q + 3, a : a + 20], keys, q)
+    assert whole.frame().equals(tiles.frame())
+    assert [sorted(zip((-s).tolist(), range(40), strict=True))[:4] for s in scores] == [[(-s, k) for s, k in zip(*x, strict=True)] for x in zip(tiles.scores.tolist(), tiles.keys.tolist(), strict=True)]
