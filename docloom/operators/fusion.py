@@ -25,8 +25,12 @@ from docloom.operators import lexical
 from docloom.operators.lexical import Best, Questions, Shard, best_rows, over_shards
 from docloom.sources.scratch import kept
 
-#: Scores between which a narrowing step counts.
-CUTS = 128
+#: Scores between which a narrowing step counts, for a question and for all of a block at most.
+CUTS, ALL_CUTS = 1024, 1 << 18
+#: A place before all keys.
+NO_KEY = -(1 << 63)
+#: Columns of a shard that passes over words, and over tags alone, read.
+WORDS, TAGS = ("keys", "sizes", "terms", "dfs", "places", "tfs"), ("keys", "tags", "tag_dfs", "tag_places")
 
 
 def _billionths(x: np.ndarray) -> np.ndarray:
@@ -39,6 +43,37 @@ def _rrf(dense_rank: np.ndarray, sparse_rank: np.ndarray) -> np.ndarray:
     return _billionths(1.0 / (c + dense_rank) + 1.0 / (c + sparse_rank)) / 1e9
 
 
+def _pairs(keys) -> tuple[np.ndarray, np.ndarray]:
+    """(question, key) of the keys of each question, as two arrays."""
+    return np.repeat(np.array(list(keys), np.int64), [len(k) for k in keys.values()]), np.array([x for k in keys.values() for x in k], np.int64)
+
+
+def _held(shard: Shard, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(question, place) of the documents here that have a key of a question."""
+    i, place = shard.holding(pairs[1])
+    return pairs[0][i], place
+
+
+def _by_question(q: np.ndarray, place: np.ndarray):
+    """(question, its places), for each question that has some."""
+    order = np.argsort(q, kind="stable")
+    some, first = np.unique(q[order], return_index=True)
+    return zip(some.tolist(), np.split(place[order], first[1:]), strict=False)
+
+
+class _Tags:
+    """Tags of all questions of a block, each once, so that a shard looks them up once."""
+
+    def __init__(self, tags: dict[int, np.ndarray]):
+        self.all = np.array(sorted(set().union(*map(set, tags.values()))), dtype=object)
+        self.own = {q: np.searchsorted(self.all, t) for q, t in tags.items()}
+
+    def counter(self, shard: Shard):
+        """How many of a question's tags each document of a shard has."""
+        first, n = shard.tag_ranges(self.all)
+        return lambda q: shard.tagged(first[self.own[q]], n[self.own[q]])
+
+
 def _final(rrf: np.ndarray, graph: np.ndarray) -> np.ndarray:
     """In whole millionths, rounded half up; both have nine digits."""
     return (_billionths(rrf) + _billionths(graph) + 500) // 1000
@@ -54,20 +89,23 @@ class Hybrid:
         self.sent = self.spark.sparkContext.broadcast(asked)
         self.dense = {q: {key: (score, r + 1) for r, (key, score) in enumerate(dense.get(q, []))} for q in range(len(asked.ids))}
 
-    def _pass(self, each, schema: str) -> DataFrame:
-        return over_shards(self.index, self.sent, each, schema)
+    def _pass(self, each, schema: str, *columns: str) -> DataFrame:
+        return over_shards(self.index, self.sent, each, schema, *(columns or WORDS))
 
     def _scores_of(self, keys: dict[int, set[int]]) -> dict[tuple[int, int], int]:
         """(question, key) -> lexical score of some documents that share a word with it."""
-        sent = self.spark.sparkContext.broadcast({q: np.array(sorted(k), np.int64) for q, k in keys.items() if k})
+        sent = self.spark.sparkContext.broadcast(_pairs(keys))
 
         def each():
             def take(shard: Shard):
-                for q, own in sent.value.items():
-                    at = np.flatnonzero(np.isin(shard.keys, own))
-                    if len(at):
-                        score, hit = shard.scores(q)
-                        yield pd.DataFrame({"q": q, "key": shard.keys[at][hit[at]], "score": score[at][hit[at]]})
+                q, place = _held(shard, sent.value)
+                rows = []
+                for one, at in _by_question(q, place):
+                    score, hit = shard.scores(one)
+                    at = at[hit[at]]
+                    rows.append(np.stack([np.full(len(at), one), shard.keys[at], score[at]], axis=1))
+                if rows:
+                    yield pd.DataFrame(np.concatenate(rows), columns=["q", "key", "score"])
 
             return take, lambda: []
 
@@ -111,11 +149,15 @@ class Hybrid:
                 for q, cut in sent.value.items():
                     score, hit = shard.scores(q)
                     own = np.sort(score[hit])
-                    held[q] += len(own) - np.searchsorted(own, cut[:, 0], side="right")
-                    ties = hit & np.isin(score, cut[:, 0])
-                    for s in np.unique(score[ties]).tolist():
-                        keys, at = np.sort(shard.keys[ties & (score == s)]), np.flatnonzero(cut[:, 0] == s)
-                        held[q][at] += np.searchsorted(keys, cut[at, 1])
+                    after = np.searchsorted(own, cut[:, 0], side="right")
+                    held[q] += len(own) - after
+                    ties = np.flatnonzero((np.searchsorted(own, cut[:, 0]) < after) & (cut[:, 1] > NO_KEY))
+                    if len(ties):
+                        at = np.flatnonzero(hit & np.isin(score, cut[ties, 0]))
+                        at = at[np.lexsort((shard.keys[at], score[at]))]
+                        some, keys = score[at], shard.keys[at]
+                        for i, a, b in zip(ties.tolist(), np.searchsorted(some, cut[ties, 0]).tolist(), np.searchsorted(some, cut[ties, 0], side="right").tolist(), strict=True):
+                            held[q][i] += np.searchsorted(keys[a:b], cut[i, 1])
                 return ()
 
             return take, lambda: [pd.DataFrame({"q": q, "i": np.arange(len(n)), "n": n}) for q, n in held.items()]
@@ -130,6 +172,7 @@ class Hybrid:
         """Candidates (q, key, dense, dense_rank, sparse, sparse_rank, rrf, hit), among them the first k by fused rank of every question."""
         first, self.hits = self._lexical(self.candidates + k)
         known = {q: dict(rows) for q, rows in first.items()}
+        self.top = {q: rows[0][1] for q, rows in first.items()}
         more = self._scores_of({q: set(d) - set(known.get(q, {})) for q, d in self.dense.items()})
         before = self._before({q: [(more[q, key], key) for key in d if (q, key) in more] for q, d in self.dense.items()})
         rows = []
@@ -147,48 +190,57 @@ class Hybrid:
     def _anchors(self, fused: pd.DataFrame) -> dict[int, np.ndarray]:
         """By question the entities of its first documents."""
         ranked = fused.sort_values(["q", "rrf", "key"], ascending=[True, False, True]).groupby("q").head(DEFAULT.graph_anchors)
-        sent = self.spark.sparkContext.broadcast({q: g["key"].to_numpy(np.int64) for q, g in ranked.groupby("q")})
+        sent = self.spark.sparkContext.broadcast((ranked["q"].to_numpy(np.int64), ranked["key"].to_numpy(np.int64)))
 
         def each():
             def take(shard: Shard):
-                for q, own in sent.value.items():
-                    for at in np.flatnonzero(np.isin(shard.keys, own)):
-                        yield pd.DataFrame({"q": q, "tag": pd.Series(shard.tags_of(int(at)), dtype=object)})
+                rows = [(q, t) for q, at in zip(*(x.tolist() for x in _held(shard, sent.value)), strict=True) for t in shard.tags_of(at)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["q", "tag"])
 
             return take, lambda: []
 
         tags: dict[int, set[str]] = defaultdict(set)
-        for r in self._pass(each, "q int, tag string").collect():
+        for r in self._pass(each, "q int, tag string", *TAGS).collect():
             tags[r.q].add(r.tag)
         return {q: np.array(sorted(t), dtype=object) for q, t in tags.items()}
 
     def _shared(self, anchors: dict[int, np.ndarray], fused: pd.DataFrame, k: int) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], list[tuple[int, int]]]]:
         """How many anchors the candidates share; and by question and number of shared anchors the lexically first k of other documents, as (score, key), score -1 without a common word."""
-        known = {q: g["key"].to_numpy(np.int64) for q, g in fused.groupby("q")}
-        sent = self.spark.sparkContext.broadcast((anchors, known))
+        sent = self.spark.sparkContext.broadcast((_Tags(anchors), (fused["q"].to_numpy(np.int64), fused["key"].to_numpy(np.int64))))
 
         def each():
             groups: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            least: dict[int, np.ndarray] = {}  # by number of shared anchors the score that a document must reach
 
             def take(shard: Shard):
-                for q, tags in sent.value[0].items():
-                    n = shard.tagged(tags)
-                    have = np.isin(shard.keys, sent.value[1][q])
-                    own = np.flatnonzero(have & (n > 0))
-                    if len(own):
-                        yield pd.DataFrame({"q": q, "shared": n[own], "key": shard.keys[own], "score": -2})
+                tags, known = sent.value
+                count, listed, rows = tags.counter(shard), dict(_by_question(*_held(shard, known))), []
+                for q, own in tags.own.items():
+                    n, have = count(q), np.zeros(len(shard.keys), bool)
+                    if q in listed:
+                        have[listed[q]] = True
+                        at = np.flatnonzero(have & (n > 0))
+                        rows.append(np.stack([np.full(len(at), q), n[at], shard.keys[at], np.full(len(at), -2)], axis=1))
                     at = np.flatnonzero(~have & (n > 0))
-                    if len(at):
-                        score, hit = shard.scores(q)
-                        score = np.where(hit, score, -1)[at]
-                        order = np.lexsort((shard.keys[at], -score, n[at]))
-                        number = n[at][order]
-                        place = np.arange(len(order)) - np.searchsorted(number, number)
-                        for i in order[place < k].tolist():
-                            held = groups[q, int(n[at][i])]
-                            held.append((-int(score[i]), int(shard.keys[at][i])))
-                            if len(held) > 4 * k:
-                                held[:] = sorted(held)[:k]
+                    if not len(at):
+                        continue
+                    score, hit = shard.scores(q)
+                    score = np.where(hit, score, -1)[at]
+                    bar = least.setdefault(q, np.full(len(own) + 1, -1, np.int64))
+                    some = score >= bar[n[at]]
+                    at, score = at[some], score[some]
+                    order = np.lexsort((shard.keys[at], -score, n[at]))
+                    number = n[at][order]
+                    order = order[np.arange(len(order)) - np.searchsorted(number, number) < k]
+                    for s, *row in zip(n[at[order]].tolist(), (-score[order]).tolist(), shard.keys[at[order]].tolist(), strict=True):
+                        groups[q, s].append(tuple(row))
+                    for s in np.unique(n[at[order]]).tolist():
+                        held = groups[q, s] = sorted(groups[q, s])[:k]
+                        if len(held) == k:
+                            bar[s] = -held[-1][0]
+                if rows:
+                    yield pd.DataFrame(np.concatenate(rows), columns=["q", "shared", "key", "score"])
 
             def end():
                 rows = [(q, s, key, -score) for (q, s), held in groups.items() for score, key in sorted(held)[:k]]
@@ -196,7 +248,7 @@ class Hybrid:
 
             return take, end
 
-        rows = kept(self._pass(each, "q int, shared int, key long, score long"), "shared-entities")
+        rows = kept(self._pass(each, "q int, shared int, key long, score long", *dict.fromkeys(WORDS + TAGS)), "shared-entities")
         shared = {(r.q, r.key): r.shared for r in rows.where("score = -2").collect()}
         groups: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for r in best_rows(rows.where("score > -2"), ["q", "shared"], [F.desc("score"), F.asc("key")], k).orderBy("q", "shared", "rank").collect():
@@ -206,16 +258,17 @@ class Hybrid:
     def _cut_score(self, targets: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
         """(question, rank) -> the lexical score at that rank: the lowest score that fewer than `rank` documents exceed."""
         low = dict.fromkeys(targets, 0)  # exceeded by `rank` documents or more, or nothing to exceed
-        high = dict.fromkeys(targets, 1 << 50)  # exceeded by fewer
+        high = {(q, rank): self.top[q] for q, rank in targets}  # exceeded by fewer: by none at first
         while open_ := [t for t in targets if high[t] - low[t] > 1]:
-            cuts = {t: sorted({low[t] + (high[t] - low[t]) * i // (CUTS + 1) for i in range(1, CUTS + 1)} - {low[t], high[t]}) for t in open_}
+            n = max(16, min(CUTS, ALL_CUTS // len(open_)))
+            cuts = {t: sorted({low[t] + (high[t] - low[t]) * i // (n + 1) for i in range(1, n + 1)} - {low[t], high[t]}) for t in open_}
             asked: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for (q, _), values in cuts.items():
-                asked[q] += [(v, -(1 << 63)) for v in values]  # before the first key: scores above only
+                asked[q] += [(v, NO_KEY) for v in values]  # before the first key: scores above only
             above = self._before(asked)
             for t in open_:
                 for v in cuts[t]:
-                    if above[t[0], v, -(1 << 63)] < t[1]:
+                    if above[t[0], v, NO_KEY] < t[1]:
                         high[t] = min(high[t], v)
                     else:
                         low[t] = max(low[t], v)
@@ -226,19 +279,20 @@ class Hybrid:
         hits = self.hits
         cut = self._cut_score({(q, rank): rank for (q, _), rank in wanted.items() if rank <= hits[q]})
         levels = {(q, s): cut.get((q, rank), -1) for (q, s), rank in wanted.items()}
-        known = {q: g["key"].to_numpy(np.int64) for q, g in fused.groupby("q")}
-        sent = self.spark.sparkContext.broadcast((anchors, known, levels))
+        sent = self.spark.sparkContext.broadcast((_Tags({q: anchors[q] for q in {q for q, _ in wanted}}), (fused["q"].to_numpy(np.int64), fused["key"].to_numpy(np.int64)), levels))
 
         def each():
             held: dict[tuple[int, int, bool], np.ndarray] = {}
 
             def take(shard: Shard):
-                anchors, known, levels = sent.value
+                tags, known, levels = sent.value
                 counts: dict[int, tuple] = {}
+                count, listed = tags.counter(shard), dict(_by_question(*_held(shard, known)))
                 for (q, s), level in levels.items():
                     if q not in counts:
                         score, hit = shard.scores(q)
-                        counts[q] = shard.tagged(anchors[q]), np.where(hit, score, -1), np.isin(shard.keys, known[q])
+                        counts[q] = count(q), np.where(hit, score, -1), np.zeros(len(shard.keys), bool)
+                        counts[q][2][listed.get(q, [])] = True
                     n, score, have = counts[q]
                     for at_cut in (False, True):  # those at the cut score itself may lie beyond the rank
                         at = np.flatnonzero((n == s) & ~have & (score == level if at_cut else score > level))
@@ -249,7 +303,7 @@ class Hybrid:
 
             return take, lambda: [pd.DataFrame({"q": q, "shared": s, "at_cut": c, "key": rows[:, 0], "score": rows[:, 1]}) for (q, s, c), rows in held.items()]
 
-        found = best_rows(self._pass(each, "q int, shared int, at_cut boolean, key long, score long"), ["q", "shared", "at_cut"], [F.asc("key")], k)
+        found = best_rows(self._pass(each, "q int, shared int, at_cut boolean, key long, score long", *dict.fromkeys(WORDS + TAGS)), ["q", "shared", "at_cut"], [F.asc("key")], k)
         return [(r.q, r.shared, r.key, r.score) for r in found.collect()]
 
     def with_graph(self, k: int) -> pd.DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import count
 from types import SimpleNamespace
 
@@ -53,16 +54,23 @@ def words(text: str | None) -> list[str]:
     return [w for w in _BLANKS.split(text) if w] if _CONTROLS.search(text) else text.split()
 
 
+class _Numbers(dict):
+    """A number for each word, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Postings:
     """Postings of lists of words as they come: of a list only its words' numbers and how often each is there are kept."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.own, self.times = [], []
 
     def add(self, ws: list[str]) -> None:
-        number = self.number
-        own, times = np.unique(np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)), return_counts=True)
+        own, times = np.unique(np.fromiter(map(self.number.__getitem__, ws), np.int32, len(ws)), return_counts=True)
         self.own.append(own)
         self.times.append(times.astype(np.int32))
 
@@ -77,10 +85,15 @@ class _Postings:
         return order, np.bincount(word, minlength=len(order)), owner[sort], np.concatenate([*self.times, np.zeros(0, np.int32)])[sort]
 
 
-def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str | None = None) -> DataFrame:
-    """Documents as shards of an index, to be written (kept, or added to a store). Rows without a key are left out; a null text has no words."""
+def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str | None = None, only: frozenset[str] | None = None) -> DataFrame:
+    """Documents as shards of an index, to be written (kept, or added to a store). Rows without a key are left out; a null text has no words.
+
+    With `only` (`words_of` questions) other words have no postings, but count in a document's size: such an index answers these questions as a whole one does.
+    """
+    sent = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches):
+        only = None if sent is None else sent.value
         number = count(TaskContext.get().partitionId() << 32)
         keys, sizes, own, tagged, chars = [], [], _Postings(), _Postings(), 0
 
@@ -103,7 +116,7 @@ def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", tags: str |
                 ws = words(t)
                 keys.append(k.as_py())
                 sizes.append(len(ws))
-                own.add(ws)
+                own.add(ws if only is None else [w for w in ws if w in only])
                 tagged.add(sorted({y for y in x.as_py() or [] if y is not None}))
                 chars += len(t)
         if keys:
@@ -122,7 +135,7 @@ def _rows(batches) -> Iterator[SimpleNamespace]:
         names, kinds = batch.schema.names, batch.schema.types
         for i in range(batch.num_rows):
             row = [c[i] for c in batch.columns]
-            yield SimpleNamespace(**{n: x.as_buffer() if pa.types.is_binary(t) or pa.types.is_large_binary(t) else x.values.to_numpy() if pa.types.is_list(t) and pa.types.is_integer(t.value_type) else x.as_py() for n, t, x in zip(names, kinds, row, strict=True)})
+            yield SimpleNamespace(**{n: x.as_buffer() if pa.types.is_binary(t) or pa.types.is_large_binary(t) else (x.values.to_numpy() if pa.types.is_integer(t.value_type) else x.values) if pa.types.is_list(t) else x.as_py() for n, t, x in zip(names, kinds, row, strict=True)})
 
 
 def stats(index: DataFrame) -> DataFrame:
@@ -182,25 +195,63 @@ def _places(have, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, have[at] == asked
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of some ranges, one range after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Shard:
-    """A shard as a block of questions sees it."""
+    """A shard as a block of questions sees it. What a pass does not use is not read, so the row may lack it."""
 
     def __init__(self, row, asked: Questions):
-        self.keys, self.sizes = np.frombuffer(row.keys, "<i8"), np.frombuffer(row.sizes, "<i4")
         self.row, self.asked = row, asked
-        terms = listed(row.terms)
-        at, hit = _places(terms, asked.terms)
-        ends = np.concatenate(([0], np.cumsum(row.dfs, dtype=np.int64)))
-        self.present = hit
-        self.first, self.last = ends[at], ends[np.minimum(at + 1, len(ends) - 1)]
-        self.places, self.tfs = np.frombuffer(row.places, "<u2"), np.frombuffer(row.tfs, "<i4")
-        if terms:
-            most, least = np.frombuffer(row.most, "<i4")[at], np.frombuffer(row.least, "<i4")[at]
-            self.bound = np.where(hit, asked.idf * self.share(most, least), 0.0)
-        else:
-            self.bound = np.zeros(len(asked.terms))
         self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return np.frombuffer(self.row.keys, "<i8")
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return np.frombuffer(self.row.sizes, "<i4")
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        return np.frombuffer(self.row.places, "<u2")
+
+    @cached_property
+    def tfs(self) -> np.ndarray:
+        return np.frombuffer(self.row.tfs, "<i4")
+
+    @cached_property
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the asked words are among the shard's terms, and which of them are."""
+        return _places(listed(self.row.terms), self.asked.terms)
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.row.dfs, dtype=np.int64)))
+
+    @cached_property
+    def present(self) -> np.ndarray:
+        return self.found[1]
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return self.ends[self.found[0]]
+
+    @cached_property
+    def last(self) -> np.ndarray:
+        return self.ends[np.minimum(self.found[0] + 1, len(self.ends) - 1)]
+
+    @cached_property
+    def bound(self) -> np.ndarray:
+        if not self.present.any():
+            return np.zeros(len(self.asked.terms))
+        at, hit = self.found
+        most, least = np.frombuffer(self.row.most, "<i4")[at], np.frombuffer(self.row.least, "<i4")[at]
+        return np.where(hit, self.asked.idf * self.share(most, least), 0.0)
+
     def share(self, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
         k1, b = DEFAULT.bm25_k1, DEFAULT.bm25_b
         return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / (self.asked.average or 1.0)))
@@ -213,15 +264,35 @@ class Shard:
             self.made[term] = places, self.asked.idf[term] * self.share(self.tfs[some], self.sizes[places])
         return self.made[term]
 
+    @cached_property
+    def all_postings(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The places and impacts of all asked words, word by word, and where each word's begin."""
+        n = np.where(self.present, self.last - self.first, 0)
+        at = _ranges(self.first, n)
+        places = self.places[at].astype(np.int64)
+        return places, np.repeat(self.asked.idf, n) * self.share(self.tfs[at], self.sizes[places]), [0, *np.cumsum(n).tolist()]
+
     def scores(self, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Every document's score for a question, and which documents share a word with it."""
-        total, hit = np.zeros(len(self.keys)), np.zeros(len(self.keys), bool)
-        for t, times in zip(*self.asked.bags[q], strict=True):
-            if self.present[t]:
-                places, impacts = self.postings(t)
-                total[places] += times * impacts
-                hit[places] = True
-        return np.rint(total / UNIT).astype(np.int64), hit
+        """Every document's score for a question, and which documents share a word with it (a word's impact is above 0)."""
+        places, impacts, begin = self.all_postings
+        terms, times = (x.tolist() for x in self.asked.bags[q])
+        none = np.zeros(0, np.int64), np.zeros(0)
+        some = [(places[begin[t] : begin[t + 1]], impacts[begin[t] : begin[t + 1]]) for t in terms]
+        added = [x if n == 1 else n * x for (_, x), n in zip(some, times, strict=True)]
+        total = np.bincount(np.concatenate([none[0], *[p for p, _ in some]]), np.concatenate([none[1], *added]), len(self.keys))  # each document's words in order, as if added one by one
+        return np.rint(total / UNIT).astype(np.int64), total > 0
+
+    def holding(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a key, place) of all documents here that have one of some keys."""
+        order, own = self.by_key
+        first = np.searchsorted(own, keys, "left")
+        n = np.searchsorted(own, keys, "right") - first
+        return np.repeat(np.arange(len(keys)), n), order[_ranges(first, n)]
+
+    @cached_property
+    def by_key(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.keys, kind="stable")
+        return order, self.keys[order]
 
     def reaching(self, q: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of all documents that share a word with a question and reach a score; of the blocks only those needed are looked at."""
@@ -250,22 +321,26 @@ class Shard:
         scores = np.rint(total[found] / UNIT).astype(np.int64)
         return found[scores >= least], scores[scores >= least]
 
-    def tagged(self, tags: np.ndarray) -> np.ndarray:
-        """How many of some tags each document has."""
+    @cached_property
+    def tag_ends(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.row.tag_dfs, dtype=np.int64)))
+
+    def tag_ranges(self, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents of some tags begin and how many they are."""
         at, hit = _places(self.row.tags, tags)
-        ends = np.concatenate(([0], np.cumsum(self.row.tag_dfs, dtype=np.int64)))
-        places, out = np.frombuffer(self.row.tag_places, "<u2"), np.zeros(len(self.keys), np.int64)
-        for k in at[hit]:
-            out[places[ends[k] : ends[k + 1]]] += 1
-        return out
+        return self.tag_ends[at], np.where(hit, self.tag_ends[np.minimum(at + 1, len(self.tag_ends) - 1)] - self.tag_ends[at], 0)
+
+    def tagged(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many of some tags, given by their ranges, each document has."""
+        return np.bincount(np.frombuffer(self.row.tag_places, "<u2")[_ranges(first, n)], minlength=len(self.keys))
 
     def tags_of(self, place: int) -> list[str]:
-        held = np.repeat(np.arange(len(self.row.tags)), self.row.tag_dfs)
-        return [self.row.tags[k] for k in held[np.frombuffer(self.row.tag_places, "<u2") == place]]
+        held = np.flatnonzero(np.frombuffer(self.row.tag_places, "<u2") == place)
+        return [str(self.row.tags[k]) for k in np.searchsorted(self.tag_ends, held, "right") - 1]
 
 
-def over_shards(index: DataFrame, asked, each: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
-    """A pass over all shards: `each` makes, for a task, what takes a shard and yields frames, and what gives frames at the end. `asked` is the broadcast of the questions."""
+def over_shards(index: DataFrame, asked, each: Callable[[], tuple[Callable, Callable]], schema: str, *columns: str) -> DataFrame:
+    """A pass over all shards: `each` makes, for a task, what takes a shard and yields frames, and what gives frames at the end. `asked` is the broadcast of the questions; with `columns` only these are read."""
 
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
@@ -277,7 +352,7 @@ def over_shards(index: DataFrame, asked, each: Callable[[], tuple[Callable, Call
         for df in end():
             yield pa.RecordBatch.from_pandas(df, kinds, preserve_index=False)
 
-    return index.mapInArrow(run, schema)
+    return (index.select(*columns) if columns else index).mapInArrow(run, schema)
 
 
 def best_rows(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -294,6 +369,13 @@ class Best:
         self.k, self.rows, self.least = k, [[] for _ in range(n)], np.zeros(n, np.int64)
 
     def add(self, q: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        least = self.least[q]
+        if len(scores) > 4 * self.k:  # those after the k-th place need no order
+            least = max(least, np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
+        some = scores >= least
+        scores, keys = scores[some], keys[some]
+        if not len(keys):
+            return
         order = np.lexsort((keys, -scores))[: self.k]
         self.rows[q] = sorted([*self.rows[q], *zip((-scores[order]).tolist(), keys[order].tolist(), strict=True)])[: self.k]
         if len(self.rows[q]) == self.k:
@@ -313,6 +395,13 @@ def blocks_of(questions: DataFrame, index: DataFrame, query: str, text: str) ->
             yield Questions(rows, index)
 
 
+def words_of(questions: DataFrame, text: str = "text") -> frozenset[str] | None:
+    """All words of questions that fit in one block, else None: then an index of all words is for them."""
+    if (questions.agg(F.sum(F.length(text))).first()[0] or 0) >= QUESTION_CHARS:
+        return None
+    return frozenset(w for r in questions.select(F.col(text).alias("t")).collect() for w in words(r.t))
+
+
 def search(index: DataFrame, questions: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, key, score, rank): each question's k best documents that share a word with it, equal scores by key."""
     spark, out = index.sparkSession, []

@@ -163,6 +163,42 @@ def test_ties_beyond_the_lists(spark, made):
     assert DEFAULT.graph_anchors == 3
 
 
+def test_few_passes(spark, made, monkeypatch):
+    """Narrowing down a score in ties takes three passes over the shards at most, and a pass reads only the columns that it uses."""
+    passes = []
+    over = fusion.over_shards
+    monkeypatch.setattr(fusion, "over_shards", lambda *args: passes.append(args[4:]) or over(*args))
+    docs = [(i, f"common w{i % 97} " + "pad " * (i % 53), ["HOT"]) for i in range(1500)]
+    questions = [(1, "common"), (2, "common w5")]
+    lists = spark.createDataFrame([(q, i, 0.5, i + 1) for q, _ in questions for i in range(10)], "item_id long, doc_id long, score double, rank long")
+    got = [(r.item_id, r.doc_id) for r in fusion.graph_top(made(docs, 2), spark.createDataFrame(questions, "item_id long, text string"), lists, 5, 10).orderBy("item_id", "rank").collect()]
+    expected = plain_fused(docs, questions, {q: [(i, 0.5) for i in range(10)] for q, _ in questions}, 10, {d: {"HOT"} for d, *_ in docs})
+    assert got == [(q, d) for q, rows in expected.items() for _, d, *_ in rows[:5]]
+    assert 6 <= len(passes) <= 11
+    assert sum("terms" not in p for p in passes) == 1 and sum("tags" in p for p in passes) <= 3
+
+
+def test_index_of_asked_words(spark, made):
+    """An index of the asked words alone has no other postings and gives the same results."""
+    docs, questions, rng = corpus(11, 300, 30)
+    df = spark.createDataFrame(docs, "doc_id long, text string, tags array<string>").repartition(3)
+    asked = spark.createDataFrame(questions, "item_id long, text string")
+    only = lexical.words_of(asked)
+    assert only == {w for _, t in questions for w in lexical.words(t)}
+    whole, some = made(docs), kept(lexical.shards(df, tags="tags", only=only), "test-index")
+    assert {r.term for r in lexical.document_counts(some).collect()} <= only and lexical.document_counts(whole).count() > len(only)
+    assert lexical.stats(some).first() == lexical.stats(whole).first()
+    assert sorted(lexical.search(some, asked, 5).collect()) == sorted(lexical.search(whole, asked, 5).collect())
+    lists = spark.createDataFrame([(0, docs[3][0], 0.5, 1)], "item_id long, doc_id long, score double, rank long")
+    assert sorted(fusion.graph_top(some, asked, lists, 5, 10).collect()) == sorted(fusion.graph_top(whole, asked, lists, 5, 10).collect())
+
+
+def test_words_of_many_questions(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "QUESTION_CHARS", 5)
+    assert lexical.words_of(spark.createDataFrame([("ab cd",)], "text string")) is None
+    assert lexical.words_of(spark.createDataFrame([("a B",), (None,)], "text string")) == {"a", "b"}
+
+
 def test_postings_kept_small():
     """A shard in the making keeps two numbers a posting, not the words; the result is what counting gives."""
     rng = np.random.default_rng(7)
