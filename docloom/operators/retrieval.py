@@ -74,10 +74,10 @@ def _ann_topk(spark, sf_dir):
 
 
 def _searched(spark, sf_dir):
-    """(index, questions, dense lists). All documents take part: by their words, and those with a vector by that too. Their entities are tags of the index."""
+    """(index, questions, dense lists). All documents take part: by their words, and those with a vector by that too. Their entities are tags of the index, which holds the words that the questions ask."""
     vectors, docs, asked = _t(spark, sf_dir, "embeddings"), _t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "benchmark")
     with_vector = lambda df, key: df.select(key).join(vectors.select(F.col("vec_id").alias(key), "embedding"), key)
-    index = kept(lexical.shards(docs.withColumn("tags", entities_of(F.col("text"))), tags="tags"), "lexical-index")
+    index = kept(lexical.shards(docs.withColumn("tags", entities_of(F.col("text"))), tags="tags", only=lexical.words_of(asked)), "lexical-index")
     return index, asked, dense_top(with_vector(docs, "doc_id"), with_vector(asked, "item_id"), CANDIDATES, "item_id", "doc_id")
 
 
