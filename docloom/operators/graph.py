@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.chunking import _WINDOWS_SQL, OVERLAP, WIDTH, windows
+from docloom.sources.scratch import kept
 
 #: A mention: one or more capitalised words of at least four letters.
 ENTITY = r"\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}{3,})*"
 #: Entity kinds by the order in which questions prefer them.
 PRIORITY = {"PERSON": 0, "ORG": 1, "PRODUCT": 2, "LAW": 3, "FAC": 4}
+#: Pairs of entities that a task makes and counts, about.
+PAIRS = 1 << 20
 LEGAL = r"(?i)(^| )(act|law|regulation|directive|code)$"
 
 
@@ -26,10 +29,15 @@ def mentions(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return found.select(key, F.col("pos").cast("long"), "name", "label", F.concat("label", F.lit(":"), F.lower("name")).alias("entity"))
 
 
-def entities_of(text: Column) -> Column:
-    """The distinct entities of a text, as `mentions` names them."""
+def mentioned(text: Column) -> Column:
+    """The entities of a text as `mentions` names them, each as often as it is mentioned."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENTITY), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda n: F.concat(label(n), F.lit(":"), F.lower(n))))
+    return F.transform(found, lambda n: F.concat(label(n), F.lit(":"), F.lower(n)))
+
+
+def entities_of(text: Column) -> Column:
+    """The distinct entities of a text."""
+    return F.array_distinct(mentioned(text))
 
 
 def mention_counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -57,7 +65,19 @@ def chunk_edges(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def cooccurrence(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(src, dst, weight): pairs of entities by the chunks that hold both, src before dst. All entities of a chunk are paired; the size of a chunk bounds its pairs."""
-    held = found.groupBy(key).agg(F.sort_array(F.collect_set("entity")).alias("e"))
+    return _paired(found.groupBy(key).agg(F.sort_array(F.collect_set("entity")).alias("e")), key)
+
+
+def list_cooccurrence(lists: DataFrame, key: str = "doc_id") -> DataFrame:
+    """As cooccurrence, of chunks with their entities as lists (key, entities): a chunk is a row in the shuffle, not a mention."""
+    return _paired(lists.groupBy(key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("e")), key)
+
+
+def _paired(chunks: DataFrame, key: str) -> DataFrame:
+    """Counts of pairs of chunks' entities (key, e), which are written first, so that the number of their pairs is known and dealt out: a task that counts them holds no more of them the more chunks there are."""
+    held = kept(chunks.where(F.size("e") > 1), "chunk-entities")
+    n = F.size("e").cast("long")
+    held = held.repartition((held.agg(F.sum(n * (n - 1))).first()[0] or 0) // (2 * PAIRS) + 1, key)
     pairs = held.select(F.posexplode("e").alias("i", "src"), "e").select("src", F.explode(F.expr("slice(e, i + 2, size(e))")).alias("dst"))
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
@@ -160,7 +180,7 @@ co AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM l a JOIN
 QUERIES = {
     "entity_mentions": (lambda s, d: mention_counts(mentions(_docs(s, d))), f"SELECT entity, label, count(*) AS mentions, count(DISTINCT doc_id) AS chunks FROM ({MENTION_SQL}) GROUP BY ALL"),
     "top_entities": (lambda s, d: top_entities(mentions(_docs(s, d))), f"SELECT entity, count(*) AS mentions FROM ({MENTION_SQL}) GROUP BY entity ORDER BY mentions DESC, min((doc_id, pos)), entity LIMIT 10"),
-    "cooccurrence": (lambda s, d: cooccurrence(mentions(_windows(s, d), "chunk_id"), "chunk_id"), _PAIRS_SQL + "SELECT * FROM co"),
+    "cooccurrence": (lambda s, d: list_cooccurrence(_windows(s, d).select("chunk_id", entities_of(F.col("text")).alias("entities")), "chunk_id"), _PAIRS_SQL + "SELECT * FROM co"),
     "graph_counts": (
         lambda s, d: nodes(_docs(s, d), mentions(_docs(s, d))).groupBy("type").agg(F.count("*").alias("nodes")),
         f"WITH me AS ({MENTION_SQL}) SELECT 'document' AS type, count(DISTINCT doc_id) AS nodes FROM documents UNION ALL SELECT 'chunk', count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'entity', count(DISTINCT entity) FROM me",

@@ -3,6 +3,7 @@
 import io
 import math
 import zipfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -129,6 +130,18 @@ def test_context(spark):
     assert one.a == [3, 0] and one.b == [0, 1]
 
 
+def test_pairs_are_dealt_out(spark, monkeypatch):
+    """Tasks that count pairs are as many as the pairs ask for; a chunk that stands in two rows is one."""
+    monkeypatch.setattr(graph, "PAIRS", 10)
+    rows = [(i, f"E{j}") for i in range(8) for j in range(i)] + [(3, "E0"), (9, "E1"), (10, None)]
+    expected = Counter((f"E{a}", f"E{b}") for i in range(8) for b in range(i) for a in range(b))
+    lists = [(i, [e for k, e in rows[a::2] if k == i and e]) for i in range(11) for a in (0, 1)]
+    for made in (graph.cooccurrence(spark.createDataFrame(rows, "doc_id int, entity string")), graph.list_cooccurrence(spark.createDataFrame(lists, "doc_id int, entities array<string>"))):
+        assert {(r.src, r.dst): r.weight for r in made.collect()} == expected
+        assert f"{sum(expected.values()) // 10 + 1}), REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+    assert graph.cooccurrence(spark.createDataFrame([], "doc_id int, entity string")).count() == 0
+
+
 def test_graph(spark):
     docs = spark.createDataFrame([(1, "Acme Corp met Jane Smith. Acme Corp won."), (2, "Jane Smith left."), (3, None)], "doc_id long, text string")
     found = graph.mentions(docs)
