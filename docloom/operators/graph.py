@@ -100,20 +100,20 @@ def nodes(chunks: DataFrame, found: DataFrame, tables: DataFrame | None = None)
     return out.union(found.select("entity", F.lit("entity"))).distinct()
 
 
-def edges(chunks: DataFrame, found: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """(src, dst, rel, weight) of all relations; undirected, each once. A table's entities are those of the chunk that tells of it: tables is (doc_id, table_name, chunk_id)."""
+def edges(chunks: DataFrame, found: DataFrame, tables: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """(src, dst, rel, weight) of all relations; undirected, each once. A table's entities are those of the chunk that tells of it: tables is (doc_id, table_name, chunk_id); lists has the mentions by chunk, for list_cooccurrence."""
     key, one = _chunk_key(chunks), F.lit(1).cast("long")
     out = chunks.select(_name("Document", "doc_id").alias("src"), _name("Chunk", key).alias("dst"), F.lit("contains").alias("rel"), one.alias("weight")).distinct()
     if tables is not None:
         out = out.union(tables.select(_name("Document", "doc_id"), _name("Table", "doc_id", "table_name"), F.lit("contains"), one).distinct())
         told = found.join(tables.select("doc_id", "table_name", "chunk_id"), "chunk_id").groupBy("doc_id", "table_name", "entity").agg(F.count("*").alias("n"))
         out = out.union(told.select(_name("Table", "doc_id", "table_name"), "entity", F.lit("mentions"), "n"))
-    return out.union(chunk_edges(found, key)).union(cooccurrence(found, key).select("src", "dst", F.lit("co_occurs"), "weight"))
+    return out.union(chunk_edges(found, key)).union((cooccurrence(found, key) if lists is None else list_cooccurrence(lists, key)).select("src", "dst", F.lit("co_occurs"), "weight"))
 
 
 def degrees(all_edges: DataFrame) -> DataFrame:
     """(node, degree) of an undirected graph."""
-    return all_edges.select(F.col("src").alias("node")).union(all_edges.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
+    return all_edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
 def neighbours(all_edges: DataFrame, focus: DataFrame) -> DataFrame:
@@ -152,8 +152,9 @@ def _windows(spark, sf_dir):
 
 
 def _degrees(spark, sf_dir):
-    chunks = _windows(spark, sf_dir)
-    return degrees(edges(chunks, mentions(chunks, "chunk_id")))
+    """Texts are read once: the chunks' entities are written without them."""
+    lists = kept(_windows(spark, sf_dir).select("doc_id", "chunk_id", mentioned(F.col("text")).alias("entities")), "chunk-mentions")
+    return degrees(edges(lists.select("doc_id", "chunk_id"), lists.select("chunk_id", F.explode("entities").alias("entity")), lists=lists))
 
 
 def _places(spark, sf_dir):

@@ -142,6 +142,12 @@ def test_pairs_are_dealt_out(spark, monkeypatch):
     assert graph.cooccurrence(spark.createDataFrame([], "doc_id int, entity string")).count() == 0
 
 
+def test_degrees_read_texts_once(spark, sf_dir):
+    """Chunks' entities are written once, so that the plan of degrees has no texts left, and its pairs are counted in one place."""
+    plan = graph.QUERIES["node_degree"][0](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "regexp_extract_all" not in plan and plan.count("posexplode") == 1
+
+
 def test_graph(spark):
     docs = spark.createDataFrame([(1, "Acme Corp met Jane Smith. Acme Corp won."), (2, "Jane Smith left."), (3, None)], "doc_id long, text string")
     found = graph.mentions(docs)
